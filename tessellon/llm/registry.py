@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tessellon.llm import bpe
+from tessellon.llm import bpe, langid, quality, warc, wrappers
 
 #: Module of each operator's query.
 OPERATORS = {
+    "op3_html": wrappers,
     "op5_bpe": bpe,
+    "op7_langid": langid,
+    "op9_warc": warc,
+    "op10_quality": quality,
 }
 
 
