@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessellon.llm import bpe, langid, quality, warc, wrappers
+from tessellon.llm import bpe, langid, quality, voronoi, warc, wrappers
 
 #: Module of each operator's query.
 OPERATORS = {
+    "op2_knn": voronoi,
     "op3_html": wrappers,
     "op5_bpe": bpe,
     "op7_langid": langid,
