@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessellon.llm import bpe, langid, quality, voronoi, warc, wrappers
+from tessellon.llm import bpe, jaccard, langid, quality, voronoi, warc, wrappers
 
 #: Module of each operator's query.
 OPERATORS = {
     "op2_knn": voronoi,
     "op3_html": wrappers,
     "op5_bpe": bpe,
+    "op6_ngram_join": jaccard,
     "op7_langid": langid,
     "op9_warc": warc,
     "op10_quality": quality,
