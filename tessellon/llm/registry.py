@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessellon.llm import bpe, jaccard, langid, quality, voronoi, warc, wrappers
+import corpus_pipeline
+from tessellon.llm import bpe, jaccard, langid, packing, quality, voronoi, warc, wrappers
 
 #: Module of each operator's query.
 OPERATORS = {
+    "op1_packing": packing,
     "op2_knn": voronoi,
     "op3_html": wrappers,
     "op5_bpe": bpe,
@@ -17,7 +19,7 @@ OPERATORS = {
 
 
 def queries() -> dict:
-    return {name: m.query for name, m in OPERATORS.items()}
+    return {name: m.query for name, m in OPERATORS.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
