@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessellon.llm import bpe, jaccard, langid, packing, quality, voronoi, warc, wrappers
+from tessellon.llm import bpe, chat, jaccard, langid, packing, quality, urlfilter, voronoi, warc, wrappers
 
 #: Module of each operator's query.
 OPERATORS = {
     "op1_packing": packing,
     "op2_knn": voronoi,
     "op3_html": wrappers,
+    "op4_url_filter": urlfilter,
     "op5_bpe": bpe,
     "op6_ngram_join": jaccard,
     "op7_langid": langid,
+    "op8_chat": chat,
     "op9_warc": warc,
     "op10_quality": quality,
 }
