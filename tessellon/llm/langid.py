@@ -28,8 +28,8 @@ DIMS = 1 << 14
 CENTROIDS, PER_LANG = 4, 400
 #: Languages that a fit accepts; more labels than that are no languages.
 MAX_LANGS = 400
-#: A centroid's limit: this many times the distance within which all but FAR of its own rows lie, at most MAX_DISTANCE.
-SLACK, FAR, MAX_DISTANCE = 1.5, 0.01, 0.9
+#: A centroid's limit: this many times the distance within which all but FAR of its own rows lie, within these bounds.
+SLACK, FAR, MIN_DISTANCE, MAX_DISTANCE = 1.5, 0.01, 0.6, 0.9
 BATCH = 128
 
 
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, centroids: int = CENTROIDS) -
             own = near[1][near[0] == k]
             names.append(lang)
             mats.append(c[k])
-            limits.append(min(MAX_DISTANCE, SLACK * float(np.quantile(1 - own, 1 - FAR)) + 0.05))
+            limits.append(min(MAX_DISTANCE, max(MIN_DISTANCE, SLACK * float(np.quantile(1 - own, 1 - FAR)) + 0.05)))
     return {"langs": names, "centroids": np.array(mats, np.float32), "idf": idf, "limits": np.array(limits, np.float32)}
 
 
