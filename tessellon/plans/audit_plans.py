@@ -132,10 +132,10 @@ def paged_alerts(spark, sf_dir):
     return reads.page(table(spark, sf_dir, "events").where("value > 300").select("event_id", "ts", "value"), [F.desc("ts"), "event_id"], 25, 5)
 
 
-@plan("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY 1")
+@plan("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def percentile_interp(spark, sf_dir):
     p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(p.alias("p")).select("event_type", *(F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(p.alias("p")).select("event_type", *(F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))))
 
 
 @plan(f"WITH {P_SQL}, l AS (SELECT CASE b WHEN 10 THEN 120.0 WHEN 11 THEN 61.0 WHEN 12 THEN 60.0 ELSE 1.0 END AS s FROM p WHERE reason IS NULL) SELECT min(s)::DOUBLE AS lo, max(s)::DOUBLE AS hi, quantile_cont(s::DOUBLE, 0.5) AS p50, quantile_cont(s::DOUBLE, 0.99) AS p99 FROM l")
@@ -157,10 +157,10 @@ def run_source_rollup(spark, sf_dir):
     return logs.source_rollup(e, "r-")
 
 
-@plan("SELECT event_type AS query, count(*) AS batches, CAST(sum(user_id) AS BIGINT) AS num_input_rows, max(event_id) AS last_batch_id, quantile_cont(CASE WHEN value >= 100 THEN value - 100 END, 0.5) AS p50_ms, quantile_cont(CASE WHEN value >= 100 THEN value - 100 END, 0.95) AS p95_ms FROM events GROUP BY 1")
+@plan("SELECT event_type AS query, count(*) AS batches, CAST(sum(user_id) AS BIGINT) AS num_input_rows, max(event_id) AS last_batch_id, round(quantile_cont(CASE WHEN value >= 100 THEN value - 100 END, 0.5), 6) AS p50_ms, round(quantile_cont(CASE WHEN value >= 100 THEN value - 100 END, 0.95), 6) AS p95_ms FROM events GROUP BY 1")
 def run_progress_rollup(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.lit("not a time").alias("ts"), F.col("event_type").alias("query"), F.col("event_id").alias("batch_id"), F.col("user_id").alias("num_input_rows"), (F.col("value") - 100).alias("duration_ms"))
-    return logs.progress_rollup(e, start="2020-01-01")
+    return logs.progress_rollup(e, start="2020-01-01").withColumns({c: F.round(c, 6) for c in ("p50_ms", "p95_ms")})
 
 
 @plan("SELECT event_type AS fault, count(*) AS n FROM events GROUP BY 1")
@@ -168,9 +168,9 @@ def run_fault_histogram(spark, sf_dir):
     return logs.fault_histogram(table(spark, sf_dir, "events").select(F.concat(F.lit("r-"), "event_id").alias("event_id"), F.col("event_type").alias("fault")), "r-")
 
 
-@plan("SELECT event_type AS name, min_by(value, event_id) AS first_mem, max_by(value, event_id) AS last_mem, max(value) AS peak_mem, quantile_cont(value, 0.95) AS p95_mem FROM events GROUP BY 1")
+@plan("SELECT event_type AS name, min_by(value, event_id) AS first_mem, max_by(value, event_id) AS last_mem, max(value) AS peak_mem, round(quantile_cont(value, 0.95), 6) AS p95_mem FROM events GROUP BY 1")
 def resource_stats(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.min_by("value", "event_id").alias("first_mem"), F.max_by("value", "event_id").alias("last_mem"), F.max("value").alias("peak_mem"), F.percentile("value", 0.95).alias("p95_mem"))
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.min_by("value", "event_id").alias("first_mem"), F.max_by("value", "event_id").alias("last_mem"), F.max("value").alias("peak_mem"), F.round(F.percentile("value", 0.95), 6).alias("p95_mem"))
 
 
 @plan("SELECT date_trunc('hour', ts) AS hour_start, count(*) AS n, round(100.0 * count(*) FILTER (WHERE value > 200) / count(*)::DOUBLE, 6) AS alerts_per_100 FROM events GROUP BY 1")
