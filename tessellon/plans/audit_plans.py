@@ -188,3 +188,18 @@ def drain_offsets(spark, sf_dir):
 @plan("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_discount IS NOT NULL OR l_tax IS NOT NULL GROUP BY 1")
 def any_metric_present(spark, sf_dir):
     return vector(spark, sf_dir).where(any_present(["l_discount", "l_tax"])).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@plan(f"WITH {P_SQL}, l AS (SELECT date_trunc('hour', t) AS hour_start, CASE b WHEN 10 THEN 120.0 WHEN 11 THEN 61.0 WHEN 12 THEN 60.0 ELSE 1.0 END AS s FROM p WHERE reason IS NULL) SELECT hour_start, count(*) AS n, round(quantile_cont(s::DOUBLE, 0.95), 6) AS p95 FROM l GROUP BY 1")
+def dq_lateness_hourly(spark, sf_dir):
+    from tessellon.operators import layers
+
+    s = reconcile.lateness(None, "received_at_utc", "event_time_utc")
+    hour = F.date_trunc("hour", "event_time_utc").cast("timestamp_ntz").alias("hour_start")
+    return layers.silver(payloads(spark, sf_dir)).groupBy(hour).agg(F.count("*").alias("n"), F.round(F.percentile(s, 0.95), 6).alias("p95"))
+
+
+@plan("SELECT event_type, count(*) AS n, sum(CASE WHEN dup > 1 THEN 1 ELSE 0 END)::BIGINT AS repeated FROM (SELECT event_type, count(*) OVER (PARTITION BY event_type, user_id) AS dup FROM events) GROUP BY 1")
+def repeated_keys(spark, sf_dir):
+    per = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    return per.groupBy("event_type").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated")).select("event_type", F.col("total").alias("n"), "repeated")

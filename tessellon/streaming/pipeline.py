@@ -103,6 +103,14 @@ def stop(queries: list) -> None:
             q.stop()
 
 
+def heartbeat(spark: SparkSession, path: str, queries: list) -> None:
+    """A one-line file with the time and the queries that are active, written anew on each call."""
+    from datetime import datetime, timezone
+
+    line = json.dumps({"ts": datetime.now(timezone.utc).isoformat(), "active": [q.name for q in queries if q.isActive]})
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 class ProgressLog(StreamingQueryListener):
     """A record per micro-batch: time, query, batch, rows, duration, offsets, sink. write gets each as a JSON line."""
 

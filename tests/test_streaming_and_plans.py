@@ -37,6 +37,19 @@ def test_topology_accounts_for_every_event_and_survives_replay(spark, tmp_path):
     assert spark.read.parquet(f"{root}/bronze").count() == 250 and store.read("sensor_latest").count() == 6
 
 
+def test_watermarked_windows_and_heartbeat(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    rows = [("s1", datetime(2026, 1, 1) + timedelta(minutes=m)) for m in (0, 3, 11, 60)]
+    spark.createDataFrame(rows, "sensor_id string, event_time_utc timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("sensor_id string, event_time_utc timestamp").parquet(str(tmp_path / "in"))
+    q = pipeline.windowed(stream).writeStream.format("memory").queryName("w").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination()
+    assert sorted(r["n"] for r in spark.table("w").collect()) == [1, 2]
+    pipeline.heartbeat(spark, str(tmp_path / "beat"), [q])
+    assert '"active": []' in spark.read.text(str(tmp_path / "beat")).first()[0]
+
+
 def test_generator_repeats_itself(spark):
     a, b = (generator.events(spark, 300, faults=True).orderBy("id").collect() for _ in range(2))
     assert a == b and {r["fault"] for r in a} >= {None, "duplicate", "missing_field"}
