@@ -7,14 +7,18 @@ the one-deletion neighbourhood (the subset without one of its members) is indexe
 
 Allocation, as in exact partition-based set joins: a probing set gives each segment 0 (not looked at), 1 (equal
 subsets) or 2 (subsets that differ by one member at most); if the sum is at least the number of segments, no linked
-partner is missed. Empty subsets, which random sets share, cost most and get 0; so do subsets that more than FREQUENT
-documents share; designated segments get 2 to pay for it. How many are designated follows from the data, band
-by band, so that every document can pay; one that can't looks its cheapest costly segments up after all.
+partner is missed. Empty subsets, which random sets share, cost most and get 0; designated segments get 2 to pay for
+it. How many are designated follows from the data, band by band, so that every document can pay; one that
+can't looks its empty segments up after all.
 
 Equal sets are collapsed first. Index entries are sorted by range of (entry, document), which splits an entry that a
-third of all documents share over many tasks; each run of equal entries ties its members to one of them (a star,
-not all pairs). After the first verification and components, only pairs of still different components within a run are left to
-verify. Verification compares the whole sets.
+third of all documents share over many tasks. First the members of each entry are tied to one of them, the one whose
+entries are shared most (a star, not all pairs); verification and components follow. Entries within one component
+are done. Of the rest, those of FREQUENT members at most give their pairs of different components. Documents with more
+frequent entries are indexed again, with one-deletion neighbourhoods in all segments: one that can pay for giving
+up all its frequent entries does, and its partners are found by its other entries. Frequent entries give pairs only of
+documents that can't, less those that have too much that no other component has (an edit of a common text leaves such
+shingles), since that is in no intersection. Verification compares the whole sets.
 
 Defined results: null or empty text, or one without words, has no shingles and links with nothing; repeated rows and
 equal sets are linked; a repeated doc_id is one vertex; a null doc_id links with nothing and has a null component; an
@@ -32,9 +36,11 @@ from tessellon.llm.common import materialise, own_names, small_or_whole
 from tessellon.llm.components import components
 
 WORDS, PERCENT = 4, 85
-FREQUENT = 64
-#: Segments that a document may give up beyond its empty ones, at least and as a share of all.
-SPARE, SPARE_SHARE = 1, 32
+FREQUENT = 16
+#: Classes of shingles by the logarithm of their frequency, for an upper bound of intersections.
+CLASSES = 12
+#: Entries of sampled documents that the ranges are cut by, for each range.
+RANGE_SAMPLE = 40
 
 
 # ---- sets ------------------------------------------------------------------------------------------------------
@@ -118,20 +124,14 @@ def _segments(s, m: int):
     return seg[start].astype(np.int64), start, np.diff(np.append(start, len(s)))
 
 
-def spare(m: int) -> int:
-    return SPARE + m // SPARE_SHARE
-
-
-def need_of(seg, size, m: int) -> tuple[int, int]:
-    """How many first segments must be designated for this set to pay for its empty segments and its spare; and how many costly segments it may give up, -1 if it can't even pay for the empty ones."""
+def need_of(seg, size, m: int) -> int:
+    """How many first segments must be designated for this set to pay for its empty segments; -1 if it can't."""
     import numpy as np
 
     able, empty = np.sort(seg[size >= 2]), m - len(seg)
-    pay = min(spare(m), len(able) - empty)
-    want = empty + pay
-    if pay < 0:
-        return m, -1
-    return int(able[want - 1]) + 1 if want else 0, pay
+    if empty > len(able):
+        return -1
+    return int(able[empty - 1]) + 1 if empty else 0
 
 
 # meta bits of an index entry, below its 60-bit hash
@@ -167,7 +167,7 @@ def entries(s, scheme: int, m: int, upper: bool, designated: int, empties: bool)
 
 
 def _profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """doc, n, k1, k2 (a 128-bit name of the set), and for its own and the lower scheme: needed designated segments, and how many costly segments it may give up."""
+    """doc, n, k1, k2 (a 128-bit name of the set), and for its own and the lower scheme: needed designated segments (-1: can't pay)."""
 
     def run(batches):
         import numpy as np
@@ -179,7 +179,7 @@ def _profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
             for t in b.column(1):
                 s = shingles(t.as_py(), words)
                 if not len(s):
-                    rows.append((0, 0, 0, 0, 0, 0, 0, 0))
+                    rows.append((0, 0, 0, 0, 0, 0))
                     continue
                 band = band_of(len(s), percent)
                 k1, k2 = np.add.reduce(_mix(s)), np.add.reduce(_mix(s * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)))
@@ -187,20 +187,20 @@ def _profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
                 for scheme in (band, band - 1):
                     m = segs[scheme] if scheme >= 0 else 1
                     if m == 1:
-                        got.append((0, 0))
+                        got.append(0)
                         continue
                     seg, _, size = _segments(s, m)
                     got.append(need_of(seg, size, m))
-                rows.append((len(s), int(k1.astype(np.int64)), int(k2.astype(np.int64)), band, got[0][0], got[1][0], got[0][1], got[1][1]))
-            cols = list(zip(*rows)) if rows else [()] * 8
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc", "n", "k1", "k2", "band", "need", "need_low", "pay", "pay_low"])
+                rows.append((len(s), int(k1.astype(np.int64)), int(k2.astype(np.int64)), band, *got))
+            cols = list(zip(*rows)) if rows else [()] * 6
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc", "n", "k1", "k2", "band", "need", "need_low"])
 
-    return docs.mapInArrow(run, "doc bigint, n bigint, k1 bigint, k2 bigint, band int, need int, need_low int, pay int, pay_low int")
+    return docs.mapInArrow(run, "doc bigint, n bigint, k1 bigint, k2 bigint, band int, need int, need_low int")
 
 
-def _indexed(docs: DataFrame, percent: int, words: int, designated: dict, poor: set) -> DataFrame:
-    """entry, doc for every document under its own scheme and the one below."""
+def _entries_of(docs: DataFrame, percent: int, words: int, designated: dict | None, poor: set, cuts=None) -> DataFrame:
+    """entry, doc, range for every document under its own scheme and the one below; designated None: all segments."""
 
     def run(batches):
         import numpy as np
@@ -209,7 +209,7 @@ def _indexed(docs: DataFrame, percent: int, words: int, designated: dict, poor:
         segs = bands(percent)[1]
         for b in batches:
             for lo in range(0, b.num_rows, 256):
-                keys, ids = [], []
+                keys, ids, to = [], [], []
                 for doc, text in zip(b.column(0).slice(lo, 256).to_pylist(), b.column(1).slice(lo, 256)):
                     s = shingles(text.as_py(), words)
                     if not len(s):
@@ -217,17 +217,42 @@ def _indexed(docs: DataFrame, percent: int, words: int, designated: dict, poor:
                     band = band_of(len(s), percent)
                     for scheme in (band, band - 1):
                         if scheme >= 0 and segs[scheme] > 1:
-                            e = entries(s, scheme, segs[scheme], scheme < band, designated.get(scheme, 0), scheme in poor)
-                            keys.append(e.view(np.int64))
-                            ids.append(np.full(len(e), doc, np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["entry", "doc"])
+                            d = segs[scheme] if designated is None else designated.get(scheme, 0)
+                            keys.append(entries(s, scheme, segs[scheme], scheme < band, d, scheme in poor).view(np.int64))
+                            ids.append(np.full(len(keys[-1]), doc, np.int64))
+                if not keys:
+                    continue
+                key, doc = np.concatenate(keys), np.concatenate(ids)
+                if cuts is None:
+                    at = np.zeros(len(key), np.int32)
+                else:  # an entry that fills several ranges is dealt over them by document
+                    low, high = np.searchsorted(cuts, key >> 4, "left"), np.searchsorted(cuts, key >> 4, "right")
+                    share = (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                    at = (low + (share % (high - low + 1).astype(np.uint64)).astype(np.int64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at)], names=["entry", "doc", "range"])
+
+    return docs.mapInArrow(run, "entry bigint, doc bigint, range int")
+
 
-    return docs.mapInArrow(run, "entry bigint, doc bigint")
+def _indexed(docs: DataFrame, profile: DataFrame, percent: int, words: int, designated: dict | None, poor: set, name: str) -> DataFrame:
+    """key, meta, doc of the entries that could hold a candidate pair, found in entries sorted by range. The ranges are cut by the entries of every 64th document or so."""
+    import numpy as np
+
+    spark = docs.sparkSession
+    segs = bands(percent)[1]
+    weight = F.array(*(F.lit(m) for m in segs))[F.col("band")]
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    whole = profile.where("n > 0").agg(F.sum(weight)).first()[0] or 0
+    every = max(1, whole // (ranges * RANGE_SAMPLE))
+    some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0)
+    sample = np.sort(np.asarray(_entries_of(some, percent, words, designated, poor).select("entry").toArrow()["entry"].combine_chunks())) >> 4
+    cuts = sample[np.linspace(0, len(sample), ranges + 1).astype(int)[1:-1]] if len(sample) >= ranges else np.zeros(0, np.int64)
+    dealt = _entries_of(docs, percent, words, designated, poor, cuts).repartitionById(ranges, "range").select("entry", "doc").sortWithinPartitions("entry", "doc")
+    return materialise(_runs(dealt), name)
 
 
 def _runs(sorted_entries: DataFrame) -> DataFrame:
-    """key, meta, doc, star: the entries of runs that could hold a candidate pair, each tied to the run's first member. A run at a partition's edge is kept as it may go on next door."""
+    """key, meta, doc: the entries of runs that could hold a candidate pair. A run at a partition's edge is kept as it may go on next door."""
 
     def run(batches):
         import numpy as np
@@ -245,7 +270,7 @@ def _runs(sorted_entries: DataFrame) -> DataFrame:
             if edge_last:
                 ok[-1] = True
             rows = np.repeat(ok, size)
-            return pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(meta[rows].astype(np.int32)), pa.array(d[rows]), pa.array(np.repeat(d[start], size)[rows])], names=["key", "meta", "doc", "star"])
+            return pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(meta[rows].astype(np.int32)), pa.array(d[rows])], names=["key", "meta", "doc"])
 
         held_e = held_d = None
         first = True
@@ -255,7 +280,7 @@ def _runs(sorted_entries: DataFrame) -> DataFrame:
                 e, d = np.concatenate([held_e, e]), np.concatenate([held_d, d])
             if not len(e):
                 continue
-            # the last run waits for the next batch, unless it is so long that it goes out in pieces with stars of their own
+            # the last run waits for the next batch, unless it is so long that it goes out in pieces
             cut = int(np.flatnonzero((e >> 4) != (e[-1] >> 4))[-1]) + 1 if (e[0] >> 4) != (e[-1] >> 4) else 0
             if cut == 0 and len(e) > 200_000:
                 yield out(e, d, True, True)
@@ -268,7 +293,7 @@ def _runs(sorted_entries: DataFrame) -> DataFrame:
         if held_e is not None and len(held_e):
             yield out(held_e, held_d, first, True)
 
-    return sorted_entries.mapInArrow(run, "key bigint, meta int, doc bigint, star bigint")
+    return sorted_entries.mapInArrow(run, "key bigint, meta int, doc bigint")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
@@ -292,51 +317,143 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Da
     return materialise(ok.select("a", "b").distinct(), "jaccard-links")
 
 
-def _left_over(runs: DataFrame, profile: DataFrame, comp: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share an entry which one of them looks up, without those verified already."""
-    rows = runs.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("cnt"), F.count_if(F.col("meta").bitwiseAND(DELETED) == 0).alias("whole"), F.count_if(F.col("meta").bitwiseAND(UPPER) == 0).alias("lower"))
+def _bit(bit: int):
+    return F.col("meta").bitwiseAND(bit) > 0
+
+
+def _mixed(rows: DataFrame, comp: DataFrame, name: str) -> DataFrame:
+    """The entries whose members are of several components, with component and the number of members."""
+    rows = rows.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("cnt"), F.count_if(~_bit(DELETED)).alias("whole"), F.count_if(~_bit(UPPER)).alias("lower"))
     mixed = mixed.where("lo <> hi and whole > 0 and lower > 0").select("key", "cnt")
-    rows = rows.join(mixed, "key").join(profile.select("doc", "n", "band", "pay", "pay_low").dropDuplicates(["doc"]), "doc")
-    up = F.col("meta").bitwiseAND(UPPER) > 0
-    rows = rows.withColumn("scheme", F.col("band") - up.cast("int")).withColumn("pay", F.when(up, F.col("pay_low")).otherwise(F.col("pay")))
-    rows = materialise(rows.select("key", "meta", "doc", "component", "cnt", "n", "scheme", "pay"), "jaccard-mixed")
-    # allocation: a document gives up its most shared entries as far as its designated segments pay for them
-    is_empty, is_own, is_del = (F.col("meta").bitwiseAND(x) > 0 for x in (EMPTY, DESIGNATED, DELETED))
-    per = Window.partitionBy("doc", "scheme")
-    hot = rows.where((F.col("cnt") > FREQUENT) & ~is_del & ~is_empty).withColumn("i", F.row_number().over(per.orderBy(F.desc("cnt"), "key"))).withColumn("own", F.count_if(is_own).over(per))
-    hot = hot.where(F.col("i") <= F.col("pay") - F.col("own")).select("doc", "scheme", "key", F.lit(True).alias("given_up"))
-    probe = rows.join(hot, ["doc", "scheme", "key"], "left").withColumn("probes", F.when(is_empty, F.col("pay") < 0).otherwise(F.col("given_up").isNull()))
-    probe = probe.select("key", "doc", "component", "n", is_del.alias("del"), F.col("meta").bitwiseAND(UPPER).cast("boolean").alias("up"), "probes")
-    x, y = (probe.select("key", *(F.col(c).alias(f"{c}_{s}") for c in probe.columns if c != "key")) for s in "xy")
-    pairs = x.where("probes_x").join(y, "key").where("component_x <> component_y and not (del_x and del_y) and not (up_x and up_y) and not (probes_y and doc_y < doc_x)")
-    pairs = pairs.where(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)").select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
-    return materialise(pairs.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+    return materialise(rows.join(mixed, "key"), name)
+
+
+def _near_size(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes allow a link."""
+    n = profile.select("doc", "n").dropDuplicates(["doc"])
+    sized = pairs.join(n.withColumnsRenamed({"doc": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"doc": "b", "n": "nb"}), "b")
+    return sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
+
+
+def _stars(runs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each entry's members with the one of them whose entries are shared most."""
+    count = runs.groupBy("key").agg(F.count("*").alias("cnt"))
+    weight = runs.where(~_bit(DELETED)).join(count, "key").groupBy("doc").agg(F.sum("cnt").alias("w"))
+    centre = runs.where(~_bit(DELETED)).join(weight, "doc").groupBy("key").agg(F.max(F.struct("w", (-F.col("doc")).alias("d"))).alias("c")).select("key", (-F.col("c.d")).alias("star"))
+    pairs = runs.join(centre, "key").where("doc <> star").select(F.least("doc", "star").alias("a"), F.greatest("doc", "star").alias("b")).distinct()
+    return materialise(_near_size(pairs, profile, percent), "jaccard-stars")
+
+
+def _crossed(rows: DataFrame, keep: str) -> DataFrame:
+    """Pairs (a, b) of different components within an entry. rows: key, doc, component, del, up and what keep asks for."""
+    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key")) for s in "xy")
+    both = x.join(y, "key").where(f"doc_x < doc_y and component_x <> component_y and not (del_x and del_y) and not (up_x and up_y) and ({keep})")
+    return both.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct()
+
+
+def _shared_enough(rows: DataFrame, lone: DataFrame, profile: DataFrame, percent: int, words: int) -> DataFrame:
+    """rows (key, doc, component, ..) of the documents that can still link within their entry, with n, common: members of their set that one of these documents in another component has too, and how many of them are in each class of frequency.
+
+    What only one component has is in no intersection of two, so a pair's is at most the sum of the smaller counts of the classes; a document whose
+    common is too small for the smallest set of its entry goes, and then entries that are left with one component.
+    """
+
+    def members(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                sets = [shingles(t.as_py(), words).view(np.int64) for t in b.column(1).slice(lo, 256)]
+                ids = np.repeat(np.asarray(b.column(0).slice(lo, 256)), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["doc", "s"])
+
+    ids = materialise(rows.select("doc", "component").distinct(), "jaccard-dear")
+    each = lone.join(small_or_whole(ids.select("doc"), 16), "doc", "left_semi").mapInArrow(members, "doc bigint, s bigint")
+    # a shingle of one component is told by its first and last component; the others are counted by how frequent they are
+    places = each.join(small_or_whole(ids, 24), "doc").select("component", "doc", "s")
+    shared = places.groupBy("s").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    shared = shared.select("s", F.least(F.lit(CLASSES - 1), F.floor(F.log2("df"))).alias("class"))
+    counts = places.join(shared, "s").groupBy("doc").agg(*(F.count_if(F.col("class") == i).alias(f"c{i}") for i in range(CLASSES)))
+    classes = [F.coalesce(f"c{i}", F.lit(0)).alias(f"c{i}") for i in range(CLASSES)]
+    sized = ids.select("doc").distinct().join(profile.select("doc", "n").dropDuplicates(["doc"]), "doc").join(counts, "doc", "left").select("doc", "n", *classes)
+    sized = sized.withColumn("common", sum((F.col(f"c{i}") for i in range(CLASSES)), F.lit(0)))
+    rows = rows.join(materialise(sized, "jaccard-common"), "doc")
+    least = rows.groupBy("key").agg(F.min("n").alias("least_n"))
+    rows = rows.join(least, "key").where(f"{100 + percent} * common >= {percent} * (n + least_n)").drop("least_n")
+    still = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return materialise(rows.join(still, "key"), "jaccard-dear-rows")
+
+
+def _left_over(runs: DataFrame, lone: DataFrame, profile: DataFrame, comp: DataFrame, done: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs of different components that are left to verify after the stars."""
+    kinds = [_bit(DELETED).alias("del"), _bit(UPPER).alias("up"), _bit(EMPTY).alias("empty")]
+    rows = _mixed(runs, comp, "jaccard-mixed")
+    bands_of = profile.select("doc", "band", "need", "need_low").dropDuplicates(["doc"])
+    cant = F.when(F.col("up"), F.col("need_low") < 0).otherwise(F.col("need") < 0)
+    few = rows.where((F.col("cnt") <= FREQUENT) | _bit(EMPTY)).select("key", "doc", "component", *kinds)
+    few = few.join(bands_of, "doc").select("key", "doc", "component", "del", "up", "empty", cant.alias("poor"))
+    pairs = _crossed(few, "not (empty_x and empty_y) or poor_x or poor_y")
+    hot = materialise(rows.where((F.col("cnt") > FREQUENT) & ~_bit(EMPTY)).select("doc").distinct(), "jaccard-hot")
+    if hot.isEmpty():
+        return materialise(_near_size(pairs, profile, percent).join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+    # documents with frequent entries once more, with every one-deletion neighbourhood
+    again = lone.join(small_or_whole(hot, 16), "doc", "left_semi")
+    full = _mixed(_indexed(again, profile.join(hot, "doc", "left_semi"), percent, words, None, set(), "jaccard-again"), comp, "jaccard-mixed")
+    frequent = F.col("cnt") > FREQUENT
+    # what a document can give up: its segments with two members or more, less those that a frequent entry touches, less its empty ones
+    spent = full.where(frequent).groupBy("doc", _bit(UPPER).alias("up")).agg(F.count_if(~_bit(DELETED)).alias("whole"), F.count_if(_bit(DESIGNATED) | _bit(DELETED)).alias("touched"))
+    able = lone.join(small_or_whole(hot, 16), "doc", "left_semi").mapInArrow(_able(percent, words), "doc bigint, up boolean, able int, empty int").dropDuplicates(["doc", "up"])
+    pays = materialise(spent.join(able, ["doc", "up"]).select("doc", "up", (F.col("whole") + F.col("empty") <= F.col("able") - F.col("touched")).alias("pays")), "jaccard-pays")
+    full = full.select("key", "doc", "component", "cnt", *kinds).join(pays, ["doc", "up"], "left").withColumn("pays", F.coalesce("pays", F.lit(True)))
+    cheap = _crossed(full.where("cnt <= %d" % FREQUENT).drop("cnt", "pays", "empty"), "true")
+    dear = _crossed(_shared_enough(full.where("cnt > %d and not pays" % FREQUENT).drop("cnt", "pays", "empty"), lone, profile, percent, words), f"{100 + percent} * ({' + '.join(f'least(c{i}_x, c{i}_y)' for i in range(CLASSES))}) >= {percent} * (n_x + n_y)")
+    pairs = pairs.unionByName(cheap).unionByName(dear).distinct()
+    return materialise(_near_size(pairs, profile, percent).join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+
+
+def _able(percent: int, words: int):
+    """For each document and scheme: segments that can get a 2, and empty ones."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        segs = bands(percent)[1]
+        for b in batches:
+            rows = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                s = shingles(text.as_py(), words)
+                if not len(s):
+                    continue
+                band = band_of(len(s), percent)
+                for scheme in (band, band - 1):
+                    if scheme >= 0 and segs[scheme] > 1:
+                        seg, _, size = _segments(s, segs[scheme])
+                        rows.append((doc, scheme < band, int((size >= 2).sum()), segs[scheme] - len(seg)))
+            cols = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.bool_(), pa.int32(), pa.int32()))], names=["doc", "up", "able", "empty"])
+
+    return run
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc, n, component for every row of docs with a non-null id; linked documents share the component, the smallest id among them."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
     profile = materialise(_profiles(rows, percent, words), "jaccard-profiles")
-    segs = bands(percent)[1]
-    own = profile.select(F.col("band").alias("scheme"), "need", "pay", "n")
-    low = profile.select((F.col("band") - 1).alias("scheme"), F.col("need_low").alias("need"), F.col("pay_low").alias("pay"), "n")
-    told = own.unionByName(low).where("n > 0 and scheme >= 0").groupBy("scheme").agg(F.max("need").alias("need"), F.min("pay").alias("pay")).collect()  # a row per band: some 250 at most
-    designated = {r["scheme"]: min(r["need"], segs[r["scheme"]]) for r in told}
-    poor = {r["scheme"] for r in told if r["pay"] < 0}
+    own = profile.select(F.col("band").alias("scheme"), "need", "n")
+    low = profile.select((F.col("band") - 1).alias("scheme"), F.col("need_low").alias("need"), "n")
+    told = own.unionByName(low).where("n > 0 and scheme >= 0").groupBy("scheme").agg(F.max("need").alias("need"), F.min("need").alias("least")).collect()  # a row per band: some 250 at most
+    designated = {r["scheme"]: max(0, r["need"]) for r in told}
+    poor = {r["scheme"] for r in told if r["least"] < 0}
     # equal sets: the smallest id stands for all
     same = materialise(profile.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"), F.max("doc").alias("top")).where("top > rep").drop("top"), "jaccard-equal")
     copies = materialise(profile.where("n > 0").join(same, ["n", "k1", "k2"]).where("doc <> rep").select("doc", "rep").distinct(), "jaccard-copies")
     lone = rows.join(small_or_whole(copies.select("doc"), 16), "doc", "left_anti")
-    ordered = _indexed(lone, percent, words, designated, poor).repartitionByRange("entry", "doc").sortWithinPartitions("entry", "doc")
-    runs = materialise(_runs(ordered), "jaccard-runs")
-    stars = runs.where("doc <> star").select(F.least("doc", "star").alias("a"), F.greatest("doc", "star").alias("b")).distinct()
-    sized = profile.select("doc", "n").dropDuplicates(["doc"])
-    stars = stars.join(sized.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
-    stars = materialise(stars.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"), "jaccard-stars")
+    runs = _indexed(lone, profile, percent, words, designated, poor, "jaccard-runs")
+    stars = _stars(runs, profile, percent)
     links = _verified(stars, lone, percent, words)
-    comp = components(links)
-    more = _left_over(runs, profile, comp, stars, percent)
+    more = _left_over(runs, lone, profile, components(links), stars, percent, words)
     if not more.isEmpty():
         links = links.unionByName(_verified(more, lone, percent, words))
     comp = components(links.unionByName(copies.select(F.col("doc").alias("a"), F.col("rep").alias("b"))))

@@ -82,7 +82,6 @@ def test_near_duplicates_equal_all_pairs(spark, k, percent, seed):
 def test_frequent_subsets_lose_no_link(spark, monkeypatch):
     """With a low limit nearly every entry is a costly one that is given up as far as it is paid for."""
     monkeypatch.setattr(jaccard, "FREQUENT", 1)
-    monkeypatch.setattr(jaccard, "SPARE", 3)
     rows = varied(7, 300, vocab=60)
     got = {r["doc_id"]: r["component_id"] for r in jaccard.joined(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == groups(rows, 4, 85)
@@ -105,12 +104,11 @@ def test_allocation_pays():
         low, high = sorted((s, t), key=len)
         scheme = jaccard.band_of(len(low))
         m = segs[scheme]
-        d, pays = 0, []
+        needs = []
         for x in (low, high):
             seg, _, size = jaccard._segments(x, m)
-            need, pay = jaccard.need_of(seg, size, m)
-            d, pays = max(d, need), [*pays, pay]
-        e = [jaccard.entries(x, scheme, m, jaccard.band_of(len(x)) > scheme, d, min(pays) < 0) for x in (low, high)]
+            needs.append(jaccard.need_of(seg, size, m))
+        e = [jaccard.entries(x, scheme, m, jaccard.band_of(len(x)) > scheme, max(0, *needs), min(needs) < 0) for x in (low, high)]
         whole = [set((x[(x & np.uint64(1)) == 0] >> np.uint64(4)).tolist()) for x in e]
         every = [set((x >> np.uint64(4)).tolist()) for x in e]
         assert whole[0] & every[1] or whole[1] & every[0]
