@@ -31,8 +31,9 @@ SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 #: Standard deviations that a dimension has at least: log words, log word length, log symbols per 100 characters, log duplicate lines, log repeated words per 100 words.
 FLOORS = (0.35, 0.04, 0.25, 0.6, 0.8)
 DIMS = len(FLOORS)
-#: Share of a group that the estimate is made of.
-H_SHARE = 0.75
+#: Share of a group that the estimate is made of: half, so that outliers up to just under half of a group stay out of it.
+#: The usual DIMS + 1 rows more keep a plain covariance invertible; here the floors do.
+H_SHARE = 0.5
 MIN_GROUP = 50
 STEPS = 3
 #: Chance that a document of a normal group lies beyond the cut-off.

@@ -105,6 +105,18 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert quality.verdicts(docs.limit(0)).count() == 0
 
 
+def test_quality_withstands_a_third_of_junk(spark):
+    from pyspark.sql import functions as F
+
+    random.seed(8)
+    clean = [(i, t, "en", s) for s in ("own", "copies") for i, (_, t, *_) in enumerate(corpus(160), 1000 * (s == "copies"))]
+    junk = [(5000 + k, " ".join(random.choice(["###", "$$$", "w#", "%%x", "&|"]) + str(random.randint(0, 999)) for _ in range(60 + 5 * k)), "en", "own") for k in range(80)]
+    junk += [(6000 + k, junk[40][1], "en", "copies") for k in range(80)]
+    got = {r["doc_id"]: r for r in quality.verdicts(spark.createDataFrame(clean + junk, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i, *_ in junk)
+    assert all(got[i]["kept"] for i, *_ in clean)
+
+
 def test_concentration_steps_by_hand(spark):
     import numpy as np
 
