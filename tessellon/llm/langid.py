@@ -2,8 +2,9 @@
 
 A text's letters (lower case, everything else one space) give 1- to 3-gram counts hashed into a fixed number of
 dimensions; damped counts times inverse document frequency, normalised, are compared by cosine with several
-centroids per language. The best centroid names the language. A text is rejected when its distance from that
-centroid is above the centroid's own limit, or when too few of its n-grams are known at all.
+centroids per language; centroids that few rows gather at are dropped. The best centroid names the language. A text
+is rejected when its distance from that centroid is above the language's limit, or when less of it than the language's
+least share is made of n-grams known there. Both limits come from the bulk of the language's own rows, within bounds.
 
 The classifier is fitted on a bounded sample of labelled rows, ``per_lang`` to twice as many for a language, taken by a hash of
 the id; prediction covers every whole text. Only fixed-size vectors of the sampled rows reach the driver.
@@ -28,8 +29,14 @@ DIMS = 1 << 14
 CENTROIDS, PER_LANG = 4, 400
 #: Languages that a fit accepts; more labels than that are no languages.
 MAX_LANGS = 400
-#: A centroid's limit: this many times the distance within which all but FAR of its own rows lie, within these bounds.
-SLACK, FAR, MIN_DISTANCE, MAX_DISTANCE = 1.5, 0.01, 0.6, 0.9
+#: A language's limit: this many times the distance within which all but FAR of its own rows lie, within these bounds.
+SLACK, FAR, MIN_DISTANCE, MAX_DISTANCE = 1.5, 0.05, 0.65, 0.7
+#: Share of a language's rows that a centroid must be nearest to.
+MIN_SHARE = 0.05
+#: A language knows its most frequent n-grams that make up so much of its rows.
+COVER = 0.98
+#: A language's least known share: that of all but RARE of its own rows less MARGIN, within these bounds.
+RARE, MARGIN, MIN_KNOWN, MAX_KNOWN = 0.05, 0.25, 0.6, 0.7
 BATCH = 128
 
 
@@ -107,32 +114,53 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, centroids: int = CENTROIDS) -
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "at": at, "n": n})
 
     got = sample.mapInPandas(vectors, "doc_id bigint, lang string, at array<int>, n array<int>").where(F.size("at") > 0).toPandas()
-    got = got.sort_values(["lang", "doc_id"], kind="stable")
+    return fitted(got.sort_values(["lang", "doc_id"], kind="stable"), centroids)
+
+
+def fitted(got, centroids: int = CENTROIDS) -> dict | None:
+    """The classifier learnt from a pandas table of lang, at and n (the dimensions of a row and their counts)."""
+    import numpy as np
+
     if not len(got):
         return None
     df = np.zeros(DIMS, np.int64)
     for a in got["at"]:
         df[a] += 1
     idf = (np.log((1 + len(got)) / (1 + df)) + 1).astype(np.float32)
-    names, mats, limits = [], [], []
+    names, mats, limits, known, least = [], [], [], [], []
     for lang in sorted(set(got["lang"])):
         part = got[got["lang"] == lang]
         x = np.zeros((len(part), DIMS), np.float32)
         for i, (a, k) in enumerate(zip(part["at"], part["n"])):
             x[i, a] = np.log1p(k)
+        mine = _known(x)
+        share = x @ mine / x.sum(1)
         x *= idf
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         c, near = _clustered(x, min(centroids, len(x)))
-        for k in range(len(c)):
-            own = near[1][near[0] == k]
-            names.append(lang)
-            mats.append(c[k])
-            limits.append(min(MAX_DISTANCE, max(MIN_DISTANCE, SLACK * float(np.quantile(1 - own, 1 - FAR)) + 0.05)))
-    return {"langs": names, "centroids": np.array(mats, np.float32), "idf": idf, "limits": np.array(limits, np.float32)}
+        limit = min(MAX_DISTANCE, max(MIN_DISTANCE, SLACK * float(np.quantile(1 - near, 1 - FAR)) + 0.05))
+        names += [lang] * len(c)
+        mats += list(c)
+        limits += [limit] * len(c)
+        known += [mine] * len(c)
+        least += [min(MAX_KNOWN, max(MIN_KNOWN, float(np.quantile(share, RARE)) - MARGIN))] * len(c)
+    f32 = lambda v: np.array(v, np.float32)
+    return {"langs": names, "centroids": f32(mats), "idf": idf, "limits": f32(limits), "known": f32(known), "least": f32(least)}
+
+
+def _known(x):
+    """1 for the dimensions that are in most rows, as many as make up COVER of the damped counts, else 0."""
+    import numpy as np
+
+    order = np.argsort(-(x > 0).sum(0), kind="stable")
+    mass = np.cumsum(x.sum(0, dtype=np.float64)[order])
+    out = np.zeros(x.shape[1], np.float32)
+    out[order[: 1 + int(np.searchsorted(mass, COVER * mass[-1]))]] = 1
+    return out
 
 
 def _clustered(x, k: int, rounds: int = 12):
-    """Spherical k-means; centroids and (nearest, cosine) of each row. It starts from rows spread evenly over the nearest 90 % to the mean, so no odd row gets a centroid of its own."""
+    """Spherical k-means; centroids and the cosine of each row with its nearest. Those with few rows go. It starts from rows spread evenly over the nearest 90 % to the mean, so no odd row gets a centroid of its own."""
     import numpy as np
 
     order = np.argsort(-(x @ x.mean(0)), kind="stable")[: max(k, int(0.9 * len(x)))]
@@ -146,8 +174,9 @@ def _clustered(x, k: int, rounds: int = 12):
                 c[i] = m / np.linalg.norm(m)
     s = x @ c.T
     near = s.argmax(1)
-    used = np.unique(near)
-    return c[used], (np.searchsorted(used, near), s[np.arange(len(x)), near])
+    rows = np.bincount(near, minlength=k)
+    used = np.flatnonzero(rows >= min(MIN_SHARE * len(x), rows.max()))
+    return c[used], s[:, used].max(1)
 
 
 def _predicted(docs: DataFrame, model: dict | None, text_col: str, keep: list[str], names: list[str]) -> DataFrame:
@@ -155,7 +184,7 @@ def _predicted(docs: DataFrame, model: dict | None, text_col: str, keep: list[st
     columns = [F.col(f"`{c}`") for c in keep]
     src = docs.select(*columns, F.col(f"`{text_col}`").alias(own_names(keep, "text_in")[0]))
     schema = src.select(*columns).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
-    # a fixed size: DIMS times (MAX_LANGS times CENTROIDS + 1) floats at most
+    # a fixed size: DIMS times (MAX_LANGS times CENTROIDS times 2 + 1) floats at most
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -184,6 +213,7 @@ def _predicted(docs: DataFrame, model: dict | None, text_col: str, keep: list[st
                 size = np.sqrt((x * m["idf"]).__pow__(2).sum(1))
                 s /= np.maximum(size, 1e-9)[:, None]
                 best = s.argmax(1)
+                share = np.array([x[i] @ m["known"][k] for i, k in enumerate(best)]) / np.maximum(x.sum(1), 1e-9)
                 for i, k in enumerate(best.tolist()):
                     if found[i] is None:
                         langs.append("und")
@@ -193,7 +223,7 @@ def _predicted(docs: DataFrame, model: dict | None, text_col: str, keep: list[st
                     v = min(1.0, max(0.0, float(s[i, k])))
                     langs.append(m["langs"][k])
                     scores.append(v)
-                    rejected.append(bool(1 - v > m["limits"][k]))
+                    rejected.append(bool(1 - v > m["limits"][k] or share[i] < m["least"][k]))
             cols = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols], names=[*keep, *names])
 

@@ -158,6 +158,32 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(docs.where("doc_id >= 1000"))).collect()} == {"und"}
 
 
+WORDS = {
+    "en": "the of and to in that was his with for had which not were from have this they their would there been when who will more if out said what about time some only other new could these two may first then any my now such like our over even most made after also did many before must through years where much your way well down should because each just those people too good".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei prozent hatte kann gegen vom können schon wenn habe seine ihre dann unter wir soll ich eines jahr zwei diese wieder keine uhr".split(),
+    "it": "che di la il un una per non sono mi si lo ho ma ti ha cosa le con no hai bene tutto della come se qui questo lei sei del era gli perché anche quando più mio fare al essere stato quello io so mia ne tu solo niente ora voglio chi ci dove molto suo ancora tempo detto uomo loro nostra casa vita prima sempre abbiamo fatto andare grazie signore".split(),
+    "fi": "on ei ja hän se että oli mutta niin kun minä sinä mitä tämä olen kuin nyt vain jos hyvä kaikki sen olla minun myös kanssa ovat miten tule mennä joka ollut kyllä sitä joku täällä koska aina vielä hänen meidän olet takaisin jotain voi mies haluan tiedän pitää sanoi ehkä todella kotiin vuotta ihmiset koskaan paljon".split(),
+}
+
+
+def spoken(lang, n, least, most, first=0):
+    rng = random.Random(f"{lang} {first}")
+    return [(first + i, " ".join(rng.choice(WORDS[lang]) for _ in range(rng.randint(least, most)))) for i in range(n)]
+
+
+def test_unlabelled_languages_are_rejected(spark):
+    own = [(i + k, t, lang, "s") for k, lang in ((0, "en"), (10_000, "de")) for i, t in spoken(lang, 300, 20, 60)]
+    own += [(i + k, t.upper() if i % 2 else t, lang, "s") for k, lang in ((0, "en"), (10_000, "de")) for i, t in spoken(lang, 8, 1, 2, 5000)]
+    new = [(i + k, t, lang, "s") for k, lang in ((0, "en"), (10_000, "de")) for i, t in spoken(lang, 100, 20, 60, 7000)]
+    code = "for row in batches: yield pa.RecordBatch.from_arrays([row.column(k) for k in range(len(keep))]); raise ValueError(msg) if not isinstance(obj, str) else None"
+    far = [(i + k, t, None, None) for k, lang in ((20_000, "it"), (30_000, "fi")) for i, t in spoken(lang, 100, 20, 60)] + [(40_000, code, None, None), (40_001, "qzx jkw vvq " * 20, None, None)]
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    model = langid.fit(docs(own))
+    got = {r["doc_id"]: r for r in langid.predict(docs(new + far), model).collect()}
+    assert sum(got[i]["rejected"] for i, *_ in new) <= 2
+    assert sum(not got[i]["rejected"] for i, *_ in far) <= 2 and got[40_000]["rejected"] and got[40_001]["rejected"]
+
+
 def test_boundaries_are_optimal():
     random.seed(1)
     for _ in range(150):
