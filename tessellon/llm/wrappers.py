@@ -7,9 +7,9 @@ wrapper: sequence, ``?``, ``+`` and slots, no alternatives. Every page takes par
 into one small wrapper per host, and these are folded again, first in 16 shares of a host and then as a whole, so a
 host with a third of all pages is no task of its own.
 
-The wrapper's slots carry how much text and link text the host's pages put there. The main region is the
-wrapper's article element, else its main element, else a content-named group, else the smallest group that holds most
-of the host's plain text. Inside it, groups that are menus, headers, footers, sidebars, notices, adverts, forms or
+The wrapper's slots carry how much text and link text the host's pages put there. A page's main region is, of the
+wrapper's groups that the page matched, the article elements, else the main element, else the content-named group with
+most of the host's plain text, else the smallest group that holds most of it; so a host may have several layouts. Inside it, groups that are menus, headers, footers, sidebars, notices, adverts, forms or
 reader comments by their tag or name are left out. A page is read by matching it against its host's wrapper; the text
 of the region's slots is its main text.
 
@@ -291,67 +291,97 @@ def _plain(x) -> int:
     return 0 if role(x.key) in ("drop", "header") else sum(map(_plain, x.items))
 
 
-def region(wrapper: Group) -> list[Group]:
-    """The groups of a wrapper that are its main text."""
+def _flat(items) -> list:
+    """The items with runs of repeated groups opened."""
+    return [y for x in items for y in (_flat(x.items) if x.key[0] == "(" else (x,))]
+
+
+def region(wrapper: Group, seen: set[int], alone: list[Group]) -> list[Group]:
+    """The groups that are a page's main text. seen: the ids of the wrapper's groups that the page matched; alone: the page's groups that matched none."""
     found: dict[str, list[Group]] = {"article": [], "main": [], "named": []}
+    mass: dict[int, int] = {}
 
-    def walk(x, inside):
-        if x.key == "#":
+    def walk(x, inside, own):
+        if x.key == "#" or not (own or id(x) in seen):
             return
         r = role(x.key)
         if r in ("drop", "header"):
             return
+        mass[id(x)] = 0 if own else _plain(x)
         if r in found and r not in inside:
             found[r].append(x)
             inside = inside | {r}
-        for y in x.items:
-            walk(y, inside)
+        for y in _flat(x.items):
+            walk(y, inside, own)
 
-    walk(wrapper, frozenset())
+    walk(wrapper, frozenset(), False)
+    for x in alone:
+        walk(x, frozenset(), True)
     if found["article"]:
         return found["article"]
     for kind in ("main", "named"):
         if found[kind]:
-            return [max(found[kind], key=_plain)]
-    at, whole = wrapper, _plain(wrapper)
+            return [max(found[kind], key=lambda x: mass[id(x)])]
+
+    def met(x) -> int:
+        """Plain characters of what the page matched of x."""
+        if x.key == "#":
+            return max(0, x.chars - x.links)
+        return sum(map(met, _flat(x.items))) if id(x) in mass else 0
+
+    at, whole = wrapper, met(wrapper)
     while True:
-        inner = [y for y in at.items if y.key != "#" and role(y.key) not in ("drop", "header") and any(z.key != "#" for z in y.items) and _plain(y) >= REGION_SHARE * whole]
+        inner = [y for y in _flat(at.items) if id(y) in mass and any(z.key != "#" for z in y.items) and met(y) >= REGION_SHARE * whole]
         if not inner or not whole:
             return [at]
-        at = max(inner, key=_plain)
-
-
-def _flat(items) -> list:
-    """The items with runs of repeated groups opened."""
-    return [y for x in items for y in (_flat(x.items) if x.key[0] == "(" else (x,))]
+        at = max(inner, key=met)
+
+
+def _pairs(w_items, p_items):
+    """Each of a page's items in order, and the wrapper's item that it matches or None."""
+    at, w_items = 0, _flat(w_items)
+    for p in _flat(p_items):
+        w = None
+        for k in range(at, len(w_items)):
+            if w_items[k].key == p.key:
+                w, at = w_items[k], k + 1
+                break
+        else:
+            w = next((x for x in w_items if x.key == p.key), None)
+        yield w, p
 
 
 def slot_flags(wrapper: Group, page: Group) -> list[bool]:
     """For each slot of a folded page whether it is main text, by matching the page against the wrapper."""
-    kept = {id(x) for x in region(wrapper)}
+    seen, alone = {id(wrapper)}, []
+
+    def meet(w_items, p_items):
+        for w, p in _pairs(w_items, p_items):
+            if p.key == "#" or role(p.key) in ("drop", "header"):
+                continue
+            if w is None:
+                alone.append(p)
+            else:
+                seen.add(id(w))
+                meet(w.items, p.items)
+
+    meet(wrapper.items, page.items)
+    kept = {id(x) for x in region(wrapper, seen, alone)}
     flags: list[bool] = []
 
     def match(w_items, p_items, inside, heading_only):
-        at, w_items = 0, _flat(w_items)
-        for p in _flat(p_items):
-            w = None
-            for k in range(at, len(w_items)):
-                if w_items[k].key == p.key:
-                    w, at = w_items[k], k + 1
-                    break
-            else:
-                w = next((x for x in w_items if x.key == p.key), None)
+        for w, p in _pairs(w_items, p_items):
             if p.key == "#":
                 flags.append(inside and not heading_only)
                 continue
             r = role(p.key)
-            now = inside or (id(w) in kept if w is not None else r == "article")
+            now = inside or id(w or p) in kept
             only = heading_only or (r == "header" and now)
             if inside and r == "drop":
                 now = False
             if p.key.partition(".")[0] in HEADINGS:
                 only = False
-            match(w.items if w else (), p.items, now, only) if now or (w and not inside) else flags.extend(False for _ in slots(p))
+            match(w.items if w else p.items, p.items, now, only) if now or not inside else flags.extend(False for _ in slots(p))
 
     match(wrapper.items, page.items, id(wrapper) in kept, False)
     return flags

@@ -37,6 +37,14 @@ def test_main_text(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_a_host_with_several_layouts(spark):
+    para = "<p>A paragraph of the text.</p><p>And another.</p>"
+    bodies = [f"<article><h1>H</h1>{para}</article>", f"<main><h1>H</h1>{para}</main>", f"<div class=content><h1>H</h1>{para}</div>", f"<div id=story><h1>H</h1>{para}</div>", f"<div class=wrap><div class=links><p>x</p></div><div class=middle><h1>H</h1>{para}</div></div>"]
+    rows = [(10 * k + i, f"http://h{host}/{k}/{i}", page(b)) for host, some in (("all", bodies), ("two", bodies[2:4])) for k, b in enumerate(some, 10 * (host == "two")) for i in range(6 - k % 5)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: "H\nA paragraph of the text.\nAnd another." for i, *_ in rows}
+
+
 def test_wrapper_is_union_free_and_matches_all_its_pages():
     pages = [f"<article><h1>t</h1>{'<p>x</p>' * n}{'<h2>s</h2><p>y</p>' * (n % 3)}{'<aside>z</aside>' * (n % 2)}</article>" for n in range(6)]
     trees = [wrappers.folded(wrappers.tokenised(p)[0]) for p in pages]
