@@ -47,6 +47,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROP_TAGS = frozenset("nav aside footer form menu dialog select button search optgroup".split())
 DROP_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion promotions nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars side aside footer foot header masthead topbar comment comments commentlist reply replies respond disqus discussion cookie cookies notice notices consent gdpr alert alerts warning subscribe subscription newsletter signup login share sharing social related recommended recommendations widget widgets popup modal overlay copyright legal disclaimer toolbar pagination pager search form hidden skip teaser outbrain taboola".split())
 CONTENT_NAMES = frozenset("article post content entry story main maincontent articlebody".split())
+#: All names that role() asks for; of others so many an attribute are kept, so that long lists don't part what belongs together.
+ROLE_NAMES = DROP_NAMES | CONTENT_NAMES
+MOST_NAMES = 4
 
 _tokens = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _attr = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I | re.S)
@@ -73,8 +76,14 @@ class Group:
         self.key, self.opt, self.rep, self.items = key, opt, rep, list(items)
 
 
+@lru_cache(maxsize=100_000)
+def _words(name: str) -> frozenset[str]:
+    """A name in lower case and its parts."""
+    return frozenset((name.lower(), *(p.lower() for p in _part.findall(name))))
+
+
 def _key(tag: str, attrs: str) -> str:
-    """Tag and names of an element, without numbers."""
+    """Tag and names of an element, without numbers: of each attribute the first MOST_NAMES, and all that say what the element is."""
     if not attrs or ("=" not in attrs and "hidden" not in attrs):
         return tag
     names = []
@@ -84,7 +93,8 @@ def _key(tag: str, attrs: str) -> str:
         if kind == "hidden" or (kind == "aria-hidden" and value == "true"):
             names.append("hidden")
         elif kind != "aria-hidden":
-            names += _digits.sub("0", value).split()[:4]
+            own = _digits.sub("0", value).split()
+            names += own[:MOST_NAMES] + [x for x in own[MOST_NAMES:] if _words(x) & ROLE_NAMES]
     return f"{tag}.{'.'.join(sorted(set(names)))}" if names else tag
 
 
@@ -270,7 +280,7 @@ def loaded(v):
 def role(key: str) -> str:
     """drop, header, article, main, named or plain: what a group's tag and names say."""
     tag, _, names = key.partition(".")
-    words = {w for name in names.split(".") for w in (name.lower(), *(p.lower() for p in _part.findall(name)))}
+    words = {w for name in names.split(".") for w in _words(name)}
     if tag in DROP_TAGS or "hidden" in words:
         return "drop"
     if tag == "article" and not words & {"comment", "comments", "reply", "teaser", "related"}:

@@ -45,6 +45,14 @@ def test_a_host_with_several_layouts(spark):
     assert got == {i: "H\nA paragraph of the text.\nAnd another." for i, *_ in rows}
 
 
+def test_names_late_in_a_long_class_list(spark):
+    grid = "col-12 col-md-4 order-2 p-3"
+    body = f'<div class="{grid} sidebar"><p>Side text</p></div><div class="{grid} mb-2 entry-content"><p>Of the text.</p><div class="{grid} userComments"><p>Me too</p></div><p>End.</p></div><div class="{grid} box"><p>{"Much more text beside it. " * 9}</p></div>'
+    rows = [(i, f"http://long/{i}", page(body)) for i in range(3)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert [r["text"] for r in got] == ["Of the text.\nEnd."] * 3
+
+
 def test_wrapper_is_union_free_and_matches_all_its_pages():
     pages = [f"<article><h1>t</h1>{'<p>x</p>' * n}{'<h2>s</h2><p>y</p>' * (n % 3)}{'<aside>z</aside>' * (n % 2)}</article>" for n in range(6)]
     trees = [wrappers.folded(wrappers.tokenised(p)[0]) for p in pages]
