@@ -3,7 +3,9 @@
 Lines that begin with ``>`` are quotes, nested as deep as they have marks. Consecutive quoted lines of one depth
 are a passage. Passages and the original messages' own whole texts, paragraphs and lines are normalised (lower case, single
 spaces) and hashed; a passage links to the first message of its conversation that holds it and stands before the quoting
-one. A message replies to the latest message that its outermost quotes link to. Following replies up (pointer
+one. A passage that is none of these links to the first message that holds it as some of its consecutive lines or
+sentences: messages are looked up by the passage's rarest pair of neighbouring lines, and of sentences, and the whole
+passage is then compared with their text. A message replies to the latest message that its outermost quotes link to. Following replies up (pointer
 jumping, in as many rounds as the logarithm of the deepest thread) gives each message its thread's root and its depth;
 rows ordered by (conv_id, thread_root, reply_depth, turn) are the reply-ordered conversation, without quotes.
 
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from tessellon.llm.common import materialise, remove_table
 
 QUOTE = r"^(?:[ \t]*>)+[ \t]?"
+#: Where one sentence ends and the next begins.
+STOP = r"(?<=[.!?…])\s+"
 #: A line that only says who wrote what is quoted below it.
 SAYS = r"(?i)(wrote|schrieb|escribió|écrit)[ \t]*:[ \t]*$"
 
@@ -60,14 +64,47 @@ def passages(messages: DataFrame) -> DataFrame:
     return quoted.withColumn("run", run).groupBy("conv_id", "turn", "m", "depth", "run").agg(text.alias("passage")).select("conv_id", "turn", "depth", "passage")
 
 
+def _pieces(text, whole: bool):
+    """kind and name of the neighbouring pairs of lines and of sentences in a text column, or its only one; for an index (not whole) all single ones too."""
+
+    def named(kind, units):
+        pairs = F.transform(F.filter(F.transform(units, lambda x, i: F.struct(x.alias("a"), F.get(units, i + 1).alias("b"))), lambda x: x.b.isNotNull()), lambda x: F.concat_ws(" ", x.a, x.b))
+        used = F.when(F.size(units) > 1, pairs).otherwise(units) if whole else F.concat(units, pairs)
+        return F.transform(F.array_distinct(used), lambda x: F.struct(F.lit(kind).alias("kind"), F.sha2(x, 256).alias("piece")))
+
+    lines = F.filter(F.transform(F.split(text, "\n"), normal), lambda x: x != "")
+    return F.concat(named("line", lines), named("sentence", F.filter(F.split(normal(text), STOP), lambda x: x != "")))
+
+
+def _partly(rest: DataFrame, own: DataFrame) -> DataFrame:
+    """conv_id, h, part_turn: the first message that holds a passage of rest (conv_id, h, passage) as consecutive lines or sentences of its own."""
+    rest = materialise(rest.where("conv_id is not null").groupBy("conv_id", "h").agg(F.min("passage").alias("passage")), "chat-rest")
+    wanted = rest.select("conv_id", "h", F.explode(_pieces(F.col("passage"), True)).alias("x")).select("conv_id", "h", "x.*")
+    # equal texts count once, at the first of their messages
+    texts = own.join(rest.select("conv_id").distinct(), "conv_id", "left_semi").groupBy("conv_id", _name(F.col("own")).alias("name")).agg(F.min(F.struct("turn", "own")).alias("t"))
+    texts = materialise(texts.select("conv_id", "name", F.col("t.turn").alias("first_turn"), F.col("t.own").alias("own")), "chat-texts")
+    keys = ["conv_id", "kind", "piece"]
+    index = texts.select("conv_id", "name", F.explode(_pieces(F.col("own"), False)).alias("x")).select("conv_id", "name", "x.*")
+    index = materialise(index.join(wanted.select(*keys).distinct(), keys, "left_semi").distinct(), "chat-index")
+    held = wanted.join(index.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left")
+    rarest = held.groupBy("conv_id", "h", "kind").agg(F.count("*").alias("all"), F.count("n").alias("some"), F.min(F.when(F.col("n").isNotNull(), F.struct("n", "piece"))).alias("x")).where("all = some").select("conv_id", "h", "kind", "x.piece")
+    pairs = rarest.join(index, keys).select("conv_id", "h", "name").distinct()
+    found = pairs.join(rest, ["conv_id", "h"]).join(texts, ["conv_id", "name"]).where(F.contains(normal(F.col("own")), normal(F.col("passage"))))
+    return materialise(found.groupBy("conv_id", "h").agg(F.min("first_turn").alias("part_turn")), "chat-partly")
+
+
 def linked(messages: DataFrame) -> DataFrame:
     """conv_id, turn, n_quotes, n_linked, reply_to of the messages that quote."""
-    found = materialise(passages(messages).withColumn("h", _name(F.col("passage"))).select("conv_id", "turn", "depth", "h"), "chat-passages")
+    found = materialise(passages(messages).withColumn("h", _name(F.col("passage"))).select("conv_id", "turn", "depth", "h", "passage"), "chat-passages")
     talks = found.select("conv_id").distinct()
     own = messages.join(talks, "conv_id", "left_semi").where("turn is not null").select("conv_id", "turn", own_text(F.col("text")).alias("own"))
     parts = F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n"))
     origin = own.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(parts, normal))).alias("p")).where("p <> ''").groupBy("conv_id", F.sha2("p", 256).alias("h")).agg(F.min("turn").alias("first_turn"))
     rows = found.join(origin, ["conv_id", "h"], "left").withColumn("first_turn", F.expr("case when first_turn < turn then first_turn end"))
+    rows = materialise(rows, "chat-whole")
+    rest = rows.where("first_turn is null")
+    if not rest.isEmpty():
+        rows = rows.join(_partly(rest, own), ["conv_id", "h"], "left").withColumn("first_turn", F.expr("coalesce(first_turn, case when part_turn < turn then part_turn end)"))
     outer = F.min("depth").over(Window.partitionBy("conv_id", "turn"))
     rows = rows.withColumn("outer", outer)
     return rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count("first_turn").alias("n_linked"), F.max(F.when(F.col("depth") == F.col("outer"), F.col("first_turn"))).alias("reply_to"))

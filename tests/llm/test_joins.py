@@ -188,3 +188,31 @@ def test_quotations(spark, tmp_path):
     plan = chat.threaded(spark.read.parquet(str(tmp_path / "conversations.parquet")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert chat.threaded(spark.read.parquet(str(tmp_path / "conversations.parquet")).limit(0)).count() == 0
+
+
+def test_partial_quotations(spark):
+    first = "The first line of a long\nparagraph that was wrapped. It has a second\nsentence here, and a third. Like this!\nThe end of it."
+    rows = [
+        (1, 0, first),
+        (1, 1, "> paragraph that was wrapped. It has a second\n> sentence here, and a third. Like this!\nTwo lines"),
+        (1, 2, "> It has a second sentence here, and a third.\nOne sentence"),
+        (1, 3, "> It has a second sentence\n> here, and a third. Like\n> this!\nWrapped anew"),
+        (1, 4, "> Like this!\n> The end of it. But not that.\nMore than the original"),
+        (1, 5, "Yes.\nNo.\nMaybe."),
+        (1, 6, "No.\nMaybe.\nYes.\nYes.\nNo."),
+        (1, 7, "Maybe.\nYes.\nNo.\nMaybe.\nOther"),
+        (1, 8, "> Maybe.\n> Yes.\n> No.\nEach pair stands earlier, the whole in 7 only"),
+        (1, 9, "> later text\n> of two lines\nNot before"),
+        (1, 10, "Some later text\nof two lines\nand more"),
+        (1, 11, "a line\nlater text\nof two lines\nmore"),
+        (1, 12, "> later text\n> of two lines\nNow it is"),
+        (2, 1, "> paragraph that was wrapped. It has a second\n> sentence here, and a third. Like this!\nAnother conversation"),
+    ]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")
+    out = chat.threaded(df)
+    got = {(r["conv_id"], r["turn"]): (r["n_quotes"], r["n_linked"], r["reply_to"], r["thread_root"]) for r in out.collect()}
+    want = {(c, t): (0, 0, None, t) for c, t, _ in rows}
+    want |= {(1, t): (1, 1, 0, 0) for t in (1, 2, 3)} | {(1, 8): (1, 1, 7, 7), (1, 12): (1, 1, 11, 11)} | {k: (1, 0, None, k[1]) for k in ((1, 4), (1, 9), (2, 1))}
+    assert got == want
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
