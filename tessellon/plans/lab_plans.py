@@ -133,8 +133,10 @@ def regression(spark, sf_dir):
 
 @plan()
 def kmeans(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)))
-    return mining.kmeans(rows, [f"f{i}" for i in range(8)], 3).groupBy("cluster").agg(F.count("*").alias("n"))
+    vectors = table(spark, sf_dir, "embeddings")
+    features = [f"f{i}" for i in range(vectors.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    rows = vectors.select("vec_id", *(F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(features)))
+    return mining.kmeans(rows, features, 3).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @plan()

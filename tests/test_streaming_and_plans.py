@@ -118,3 +118,11 @@ def test_entry(spark):
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
     assert layers.unpivoted is not None
+
+
+def test_kmeans_uses_whole_vectors(spark, tmp_path):
+    # the first 8 components say nothing of the three groups that the others make
+    rows = [(i, [float(i % 5 == k) for k in range(8)] + [10.0 * (i % 10 in (0, 1)), 10.0 * (i % 10 in (2, 3, 4))] * 4) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = plans.queries()["kmeans"](spark, str(tmp_path)).collect()
+    assert sorted(r["n"] for r in got) == [20, 30, 50]
