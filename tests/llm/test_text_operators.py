@@ -184,6 +184,53 @@ def test_unlabelled_languages_are_rejected(spark):
     assert sum(not got[i]["rejected"] for i, *_ in far) <= 2 and got[40_000]["rejected"] and got[40_001]["rejected"]
 
 
+def test_language_by_hand(spark):
+    import corpus_pipeline
+    import numpy as np
+
+    rows = [(i + k, t, lang, "s") for k, lang in ((0, "en"), (10_000, "de")) for i, t in spoken(lang, 120, 5, 40)]
+    asked = [(i + 20_000, t, None, None) for i, t in spoken("it", 20, 5, 40)]
+    docs = lambda x: spark.createDataFrame(x, "doc_id bigint, text string, lang string, source string")
+    model = langid.fit(docs(rows))
+    asked = rows + asked
+    got = {r["doc_id"]: r for r in langid.predict(docs(asked), model).collect()}
+    stays = set()
+    vectors = {}
+    for i, t, lang, _ in asked:
+        v = np.zeros(langid.DIMS)
+        for g in langid.grams(t):
+            v[g] += 1
+        vectors[i] = np.log(1 + v)
+    idf = np.log((1 + len(rows)) / (1 + sum(vectors[i] > 0 for i, *_ in rows))) + 1
+    unit = {i: v * idf / np.linalg.norm(v * idf) for i, v in vectors.items()}
+    assert np.allclose(idf, model["idf"], rtol=1e-4)
+    for lang in ("de", "en"):
+        at = [k for k, name in enumerate(model["langs"]) if name == lang]
+        own = [i for i, _, name, _ in rows if name == lang]
+        near = {i: max(at, key=lambda k: unit[i] @ model["centroids"][k]) for i in own}
+        assert min(sum(k == m for m in near.values()) for k in at) >= langid.MIN_SHARE * len(own) / 2
+        far = np.quantile([1 - unit[i] @ model["centroids"][near[i]] for i in own], 1 - langid.FAR)
+        df = {d: sum(vectors[i][d] > 0 for i in own) for d in range(langid.DIMS) if any(vectors[i][d] > 0 for i in own)}
+        mass = {d: sum(vectors[i][d] for i in own) for d in df}
+        known, total = set(), 0.0
+        for d in sorted(df, key=lambda d: (-df[d], d)):
+            known.add(d)
+            total += mass[d]
+            if total >= langid.COVER * sum(mass.values()):
+                break
+        for k in at:
+            assert abs(model["limits"][k] - min(langid.MAX_DISTANCE, max(langid.MIN_DISTANCE, langid.SLACK * far + 0.05))) < 1e-3
+            assert len(known ^ set(np.flatnonzero(model["known"][k]).tolist())) <= 1
+    for i, *_ in asked:
+        cos = model["centroids"] @ unit[i]
+        k = int(cos.argmax())
+        share = vectors[i] @ model["known"][k] / vectors[i].sum()
+        assert got[i]["lang_pred"] == model["langs"][k] and abs(got[i]["score"] - cos[k]) < 1e-4
+        assert got[i]["rejected"] == (1 - cos[k] > model["limits"][k] or share < model["least"][k])
+        stays |= set() if got[i]["rejected"] else {i}
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs(asked), "").collect()} == stays and len(stays) < len(asked)
+
+
 def test_boundaries_are_optimal():
     random.seed(1)
     for _ in range(150):
