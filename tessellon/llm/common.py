@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +15,17 @@ WORD_JAVA = r"[^\x20\x09-\x0D]+"
 WORD_PY = r"[^\t-\r ]+"
 #: A side is broadcast only when its measured rows stay under this many bytes.
 BROADCAST_BYTES = 64 << 20
+#: The lists that materialise() notes its paths in, innermost last; see tables().
+_noted: ContextVar[tuple] = ContextVar("noted", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine) a temporary one is set."""
+    """The folder named by spark.checkpoint.dir. Where that is unset and the master is local, as in tests, a temporary one is set; on a cluster it must be named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="tessellon-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -37,17 +44,45 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
+    for paths in _noted.get():
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _paths(df: DataFrame) -> set[str]:
+    """Names of the tables made by materialise() that df reads."""
+    return {f.rsplit("/", 2)[-2] for f in df.inputFiles() if "/tessellon/" in f}
+
+
 def remove_table(df: DataFrame) -> None:
     """Delete the files of a table made by materialise() that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for d in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(d)
         if "/tessellon/" in d:
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove_path(spark, d)
+
+
+@contextmanager
+def tables(spark: SparkSession):
+    """Notes what materialise() writes inside the block. The value is called with the tables that are still read, and deletes the others."""
+    paths: list[str] = []
+
+    def drop(*still: DataFrame) -> None:
+        names = set().union(*map(_paths, still)) if still else set()
+        for p in [p for p in paths if p.rsplit("/", 1)[-1] not in names]:
+            remove_path(spark, p)
+            paths.remove(p)
+
+    mark = _noted.set((*_noted.get(), paths))
+    try:
+        yield drop
+    finally:
+        _noted.reset(mark)
 
 
 def small_or_whole(df: DataFrame, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:

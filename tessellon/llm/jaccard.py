@@ -11,14 +11,16 @@ partner is missed. Empty subsets, which random sets share, cost most and get 0;
 it. How many are designated follows from the data, band by band, so that every document can pay; one that
 can't looks its empty segments up after all.
 
-Equal sets are collapsed first. Index entries are sorted by range of (entry, document), which splits an entry that a
-third of all documents share over many tasks. First the members of each entry are tied to one of them, the one whose
+Equal sets are collapsed first. Index entries go to ranges of bounded size in packed blocks (sorted keys as
+differences, in byte planes); a key that a third of all documents share fills ranges of its own and is dealt over them by
+document. First the members of each entry are tied to one of them, the one whose
 entries are shared most (a star, not all pairs); verification and components follow. Entries within one component
 are done. Of the rest, those of FREQUENT members at most give their pairs of different components. Documents with more
 frequent entries are indexed again, with one-deletion neighbourhoods in all segments: one that can pay for giving
 up all its frequent entries does, and its partners are found by its other entries. Frequent entries give pairs only of
 documents that can't, less those that have too much that no other component has (an edit of a common text leaves such
-shingles), since that is in no intersection. Verification compares the whole sets.
+shingles), since that is in no intersection. Verification rejects by sketches of parities, whose differences bound the symmetric
+difference from below, and compares the whole sets of the pairs that are left.
 
 Defined results: null or empty text, or one without words, has no shingles and links with nothing; repeated rows and
 equal sets are linked; a repeated doc_id is one vertex; a null doc_id links with nothing and has a null component; an
@@ -32,15 +34,17 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellon.llm.common import materialise, own_names, small_or_whole
+from tessellon.llm.common import materialise, own_names, remove_table, small_or_whole, tables
 from tessellon.llm.components import components
 
 WORDS, PERCENT = 4, 85
 FREQUENT = 16
 #: Classes of shingles by the logarithm of their frequency, for an upper bound of intersections.
 CLASSES = 12
-#: Entries of sampled documents that the ranges are cut by, for each range.
-RANGE_SAMPLE = 40
+#: Entries of sampled documents that the ranges are cut by, for each range; entries of a range, about; entries that a task sorts and packs at once.
+RANGE_SAMPLE, RANGE, FLUSH = 40, 500_000, 250_000
+#: Bits of a key beyond those that number all entries: a key meets one of other members by chance every 2 ** SPARE_BITS entries.
+SPARE_BITS = 12
 
 
 # ---- sets ------------------------------------------------------------------------------------------------------
@@ -199,122 +203,219 @@ def _profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc bigint, n bigint, k1 bigint, k2 bigint, band int, need int, need_low int")
 
 
-def _entries_of(docs: DataFrame, percent: int, words: int, designated: dict | None, poor: set, cuts=None) -> DataFrame:
-    """entry, doc, range for every document under its own scheme and the one below; designated None: all segments."""
+def _entries_of(docs: DataFrame, percent: int, words: int, designated: dict | None, poor: set, bits: int = 64, cuts=None) -> DataFrame:
+    """Every document's entries under its own scheme and the one below (designated None: all segments). The upper 60 bits of an entry are its key, of which the first ``bits`` - 4 are
+    kept, so that equal keys stay equal and a few others become so; the lower 4 are its meta bits. Without cuts: rows of one entry. With cuts: range, block, where a block packs a range's sorted entries."""
 
-    def run(batches):
+    def groups(batches):
         import numpy as np
-        import pyarrow as pa
 
         segs = bands(percent)[1]
+        keys, ids, held = [], [], 0
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                keys, ids, to = [], [], []
-                for doc, text in zip(b.column(0).slice(lo, 256).to_pylist(), b.column(1).slice(lo, 256)):
-                    s = shingles(text.as_py(), words)
-                    if not len(s):
-                        continue
-                    band = band_of(len(s), percent)
-                    for scheme in (band, band - 1):
-                        if scheme >= 0 and segs[scheme] > 1:
-                            d = segs[scheme] if designated is None else designated.get(scheme, 0)
-                            keys.append(entries(s, scheme, segs[scheme], scheme < band, d, scheme in poor).view(np.int64))
-                            ids.append(np.full(len(keys[-1]), doc, np.int64))
-                if not keys:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                s = shingles(text.as_py(), words)
+                if not len(s):
                     continue
-                key, doc = np.concatenate(keys), np.concatenate(ids)
-                if cuts is None:
-                    at = np.zeros(len(key), np.int32)
-                else:  # an entry that fills several ranges is dealt over them by document
-                    low, high = np.searchsorted(cuts, key >> 4, "left"), np.searchsorted(cuts, key >> 4, "right")
-                    share = (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                    at = (low + (share % (high - low + 1).astype(np.uint64)).astype(np.int64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at)], names=["entry", "doc", "range"])
+                band = band_of(len(s), percent)
+                for scheme in (band, band - 1):
+                    if scheme >= 0 and segs[scheme] > 1:
+                        d = segs[scheme] if designated is None else designated.get(scheme, 0)
+                        keys.append(_kept_bits(entries(s, scheme, segs[scheme], scheme < band, d, scheme in poor), bits))
+                        ids.append(np.full(len(keys[-1]), doc, np.int64))
+                        held += len(keys[-1])
+                if held > FLUSH:
+                    yield np.concatenate(keys), np.concatenate(ids)
+                    keys, ids, held = [], [], 0
+        if keys:
+            yield np.concatenate(keys), np.concatenate(ids)
+
+    def rows(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for key, _ in groups(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["entry"])
+
+    def blocks(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for key, doc in groups(batches):
+            # a key that fills several ranges is dealt over them by document
+            order = np.argsort(key)
+            key, doc = key[order], doc[order]
+            at = np.searchsorted(cuts, key >> np.uint64(4), "left")
+            if len(cuts) and len(on := np.flatnonzero(cuts[np.minimum(at, len(cuts) - 1)] == key >> np.uint64(4))):
+                last = np.searchsorted(cuts, key[on] >> np.uint64(4), "right")
+                share = (doc[on].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                at[on] += (share % (last - at[on] + 1).astype(np.uint64)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            key, doc, at = key[order], doc[order], at[order]
+            start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            parts = list(zip(start, [*start[1:], len(at)]))
+            for i in range(0, len(parts), 64):
+                packed = [pack(key[x:y], doc[x:y]) for x, y in parts[i : i + 64]]
+                yield pa.RecordBatch.from_arrays([pa.array([int(at[x]) for x, _ in parts[i : i + 64]], pa.int32()), pa.array(packed, pa.binary())], names=["range", "block"])
+
+    return docs.mapInArrow(rows, "entry bigint") if cuts is None else docs.mapInArrow(blocks, "range int, block binary")
+
+
+def _kept_bits(entry, bits: int):
+    """The entry with the first bits - 4 bits of its key, moved down, and its meta bits."""
+    import numpy as np
+
+    return (entry >> np.uint64(68 - bits) << np.uint64(4)) | (entry & np.uint64(15)) if bits < 64 else entry
+
+
+def _planes(x) -> bytes:
+    """Unsigned 64-bit numbers as byte planes, without those that hold nothing but zeros: a byte that tells which are there, then the planes."""
+    import numpy as np
+
+    planes = x.view(np.uint8).reshape(-1, 8).T
+    there = [i for i in range(8) if planes[i].any()]
+    return bytes([sum(1 << i for i in there)]) + b"".join(planes[i].tobytes() for i in there)
+
+
+def pack(key, doc) -> bytes:
+    """A block of sorted entries: their number, the differences of neighbouring keys and the documents."""
+    import numpy as np
+
+    return len(key).to_bytes(4, "little") + _planes(np.diff(key, prepend=np.uint64(0))) + _planes(np.ascontiguousarray(doc).view(np.uint64))
+
+
+def unpack(block: bytes):
+    import numpy as np
 
-    return docs.mapInArrow(run, "entry bigint, doc bigint, range int")
+    n, at, out = int.from_bytes(block[:4], "little"), 4, []
+    for _ in range(2):
+        x = np.zeros((n, 8), np.uint8)
+        there, at = block[at], at + 1
+        for i in range(8):
+            if there >> i & 1:
+                x[:, i] = np.frombuffer(block, np.uint8, n, at)
+                at += n
+        out.append(x.view(np.uint64).ravel())
+    return np.cumsum(out[0], dtype=np.uint64), out[1].view(np.int64)
 
 
 def _indexed(docs: DataFrame, profile: DataFrame, percent: int, words: int, designated: dict | None, poor: set, name: str) -> DataFrame:
-    """key, meta, doc of the entries that could hold a candidate pair, found in entries sorted by range. The ranges are cut by the entries of every 64th document or so."""
+    """key, meta, doc of the entries that could hold a candidate pair, found range by range. The ranges are cut by the entries of every so manyth document, and hold about RANGE entries at most."""
     import numpy as np
 
     spark = docs.sparkSession
     segs = bands(percent)[1]
-    weight = F.array(*(F.lit(m) for m in segs))[F.col("band")]
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # entries of a document, about: one a segment under each scheme, and its members once more where all segments are designated
+    weight = 2 * F.array(*(F.lit(m) for m in segs))[F.col("band")] + (2 * F.col("n") if designated is None else F.lit(0))
     whole = profile.where("n > 0").agg(F.sum(weight)).first()[0] or 0
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // RANGE))
+    bits = min(64, whole.bit_length() + SPARE_BITS + 4)
     every = max(1, whole // (ranges * RANGE_SAMPLE))
     some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0)
-    sample = np.sort(np.asarray(_entries_of(some, percent, words, designated, poor).select("entry").toArrow()["entry"].combine_chunks())) >> 4
-    cuts = sample[np.linspace(0, len(sample), ranges + 1).astype(int)[1:-1]] if len(sample) >= ranges else np.zeros(0, np.int64)
-    dealt = _entries_of(docs, percent, words, designated, poor, cuts).repartitionById(ranges, "range").select("entry", "doc").sortWithinPartitions("entry", "doc")
-    return materialise(_runs(dealt), name)
+    sample = np.sort(np.asarray(_entries_of(some, percent, words, designated, poor, bits).toArrow()["entry"].combine_chunks()).view(np.uint64)) >> np.uint64(4)
+    cuts = sample[np.linspace(0, len(sample), ranges + 1).astype(int)[1:-1]] if len(sample) >= ranges else np.zeros(0, np.uint64)
+    dealt = _entries_of(docs, percent, words, designated, poor, bits, cuts).repartitionById(ranges, "range").select("block")
+    return materialise(dealt.mapInArrow(_runs(cuts), "key bigint, meta int, doc bigint"), name)
 
 
-def _runs(sorted_entries: DataFrame) -> DataFrame:
-    """key, meta, doc: the entries of runs that could hold a candidate pair. A run at a partition's edge is kept as it may go on next door."""
+def _runs(cuts):
+    """The entries of runs of equal keys that could hold a candidate pair. A key that is dealt over several ranges is kept in each."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def out(e, d, edge_first, edge_last):
-            key, meta = e >> 4, e & 15
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(start, len(key)))
-            whole = np.add.reduceat((meta & DELETED) == 0, start)
-            lower = np.add.reduceat((meta & UPPER) == 0, start)
-            ok = (size > 1) & (whole > 0) & (lower > 0)
-            if edge_first:
-                ok[0] = True
-            if edge_last:
-                ok[-1] = True
-            rows = np.repeat(ok, size)
-            return pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(meta[rows].astype(np.int32)), pa.array(d[rows])], names=["key", "meta", "doc"])
-
-        held_e = held_d = None
-        first = True
-        for b in batches:
-            e, d = np.asarray(b.column(0)), np.asarray(b.column(1))
-            if held_e is not None:
-                e, d = np.concatenate([held_e, e]), np.concatenate([held_d, d])
-            if not len(e):
-                continue
-            # the last run waits for the next batch, unless it is so long that it goes out in pieces
-            cut = int(np.flatnonzero((e >> 4) != (e[-1] >> 4))[-1]) + 1 if (e[0] >> 4) != (e[-1] >> 4) else 0
-            if cut == 0 and len(e) > 200_000:
-                yield out(e, d, True, True)
-                held_e, held_d, first = e[:0], d[:0], True
-                continue
-            held_e, held_d = e[cut:], d[cut:]
-            if cut:
-                yield out(e[:cut], d[:cut], first, False)
-                first = False
-        if held_e is not None and len(held_e):
-            yield out(held_e, held_d, first, True)
-
-    return sorted_entries.mapInArrow(run, "key bigint, meta int, doc bigint")
+        parts = [unpack(x.as_py()) for b in batches for x in b.column(0)]  # about RANGE entries
+        if not parts:
+            return
+        e, d = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        order = np.argsort(e)
+        e, d = e[order], d[order]
+        key, meta = e >> np.uint64(4), e.astype(np.uint8) & 15
+        del order, e
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(start, len(key)))
+        whole = np.add.reduceat((meta & DELETED) == 0, start, dtype=np.int64)
+        lower = np.add.reduceat((meta & UPPER) == 0, start, dtype=np.int64)
+        ok = (size > 1) & (whole > 0) & (lower > 0)
+        if len(cuts):
+            ok |= np.isin(key[start], cuts)
+        rows = np.flatnonzero(np.repeat(ok, size))
+        for lo in range(0, len(rows), 100_000):
+            at = rows[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(meta[at].astype(np.int32)), pa.array(d[at])], names=["key", "meta", "doc"])
 
+    return run
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the threshold."""
 
-    def sets(batches):
-        import numpy as np
+def sketch(s):
+    """Parities of how many members of a set fall in each of 4 to 8 buckets a member (a power of two), as bytes."""
+    import numpy as np
+
+    k = max(64, 4 << (len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((_mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(k - 1)).astype(np.int64), minlength=k) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ_at_least(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, by their sketches: each bucket whose parities differ holds a member of it. The longer sketch is folded to the shorter one's buckets."""
+    import numpy as np
+
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _of_docs(docs: DataFrame, pairs: DataFrame, words: int, make, kind: str) -> DataFrame:
+    """doc, n, and what make gives for its set (a column s of that kind), for every document of the pairs."""
+
+    def run(batches):
         import pyarrow as pa
 
         for b in batches:
             for lo in range(0, b.num_rows, 256):
-                got = [shingles(t.as_py(), words).view(np.int64) for t in b.column(1).slice(lo, 256)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 256), pa.array(got, pa.list_(pa.int64()))], names=["doc", "s"])
+                sets = [shingles(t.as_py(), words) for t in b.column(1).slice(lo, 256)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 256), pa.array(list(map(len, sets)), pa.int64()), pa.array([make(x) for x in sets], pa.binary() if kind == "binary" else pa.list_(pa.int64()))], names=["doc", "n", "s"])
 
     ids = materialise(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "jaccard-ids")
-    held = docs.join(small_or_whole(ids, 16), "doc", "left_semi").mapInArrow(sets, "doc bigint, s array<bigint>")
-    held = materialise(held, "jaccard-sets")
-    a, b = held.select(F.col("doc").alias("a"), F.col("s").alias("sa")), held.select(F.col("doc").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    ok = pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-    return materialise(ok.select("a", "b").distinct(), "jaccard-links")
+    return materialise(docs.join(small_or_whole(ids, 16), "doc", "left_semi").mapInArrow(run, f"doc bigint, n bigint, s {kind}"), "jaccard-sets")
+
+
+def _joined_sets(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """a, b, na, sa, nb, sb."""
+    a, b = (held.withColumnsRenamed({"doc": c, "n": f"n{c}", "s": f"s{c}"}) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "sa", "nb", "sb")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets reach the threshold. Sketches, a sixteenth as large, tell most pairs that don't; the whole sets of the others are compared."""
+
+    def near(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            a_, b_, na, sa, nb, sb = (b.column(i) for i in range(6))
+            n = np.asarray(na) + np.asarray(nb)
+            gap = np.array([differ_at_least(x.as_py(), y.as_py()) for x, y in zip(sa, sb)], np.int64)
+            # J >= p/100 means that the difference is at most (100 - p) / (100 + p) of both sizes
+            ok = pa.array((100 + percent) * gap <= (100 - percent) * n)
+            yield pa.RecordBatch.from_arrays([a_.filter(ok), b_.filter(ok)], names=["a", "b"])
+
+    with tables(docs.sparkSession) as drop:
+        small = _of_docs(docs, pairs, words, sketch, "binary")
+        left = materialise(_joined_sets(pairs, small).mapInArrow(near, "a bigint, b bigint").distinct(), "jaccard-near")
+        drop(left)
+        held = _of_docs(docs, left, words, lambda x: x.view("int64"), "array<bigint>")
+        both = F.size(F.array_intersect("sa", "sb"))
+        links = _joined_sets(left, held).withColumn("both", both).where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").distinct()
+        links = materialise(links, "jaccard-links")
+        drop(links)
+    return links
 
 
 def _bit(bit: int):
@@ -325,24 +426,28 @@ def _mixed(rows: DataFrame, comp: DataFrame, name: str) -> DataFrame:
     """The entries whose members are of several components, with component and the number of members."""
     rows = rows.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("cnt"), F.count_if(~_bit(DELETED)).alias("whole"), F.count_if(~_bit(UPPER)).alias("lower"))
-    mixed = mixed.where("lo <> hi and whole > 0 and lower > 0").select("key", "cnt")
+    mixed = materialise(mixed.where("lo <> hi and whole > 0 and lower > 0").select("key", "cnt"), "jaccard-mixed-keys")
     return materialise(rows.join(mixed, "key"), name)
 
 
-def _near_size(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+def _near_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes allow a link."""
-    n = profile.select("doc", "n").dropDuplicates(["doc"])
+    n = sizes.select("doc", "n")
     sized = pairs.join(n.withColumnsRenamed({"doc": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"doc": "b", "n": "nb"}), "b")
     return sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
 
 
-def _stars(runs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each entry's members with the one of them whose entries are shared most."""
-    count = runs.groupBy("key").agg(F.count("*").alias("cnt"))
-    weight = runs.where(~_bit(DELETED)).join(count, "key").groupBy("doc").agg(F.sum("cnt").alias("w"))
-    centre = runs.where(~_bit(DELETED)).join(weight, "doc").groupBy("key").agg(F.max(F.struct("w", (-F.col("doc")).alias("d"))).alias("c")).select("key", (-F.col("c.d")).alias("star"))
-    pairs = runs.join(centre, "key").where("doc <> star").select(F.least("doc", "star").alias("a"), F.greatest("doc", "star").alias("b")).distinct()
-    return materialise(_near_size(pairs, profile, percent), "jaccard-stars")
+def _stars(runs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each entry's members with the one of them whose entries are shared most. What the rows of a frequent entry are joined with is written first, so that Spark can split the entry."""
+    with tables(runs.sparkSession) as drop:
+        count = materialise(runs.groupBy("key").agg(F.count("*").alias("cnt")), "jaccard-counts")
+        weight = materialise(runs.where(~_bit(DELETED)).join(count, "key").groupBy("doc").agg(F.sum("cnt").alias("w")), "jaccard-weights")
+        centre = runs.where(~_bit(DELETED)).join(weight, "doc").groupBy("key").agg(F.max(F.struct("w", (-F.col("doc")).alias("d"))).alias("c"))
+        centre = materialise(centre.select("key", (-F.col("c.d")).alias("star")), "jaccard-centres")
+        pairs = runs.join(centre, "key").where("doc <> star").select(F.least("doc", "star").alias("a"), F.greatest("doc", "star").alias("b")).distinct()
+        out = materialise(_near_size(pairs, sizes, percent), "jaccard-stars")
+        drop(out)
+    return out
 
 
 def _crossed(rows: DataFrame, keep: str) -> DataFrame:
@@ -352,7 +457,7 @@ def _crossed(rows: DataFrame, keep: str) -> DataFrame:
     return both.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct()
 
 
-def _shared_enough(rows: DataFrame, lone: DataFrame, profile: DataFrame, percent: int, words: int) -> DataFrame:
+def _shared_enough(rows: DataFrame, lone: DataFrame, sizes: DataFrame, percent: int, words: int) -> DataFrame:
     """rows (key, doc, component, ..) of the documents that can still link within their entry, with n, common: members of their set that one of these documents in another component has too, and how many of them are in each class of frequency.
 
     What only one component has is in no intersection of two, so a pair's is at most the sum of the smaller counts of the classes; a document whose
@@ -377,7 +482,7 @@ def _shared_enough(rows: DataFrame, lone: DataFrame, profile: DataFrame, percent
     shared = shared.select("s", F.least(F.lit(CLASSES - 1), F.floor(F.log2("df"))).alias("class"))
     counts = places.join(shared, "s").groupBy("doc").agg(*(F.count_if(F.col("class") == i).alias(f"c{i}") for i in range(CLASSES)))
     classes = [F.coalesce(f"c{i}", F.lit(0)).alias(f"c{i}") for i in range(CLASSES)]
-    sized = ids.select("doc").distinct().join(profile.select("doc", "n").dropDuplicates(["doc"]), "doc").join(counts, "doc", "left").select("doc", "n", *classes)
+    sized = ids.select("doc").distinct().join(sizes.select("doc", "n"), "doc").join(counts, "doc", "left").select("doc", "n", *classes)
     sized = sized.withColumn("common", sum((F.col(f"c{i}") for i in range(CLASSES)), F.lit(0)))
     rows = rows.join(materialise(sized, "jaccard-common"), "doc")
     least = rows.groupBy("key").agg(F.min("n").alias("least_n"))
@@ -386,21 +491,21 @@ def _shared_enough(rows: DataFrame, lone: DataFrame, profile: DataFrame, percent
     return materialise(rows.join(still, "key"), "jaccard-dear-rows")
 
 
-def _left_over(runs: DataFrame, lone: DataFrame, profile: DataFrame, comp: DataFrame, done: DataFrame, percent: int, words: int) -> DataFrame:
+def _left_over(runs: DataFrame, lone: DataFrame, sizes: DataFrame, comp: DataFrame, done: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs of different components that are left to verify after the stars."""
     kinds = [_bit(DELETED).alias("del"), _bit(UPPER).alias("up"), _bit(EMPTY).alias("empty")]
     rows = _mixed(runs, comp, "jaccard-mixed")
-    bands_of = profile.select("doc", "band", "need", "need_low").dropDuplicates(["doc"])
+    bands_of = sizes.select("doc", "band", "need", "need_low")
     cant = F.when(F.col("up"), F.col("need_low") < 0).otherwise(F.col("need") < 0)
     few = rows.where((F.col("cnt") <= FREQUENT) | _bit(EMPTY)).select("key", "doc", "component", *kinds)
     few = few.join(bands_of, "doc").select("key", "doc", "component", "del", "up", "empty", cant.alias("poor"))
     pairs = _crossed(few, "not (empty_x and empty_y) or poor_x or poor_y")
     hot = materialise(rows.where((F.col("cnt") > FREQUENT) & ~_bit(EMPTY)).select("doc").distinct(), "jaccard-hot")
     if hot.isEmpty():
-        return materialise(_near_size(pairs, profile, percent).join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+        return materialise(_near_size(pairs, sizes, percent).join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
     # documents with frequent entries once more, with every one-deletion neighbourhood
     again = lone.join(small_or_whole(hot, 16), "doc", "left_semi")
-    full = _mixed(_indexed(again, profile.join(hot, "doc", "left_semi"), percent, words, None, set(), "jaccard-again"), comp, "jaccard-mixed")
+    full = _mixed(_indexed(again, sizes.join(hot, "doc", "left_semi"), percent, words, None, set(), "jaccard-again"), comp, "jaccard-mixed")
     frequent = F.col("cnt") > FREQUENT
     # what a document can give up: its segments with two members or more, less those that a frequent entry touches, less its empty ones
     spent = full.where(frequent).groupBy("doc", _bit(UPPER).alias("up")).agg(F.count_if(~_bit(DELETED)).alias("whole"), F.count_if(_bit(DESIGNATED) | _bit(DELETED)).alias("touched"))
@@ -408,9 +513,9 @@ def _left_over(runs: DataFrame, lone: DataFrame, profile: DataFrame, comp: DataF
     pays = materialise(spent.join(able, ["doc", "up"]).select("doc", "up", (F.col("whole") + F.col("empty") <= F.col("able") - F.col("touched")).alias("pays")), "jaccard-pays")
     full = full.select("key", "doc", "component", "cnt", *kinds).join(pays, ["doc", "up"], "left").withColumn("pays", F.coalesce("pays", F.lit(True)))
     cheap = _crossed(full.where("cnt <= %d" % FREQUENT).drop("cnt", "pays", "empty"), "true")
-    dear = _crossed(_shared_enough(full.where("cnt > %d and not pays" % FREQUENT).drop("cnt", "pays", "empty"), lone, profile, percent, words), f"{100 + percent} * ({' + '.join(f'least(c{i}_x, c{i}_y)' for i in range(CLASSES))}) >= {percent} * (n_x + n_y)")
+    dear = _crossed(_shared_enough(full.where("cnt > %d and not pays" % FREQUENT).drop("cnt", "pays", "empty"), lone, sizes, percent, words), f"{100 + percent} * ({' + '.join(f'least(c{i}_x, c{i}_y)' for i in range(CLASSES))}) >= {percent} * (n_x + n_y)")
     pairs = pairs.unionByName(cheap).unionByName(dear).distinct()
-    return materialise(_near_size(pairs, profile, percent).join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+    return materialise(_near_size(pairs, sizes, percent).join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
 
 
 def _able(percent: int, words: int):
@@ -437,8 +542,7 @@ def _able(percent: int, words: int):
     return run
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc, n, component for every row of docs with a non-null id; linked documents share the component, the smallest id among them."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
     profile = materialise(_profiles(rows, percent, words), "jaccard-profiles")
     own = profile.select(F.col("band").alias("scheme"), "need", "n")
@@ -450,16 +554,29 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     same = materialise(profile.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"), F.max("doc").alias("top")).where("top > rep").drop("top"), "jaccard-equal")
     copies = materialise(profile.where("n > 0").join(same, ["n", "k1", "k2"]).where("doc <> rep").select("doc", "rep").distinct(), "jaccard-copies")
     lone = rows.join(small_or_whole(copies.select("doc"), 16), "doc", "left_anti")
-    runs = _indexed(lone, profile, percent, words, designated, poor, "jaccard-runs")
-    stars = _stars(runs, profile, percent)
+    sizes = materialise(profile.where("n > 0").dropDuplicates(["doc"]), "jaccard-sizes")
+    runs = _indexed(lone, sizes, percent, words, designated, poor, "jaccard-runs")
+    stars = _stars(runs, sizes, percent)
     links = _verified(stars, lone, percent, words)
-    more = _left_over(runs, lone, profile, components(links), stars, percent, words)
+    with tables(docs.sparkSession) as drop:
+        more = _left_over(runs, lone, sizes, components(links), stars, percent, words)
+        drop(more)
+    remove_table(runs)
+    remove_table(stars)
     if not more.isEmpty():
         links = links.unionByName(_verified(more, lone, percent, words))
     comp = components(links.unionByName(copies.select(F.col("doc").alias("a"), F.col("rep").alias("b"))))
     return profile.select("doc", "n").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
 
 
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """doc, n, component for every row of docs with a non-null id; linked documents share the component, the smallest id among them. A written table; all others that it took are deleted."""
+    with tables(docs.sparkSession) as drop:
+        found = materialise(_linked(docs, id_col, text_col, percent, words), "jaccard-linked")
+        drop(found)
+    return found
+
+
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs, rows with a null id included."""
     found = linked(docs, id_col, text_col, percent, words).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -469,7 +586,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The rows of docs without near copies: of each group of linked documents the one with the smallest doc_id stays, and of its repeated rows one."""
-    found = materialise(linked(docs, percent=percent, words=words), "jaccard-kept")
+    found = linked(docs, percent=percent, words=words)
     gone = found.where("component <> doc").select("doc").distinct()
     gone = materialise(gone, "jaccard-gone")
     repeated = materialise(found.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select("doc"), "jaccard-repeated")

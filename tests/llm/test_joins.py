@@ -87,6 +87,35 @@ def test_frequent_subsets_lose_no_link(spark, monkeypatch):
     assert got == groups(rows, 4, 85)
 
 
+def test_blocks_and_sketches():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000):
+        key, doc = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64)), rng.integers(-5, 1 << 40, n)
+        k, d = jaccard.unpack(jaccard.pack(key, doc))
+        assert (k == key).all() and (d == doc).all()
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 63, int(np.exp(rng.uniform(0, 7)))).astype(np.uint64))
+        y = np.unique(np.concatenate([x[int(rng.integers(0, len(x) + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 60))).astype(np.uint64)]))
+        gap = len(np.setxor1d(x, y))
+        assert jaccard.differ_at_least(jaccard.sketch(x), jaccard.sketch(y)) <= gap
+        if gap * 4 < len(x):  # what is near the threshold is bounded closely
+            assert jaccard.differ_at_least(jaccard.sketch(y), jaccard.sketch(x)) >= gap * 3 // 4 - 4
+
+
+def test_a_hub_is_joined_where_its_edges_are(spark, monkeypatch):
+    """A star of 10,000 members, another and a chain: the same components whatever the number of broadcast hubs."""
+    from tessellon.llm import components as m
+
+    edges = [(7, 100 + i) for i in range(10_000)] + [(20_000, 30_000 + i) for i in range(300)] + [(40_000 + i, 40_001 + i) for i in range(40)] + [(5, 100)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    want = {r: 5 for r in (5, 7, *range(100, 10_100))} | {r: 20_000 for r in (20_000, *range(30_000, 30_300))} | {r: 40_000 for r in range(40_000, 40_041)}
+    for hubs in (1000, 2):
+        monkeypatch.setattr(m, "HUBS", hubs)
+        assert dict(map(tuple, components(df).collect())) == want
+
+
 def test_allocation_pays():
     """No two sets within the threshold lack a common entry, whatever their empty segments."""
     import numpy as np

@@ -2,6 +2,11 @@
 
 import hashlib
 
+import os
+import re
+
+import pytest
+
 from tessellon.llm import jaccard, langid, packing, quality, registry, warc, wrappers
 from tessellon.llm.common import fresh_dir
 
@@ -98,9 +103,11 @@ def test_members_are_gzip():
 
 
 def test_every_operator_is_registered():
+    import __spark_entry__
+
     names = registry.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
-    assert set(registry.oracle_sql()) <= set(names)
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert set(registry.oracle_sql()) <= set(names) and {*names, "pipeline"} <= set(__spark_entry__.queries())
 
 
 def test_stages_equal_their_operators(spark, tmp_path):
@@ -124,3 +131,32 @@ def test_stages_equal_their_operators(spark, tmp_path):
     assert sorted(got) == sorted(want)
     assert set(range(120)) & third and not {500, 501, 900} & third and len(third) < len(second)
     assert [f(spark, docs, str(tmp_path)).columns == docs.columns for _, f in cp.STAGES[:-1]] == [True] * 3
+
+
+def test_tables_note_and_delete_what_is_spent(spark):
+    from tessellon.llm.common import materialise, tables
+
+    there = lambda df: os.path.exists(re.sub("^file:/+", "/", df.inputFiles()[0]))
+    with tables(spark) as drop:
+        a, b = materialise(spark.range(3), "a"), materialise(spark.range(4), "b")
+        with tables(spark) as inner:
+            c, d = materialise(spark.range(5), "c"), materialise(spark.range(6), "d")
+            inner(c)
+        assert [there(x) for x in (a, b, c, d)] == [True, True, True, False]
+        drop(b)
+        assert [there(x) for x in (a, b, c)] == [False, True, False] and b.count() == 4
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from tessellon.llm import common
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://far:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="shared"):
+        common.shared_dir(Far)
