@@ -412,7 +412,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Da
         drop(left)
         held = _of_docs(docs, left, words, lambda x: x.view("int64"), "array<bigint>")
         both = F.size(F.array_intersect("sa", "sb"))
-        links = _joined_sets(left, held).withColumn("both", both).where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").distinct()
+        links = _joined_sets(left, held).withColumn("both", both).where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")  # not made distinct, as Spark then couldn't split a star's pairs
         links = materialise(links, "jaccard-links")
         drop(links)
     return links

@@ -1,7 +1,6 @@
 """Operators on web pages, and the pipeline as a whole."""
 
 import hashlib
-
 import os
 import re
 
@@ -150,13 +149,14 @@ def test_tables_note_and_delete_what_is_spent(spark):
 def test_a_cluster_must_name_its_shared_folder(monkeypatch):
     from tessellon.llm import common
 
-    class Far:
-        class conf:
-            get = staticmethod(lambda *_: None)
+    class Context:
+        master = "spark://far:7077"
 
-        class sparkContext:
-            master = "spark://far:7077"
-            getCheckpointDir = staticmethod(lambda: None)
+        def getCheckpointDir(self):
+            return None
+
+    class Far:
+        conf, sparkContext = {}, Context()
 
     with pytest.raises(ValueError, match="shared"):
         common.shared_dir(Far)
