@@ -182,19 +182,67 @@ def compared(df, sql, views, tmp_path):
     return c.execute(got).fetchall()
 
 
-def test_url_lists(spark, tmp_path):
-    pages = [(0, "http://cheap-pills.example.com/a"), (200, "https://x.y.cheap-pills.example.com"), (330, "http://CHEAP-pills.example.com:80/?q"), (364, "http://u@cheap-pills.example.com#f"), (10, "http://notcheap-pills.example.com/"), (300, "http://tionsh.example.net/en/3/x"), (300, "http://tionsh.example.net/en/30"), (300, "http://tionsh.example.net//en/"), (270, "http://blog.adult-x.example.net"), (1, None), (2, "not a url"), (3, ""), (250, "http://blog.tionble.example.com/" + "a/" * 3000), (None, "http://spam-farm.example.org/"), (250, "http://z.tionble.example.com")]
-    spark.createDataFrame(pages + pages[:1], "page_id bigint, url string").selectExpr("*", "1 as kind", "2 as row", "3 as html").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
-    rows = urlfilter.query(spark, str(tmp_path)).collect()
-    got = [(r["page_id"], r["blocked"], r["kind"]) for r in rows]
-    assert len(got) == len(pages) + 1
-    by = {(r["page_id"], r["url"]): (r["blocked"], r["list_name"], r["kind"]) for r in rows}
-    want = [(True, "spam", "domain"), (False, None, None), (True, "spam", "domain"), (True, "spam", "domain"), (False, None, None), (False, "review", "prefix"), (True, "review", "prefix"), (True, "review", "prefix"), (False, "adult", "host"), (False, None, None), (False, None, None), (False, None, None), (False, "trusted", "host"), (False, None, None), (True, "spam", "domain")]
-    assert [by[p] for p in pages] == want
-    entries = spark.createDataFrame([("l", "host", "a", "block", None)], "list_name string, kind string, pattern string, action string, since string")
-    caps = spark.createDataFrame([(1, "http://a/", None)], "page_id bigint, url string, fetch_time timestamp_ntz")
-    assert urlfilter.verdicts(caps, entries).collect()[0]["blocked"] is False
-    assert urlfilter.verdicts(caps.limit(0), entries).count() == 0
+ENTRIES = [
+    ("adult", "domain", "adult-x.example.net", "block", "2023-03-01"), ("adult", "host", "blog.adult-x.example.net", "allow", "2023-09-01"),
+    ("review", "prefix", "Tionsh.example.net./en", "block", "2023-05-01"), ("review", "prefix", "tionsh.example.net/en/3", "allow", "2023-06-01"),
+    ("spam", "domain", "cheap-pills.example.com", "block", "2023-01-01"), ("spam", "domain", "cheap-pills.example.com", "remove", "2023-07-01"),
+    ("spam", "domain", "cheap-pills.example.com", "block", "2023-11-15"), ("spam", "host", "[::1]", "block", "2023-01-01"),
+    ("a", "host", "tie.example.org", "allow", "2023-01-01"), ("b", "host", "tie.example.org", "block", "2023-01-01"), ("c", "host", "tie.example.org", "block", "2023-01-01"),
+    ("x", "host", None, "block", "2023-01-01"), ("x", "host", "tie.example.org", "block", None), ("m", "host", "same.org", "allow", "2023-01-01"), ("m", "host", "same.org", "block", "2023-01-01"),
+]
+
+
+def judged_by_hand(url, day, entries):
+    """blocked, list_name, kind, pattern of one capture, entry by entry."""
+    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)[^/?#]*([^?#]*)", url or "")
+    if not m or day is None:
+        return False, None, None, None
+    host, path, found = m[1].lower().rstrip("."), [x for x in m[2].split("/") if x], []
+    moments = {}
+    for name, kind, pattern, action, since in entries:
+        if None not in (name, kind, pattern, action, since):
+            h, *rest = pattern.split("/")
+            at = moments.setdefault((name, kind, "/".join([h.lower().rstrip("."), *rest])), {})
+            at[since] = max(action, at.get(since, ""))
+    for (name, kind, pattern), at in moments.items():
+        now = [at[d] for d in sorted(at) if d <= day][-1:]
+        if not now or now[0] == "remove":
+            continue
+        fits = host == pattern if kind == "host" else (host == pattern or host.endswith("." + pattern)) and host[0] != "[" if kind == "domain" else [host, *path][: pattern.count("/") + 1] == pattern.split("/")
+        if fits:
+            found.append(({"prefix": 2, "host": 1, "domain": 0}[kind], len(pattern), now[0] == "block", name, kind, pattern))
+    if not found:
+        return False, None, None, None
+    best = max(found)
+    return best[2:]
+
+
+def test_url_lists(spark):
+    """Every capture against every entry, with captures that are shuffled anew each time they are read."""
+    from pyspark.sql import functions as F
+
+    random.seed(5)
+    hosts = ["cheap-pills.example.com", "x.y.cheap-pills.example.com.", "notcheap-pills.example.com", "Tionsh.example.net", "blog.adult-x.example.net", "adult-x.example.net", "tie.example.org", "[::1]", "same.org", "z.org"]
+    rows = [(i, f"{random.choice(['http', 'https'])}://{random.choice(['', 'u@'])}{random.choice(hosts)}{random.choice(['', ':80', '/'])}{random.choice(['', '/en', '/en/3', '/en/3/x', '/en/30', '//en/', '/EN', '/%65n', '/en?q=/3', '/' + 'a/' * 3000])}", f"2023-{random.randint(1, 12):02}-{random.randint(1, 28):02}") for i in range(400)]
+    rows += [(1000, None, "2023-05-05"), (1001, "not a url", "2023-05-05"), (1002, "", "2023-05-05"), (1003, "http://tie.example.org", None), (None, "http://tie.example.org", "2023-02-02"), rows[0], rows[0]]
+    entries = spark.createDataFrame(ENTRIES, "list_name string, kind string, pattern string, action string, since string").withColumn("since", F.col("since").cast("timestamp_ntz"))
+    captures = spark.createDataFrame(rows, "page_id bigint, url string, d string").selectExpr("page_id", "url", "cast(d as timestamp_ntz) as fetch_time", "1 as kind", "2 as t", "3 as best").repartition(5, F.rand())
+    out = urlfilter.verdicts(captures, entries)
+    want = sorted(((i, u, *judged_by_hand(u, d, ENTRIES)) for i, u, d in rows), key=str)
+    for _ in range(2):
+        assert sorted(((r["page_id"], r["url"], r["blocked"], r["list_name"], r["kind"], r["pattern"]) for r in out.collect()), key=str) == want
+    assert {x[4] for x in want} == {None, "host", "domain", "prefix"}
+    assert urlfilter.verdicts(captures.limit(0), entries).count() == 0 and urlfilter.verdicts(captures, entries.limit(0)).where("blocked").count() == 0
+    assert urlfilter.keep(captures, entries).count() == sum(not x[2] for x in want)
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_url_query(spark, tmp_path):
+    pages = [(i, f"http://{['a', 'blog.b', 'c.d'][i % 3]}.example.{['com', 'org'][i % 2]}/en/{i % 7}/{i}") for i in range(200)] + [(None, "http://a.example.com/"), (7, None), (3, "x")]
+    spark.createDataFrame(pages, "page_id bigint, url string").selectExpr("*", "1 as n", "2 as does", "3 as html").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    rows = compared(urlfilter.query(spark, str(tmp_path)), urlfilter.ORACLE, {"pages": tmp_path / "pages.parquet"}, tmp_path)
+    assert len(rows) == len(pages)
 
 
 CHAT = [

@@ -158,5 +158,5 @@ def test_a_cluster_must_name_its_shared_folder(monkeypatch):
     class Far:
         conf, sparkContext = {}, Context()
 
-    with pytest.raises(ValueError, match="shared"):
+    with pytest.raises(ValueError, match="machines share"):
         common.shared_dir(Far)
