@@ -6,8 +6,10 @@ spaces) and hashed; a passage links to the first message of its conversation tha
 one. A passage that is none of these links to the first message that holds it as some of its consecutive lines or
 sentences: messages are looked up by the passage's rarest pair of neighbouring lines, and of sentences, and the whole
 passage is then compared with their text. A message replies to the latest message that its outermost quotes link to. Following replies up (pointer
-jumping, in as many rounds as the logarithm of the deepest thread) gives each message its thread's root and its depth;
-rows ordered by (conv_id, thread_root, reply_depth, turn) are the reply-ordered conversation, without quotes.
+jumping, in as many rounds as the logarithm of the deepest thread) gives each message its thread's root and its depth.
+reply_order is its place when a thread is read with each message followed by its replies, earlier turns first: the tour
+that enters and leaves each message is a list, which is ranked by pointer jumping too. Rows ordered by (conv_id,
+thread_root, reply_order) are the reply-ordered conversation, without quotes.
 
 Nothing is gathered per conversation, so one with a third of all messages is spread like the others: originals are
 reduced to one row per (conversation, hash) before the join.
@@ -15,6 +17,10 @@ reduced to one row per (conversation, hash) before the join.
 Defined results: null text counts as empty; a message without quotes, or none that link, is its own thread at depth
 0; rows with a null conv_id or turn link with nothing; messages that share conv_id and turn share their links;
 repeated rows stay; an empty table gives an empty table; extra columns are ignored.
+
+The query: the conversations table holds no quotes, so the query first renders it as mail (as_mail): a message is
+preceded by the whole message it answers, quoted, with a line that says who wrote it. The operator then has to find the
+replies again.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ from tessellon.llm.common import materialise, remove_table
 QUOTE = r"^(?:[ \t]*>)+[ \t]?"
 #: Where one sentence ends and the next begins.
 STOP = r"(?<=[.!?…])\s+"
+#: Turns of a message's replies that are sorted at once.
+SPAN = 4096
 #: A line that only says who wrote what is quoted below it.
 SAYS = r"(?i)(wrote|schrieb|escribió|écrit)[ \t]*:[ \t]*$"
 
@@ -124,23 +132,70 @@ def _threads(links: DataFrame) -> DataFrame:
             return now.select("conv_id", "turn", F.col("root").alias("thread_root"), F.col("depth").alias("reply_depth"))
 
 
+def _ordered(links: DataFrame) -> DataFrame:
+    """conv_id, turn, reply_order of every message that replies or is replied to.
+
+    The tour: entering a message leads to entering its first reply, or else to leaving it; leaving it leads to entering the next reply to the same message, or else to leaving that.
+    The next reply is looked up among SPAN turns at once, and beyond them among the first of each span, so a message with any number of replies is sorted in parts.
+    """
+    kids = links.where("reply_to is not null").select("conv_id", F.col("reply_to").alias("up"), "turn", F.floor(F.col("turn") / SPAN).alias("span"))
+    firsts = kids.groupBy("conv_id", "up", "span").agg(F.min("turn").alias("first"))
+    firsts = materialise(firsts.withColumn("later", F.lead("first").over(Window.partitionBy("conv_id", "up").orderBy("span"))), "chat-spans")
+    here = F.lead("turn").over(Window.partitionBy("conv_id", "up", "span").orderBy("turn"))
+    kids = kids.withColumn("here", here).join(firsts.drop("first"), ["conv_id", "up", "span"]).select("conv_id", "up", "turn", F.coalesce("here", "later").alias("next"))
+    heads = firsts.groupBy("conv_id", F.col("up").alias("turn")).agg(F.min("first").alias("head"))
+    nodes = kids.join(heads, ["conv_id", "turn"], "full")
+    event = lambda turn, leaves: F.struct(turn.alias("turn"), F.lit(leaves).alias("leaves"))
+    enter = F.struct(F.lit(False).alias("leaves"), F.when(F.col("head").isNotNull(), event(F.col("head"), False)).otherwise(event(F.col("turn"), True)).alias("to"), F.lit(1).cast("bigint").alias("n"))
+    leave = F.struct(F.lit(True).alias("leaves"), F.when(F.col("next").isNotNull(), event(F.col("next"), False)).when(F.col("up").isNotNull(), event(F.col("up"), True)).alias("to"), F.lit(0).cast("bigint").alias("n"))
+    now = nodes.select("conv_id", "turn", F.explode(F.array(enter, leave)).alias("e")).select("conv_id", "turn", "e.*")
+    now = materialise(now, "chat-tour")
+    while True:  # n: messages entered from here up to, but without, to
+        ahead = now.select("conv_id", F.struct("turn", "leaves").alias("to"), F.col("to").alias("then"), F.col("n").alias("more"))
+        step = now.join(ahead, ["conv_id", "to"], "left").select("conv_id", "turn", "leaves", F.col("then").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        step = materialise(step, "chat-tour")
+        remove_table(now)
+        now = step
+        if now.where("to is not null").isEmpty():
+            return now.where("not leaves").select("conv_id", "turn", F.col("n").alias("after"))
+
+
 def threaded(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (without quotes), n_quotes, n_linked, reply_to, thread_root, reply_depth of every message."""
+    """conv_id, turn, role, text (without quotes), n_quotes, n_linked, reply_to, thread_root, reply_depth, reply_order of every message."""
     rows = messages.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", F.col("text").cast("string").alias("text"))
     links = materialise(linked(rows), "chat-links")
     keys = ["conv_id", "turn"]
-    out = rows.join(links.join(_threads(links), keys, "left"), keys, "left")
+    after = _ordered(links)
+    # a thread's messages that come before one are all but those from it on
+    threads = _threads(links)
+    own = links.join(threads, keys, "left").join(after, keys, "full").withColumn("thread_root", F.coalesce("thread_root", "turn"))
+    whole = after.select("conv_id", F.col("turn").alias("thread_root"), F.col("after").alias("whole"))
+    own = materialise(own.join(whole, ["conv_id", "thread_root"], "left").withColumn("reply_order", F.col("whole") - F.col("after")), "chat-own")
+    out = rows.join(own, keys, "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    return out.select("conv_id", "turn", "role", own_text(F.col("text")).alias("text"), none("n_quotes"), none("n_linked"), "reply_to", F.coalesce("thread_root", "turn").alias("thread_root"), none("reply_depth"))
+    return out.select("conv_id", "turn", "role", own_text(F.col("text")).alias("text"), none("n_quotes"), none("n_linked"), "reply_to", F.coalesce("thread_root", "turn").alias("thread_root"), none("reply_depth"), none("reply_order"))
+
+
+def as_mail(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, where text begins with the message answered, quoted whole: that of the turn before, or where conv_id + turn is divisible by 3 the one before that. Of several messages with one conv_id and turn the least text is quoted."""
+    rows = messages.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", F.col("text").cast("string").alias("text"))
+    said = rows.where("text is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("text", F.coalesce("role", F.lit("?")).alias("who"))).alias("said")).withColumnRenamed("turn", "answers")
+    rows = rows.withColumn("answers", F.col("turn") - F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, 2).otherwise(1))
+    quote = F.concat(F.col("said.who"), F.lit(" wrote:\n> "), F.replace(F.col("said.text"), F.lit("\n"), F.lit("\n> ")), F.lit("\n\n"))
+    return rows.join(said, ["conv_id", "answers"], "left").select("conv_id", "turn", "role", F.concat(F.coalesce(quote, F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return threaded(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return threaded(as_mail(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 ORACLE = r"""
-WITH RECURSIVE m AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER () AS id FROM conversations
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, min({'t': text, 'w': coalesce(role, '?')}) AS s FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, turn
+), m AS (
+  SELECT c.conv_id, c.turn, c.role, CASE WHEN s.s IS NULL THEN '' ELSE s.s.w || ' wrote:' || chr(10) || '> ' || replace(s.s.t, chr(10), chr(10) || '> ') || chr(10) || chr(10) END || coalesce(c.text, '') AS text,
+         row_number() OVER () AS id
+  FROM conversations c LEFT JOIN said s ON s.conv_id = c.conv_id AND s.turn = c.turn - CASE WHEN (c.conv_id + c.turn) % 3 = 0 THEN 2 ELSE 1 END
 ), l AS (
   SELECT id, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM m
 ), d AS (
@@ -174,7 +229,14 @@ WITH RECURSIVE m AS (
   SELECT t.conv_id, t.turn, k.reply_to, t.depth + 1 FROM t JOIN k ON k.conv_id = t.conv_id AND k.turn = t.root WHERE k.reply_to IS NOT NULL
 ), z AS (
   SELECT conv_id, turn, arg_max(root, depth) AS thread_root, max(depth) AS reply_depth FROM t GROUP BY conv_id, turn
+), v AS (
+  SELECT DISTINCT conv_id, thread_root AS root, thread_root AS turn, [thread_root] AS way FROM z
+  UNION ALL
+  SELECT v.conv_id, v.root, k.turn, list_append(v.way, k.turn) FROM v JOIN k ON k.conv_id = v.conv_id AND k.reply_to = v.turn
+), i AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, root ORDER BY way) - 1 AS reply_order FROM v
 )
 SELECT own.conv_id, own.turn, own.role, own.text, coalesce(k.n_quotes, 0)::BIGINT AS n_quotes, coalesce(k.n_linked, 0)::BIGINT AS n_linked, k.reply_to,
-       coalesce(z.thread_root, own.turn) AS thread_root, coalesce(z.reply_depth, 0)::BIGINT AS reply_depth
-FROM own LEFT JOIN k ON k.conv_id = own.conv_id AND k.turn = own.turn LEFT JOIN z ON z.conv_id = own.conv_id AND z.turn = own.turn"""
+       coalesce(z.thread_root, own.turn) AS thread_root, coalesce(z.reply_depth, 0)::BIGINT AS reply_depth, coalesce(i.reply_order, 0)::BIGINT AS reply_order
+FROM own LEFT JOIN k ON k.conv_id = own.conv_id AND k.turn = own.turn LEFT JOIN z ON z.conv_id = own.conv_id AND z.turn = own.turn
+     LEFT JOIN i ON i.conv_id = own.conv_id AND i.turn = own.turn"""

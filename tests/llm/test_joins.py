@@ -252,19 +252,37 @@ CHAT = [
 ]
 
 
-def test_quotations(spark, tmp_path):
-    spark.createDataFrame(CHAT, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "1 as depth", "2 as h", "3 as n_quotes", "4 as thread_root").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
-    rows = compared(chat.query(spark, str(tmp_path)), chat.ORACLE, {"conversations": tmp_path / "conversations.parquet"}, tmp_path)
+def test_quotations(spark):
+    df = spark.createDataFrame(CHAT, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "1 as depth", "2 as h", "3 as n_quotes", "4 as thread_root", "5 as leaves")
+    out = chat.threaded(df)
+    rows = out.collect()
     by = {(r[0], r[1]): r[3:] for r in rows}
     assert len(rows) == len(CHAT)
-    assert by[1, 0] == ("Hello  there\nsecond line\n\nnew para", 0, 0, None, 0, 0)
-    assert by[1, 1] == ("I agree", 1, 1, 0, 0, 1)
-    assert by[1, 2] == ("no", 2, 2, 1, 0, 2)
-    assert by[1, 4] == ("yes", 2, 2, 2, 0, 3)
-    assert by[1, 3] == ("x", 1, 0, None, 3, 0) and by[3, 0] == ("first", 1, 0, None, 0, 0)
-    plan = chat.threaded(spark.read.parquet(str(tmp_path / "conversations.parquet")))._jdf.queryExecution().toString()
+    assert by[1, 0] == ("Hello  there\nsecond line\n\nnew para", 0, 0, None, 0, 0, 0)
+    assert by[1, 1] == ("I agree", 1, 1, 0, 0, 1, 1)
+    assert by[1, 2] == ("no", 2, 2, 1, 0, 2, 2)
+    assert by[1, 4] == ("yes", 2, 2, 2, 0, 3, 3)
+    assert by[1, 3] == ("x", 1, 0, None, 3, 0, 0) and by[3, 0] == ("first", 1, 0, None, 0, 0, 0)
+    plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    assert chat.threaded(spark.read.parquet(str(tmp_path / "conversations.parquet")).limit(0)).count() == 0
+    assert chat.threaded(df.limit(0)).count() == 0
+
+
+def test_mail_of_conversations(spark, tmp_path, monkeypatch):
+    """The query finds the replies that its rendering made, and reads threads in order; the SQL agrees. One message has very many replies."""
+    monkeypatch.setattr(chat, "SPAN", 16)
+    said = lambda c, t: f"Message {t} of {c}.\nIts second line.\n\nParagraph {t * 7 + c}"
+    rows = [(c, t, "user" if t % 2 else None, said(c, t)) for c in range(6) for t in range(c * 9)]
+    rows += [(9, 0, "u", None), (9, 1, "u", ""), (9, 2, "u", "After nothing"), (9, 2, "u", "After nothing"), (9, 3, "u", " \n "), (9, 4, "u", "x"), (None, 1, "u", "a"), (10, None, "u", "b"), (11, 0, "u", "Same"), (11, 1, "u", "Same"), (11, 2, "u", "Same"), (11, 3, "u", "Same")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "1 as answers", "2 as said").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = compared(chat.query(spark, str(tmp_path)), chat.ORACLE, {"conversations": tmp_path / "conversations.parquet"}, tmp_path)
+    answers = lambda c, t: t - (2 if (c + t) % 3 == 0 else 1)
+    for conv, turn, _, text, _, _, reply_to, *_ in got:
+        if conv is not None and conv < 6:
+            assert text == said(conv, turn) and reply_to == (answers(conv, turn) if answers(conv, turn) >= 0 else None)
+    hub = [(1, 0, "u", "The question")] + [(1, t, "u", f"> The question\nAnswer {t}") for t in range(1, 200, 3)] + [(1, t, "u", f"> Answer {t - 1}\nand so") for t in range(2, 200, 6)]
+    out = {r["turn"]: r["reply_order"] for r in chat.threaded(spark.createDataFrame(hub, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert [out[t] for t in sorted(out)] == list(range(len(hub)))
 
 
 def test_partial_quotations(spark):
