@@ -4,11 +4,14 @@ Base rules reject short or self-repeating documents. Of the rest, each (language
 covariance determinant estimate of its transformed statistic vectors, and a document is rejected when its squared
 Mahalanobis distance from its group's estimate is above a chi-square cut-off.
 
-The estimate runs over all rows, not a sample: a deterministic start (coordinate-wise median and scaled median
-absolute deviation) and then concentration steps, each one pass of mergeable aggregates (the rows of the h nearest
-give the next mean and covariance), so a group holding a third of all rows is summed by all tasks. The covariance
-is regularised towards fixed floors, since most documents have no symbols or repeats at all and the plain
-determinant would be 0. Groups under ``min_group`` rows are pooled by language, then with all others.
+The estimate runs over all rows, not a sample. Three starts (coordinate-wise median and scaled median absolute deviation;
+mean and covariance of the rows near the median in every coordinate; of all rows) take SCREEN concentration steps each:
+the h nearest rows give the next mean and covariance. The start with the smallest determinant goes on until the
+determinant shrinks no more. A step is two passes of mergeable aggregates, a counted histogram of distances (its buckets
+are fixed, so the h nearest are the rows up to the bucket that holds the h-th: the same however rows are dealt out) and
+sums (repeatable up to the rounding of doubles), so a group holding a third of all rows is summed by all tasks. The covariance is regularised by fixed floors, since
+most documents have no symbols or repeats at all and the plain determinant would be 0; the determinants compared are of
+the regularised ones. Groups under ``min_group`` rows are pooled by language, then with all others.
 
 Defined results: null text counts as empty (0 words, base_failed); null lang or source are groups of their own;
 repeated rows count as often as they stand there; an empty table gives an empty table; extra columns pass through
@@ -20,10 +23,10 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellon.llm.common import WORD_PY, materialise, own_names
+from tessellon.llm.common import WORD_PY, materialise, own_names, tables
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -35,7 +38,11 @@ DIMS = len(FLOORS)
 #: The usual DIMS + 1 rows more keep a plain covariance invertible; here the floors do.
 H_SHARE = 0.5
 MIN_GROUP = 50
-STEPS = 3
+#: Concentration steps of each start before the best goes on; a determinant must shrink by this share to count as smaller.
+SCREEN, SHRINK = 2, 1e-9
+#: Buckets a floor of a coordinate's histogram and an octave of a distance's.
+PER_FLOOR, PER_OCTAVE = 256, 64
+STARTS = 3
 #: Chance that a document of a normal group lies beyond the cut-off.
 ALPHA = 1e-9
 
@@ -151,47 +158,92 @@ def base_failed(names) -> F.Column:
     return (F.col(names[0]) < MIN_WORDS) | (100 * F.col(names[4]) > REPEAT_PERCENT * F.col(names[0]))
 
 
-def _estimates(rows: DataFrame, min_group: int, steps: int) -> DataFrame:
-    """g, mu array, inv array (row-major inverse of the scatter): the estimate of every group. rows: g, z0.. of the rows that take part."""
-    z = [f"z{i}" for i in range(DIMS)]
-    pairs = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
-    floors = [f * f for f in FLOORS]
-
-    def inverted(moments: DataFrame, start: bool) -> DataFrame:
-        def run(batches):
-            import numpy as np
-            import pandas as pd
-
-            for pdf in batches:
-                mus, invs = [], []
-                for r in pdf.itertuples(index=False):
-                    if start:
-                        mu = np.array(r.med, float)
-                        cov = np.diag((np.array(r.mad, float) * 1.4826) ** 2)
-                    else:
-                        mu = np.array(r.s, float) / r.n
-                        cov = np.zeros((DIMS, DIMS))
-                        for (i, j), v in zip(pairs, r.ss):
-                            cov[i, j] = cov[j, i] = v / r.n - mu[i] * mu[j]
-                        cov *= CONSISTENCY
-                    cov = cov + np.diag(floors)
-                    mus.append(mu.tolist())
-                    invs.append(np.linalg.inv(cov).ravel().tolist())
-                yield pd.DataFrame({"g": pdf["g"], "mu": mus, "inv": invs})
-
-        return materialise(moments.mapInPandas(run, "g string, mu array<double>, inv array<double>"), "mcd")
-
-    med = rows.groupBy("g").agg(F.array(*(F.percentile_approx(c, 0.5, 10000) for c in z)).alias("med"))
-    med = materialise(med, "mcd-median")
-    off = rows.join(med, "g").groupBy("g").agg(F.first("med").alias("med"), F.array(*(F.percentile_approx(F.abs(F.col(c) - F.col("med")[i]), 0.5, 10000) for i, c in enumerate(z))).alias("mad"))
-    now = inverted(off, True)
-    for _ in range(steps):
-        near = rows.join(now, "g").withColumn("d2", distance2([F.col(c) for c in z]))
-        radius = materialise(near.groupBy("g").agg(F.percentile_approx("d2", H_SHARE, 10000).alias("r2")), "mcd-radius")
-        inside = near.join(radius, "g").where("d2 <= r2")
-        sums = inside.groupBy("g").agg(F.count("*").alias("n"), F.array(*(F.sum(c) for c in z)).alias("s"), F.array(*(F.sum(F.col(z[i]) * F.col(z[j])) for i, j in pairs)).alias("ss"))
-        now = inverted(sums, False)
-    return now
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
+Z = [f"z{i}" for i in range(DIMS)]
+
+
+def _middle(values: DataFrame, share: float) -> DataFrame:
+    """For each g, k of values (g, k, bucket): the least bucket up to which that share of its rows lie. Counted, so the histogram and not the rows are sorted."""
+    counts = values.groupBy("g", "k", "bucket").agg(F.count("*").alias("c"))
+    by = Window.partitionBy("g", "k")
+    upto = counts.withColumns({"upto": F.sum("c").over(by.orderBy("bucket")), "all": F.sum("c").over(by)})
+    return upto.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy("g", "k").agg(F.min("bucket").alias("bucket"))
+
+
+def _sums() -> list:
+    """Aggregates that give the mean and covariance of rows z0.. and their number."""
+    return [F.count("*").alias("n"), F.array(*(F.sum(c) for c in Z)).alias("s"), F.array(*(F.sum(F.col(Z[i]) * F.col(Z[j])) for i, j in PAIRS)).alias("ss")]
+
+
+def _fitted(moments: DataFrame, scales: dict) -> DataFrame:
+    """g, k, mu, inv, det from moments (g, k, n, s, ss); scales: what the covariance of each k is multiplied by."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            mus, invs, dets = [], [], []
+            for r in pdf.itertuples(index=False):
+                mu = np.array(r.s, float) / r.n
+                cov = np.zeros((DIMS, DIMS))
+                for (i, j), v in zip(PAIRS, r.ss):
+                    cov[i, j] = cov[j, i] = v / r.n - mu[i] * mu[j]
+                cov = cov * scales.get(r.k, 1.0) + np.diag(np.square(FLOORS))
+                mus.append(mu.tolist())
+                invs.append(np.linalg.inv(cov).ravel().tolist())
+                dets.append(float(np.linalg.det(cov)))
+            yield pd.DataFrame({"g": pdf["g"], "k": pdf["k"], "mu": mus, "inv": invs, "det": dets})
+
+    return materialise(moments.select("g", "k", "n", "s", "ss").mapInPandas(run, "g string, k int, mu array<double>, inv array<double>, det double"), "mcd")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """g, k, mu, inv, det of the STARTS first estimates of each group."""
+    step = [f / PER_FLOOR for f in FLOORS]
+    cells = lambda x: F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.floor(x(i) / step[i]).alias("bucket")) for i in range(DIMS))))
+    each = lambda m: F.array(*(F.max(F.when(F.col("k") == i, (F.col("bucket") + 0.5) * step[i])) for i in range(DIMS))).alias(m)
+    med = _middle(rows.select("g", cells(lambda i: F.col(Z[i])).alias("x")).select("g", "x.*"), 0.5)
+    med = materialise(med.groupBy("g").agg(each("med")), "mcd-median")
+    off = rows.join(med, "g").select("g", cells(lambda i: F.abs(F.col(Z[i]) - F.col("med")[i])).alias("x")).select("g", "x.*")
+    mad = materialise(_middle(off, 0.5).groupBy("g").agg(each("mad")).join(med, "g"), "mcd-mad")
+    # the median and deviation as moments of one row, so that all starts are fitted alike
+    square = lambda i, j: F.col("med")[i] * F.col("med")[j] + (F.pow(1.4826 * F.col("mad")[i], 2) if i == j else F.lit(0.0))
+    first = mad.select("g", F.lit(0).alias("k"), F.lit(1).cast("bigint").alias("n"), F.col("med").alias("s"), F.array(*(square(i, j) for i, j in PAIRS)).alias("ss"))
+    near = F.greatest(*(F.abs(F.col(Z[i]) - F.col("med")[i]) / (2 * 1.4826 * F.col("mad")[i] + FLOORS[i]) for i in range(DIMS))) <= 1
+    which = F.explode(F.when(near, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))).alias("k")
+    others = rows.join(mad, "g").select("g", *Z, which).groupBy("g", "k").agg(*_sums())
+    return _fitted(first.unionByName(others.select(*first.columns)), {})
+
+
+def _bucket(d2):
+    """The place of a squared distance on a scale of PER_OCTAVE buckets an octave."""
+    return F.floor(F.log2(F.greatest(d2, F.lit(1e-12))) * PER_OCTAVE)
+
+
+def _concentrated(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """The next estimates: of the H_SHARE of each group's rows that are nearest by now (g, k, mu, inv, det)."""
+    placed = rows.join(now.select("g", "k", "mu", "inv"), "g").withColumn("bucket", _bucket(distance2([F.col(c) for c in Z])))
+    radius = materialise(_middle(placed.select("g", "k", "bucket"), H_SHARE).withColumnRenamed("bucket", "radius"), "mcd-radius")
+    inside = placed.join(radius, ["g", "k"]).where("bucket <= radius")
+    return _fitted(inside.groupBy("g", "k").agg(*_sums()), {k: CONSISTENCY for k in range(STARTS)})
+
+
+def _estimates(rows: DataFrame) -> DataFrame:
+    """g, mu array, inv array (row-major inverse of the scatter), det: the estimate of every group. rows: a table of g, z0.. of the rows that take part."""
+    now = _starts(rows)
+    for _ in range(SCREEN):
+        now = _concentrated(rows, now)
+    best = now.groupBy("g").agg(F.min(F.struct("det", "k", "mu", "inv")).alias("b")).select("g", "b.*")
+    best = materialise(best.select("g", "k", "mu", "inv", "det"), "mcd-best")
+    going = best
+    while True:  # determinants only shrink, so this ends
+        then = _concentrated(rows.join(going.select("g"), "g", "left_semi"), going)
+        smaller = then.alias("n").join(going.alias("o"), "g").where(F.col("n.det") < F.col("o.det") * (1 - SHRINK)).select("g", *(F.col(f"n.{c}").alias(c) for c in ("k", "mu", "inv", "det")))
+        going = materialise(smaller, "mcd-going")
+        if going.isEmpty():
+            return best
+        best = materialise(best.join(going.select("g"), "g", "left_anti").unionByName(going), "mcd-best")
 
 
 def distance2(z: list) -> F.Column:
@@ -200,7 +252,7 @@ def distance2(z: list) -> F.Column:
     return sum((d[i] * F.col("inv")[DIMS * i + j] * d[j] * (1.0 if i == j else 2.0) for i in range(DIMS) for j in range(i, DIMS)), F.lit(0.0))
 
 
-def judged(stats: DataFrame, lang: str, source: str, names: list[str], out: tuple[str, str, str], min_group: int = MIN_GROUP, steps: int = STEPS, cut: float = CUT) -> DataFrame:
+def judged(stats: DataFrame, lang: str, source: str, names: list[str], out: tuple[str, str, str], min_group: int = MIN_GROUP, cut: float = CUT) -> DataFrame:
     """stats and the columns base_failed, kept and squared distance under the names in out. stats should be a written table; it is read several times."""
     sep = "\x1f"
     nul = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-"))
@@ -210,7 +262,9 @@ def judged(stats: DataFrame, lang: str, source: str, names: list[str], out: tupl
     pooled = sizes.where(F.col("n") < min_group).groupBy("b").agg(F.sum("n").alias("m"))
     to = sizes.join(pooled, "b", "left").select("o", F.when(F.col("n") >= min_group, F.col("o")).when(F.col("m") >= min_group, F.col("b")).otherwise(F.lit("all")).alias("g"))
     to = materialise(to, "mcd-groups")
-    fit = _estimates(passed.join(to, "o").select("g", *(f"z{i}" for i in range(DIMS))), min_group, steps)
+    with tables(stats.sparkSession) as drop:
+        fit = _estimates(materialise(passed.join(to, "o").select("g", *Z), "mcd-rows"))
+        drop(fit)
     o, g, mu, inv, d2 = own_names(stats.columns, "o", "g", "mu", "inv", "d2")
     params = to.join(fit, "g").select(F.col("o").alias(o), F.col("g").alias(g), F.col("mu").alias(mu), F.col("inv").alias(inv))
     params = materialise(params, "mcd-params")

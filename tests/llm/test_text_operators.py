@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -117,23 +118,86 @@ def test_quality_withstands_a_third_of_junk(spark):
     assert all(got[i]["kept"] for i, *_ in clean)
 
 
-def test_concentration_steps_by_hand(spark):
+def kept_by_hand(rows, min_group):
+    """kept of each row (doc_id, text, lang, source): groups, starts, steps, choice by determinant and cut, with plain loops over whole groups."""
+    import numpy as np
+
+    q, floors = quality, np.array(quality.FLOORS)
+    vectors, groups = {}, {}
+    for i, (_, text, lang, source) in enumerate(rows):
+        n, chars, symbols, dup, rep = stats_by_hand(text)
+        if n >= 20 and 100 * rep <= 30 * n:
+            vectors[i] = np.array([math.log(n), math.log(chars / n), math.log1p(100 * symbols / chars), math.log1p(dup), math.log1p(100 * rep / n)])
+            groups.setdefault((lang, source), []).append(i)
+    pools = {}
+    for key, ids in groups.items():
+        if len(ids) < min_group:
+            pools.setdefault(key[0], []).extend(ids)
+    final = [ids for ids in groups.values() if len(ids) >= min_group] + [ids for ids in pools.values() if len(ids) >= min_group]
+    final.append([i for ids in pools.values() if len(ids) < min_group for i in ids])
+
+    def upto(buckets, share):
+        return sorted(buckets)[math.ceil(len(buckets) * share) - 1]
+
+    def fit(x, scale=1.0):
+        mu = x.mean(0)
+        return mu, (np.einsum("ij,ik->jk", x, x) / len(x) - np.outer(mu, mu)) * scale + np.diag(floors**2)
+
+    def step(x, est):
+        d = np.einsum("ij,jk,ik->i", x - est[0], np.linalg.inv(est[1]), x - est[0])
+        cell = np.floor(np.log2(np.maximum(d, 1e-12)) * q.PER_OCTAVE)
+        return fit(x[cell <= upto(cell, q.H_SHARE)], q.CONSISTENCY)
+
+    kept = [False] * len(rows)
+    for ids in filter(None, final):
+        x = np.array([vectors[i] for i in ids])
+        w = floors / q.PER_FLOOR
+        med = np.array([(upto(np.floor(x[:, k] / w[k]), 0.5) + 0.5) * w[k] for k in range(q.DIMS)])
+        mad = np.array([(upto(np.floor(abs(x[:, k] - med[k]) / w[k]), 0.5) + 0.5) * w[k] for k in range(q.DIMS)])
+        ests = [(med, np.diag((1.4826 * mad) ** 2 + floors**2)), fit(x)]
+        near = (abs(x - med) <= 2 * 1.4826 * mad + floors).all(1)
+        ests += [fit(x[near])] if near.any() else []
+        for _ in range(q.SCREEN):
+            ests = [step(x, e) for e in ests]
+        best = min(ests, key=lambda e: np.linalg.det(e[1]))
+        while np.linalg.det((then := step(x, best))[1]) < np.linalg.det(best[1]) * (1 - q.SHRINK):
+            best = then
+        for i, v in zip(ids, x):
+            kept[i] = bool((v - best[0]) @ np.linalg.inv(best[1]) @ (v - best[0]) <= q.CUT)
+    return kept
+
+
+def test_quality_equals_plain_loops(spark):
+    """Whole verdicts, with a group of its own, groups pooled by language, and the rest pooled with all others; a third of one group is junk."""
+    random.seed(12)
+    rows = [(i, t, lang, s) for i, (_, t, lang, s) in enumerate(corpus(240))]
+    rows += [(1000 + i, t, lang, f"small{i % 5}") for i, (_, t, lang, _) in enumerate(corpus(60))]
+    rows += [(2000 + i, t, f"rare{i % 7}", None) for i, (_, t, _, _) in enumerate(corpus(40))]
+    rows += [(3000 + i, " ".join(random.choice(["###", "$$$", "w#"]) + str(random.randint(0, 999)) for _ in range(50 + 3 * i)), "en", "s0") for i in range(40)]
+    rows += [(4000 + i, " ".join(f"{'longer' * random.randint(1, 9)}{random.randint(0, 99)}" for _ in range(80)), f"rare{i}", "x") for i in range(3)]
+    got = {r["doc_id"]: r["kept"] for r in quality.verdicts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), min_group=20).collect()}
+    want = kept_by_hand(rows, 20)
+    assert [got[r[0]] for r in rows] == want
+    assert 40 <= sum(not k for k in want) < 60
+
+
+def test_the_start_with_the_smallest_determinant_wins(spark):
+    """The estimate is a fixed point, and its determinant is no larger than what the first steps from any start give."""
     import numpy as np
 
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, quality.DIMS))
     x[:60] += 8
     df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"z{i} double" for i in range(quality.DIMS)))
-    est = quality._estimates(df, 10, 3).first()
-    med = np.median(x, 0)
-    mu, cov = med, np.diag((np.median(abs(x - med), 0) * 1.4826) ** 2)
-    floor = np.diag(np.square(quality.FLOORS))
-    for _ in range(3):
-        d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov + floor), x - mu)
-        near = x[d <= np.sort(d)[int(np.ceil(quality.H_SHARE * len(x))) - 1]]
-        mu, cov = near.mean(0), np.cov(near.T, bias=True) * quality.CONSISTENCY
-    assert np.allclose(est["mu"], mu, atol=0.02)
-    assert np.allclose(np.array(est["inv"]).reshape(quality.DIMS, -1), np.linalg.inv(cov + floor), atol=0.05)
+    est = quality._estimates(df).first()
+    now = quality._starts(df)
+    assert now.count() == quality.STARTS
+    for _ in range(quality.SCREEN):
+        now = quality._concentrated(df, now)
+    assert est["det"] <= min(r["det"] for r in now.collect())
+    again = quality._concentrated(df, spark.createDataFrame([est]).selectExpr("g", "cast(k as int) as k", "mu", "inv", "det")).first()
+    assert again["det"] >= est["det"] * (1 - 1e-6)
+    assert np.linalg.norm(est["mu"]) < 0.5
 
 
 def test_chi_square():
