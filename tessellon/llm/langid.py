@@ -6,8 +6,9 @@ centroids per language; centroids that few rows gather at are dropped. The best
 is rejected when its distance from that centroid is above the language's limit, or when less of it than the language's
 least share is made of n-grams known there. Both limits come from the bulk of the language's own rows, within bounds.
 
-The classifier is fitted on a bounded sample of labelled rows, ``per_lang`` to twice as many for a language, taken by a hash of
-the id; prediction covers every whole text. Only fixed-size vectors of the sampled rows reach the driver.
+The classifier is fitted on a bounded sample of labelled rows: of the ``most_langs`` most frequent languages ``per_lang``
+to twice as many rows each, taken by a hash of the id; prediction covers every whole text. Only fixed-size vectors of the
+sampled rows reach the driver.
 
 Defined results: a null text or one without a letter gives ``und`` with score 0 and is rejected; with no labelled
 rows at all every text gives ``und``; ties go to the language first in order; repeated rows give repeated results;
@@ -27,7 +28,7 @@ from tessellon.llm.common import own_names
 DIMS = 1 << 14
 #: Centroids per language, and rows per language that they are fitted on (between this and twice this).
 CENTROIDS, PER_LANG = 4, 400
-#: Languages that a fit accepts; more labels than that are no languages.
+#: Languages that a fit learns, the most frequent labels (of equally frequent ones the first in order); a bound of the fitted sample.
 MAX_LANGS = 400
 #: A language's limit: this many times the distance within which all but FAR of its own rows lie, within these bounds.
 SLACK, FAR, MIN_DISTANCE, MAX_DISTANCE = 1.5, 0.05, 0.65, 0.7
@@ -88,18 +89,16 @@ def _rows(counts):
     return np.log1p(counts, dtype=np.float32)
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, centroids: int = CENTROIDS) -> dict | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, centroids: int = CENTROIDS, most_langs: int = MAX_LANGS) -> dict | None:
     """The classifier learnt from rows of docs (doc_id, text, lang) with a non-null lang; None if there are none."""
     import numpy as np
 
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} values of lang")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not sizes:
         return None
     every = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, max(1, n // per_lang))))
-    sample = known.where(F.pmod(F.xxhash64(F.col("doc_id")), every[F.col("lang")]) == 0)
+    sample = known.where(F.pmod(F.xxhash64(F.col("doc_id")), every[F.col("lang")]) == 0)  # a label that isn't learnt has no modulus and drops out
 
     def vectors(batches):
         import pandas as pd

@@ -1,19 +1,25 @@
 """WARC archives as a PySpark Python data source.
 
-Writing: each task writes one archive of single-record gzip members under a name of its own; the driver's commit
-writes a manifest naming the archives of successful tasks, so files of failed or repeated attempts are never read.
-Members carry their compressed length in the gzip header (the skip-length field "sl" of the WARC standard), and the
-manifest has an offset every SPLIT_BYTES.
-
-Reading: partitions are planned from the manifest (or one per archive found); record-type and header predicates are
-pushed down; a reader inflates a member only up to the end of its headers, tests the predicates, and jumps to the
-next member without inflating a payload that nobody wants. Without ``payload`` in the schema and without the
-``verify`` option no payload is decoded at all.
+Writing: each task writes one archive of single-record gzip members under a name of its own; the driver's commit adds
+a manifest of its own that names the archives of successful tasks, so files of failed or repeated attempts are never read
+and appends at the same time don't touch each other's. Members carry their compressed length in the gzip header (the
+skip-length field "sl" of the WARC standard), and a manifest has an offset every SPLIT_BYTES.
+
+Reading: partitions are planned from the manifests (without any: one per file that ends in .warc or .warc.gz); record-type and
+header predicates are pushed down; a reader inflates a member only up to the end of its headers, tests the predicates, and
+jumps to the next member without inflating a payload that nobody wants. Without ``payload`` in the schema and without the
+``verify`` option no payload is decoded at all. Archives by others are read too: gzip members without that field, files
+compressed as a whole and plain ones, where payloads that nobody wants are inflated or passed over but not kept; warcinfo,
+request and other records come as rows of that record_type.
 
 Defined results: a null payload counts as empty; payloads under MIN_REVISIT bytes are always responses; a null
 page_id is written without a page number and reads back as null (it never is what others refer to); repeated rows
 are written as often as they stand there; an empty table makes an archive set without records; line breaks in a URL
-are percent-encoded; extra columns are ignored.
+are percent-encoded; extra columns are ignored. page_id and refers_to are null where an archive's ids are no page numbers,
+payload_bytes where it doesn't say; digests that aren't SHA-256 keep their algorithm's name and aren't verified. The payload of
+an HTTP response is what follows its head, of another record its whole block. A record without an end of its headers, with
+a wrong length, or cut off raises a ValueError with file and offset; with the option malformed=skip the rest of its
+partition is left out.
 """
 
 from __future__ import annotations
@@ -33,7 +39,9 @@ from tessellon.llm.common import fresh_dir, materialise
 
 MIN_REVISIT = 100
 SPLIT_BYTES = 16 << 20
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
+#: Bytes that a reader inflates or reads at once, and that headers can have.
+CHUNK, MOST_HEADERS = 1 << 16, 1 << 20
 READ_SCHEMA = "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
 HEADERS = "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint"
 DATE = "1970-01-01T00:00:00Z"
@@ -105,17 +113,13 @@ class WarcWriter(DataSourceArrowWriter):
         return _Written(name, at, marks)
 
     def commit(self, messages):
+        """A manifest under a new name, moved into place when it is whole."""
         store, base = _store(self.path)
         store.create_dir(base, recursive=True)
-        parts = []
-        try:
-            with store.open_input_stream(f"{base}/{MANIFEST}") as f:
-                parts = json.loads(f.read())
-        except FileNotFoundError:
-            pass
-        parts += [[m.name, m.size, m.marks] for m in messages if m and m.size]
-        with store.open_output_stream(f"{base}/{MANIFEST}", compression=None) as f:
-            f.write(json.dumps(parts).encode())
+        name = f"{MANIFEST}-{uuid.uuid4().hex}.json"
+        with store.open_output_stream(f"{base}/.{name}", compression=None) as f:
+            f.write(json.dumps([[m.name, m.size, m.marks] for m in messages if m and m.size]).encode())
+        store.move(f"{base}/.{name}", f"{base}/{name}")
 
     def abort(self, messages):
         store, base = _store(self.path)
@@ -150,26 +154,107 @@ _TESTS = {
 
 
 def parse_headers(raw: bytes) -> dict:
-    """The header fields of a record as columns."""
+    """The header fields of a record as columns, and how long its block is and whether that is an HTTP response."""
     fields = {}
     for line in raw.decode("utf-8", "replace").split("\r\n")[1:]:
         k, _, v = line.partition(":")
-        fields[k.lower()] = v.strip()
+        fields[k.strip().lower()] = v.strip()
     page = lambda v: int(m[1]) if v and (m := re.fullmatch(r"<urn:page:(-?\d+)>", v)) else None
-    size = fields.get("x-payload-length")
+    size, length = fields.get("x-payload-length", ""), fields.get("content-length", "")
+    if not raw.startswith(b"WARC/") or not length.isdecimal():
+        raise ValueError("no WARC record")
     return {
         "page_id": page(fields.get("warc-record-id")),
         "url": fields.get("warc-target-uri"),
         "record_type": fields.get("warc-type"),
         "payload_digest": (fields.get("warc-payload-digest") or "").removeprefix("sha256:") or None,
-        "payload_bytes": int(size) if size else None,
+        "payload_bytes": int(size) if size.isdecimal() else None,
         "refers_to": page(fields.get("warc-refers-to")),
+        "_length": int(length),
+        "_http": fields.get("content-type", "").startswith("application/http"),
     }
 
 
+def skip_length(head: bytes) -> int | None:
+    """The compressed length of a gzip member, from the "sl" field of its header, or None."""
+    if head[:4] != b"\x1f\x8b\x08\x04":
+        return None
+    at, end = 12, 12 + int.from_bytes(head[10:12], "little")
+    while at + 4 <= min(end, len(head)):
+        n = int.from_bytes(head[at + 2 : at + 4], "little")
+        if head[at : at + 2] == b"sl" and n == 8:
+            return int.from_bytes(head[at + 4 : at + 8], "little")
+        at += 4 + n
+    return None
+
+
+class _Bytes:
+    """Plain bytes of a span: of its gzip members one after another, or the file's own."""
+
+    def __init__(self, f, end: int):
+        self.f, self.end, self.held, self.z = f, end, b"", None
+        self.gzip = f.read(2) == b"\x1f\x8b"
+        f.seek(f.tell() - 2)
+
+    def _more(self) -> bool:
+        raw = self.f.read(min(CHUNK, self.end - self.f.tell()))
+        if not self.gzip:
+            self.held += raw
+            return bool(raw)
+        while raw:
+            if self.z is None or self.z.eof:
+                self.z = zlib.decompressobj(31)
+            self.held += self.z.decompress(raw)
+            raw = self.z.unused_data if self.z.eof else b""
+            if raw and not raw.strip(b"\0"):  # padding
+                raw = b""
+        return self.f.tell() < self.end or bool(self.held)
+
+    def upto(self, mark: bytes) -> bytes | None:
+        """Bytes before the mark, which is passed over; None at the end."""
+        while (at := self.held.find(mark)) < 0:
+            if len(self.held) > MOST_HEADERS:
+                raise ValueError("headers without an end")
+            before = len(self.held)
+            if not self._more() or (len(self.held) == before and self.f.tell() >= self.end):
+                if self.held.strip(b"\r\n"):
+                    raise ValueError("headers without an end")
+                if self.z is not None and not self.z.eof:
+                    raise ValueError("cut off")
+                return None
+        out, self.held = self.held[:at], self.held[at + len(mark) :]
+        return out
+
+    def take(self, n: int, keep: bool) -> bytes:
+        """The next n bytes, or nothing if they aren't kept."""
+        parts, left = [], n
+        while left:
+            if not self.held:
+                at = self.f.tell()
+                if not self.gzip and not keep:
+                    if at + left > self.end:
+                        raise ValueError("cut off")
+                    self.f.seek(at + left)
+                    return b""
+                if not self._more() or (not self.held and self.f.tell() >= self.end):
+                    raise ValueError("cut off")
+            now, self.held = self.held[:left], self.held[left:]
+            left -= len(now)
+            if keep:
+                parts.append(now)
+        return b"".join(parts)
+
+
+def _payload(row: dict, block: bytes) -> bytes:
+    if not row["_http"]:
+        return block
+    head, _, body = block.partition(b"\r\n\r\n")
+    return body
+
+
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, names: list[str], verify: bool):
-        self.path, self.names, self.verify, self.tests = path, names, verify, []
+    def __init__(self, path: str, names: list[str], verify: bool, skip: bool = False):
+        self.path, self.names, self.verify, self.skip, self.tests = path, names, verify, skip, []
 
     def pushFilters(self, filters):
         for f in filters:
@@ -182,59 +267,93 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, base = _store(self.path)
-        try:
-            with store.open_input_stream(f"{base}/{MANIFEST}") as f:
-                parts = json.loads(f.read())
-        except FileNotFoundError:
-            parts = [[x.base_name, x.size, [0]] for x in store.get_file_info(fs.FileSelector(base)) if x.is_file and x.base_name.endswith(".warc.gz")]
+        files = [x for x in store.get_file_info(fs.FileSelector(base)) if x.is_file]
+        named = [x.path for x in files if x.base_name.startswith(MANIFEST + "-")]
+        parts = []
+        for path in named:
+            with store.open_input_stream(path, compression=None) as f:
+                parts += json.loads(f.read())
+        if not named:
+            parts = [[x.base_name, x.size, [0]] for x in files if x.base_name.endswith((".warc", ".warc.gz"))]
         spans = [Span(f"{base}/{name}", lo, hi) for name, size, marks in parts for lo, hi in zip(marks, [*marks[1:], size])]
         return spans or [Span("", 0, 0)]
 
+    def _wanted(self, row: dict) -> bool:
+        return all(_TESTS[t](row[c], v) for c, t, v in self.tests)
+
+    def _records(self, f, span, want: bool):
+        """Row and block (empty unless wanted) of each record of a span that passes the tests."""
+        f.seek(span.start)
+        while f.tell() < span.end:
+            at = f.tell()
+            length = skip_length(f.read(64))
+            f.seek(at)
+            if not length:
+                break
+            if at + length > span.end:
+                raise ValueError("cut off")
+            head = f.read(12)
+            f.seek(at + 12 + int.from_bytes(head[10:12], "little"))
+            z = zlib.decompressobj(-15)
+            text, raw = b"", f.read(min(1024, at + length - f.tell()))
+            while (end := text.find(b"\r\n\r\n")) < 0:
+                if z.eof or not raw or len(text) > MOST_HEADERS:
+                    raise ValueError("headers without an end")
+                text += z.decompress(raw)
+                raw = f.read(min(4096, at + length - f.tell()))
+            row = parse_headers(text[:end])
+            if self._wanted(row):
+                block = b""
+                if want:
+                    block = text[end + 4 :] + z.decompress(raw + f.read(at + length - f.tell()))
+                    if len(block) < row["_length"]:
+                        raise ValueError("cut off")
+                yield row, block[: row["_length"]]
+            f.seek(at + length)
+        if f.tell() < span.end:
+            plain = _Bytes(f, span.end)
+            while (raw := plain.upto(b"\r\n\r\n")) is not None:
+                if not raw.strip(b"\r\n"):
+                    continue
+                row = parse_headers(raw.lstrip(b"\r\n"))
+                ok = self._wanted(row)
+                block = plain.take(row["_length"], ok and want)
+                if ok:
+                    yield row, block
+
     def read(self, span):
         import pyarrow as pa
 
         store, _ = _store(self.path)
         kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
         schema = pa.schema([(n, kinds.get(n, pa.string())) for n in self.names])
+        batch = lambda rows: pa.RecordBatch.from_pydict({n: [r.get(n) for r in rows] for n in self.names}, schema=schema)
         if span.start >= span.end:
             return
-        want = self.verify or "payload" in self.names
         rows, held = [], 0
         with store.open_input_file(span.path) as f:
-            f.seek(span.start)
-            at = span.start
-            while at < span.end:
-                head = f.read(24)
-                length = struct.unpack("<I", head[16:20])[0]
-                body = f.read(length - 24 - 8)
-                f.seek(at + length)
-                at += length
-                z = zlib.decompressobj(-15)
-                text = z.decompress(body, 1024)
-                while (end := text.find(b"\r\n\r\n")) < 0:
-                    text += z.decompress(z.unconsumed_tail, 4096)
-                row = parse_headers(text[:end])
-                if not all(_TESTS[t](row[c], v) for c, t, v in self.tests):
-                    continue
-                if want and row["record_type"] == "response":
-                    block = text[end + 4 :] + (z.decompress(z.unconsumed_tail) if z.unconsumed_tail else b"") + z.flush()
-                    payload = block[block.index(b"\r\n\r\n") + 4 : -4]
-                    if self.verify:
-                        row["payload_bytes"] = len(payload)
-                        if row["payload_digest"] != (found := hashlib.sha256(payload).hexdigest()):
-                            raise ValueError(f"digest of page {row['page_id']} in {span.path} is {found}, not {row['payload_digest']}")
-                    row["payload"] = payload
-                    held += len(payload) if "payload" in self.names else 0
-                rows.append(row)
-                if len(rows) >= 4096 or held > 16 << 20:
-                    yield pa.RecordBatch.from_pydict({n: [r.get(n) for r in rows] for n in self.names}, schema=schema)
-                    rows, held = [], 0
+            try:
+                for row, block in self._records(f, span, self.verify or "payload" in self.names):
+                    if (self.verify or "payload" in self.names) and row["record_type"] != "revisit":
+                        row["payload"] = payload = _payload(row, block)
+                        if self.verify:
+                            row["payload_bytes"], digest = len(payload), row["payload_digest"]
+                            if digest and ":" not in digest and digest != (found := hashlib.sha256(payload).hexdigest()):
+                                raise AssertionError(f"digest of page {row['page_id']} in {span.path} is {found}, not {digest}")
+                        held += len(payload) if "payload" in self.names else 0
+                    rows.append(row if "payload" in self.names else {k: v for k, v in row.items() if k != "payload"})
+                    if len(rows) >= 4096 or held > 16 << 20:
+                        yield batch(rows)
+                        rows, held = [], 0
+            except (ValueError, zlib.error) as e:
+                if not self.skip:
+                    raise ValueError(f"{span.path}, before byte {f.tell()}: {e}") from e
         if rows:
-            yield pa.RecordBatch.from_pydict({n: [r.get(n) for r in rows] for n in self.names}, schema=schema)
+            yield batch(rows)
 
 
 class WarcDataSource(DataSource):
-    """format("warc"): options path and verify (payloads of responses are decoded and held against their digests)."""
+    """format("warc"): options path, verify (payloads are decoded and held against their digests) and malformed (fail or skip)."""
 
     @classmethod
     def name(cls):
@@ -244,7 +363,7 @@ class WarcDataSource(DataSource):
         return READ_SCHEMA
 
     def reader(self, schema):
-        return WarcReader(self.options["path"], schema.names, str(self.options.get("verify", "false")).lower() == "true")
+        return WarcReader(self.options["path"], schema.names, str(self.options.get("verify", "false")).lower() == "true", self.options.get("malformed") == "skip")
 
     def writer(self, schema, overwrite):
         if overwrite:
@@ -280,7 +399,9 @@ def read(spark: SparkSession, path: str, schema: str = READ_SCHEMA, verify: bool
 def query(spark, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read(spark, path, HEADERS, verify=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # the record type is pushed down: payloads of responses are decoded and held against their digests, of revisits only headers are inflated
+    both = read(spark, path, HEADERS, verify=True).where("record_type = 'response'").unionByName(read(spark, path, HEADERS).where("record_type = 'revisit'"))
+    return both.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """

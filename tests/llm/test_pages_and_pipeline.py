@@ -101,6 +101,47 @@ def test_members_are_gzip():
     assert gzip.decompress(warc.member(data) + warc.member(b"next")) == data + b"next"
 
 
+def test_archives_by_others(spark, tmp_path):
+    """Plain files, gzip members without a length field, files compressed as a whole; all kinds of records; damage never hangs."""
+    import gzip
+
+    http = lambda body: b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    rec = lambda kind, block, ctype=b"application/http;msgtype=response", more=b"": b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://x/" + kind + b"\r\n" + more + b"Content-Type: " + ctype + b"\r\nContent-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    big = b"<p>" + b"x" * 300_000 + b"\r\n\r\n</p>"
+    records = [rec(b"warcinfo", b"software: y\r\n", b"application/warc-fields"), rec(b"request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", b"application/http;msgtype=request"), rec(b"response", http(big), more=b"WARC-Payload-Digest: sha1:ABC\r\n"), rec(b"resource", b"", b"text/plain"), rec(b"response", http(b"end"))]
+    forms = {"plain.warc": b"".join(records), "members.warc.gz": b"".join(map(gzip.compress, records)), "whole.warc.gz": gzip.compress(b"".join(records))}
+    for name, data in forms.items():
+        (d := tmp_path / name.replace(".", "_")).mkdir()
+        (d / name).write_bytes(data)
+        rows = warc.read(spark, f"file://{d}", verify=True).collect()
+        assert [r["record_type"] for r in rows] == ["warcinfo", "request", "response", "resource", "response"]
+        assert [bytes(r["payload"] or b"") for r in rows][2:] == [big, b"", b"end"] and rows[2]["payload_digest"] == "sha1:ABC" and rows[0]["page_id"] is None
+        assert [r["payload_bytes"] for r in warc.read(spark, f"file://{d}", warc.HEADERS).where("record_type = 'response'").collect()] == [None, None]
+        for cut in (len(data) - 30, len(data) // 2, 40):
+            (d / name).write_bytes(data[:cut])
+            with pytest.raises(Exception, match="before byte"):
+                warc.read(spark, f"file://{d}").collect()
+            assert spark.read.format("warc").schema(warc.READ_SCHEMA).option("malformed", "skip").load(f"file://{d}").count() <= 5
+    (d := tmp_path / "bad").mkdir()
+    for data in (warc.member(b"WARC/1.1\r\nContent-Length: 3\r\n"), b"WARC/1.1\r\nContent-Length: 99\r\n\r\nx", b"no archive\r\n\r\n"):
+        (d / "a.warc").write_bytes(data)
+        with pytest.raises(Exception, match="before byte"):
+            warc.read(spark, f"file://{d}").collect()
+
+
+def test_appends_keep_each_other(spark):
+    """Manifests are files of their own: what one append commits, another can't lose."""
+    path = fresh_dir(spark, "t")
+    df = spark.createDataFrame([(1, "http://a/", "x" * 200), (2, "http://b/", "y" * 200)], "page_id bigint, url string, html string")
+    warc.write(df, path)
+    first, second = warc.WarcWriter(path), warc.WarcWriter(path)
+    batch = warc.deduplicated(df).toArrow().to_batches()
+    told = [w.write(iter(batch)) for w in (first, second)]
+    first.commit(told[:1])
+    second.commit(told[1:])
+    assert warc.read(spark, path).count() == 6
+
+
 def test_every_operator_is_registered():
     import __spark_entry__
 
