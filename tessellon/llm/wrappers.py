@@ -1,21 +1,27 @@
 """Main text of web pages by wrapper inference.
 
 A page becomes a stream of block tags and text, read into groups. Pages of one host are aligned one after another:
-where two streams agree the pattern stays; a mismatch becomes an optional group, neighbours that repeat become a
-repeated group, and all text becomes text slots. The result is a union-free regular expression per host, its
-wrapper: sequence, ``?``, ``+`` and slots, no alternatives. Every page takes part: tasks fold their own pages
-into one small wrapper per host, and these are folded again, first in 16 shares of a host and then as a whole, so a
-host with a third of all pages is no task of its own.
-
-The wrapper's slots carry how much text and link text the host's pages put there. A page's main region is, of the
-wrapper's groups that the page matched, the article elements, else the main element, else the content-named group with
-most of the host's plain text, else the smallest group that holds most of it; so a host may have several layouts. Inside it, groups that are menus, headers, footers, sidebars, notices, adverts, forms or
-reader comments by their tag or name are left out. A page is read by matching it against its host's wrapper; the text
-of the region's slots is its main text.
+where two streams agree, in tags and in text, the pattern stays; a mismatch of tags becomes an optional group, neighbours
+that repeat become a repeated group, and a mismatch of text becomes a text slot. The result is a union-free regular
+expression per host, its wrapper: sequence, ``?``, ``+``, slots and template text, no alternatives. (A group with over MOST_ITEMS members is kept
+as a repetition of optional ones, which any order matches.) Every page takes part: tasks fold their own pages into one
+small wrapper per host, and these are folded again, first in SHARES shares of a host and then as a whole, so a host with a
+third of all pages is no task of its own.
+
+Text that is the same on all pages that have it, EVIDENCE different ones at least, is the host's template; what differs is a slot. A page is
+read by matching it against its host's wrapper. Its main region is the smallest of the matched groups that holds most of
+what the slots put there outside links, or the article, main or content-named elements around or inside that. Where a host
+shows no difference (too few pages, or copies) those elements decide, article first. Inside the region, template text other than
+headings is left out, and so are groups that are menus, headers, footers, sidebars, notices, adverts, forms or reader
+comments by their tag or name. Names of elements that hold prose (p, li, td and the like) count only where they can't mean
+anything else, as a paragraph named "search" can be about searching.
 
 Defined results: null or empty html, or a page without text in the region, gives an empty text; a null url is a host
-of its own; unclosed and truncated markup is read as far as it goes; repeated rows give repeated results; an empty
-table gives an empty table; extra columns are ignored.
+of its own; unclosed and truncated markup is read as far as it goes, in time proportional to its length: a tag without an end
+is left out with what follows it, and after a quote that swallows all further tags, quotes don't count in that page.
+Elements nested deeper than DEEP are read as part of the one around them, unless their tag or name says what they are.
+Repeated rows give repeated results, however they are dealt out; an empty table gives an empty table; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +36,14 @@ from pyspark.sql import functions as F
 
 from tessellon.llm.common import materialise
 
-SHARES = 16
-#: A group with more different members than this is kept as a set of repeated optional ones, so wrappers stay small.
+SHARES = 128
+#: A group with more members than this is kept as repeated optional ones, so wrappers stay small.
 MOST_ITEMS = 64
-#: Share of a host's plain text that the main region must hold if nothing is named as such.
+#: Share of the text in slots that the main region must hold.
 REGION_SHARE = 0.6
+#: Different pages that must show a text before it counts as the host's template.
+EVIDENCE = 3
+DEEP = 200
 
 # HTML elements by their role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -47,24 +56,31 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROP_TAGS = frozenset("nav aside footer form menu dialog select button search optgroup".split())
 DROP_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion promotions nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars side aside footer foot header masthead topbar comment comments commentlist reply replies respond disqus discussion cookie cookies notice notices consent gdpr alert alerts warning subscribe subscription newsletter signup login share sharing social related recommended recommendations widget widgets popup modal overlay copyright legal disclaimer toolbar pagination pager search form hidden skip teaser outbrain taboola".split())
 CONTENT_NAMES = frozenset("article post content entry story main maincontent articlebody".split())
+# Elements that hold prose, and the names that count for them.
+PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th caption figcaption".split())
+PROSE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promotions breadcrumb breadcrumbs sidebar comment comments commentlist disqus cookie cookies consent gdpr newsletter subscribe subscription notice notices copyright hidden outbrain taboola".split())
 #: All names that role() asks for; of others so many an attribute are kept, so that long lists don't part what belongs together.
 ROLE_NAMES = DROP_NAMES | CONTENT_NAMES
 MOST_NAMES = 4
 
-_tokens = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_name = re.compile(r"[a-zA-Z][a-zA-Z0-9:_-]*")
+_stop = re.compile(r"[>\"']")
 _attr = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I | re.S)
 _digits = re.compile(r"\d+")
 _part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Slot:
-    """A text slot: optional or not, its places in a page, and the host's characters and link characters there."""
+    """A text slot: optional or not, its places in a page, the host's characters and link characters there, the text if it is the same wherever it stands (its hash; None: it differs), and up to EVIDENCE pages that have it."""
 
-    __slots__ = ("opt", "leaves", "chars", "links")
+    __slots__ = ("opt", "leaves", "chars", "links", "text", "seen")
     key = "#"
 
-    def __init__(self, opt=False, leaves=(), chars=0, links=0):
-        self.opt, self.leaves, self.chars, self.links = opt, list(leaves), chars, links
+    def __init__(self, opt=False, leaves=(), chars=0, links=0, text=None, seen=()):
+        self.opt, self.leaves, self.chars, self.links, self.text, self.seen = opt, list(leaves), chars, links, text, tuple(seen)
+
+    def template(self) -> bool:
+        return self.text is not None and len(self.seen) >= EVIDENCE
 
 
 class Group:
@@ -98,10 +114,121 @@ def _key(tag: str, attrs: str) -> str:
     return f"{tag}.{'.'.join(sorted(set(names)))}" if names else tag
 
 
+def _markup(page: str):
+    """(text before, closing, tag, attributes) for each tag of a page, and last the text after all; comments, declarations and the content of RAW elements are passed over. One pass."""
+    at, n, begin, strict = 0, len(page), 0, True
+    text: list[str] = []
+    while (lt := page.find("<", at)) >= 0:
+        m = _name.match(page, lt + 2 if page.startswith("/", lt + 1) else lt + 1)
+        if m is None:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+            elif page.startswith("<![CDATA[", lt):
+                end = page.find("]]>", lt)
+            elif page.startswith(("<!", "<?"), lt):
+                end = page.find(">", lt) - 2
+                end = n if end < 0 else end
+            else:  # no markup
+                at = lt + 1
+                continue
+            text.append(page[begin:lt])
+            begin = at = n if end < 0 else min(n, end + 3)
+            continue
+        end = _tag_end(page, m.end(), strict)
+        if end < 0 and strict:
+            strict = False
+            end = _tag_end(page, m.end(), False)
+        text.append(page[begin:lt])
+        if end < 0:
+            begin = at = n
+            break
+        closing, tag, attrs = page[lt + 1] == "/", m[0].lower(), page[m.end() : end]
+        begin = at = end + 1
+        if tag in RAW:
+            if not closing and not attrs.endswith("/"):
+                begin = at = _raw_end(page, at, tag)
+            continue
+        yield "".join(text), closing, tag, attrs
+        text.clear()
+    text.append(page[begin:])
+    yield "".join(text), False, None, ""
+
+
+def _tag_end(page: str, at: int, quotes: bool) -> int:
+    """Where the > of a tag is, -1 if it has none; a quote that is never closed is a character like others."""
+    while quotes and (m := _stop.search(page, at)):
+        if m[0] == ">":
+            return m.start()
+        close = page.find(m[0], m.end())
+        at = m.end() if close < 0 else close + 1
+    return -1 if quotes else page.find(">", at)
+
+
+@lru_cache(maxsize=64)
+def _raw_close(tag: str):
+    return re.compile(rf"</{tag}\s*>|<body\b" if tag == "head" else rf"</{tag}\s*>", re.I)
+
+
+def _raw_end(page: str, at: int, tag: str) -> int:
+    m = _raw_close(tag).search(page, at)
+    return len(page) if m is None else m.start() if m[0].lower().startswith("<body") else m.end()
+
+
+def _hash(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+class _Open:
+    """The elements that are open, with where each tag and the scopes stand, so that nothing is searched twice."""
+
+    def __init__(self, root: Group):
+        self.stack: list[tuple[str, Group, str]] = [("", root, "")]
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.roles: set[str] = set()  # of the groups below DEEP that are open
+
+    def push(self, tag: str, group: Group, kind: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append((tag, group, kind))
+        self.roles.add(kind)
+
+    def pop(self) -> None:
+        tag, _, kind = self.stack.pop()
+        self.at[tag].pop()
+        if tag in SCOPES:
+            self.scopes.pop()
+        if kind:
+            self.roles.discard(kind)
+
+    def close(self, tag: str) -> None:
+        """Close the last element of that tag and what is open inside it; one outside the last scope can only be closed by a scope's own tag."""
+        where = self.at.get(tag)
+        if where and (tag in SCOPES or not self.scopes or where[-1] > self.scopes[-1]):
+            last = where[-1]
+            while len(self.stack) > last:
+                self.pop()
+
+    def open(self, tag: str, key: str) -> None:
+        inner, kind = self.stack[-1][1], ""
+        if len(self.stack) < DEEP:
+            inner.items.append(group := Group(key))
+        elif (said := role(key)) != "plain" and said not in self.roles:
+            kind = said
+            inner.items.append(group := Group(key))
+        else:
+            group = inner
+        if tag not in VOID:
+            self.push(tag, group, kind)
+
+
 def tokenised(page: str) -> tuple[Group, list[tuple[str, int]]]:
     """The page's groups, not yet folded, and its texts in order: each with its link characters."""
     root = Group("root")
-    stack: list[tuple[str, Group]] = [("", root)]
+    now = _Open(root)
     leaves: list[tuple[str, int]] = []
     buf: list[str] = []
     link = link_chars = 0
@@ -111,62 +238,49 @@ def tokenised(page: str) -> tuple[Group, list[tuple[str, int]]]:
         if buf:
             text = " ".join("".join(buf).split())
             if text:
-                stack[-1][1].items.append(Slot(leaves=[len(leaves)], chars=len(text), links=min(link_chars, len(text))))
+                now.stack[-1][1].items.append(Slot(leaves=[len(leaves)], chars=len(text), links=min(link_chars, len(text)), text=_hash(text)))
                 leaves.append((text, link_chars))
             buf.clear()
         link_chars = 0
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _tokens.search(page, at)
-        if (m.start() if m else n) > at:
-            text = _html.unescape(page[at : m.start() if m else n])
+    for text, closing, tag, attrs in _markup(page):
+        if text:
+            text = _html.unescape(text)
             buf.append(text)
             if link:
                 link_chars += len(text.strip())
-        if not m:
+        if tag is None:
             break
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if tag in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>|<body\b" if tag == "head" else rf"</{tag}\s*>", re.I).search(page, at)
-                at = n if end is None else end.start() if end[0].lower().startswith("<body") else end.end()
-            continue
         if tag not in BLOCKS:
             if tag == "a":
-                link = 0 if m[1] else 1
+                link = 0 if closing else 1
             elif tag == "br":
                 buf.append(" ")
             continue
         flush()
         if tag in ("html", "body"):
             continue
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES and tag not in SCOPES:
-                    break
+        if closing:
+            now.close(tag)
             continue
-        while len(stack) > 1 and tag in CLOSED_BY.get(stack[-1][0], ()):
-            stack.pop()
-        group = Group(_key(tag, m[3]))
-        stack[-1][1].items.append(group)
-        if tag not in VOID and len(stack) < 200:
-            stack.append((tag, group))
+        while len(now.stack) > 1 and tag in CLOSED_BY.get(now.stack[-1][0], ()):
+            now.pop()
+        now.open(tag, _key(tag, attrs))
     flush()
+    mark = (_hash("\n".join(t for t, _ in leaves)),)
+    for x in slots(root):
+        x.seen = mark
     return root, leaves
 
 
-def _joined(a, b):
-    """One item from two with the same key."""
+def _joined(a, b, across: bool = True):
+    """One item from two with the same key, of different pages (across) or of one: then its text is both, one after the other."""
     if a.key == "#":
-        return Slot(a.opt or b.opt, a.leaves + b.leaves, a.chars + b.chars, a.links + b.links)
-    return Group(a.key, a.opt or b.opt, a.rep or b.rep, aligned(a.items, b.items))
+        text = a.text if a.text == b.text else None
+        if not across and a.text is not None and b.text is not None:
+            text = _hash(f"{a.text} {b.text}")
+        return Slot(a.opt or b.opt, a.leaves + b.leaves, a.chars + b.chars, a.links + b.links, text, sorted({*a.seen, *b.seen})[:EVIDENCE])
+    return Group(a.key, a.opt or b.opt, a.rep or b.rep, aligned(a.items, b.items, across))
 
 
 def _optional(x):
@@ -174,15 +288,15 @@ def _optional(x):
     return x
 
 
-def aligned(a: list, b: list) -> list:
+def aligned(a: list, b: list, across: bool = True) -> list:
     """One sequence that both match: common items in order, all others optional."""
     ka, kb = [x.key for x in a], [x.key for x in b]
     if ka == kb:
-        return [_joined(x, y) for x, y in zip(a, b)]
+        return [_joined(x, y, across) for x, y in zip(a, b)]
     if len(a) > MOST_ITEMS or len(b) > MOST_ITEMS:
         found: dict = {}
         for x in [*a, *b]:
-            found[x.key] = _joined(found[x.key], x) if x.key in found else x
+            found[x.key] = _joined(found[x.key], x, across) if x.key in found else x
             found[x.key].opt = True
             if x.key != "#":
                 found[x.key].rep = True
@@ -196,7 +310,7 @@ def aligned(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n and j < m:
         if ka[i] == kb[j]:
-            out.append(_joined(a[i], b[j]))
+            out.append(_joined(a[i], b[j], across))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             out.append(_optional(a[i]))
@@ -205,10 +319,10 @@ def aligned(a: list, b: list) -> list:
             out.append(_optional(b[j]))
             j += 1
     out += [_optional(x) for x in [*a[i:], *b[j:]]]
-    return _repeats(out)
+    return _repeats(out, across)
 
 
-def _repeats(items: list) -> list:
+def _repeats(items: list, across: bool = False) -> list:
     """Neighbours that repeat, alone or in runs of two or three, become one repeated group each."""
     out = items
     for k in (1, 2, 3):
@@ -222,7 +336,7 @@ def _repeats(items: list) -> list:
             j = i + k
             if len(unit) == k and not (k > 1 and len(set(keys)) == 1):
                 while [x.key for x in out[j : j + k]] == keys:
-                    unit = [_joined(x, y) for x, y in zip(unit, out[j : j + k])]
+                    unit = [_joined(x, y, across) for x, y in zip(unit, out[j : j + k])]
                     j += k
             if j > i + k:
                 if k == 1:
@@ -266,13 +380,13 @@ def slots(x):
 
 def dumped(x):
     if x.key == "#":
-        return [int(x.opt), x.chars, x.links]
+        return [int(x.opt), x.chars, x.links, x.text, *x.seen]
     return [x.key, 2 * x.rep + x.opt, [dumped(y) for y in x.items]]
 
 
 def loaded(v):
     if isinstance(v[0], int):
-        return Slot(bool(v[0]), (), v[1], v[2])
+        return Slot(bool(v[0]), (), v[1], v[2], v[3], v[4:])
     return Group(v[0], bool(v[1] & 1), bool(v[1] & 2), map(loaded, v[2]))
 
 
@@ -287,13 +401,20 @@ def role(key: str) -> str:
         return "article"
     if tag == "main" or "articlebody" in words:
         return "main"
-    if words & DROP_NAMES:
+    if words & (PROSE_NAMES if tag in PROSE_TAGS else DROP_NAMES):
         return "drop"
     if tag == "header":
         return "header"
     return "named" if words & CONTENT_NAMES else "plain"
 
 
+def _varying(x) -> int:
+    """Characters of text that differs from page to page, outside links and left-out groups."""
+    if x.key == "#":
+        return 0 if x.text is not None else max(0, x.chars - x.links)
+    return 0 if role(x.key) in ("drop", "header") else sum(map(_varying, x.items))
+
+
 def _plain(x) -> int:
     """Characters outside links and left-out groups."""
     if x.key == "#":
@@ -309,42 +430,62 @@ def _flat(items) -> list:
 def region(wrapper: Group, seen: set[int], alone: list[Group]) -> list[Group]:
     """The groups that are a page's main text. seen: the ids of the wrapper's groups that the page matched; alone: the page's groups that matched none."""
     found: dict[str, list[Group]] = {"article": [], "main": [], "named": []}
-    mass: dict[int, int] = {}
+    above: dict[int, tuple] = {}  # the groups around each one that the page matched
+    own_ids: set[int] = set()
 
-    def walk(x, inside, own):
+    def walk(x, around, own):
         if x.key == "#" or not (own or id(x) in seen):
             return
         r = role(x.key)
         if r in ("drop", "header"):
             return
-        mass[id(x)] = 0 if own else _plain(x)
-        if r in found and r not in inside:
+        above[id(x)] = around
+        if own:
+            own_ids.add(id(x))
+        if r in found and all(role(y.key) != r for y in around):
             found[r].append(x)
-            inside = inside | {r}
         for y in _flat(x.items):
-            walk(y, inside, own)
+            walk(y, (*around, x), own)
 
-    walk(wrapper, frozenset(), False)
+    walk(wrapper, (), False)
     for x in alone:
-        walk(x, frozenset(), True)
-    if found["article"]:
-        return found["article"]
-    for kind in ("main", "named"):
-        if found[kind]:
-            return [max(found[kind], key=lambda x: mass[id(x)])]
+        walk(x, (wrapper,), True)
+    measure = _varying if _varying(wrapper) else _plain
 
     def met(x) -> int:
-        """Plain characters of what the page matched of x."""
+        """What the measure gives for the parts of x that the page matched; groups of the page's own count as plain text."""
         if x.key == "#":
-            return max(0, x.chars - x.links)
-        return sum(map(met, _flat(x.items))) if id(x) in mass else 0
-
-    at, whole = wrapper, met(wrapper)
-    while True:
-        inner = [y for y in _flat(at.items) if id(y) in mass and any(z.key != "#" for z in y.items) and met(y) >= REGION_SHARE * whole]
-        if not inner or not whole:
-            return [at]
+            return measure(x)
+        return 0 if id(x) not in above else _plain(x) if id(x) in own_ids else sum(map(met, _flat(x.items)))
+
+    at, whole = wrapper, met(wrapper) + sum(map(met, alone))
+    while whole:
+        inner = [y for y in [*_flat(at.items), *(alone if at is wrapper else ())] if id(y) in above and any(z.key != "#" for z in y.items) and met(y) >= REGION_SHARE * whole]
+        if not inner:
+            break
         at = max(inner, key=met)
+    if measure is _varying and whole:
+        # what says what it is decides among the groups around and inside the one that the evidence picks
+        near = {id(at), *map(id, above[id(at)])} if at is not wrapper else set()
+        inside = lambda x: any(y is at for y in above[id(x)])
+        for kind in ("article", "main", "named"):
+            if at is wrapper:
+                hit = [x for x in found[kind] if 2 * met(x) >= REGION_SHARE * whole]
+            else:
+                hit = [x for x in found[kind] if id(x) in near or inside(x)]
+            if hit and kind == "article":
+                return found[kind]
+            if hit:
+                return [max(hit, key=met)]
+        if at is wrapper and found["article"] and sum(map(met, found["article"])) >= REGION_SHARE * whole:
+            return found["article"]
+        return [at]
+    if found["article"]:
+        return found["article"]
+    for kind in ("main", "named"):
+        if found[kind]:
+            return [max(found[kind], key=_plain)]
+    return [at]
 
 
 def _pairs(w_items, p_items):
@@ -379,10 +520,10 @@ def slot_flags(wrapper: Group, page: Group) -> list[bool]:
     kept = {id(x) for x in region(wrapper, seen, alone)}
     flags: list[bool] = []
 
-    def match(w_items, p_items, inside, heading_only):
+    def match(w_items, p_items, inside, heading_only, in_heading=False):
         for w, p in _pairs(w_items, p_items):
             if p.key == "#":
-                flags.append(inside and not heading_only)
+                flags.append(inside and not heading_only and not (w is not None and w.template() and not in_heading))
                 continue
             r = role(p.key)
             now = inside or id(w or p) in kept
@@ -391,7 +532,7 @@ def slot_flags(wrapper: Group, page: Group) -> list[bool]:
                 now = False
             if p.key.partition(".")[0] in HEADINGS:
                 only = False
-            match(w.items if w else p.items, p.items, now, only) if now or not inside else flags.extend(False for _ in slots(p))
+            match(w.items if w else p.items, p.items, now, only, in_heading or p.key.partition(".")[0] in HEADINGS) if now or not inside else flags.extend(False for _ in slots(p))
 
     match(wrapper.items, page.items, id(wrapper) in kept, False)
     return flags
@@ -431,6 +572,7 @@ def _fold_pages(batches):
             if name in own:  # the same shape: only its masses are added
                 for s, t in zip(slots(own[name]), slots(root)):
                     s.chars, s.links = s.chars + t.chars, s.links + t.links
+                    s.text, s.seen = s.text if s.text == t.text else None, tuple(sorted({*s.seen, *t.seen})[:EVIDENCE])
             else:
                 own[name] = root
                 if len(own) > 200:

@@ -101,6 +101,61 @@ def test_members_are_gzip():
     assert gzip.decompress(warc.member(data) + warc.member(b"next")) == data + b"next"
 
 
+def pattern(x):
+    """A wrapper's item as a regular expression over one letter a key."""
+    own = "".join(map(pattern, x.items)) if x.key[0] == "(" else x.key
+    return f"(?:{own}){'+' if x.rep else ''}" if not x.opt else f"(?:(?:{own}){'+' if x.rep else ''})?"
+
+
+def test_aligned_patterns_match_both():
+    """Every wrapper of two or three short sequences matches all of them, as a regular expression tells."""
+    import random
+
+    random.seed(4)
+    for _ in range(500):
+        seqs = ["".join(random.choice("abcd") for _ in range(random.randint(0, 7))) for _ in range(random.randint(2, 3))]
+        made = lambda t: wrappers.folded(wrappers.Group("root", items=[wrappers.Group(c) for c in t]))
+        all_ = wrappers._fold_all([made(t) for t in seqs])
+        for t in seqs:
+            assert re.fullmatch("".join(map(pattern, all_.items)), t), (seqs, wrappers.skeleton(all_))
+
+
+FILL = "the same words on every page of this host, longer than any of its texts. " * 12
+
+
+def plain_page(i):
+    paragraphs = "".join(f"<p{' class=search' if k == 1 else ''}>Own words {i} {k} {'x' * (i % 5)}</p>" for k in range(2 + i % 4))
+    return f"<html><body><div><div><a href='/'>Home</a> {FILL}</div><div>{paragraphs}<div>Please join us now</div></div><div>{FILL} end</div></div></body></html>", "\n".join(f"Own words {i} {k} {'x' * (i % 5)}".strip() for k in range(2 + i % 4))
+
+
+def test_the_wrapper_tells_template_from_text(spark):
+    """Pages without article elements or telling names are read right with their host's wrapper and can't be without it, however they are dealt out."""
+    from pyspark.sql import functions as F
+
+    pages = [(i, f"http://one.org/{i}", plain_page(i)[0]) for i in range(12)] + [(100 + i, f"http://{i}.org/", plain_page(i)[0]) for i in range(3)]
+    pages += [(200 + i, "http://copies.org/", "<article><h1>Title</h1><p>Only copies</p></article>") for i in range(9)] + [(300, "http://one.org/again", pages[0][2])]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(df.coalesce(1)).collect()}
+    for i in range(12):
+        assert got[i] == plain_page(i)[1]
+        assert FILL.strip() in got[100 + i % 3]  # a host of one page shows no difference
+    assert {got[200 + i] for i in range(9)} == {"Title\nOnly copies"} and got[300] == got[0]
+    for n in (3, 7):
+        assert {r["page_id"]: r["text"] for r in wrappers.extract(df.repartition(n, F.xxhash64("page_id", F.lit(n)))).collect()} == got
+
+
+def test_long_and_broken_pages_take_linear_time():
+    import time
+
+    cases = {"<x " * 1_500_000: "", "<a \"'>" * 800_000: None, "<div>" * 400_000 + "t" + "</section>" * 400_000: "t", "<li><div>" + "<ul>" * 400_000 + "</li>" * 400_000: "", "<!-- <!--" * 500_000: "", "<p>" + "&amp;" * 1_000_000: "&" * 1_000_000, "< " * 2_000_000: None}
+    for html, want in cases.items():
+        began = time.time()
+        text = wrappers.main_text(html, None, {})
+        assert time.time() - began < 20 and (want is None or text == want), html[:20]
+    deep = "<div>" * 3000 + "<article>good<aside>bad</aside>more<p class='a b c d e hidden'>no</p></article>"
+    assert wrappers.main_text(deep, None, {}) == "good\nmore"
+
+
 def test_archives_by_others(spark, tmp_path):
     """Plain files, gzip members without a length field, files compressed as a whole; all kinds of records; damage never hangs."""
     import gzip
