@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellon.llm.common import materialise, remove_table
+from tessellon.llm.common import materialise
 
 QUOTE = r"^(?:[ \t]*>)+[ \t]?"
 #: Where one sentence ends and the next begins.
@@ -120,16 +120,17 @@ def linked(messages: DataFrame) -> DataFrame:
 
 def _threads(links: DataFrame) -> DataFrame:
     """conv_id, turn, thread_root, reply_depth of the messages that reply."""
-    now = materialise(links.where("reply_to is not null").select("conv_id", "turn", F.col("reply_to").alias("root"), F.lit(1).alias("depth")), "chat-threads")
-    while True:
-        up = now.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next_root"), F.col("depth").alias("more"))
-        step = now.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("next_root", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next_root").isNotNull().alias("moved"))
+    first = materialise(links.where("reply_to is not null").select("conv_id", "turn", F.col("reply_to").alias("root"), F.lit(1).cast("bigint").alias("depth")), "chat-threads")
+    replying = first.select("conv_id", F.col("turn").alias("root"))
+    going, done = first.join(replying, ["conv_id", "root"], "left_semi"), first.join(replying, ["conv_id", "root"], "left_anti")
+    parts = [materialise(x.select(first.columns), "chat-threads") for x in (going, done)]
+    going, done = parts
+    while not going.isEmpty():  # those whose root replies to none are set aside
+        up = going.withColumn("on", F.lit(True)).unionByName(done.withColumn("on", F.lit(False))).select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), "on")
+        step = going.join(up, ["conv_id", "root"]).select("conv_id", "turn", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), "on")
         step = materialise(step, "chat-threads")
-        moved = not step.where("moved").isEmpty()
-        remove_table(now)
-        now = step.drop("moved")
-        if not moved:
-            return now.select("conv_id", "turn", F.col("root").alias("thread_root"), F.col("depth").alias("reply_depth"))
+        going, done = step.where("on").drop("on"), done.unionByName(step.where("not on").drop("on"))
+    return done.select("conv_id", "turn", F.col("root").alias("thread_root"), F.col("depth").alias("reply_depth"))
 
 
 def _ordered(links: DataFrame) -> DataFrame:
@@ -150,14 +151,13 @@ def _ordered(links: DataFrame) -> DataFrame:
     leave = F.struct(F.lit(True).alias("leaves"), F.when(F.col("next").isNotNull(), event(F.col("next"), False)).when(F.col("up").isNotNull(), event(F.col("up"), True)).alias("to"), F.lit(0).cast("bigint").alias("n"))
     now = nodes.select("conv_id", "turn", F.explode(F.array(enter, leave)).alias("e")).select("conv_id", "turn", "e.*")
     now = materialise(now, "chat-tour")
-    while True:  # n: messages entered from here up to, but without, to
-        ahead = now.select("conv_id", F.struct("turn", "leaves").alias("to"), F.col("to").alias("then"), F.col("n").alias("more"))
-        step = now.join(ahead, ["conv_id", "to"], "left").select("conv_id", "turn", "leaves", F.col("then").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+    going, done = now.where("to is not null"), now.where("to is null")
+    while not going.isEmpty():  # n: messages entered from here up to, but without, to. Events that reach the end are set aside
+        ahead = going.unionByName(done).select("conv_id", F.struct("turn", "leaves").alias("to"), F.col("to").alias("then"), F.col("n").alias("more"))
+        step = going.join(ahead, ["conv_id", "to"]).select("conv_id", "turn", "leaves", F.col("then").alias("to"), (F.col("n") + F.col("more")).alias("n"))
         step = materialise(step, "chat-tour")
-        remove_table(now)
-        now = step
-        if now.where("to is not null").isEmpty():
-            return now.where("not leaves").select("conv_id", "turn", F.col("n").alias("after"))
+        going, done = step.where("to is not null"), done.unionByName(step.where("to is null"))
+    return done.where("not leaves").select("conv_id", "turn", F.col("n").alias("after"))
 
 
 def threaded(messages: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ MIN_GROUP = 50
 #: Concentration steps of each start before the best goes on; a determinant must shrink by this share to count as smaller.
 SCREEN, SHRINK = 2, 1e-9
 #: Buckets a floor of a coordinate's histogram and an octave of a distance's.
-PER_FLOOR, PER_OCTAVE = 256, 64
+PER_FLOOR, PER_OCTAVE = 32, 32
 STARTS = 3
 #: Chance that a document of a normal group lies beyond the cut-off.
 ALPHA = 1e-9
