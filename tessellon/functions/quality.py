@@ -13,7 +13,8 @@ from tessellon.schemas import PAYLOAD
 LATE_SECONDS = 60
 #: A timestamp begins with a full date and a time; bare years, months and times of day are refused.
 ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
-REASONS = ("event_time", "ingest_time", "sensor_id", "event_id")
+# The reasons of quarantine, in the order in which they are looked for.
+REASONS = ("missing_or_invalid_event_time", "missing_or_invalid_ingest_time", "missing_field:sensor_id", "missing_field:event_id")
 
 
 def instant(text: Column) -> Column:
@@ -33,7 +34,7 @@ def blank_to_null(text: Column) -> Column:
 def missing_reason(p: Column) -> Column:
     """The first failing identity rule, null if all hold."""
     tests = (instant(p.event_time).isNull(), instant(p.ingest_time).isNull(), blank_to_null(p.sensor_id).isNull(), blank_to_null(p.event_id).isNull())
-    return F.coalesce(*(F.when(t, F.lit(f"missing_or_invalid_{r}")) for r, t in zip(REASONS, tests)))
+    return F.coalesce(*(F.when(t, F.lit(r)) for r, t in zip(REASONS, tests)))
 
 
 def raw_metric(p: Column, m: Metric) -> Column:
@@ -59,8 +60,8 @@ def is_late(received: Column, event: Column, seconds: int = LATE_SECONDS) -> Col
 
 
 def validated(bronze: DataFrame) -> DataFrame:
-    """Bronze rows with everything that Silver and Quarantine need; is_valid tells which they belong to."""
-    rows = bronze.withColumn("p", F.from_json("raw_payload", PAYLOAD))
+    """Bronze rows with everything that Silver and Quarantine need; is_valid tells which they belong to. The payload comes from a generator of one row, as Spark copies no generator: a plain column would be parsed anew for each filter and field."""
+    rows = bronze.withColumn("p", F.explode(F.array(F.from_json("raw_payload", PAYLOAD))))
     p = F.col("p")
     raw = {m.name: raw_metric(p, m) for m in METRICS}
     event, reason = instant(p.event_time), missing_reason(p)
@@ -87,11 +88,3 @@ def any_present(names) -> Column:
 def differs(pairs) -> Column:
     """Whether any pair of columns is distinct, null counting as a value."""
     return reduce(lambda a, b: a | b, (~x.eqNullSafe(y) for x, y in pairs))
-
-
-def later(pairs) -> Column:
-    """Lexicographic greater-than over (new, old) columns; unknown as in SQL row values if a deciding pair has a null."""
-    out = F.lit(False)
-    for new, old in reversed(list(pairs)):
-        out = (new > old) | ((new == old) & out)
-    return out

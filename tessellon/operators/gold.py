@@ -40,6 +40,11 @@ def in_window(rows: DataFrame, time: str, start, end) -> DataFrame:
     return rows.where((F.col(time) >= F.lit(start)) & (F.col(time) < F.lit(end)))
 
 
+def computed(rows: DataFrame, now=None) -> DataFrame:
+    """Hourly rows with the time of computation."""
+    return rows.withColumn("computed_at", F.current_timestamp() if now is None else F.lit(now).cast("timestamp"))
+
+
 def hourly(silver: DataFrame, start=None, end=None, metrics=NAMES) -> DataFrame:
     """sensor_id, hour_start, metric, event_count (readings), avg, min, max: last received copy of each event in the window."""
     rows = silver.where("event_id is not null and sensor_id is not null and event_time_utc is not null")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,31 @@ def with_share(counts: DataFrame, n: str = "n") -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).withColumn("share_pct", F.round(F.lit(100.0) * F.col(n) / F.col("_total"), 4)).drop("_total")
 
 
+def spread(counts: DataFrame, n: str = "n") -> DataFrame:
+    """One row: the largest and the least count and how many times the one is the other."""
+    return counts.agg(F.max(n).alias("most"), F.min(n).alias("least"), F.round(F.max(n) / F.min(n), 4).alias("ratio"))
+
+
+def ordered_fold(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Per key the left fold (x + y) / 2 over its values in order: what a reduce gives that isn't associative, whatever the partitions. The i-th of n values counts 2 ** -(n - i + 1), the first as much as the second."""
+    by = Window.partitionBy(key)
+    placed = rows.where(F.col(value).isNotNull()).select(key, value, F.row_number().over(by.orderBy(order)).alias("_i"), F.count("*").over(by).alias("_n"))
+    weight = F.pow(F.lit(2.0), F.greatest(F.col("_i"), F.lit(2)) - F.col("_n") - 1)
+    return placed.groupBy(key).agg(F.sum(F.col(value) * F.when(F.col("_n") == 1, 1.0).otherwise(weight)).alias("folded"))
+
+
+def bridge_rollup(deliveries: DataFrame, prefix: str) -> DataFrame:
+    """One row for a run's delivered records: counts, bytes, distinct ids and records a second."""
+    at = F.col("ts").try_cast("timestamp")
+    seconds = (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 1e6
+    return deliveries.where(F.col("event_id").startswith(prefix)).agg(F.count("*").alias("delivered"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("bytes"), F.count_distinct("event_id").alias("distinct_ids"), F.round(F.count("*") / F.nullif(seconds, F.lit(0.0)), 6).alias("per_second"))
+
+
+def resource_stats(stats: DataFrame, order: str) -> DataFrame:
+    """Per container first, last, peak and 95th percentile of memory and peak CPU; stats: name, mem_pct, cpu_pct and an order column."""
+    return stats.groupBy("name").agg(F.min_by("mem_pct", order).alias("first_mem"), F.max_by("mem_pct", order).alias("last_mem"), F.max("mem_pct").alias("peak_mem"), F.round(F.percentile("mem_pct", 0.95), 6).alias("p95_mem"), F.max("cpu_pct").alias("peak_cpu"))
+
+
 def source_rollup(manifest: DataFrame, prefix: str) -> DataFrame:
     """One row for a run's source records: counts, bytes, distinct ids, first and last time."""
     own = manifest.where(F.col("event_id").startswith(prefix))
@@ -61,11 +86,11 @@ def progress_rollup(progress: DataFrame, start=None, end=None) -> DataFrame:
     return own.groupBy("query").agg(F.count("*").alias("batches"), F.sum("num_input_rows").alias("num_input_rows"), F.max("batch_id").alias("last_batch_id"), F.percentile(d, 0.5).alias("p50_ms"), F.percentile(d, 0.95).alias("p95_ms"))
 
 
-def container_stats(lines: DataFrame, line: str = "value") -> DataFrame:
-    """name, mem_usage, mem_pct, cpu_pct of tab-separated container statistics; short and empty lines are left out."""
+def container_stats(lines: DataFrame, line: str = "value", keep=()) -> DataFrame:
+    """The kept columns, name, mem_usage, mem_pct, cpu_pct of tab-separated container statistics; short and empty lines are left out."""
     part = F.split(F.regexp_replace(F.col(line), r"\t+$", ""), "\t")
     pct = lambda i: F.regexp_replace(F.trim(F.get(part, i)), "%$", "").try_cast("double")
-    return lines.where(F.size(part) >= 4).select(F.trim(F.get(part, 0)).alias("name"), F.trim(F.get(part, 1)).alias("mem_usage"), pct(2).alias("mem_pct"), pct(3).alias("cpu_pct")).where("name <> ''")
+    return lines.where(F.size(part) >= 4).select(*keep, F.trim(F.get(part, 0)).alias("name"), F.trim(F.get(part, 1)).alias("mem_usage"), pct(2).alias("mem_pct"), pct(3).alias("cpu_pct")).where("name <> ''")
 
 
 def drained(progress: DataFrame, query: str = "q1") -> DataFrame:

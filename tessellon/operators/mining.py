@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = r"([\p{L}\p{N}_]{2,})"
@@ -15,8 +15,9 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
     raw = tf.join(df, "term").crossJoin(F.broadcast(n)).select("doc", "term", (F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).alias("w"))
-    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # the counts' shuffle is made once and used for df too; a document's length comes from the same rows, not from a second pass over the texts
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return raw.select("doc", "term", (F.col("w") / norm).alias("weight"))
 
 
 def copairs(rows: DataFrame, item: str, together: list[str], counted: str, least: int = 2) -> DataFrame:
@@ -61,11 +62,12 @@ def kmeans(rows: DataFrame, features: list[str], k: int, scaled: bool = True, se
     return Pipeline(stages=steps).fit(rows).transform(rows).drop("_raw", "_x")
 
 
-def decision_tree(rows: DataFrame, features: list[str], label: str, depth: int = 3, seed: int = 42) -> DataFrame:
-    """rows with the prediction of a tree grown on them."""
+def decision_tree(rows: DataFrame, features: list[str], label: str, id_col: str, depth: int = 3, seed: int = 42, held: int = 4) -> DataFrame:
+    """The rows of one part in ``held`` (by a hash of the id) with the prediction of a tree grown on the others."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
 
     steps = [VectorAssembler(inputCols=features, outputCol="_x"), DecisionTreeClassifier(maxDepth=depth, seed=seed, featuresCol="_x", labelCol=label, rawPredictionCol="_r", probabilityCol="_p", predictionCol="predicted")]
-    return Pipeline(stages=steps).fit(rows).transform(rows).drop("_x", "_r", "_p")
+    out = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(held)) == 0
+    return Pipeline(stages=steps).fit(rows.where(~out)).transform(rows.where(out)).drop("_x", "_r", "_p")

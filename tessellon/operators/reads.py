@@ -47,17 +47,32 @@ def stats(gold: DataFrame, start: datetime | None = None, end: datetime | None =
     return rows.orderBy("hour_start", "sensor_id", "metric")
 
 
+def latest_duplicates(ledger: DataFrame, limit: int = 50) -> DataFrame:
+    """Events that came more than once, the last repeated first."""
+    return page(ledger.where("duplicate_count > 0").select("event_id", "duplicate_count", "first_processed_at", "last_duplicate_at"), [F.desc_nulls_last("last_duplicate_at"), "event_id"], limit, 0)
+
+
 def serving_summary(ledger: DataFrame, counter: str = "duplicate_count") -> DataFrame:
-    return ledger.agg(F.count("*").alias("events"), F.count_if(F.col(counter) > 0).alias("duplicated_events"), F.coalesce(F.sum(counter), F.lit(0)).alias("duplicates"), F.max(counter).alias("most_duplicates"))
+    return ledger.agg(
+        F.count("*").alias("events"), F.count_if(F.col(counter) > 0).alias("duplicated_events"), F.coalesce(F.sum(counter), F.lit(0)).alias("duplicate_occurrences"),
+        F.max(counter).alias("most_duplicates"), F.max("first_processed_at").alias("last_processed_at"),
+    )
 
 
 def gold_summary(gold: DataFrame) -> DataFrame:
     return gold.agg(
-        F.count("*").alias("gold_rows"), F.sum("event_count").alias("readings"), F.count_distinct("sensor_id").alias("sensors"), F.count_distinct("metric").alias("metrics"),
-        F.count_distinct("hour_start").alias("hours"), F.min("hour_start").alias("gold_start"), (F.max("hour_start") + F.expr("interval 1 hour")).alias("gold_end"),
+        F.count("*").alias("gold_rows"), F.coalesce(F.sum("event_count"), F.lit(0)).alias("gold_readings"), F.count_distinct("sensor_id").alias("gold_sensors"), F.count_distinct("metric").alias("gold_metrics"),
+        F.count_distinct("hour_start").alias("gold_hours"), F.min("hour_start").alias("gold_start"), F.max("hour_start").alias("gold_last_hour"), (F.max("hour_start") + F.expr("interval 1 hour")).alias("gold_end"),
+        F.max("computed_at").alias("gold_computed_at"),
     )
 
 
+def progress(ledger: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """One row: events, those repeated, when the last was processed, and a count per table."""
+    own = ledger.agg(F.count("*").alias("events"), F.count_if(F.col("duplicate_count") > 0).alias("duplicates"), F.max("first_processed_at").alias("last_processed_at"))
+    return own.crossJoin(table_counts(tables))
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """One row with a count per table: one-row aggregates side by side."""
     out = None

@@ -45,5 +45,19 @@ def out_of_order(rows: DataFrame, key: str, event: str, received: str, tie: str)
 
 
 def partition_sizes(rows: DataFrame, n: int, placed) -> DataFrame:
-    """Rows in each of n exact partitions of an integer expression."""
-    return rows.repartitionById(n, placed).groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))
+    """Rows in each of n exact partitions of an integer expression, empty ones included."""
+    counts = rows.repartitionById(n, placed).groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))
+    return rows.sparkSession.range(n).select(F.col("id").cast("int").alias("partition")).join(F.broadcast(counts), "partition", "left").select("partition", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def uniqueness(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: rows, keys, and keys that have more than one row."""
+    per = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return per.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_keys"), F.count_if(F.col("_n") > 1).alias("repeated_keys"))
+
+
+def lag_quantiles(rows: DataFrame, received: str, sent: str) -> DataFrame:
+    """One row: least, largest and quantiles of the seconds from sent to received."""
+    s = (F.unix_micros(F.col(received)) - F.unix_micros(F.col(sent))) / 1e6
+    q = F.percentile(s, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    return rows.agg(F.min(s).alias("lo"), F.max(s).alias("hi"), q.alias("q")).select("lo", "hi", *(F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("p50", "p95", "p99"))))

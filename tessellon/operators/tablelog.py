@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,29 @@ def storage_cost(plans: DataFrame, hot: float = 0.2, parity: float = 1.5) -> Dat
 
 
 def placement_valid(replicas: DataFrame, most_per_rack: int = 2) -> DataFrame:
-    """Per block (block, replica, node, rack): on distinct nodes, at most so many in a rack, on more than one rack."""
-    per = replicas.groupBy("block", "rack").agg(F.count("*").alias("n"), F.count_distinct("node").alias("nodes"))
-    return per.groupBy("block").agg((F.max("n") <= most_per_rack).alias("rack_limit"), (F.count("*") > 1).alias("racks"), (F.sum("n") == F.sum("nodes")).alias("nodes")).select("block", (F.col("rack_limit") & F.col("racks") & F.col("nodes")).alias("valid"))
+    """Per block (block, replica from 1, node, rack): whether replicas are on distinct nodes, at most so many in a rack, the second in another rack than the first, and the third in the second's rack."""
+    of = lambda i, c: F.max(F.when(F.col("replica") == i, F.col(c)))
+    per = replicas.groupBy("block", "rack").agg(F.count("*").alias("n"), F.count_distinct("node").alias("nodes"), *(of(i, "rack").alias(f"r{i}") for i in (1, 2, 3)))
+    one = per.groupBy("block").agg(F.max("n").alias("most"), (F.sum("n") == F.sum("nodes")).alias("distinct"), *(F.max(f"r{i}").alias(f"r{i}") for i in (1, 2, 3)))
+    second = F.coalesce(F.col("r2") != F.col("r1"), F.col("r2").isNull())
+    third = F.coalesce(F.col("r3") == F.col("r2"), F.col("r3").isNull())
+    return one.select("block", ((F.col("most") <= most_per_rack) & F.col("distinct") & second & third).alias("valid"))
+
+
+def racks(topology: DataFrame, least: int = 2) -> int:
+    """How many racks a topology (node, rack) has; an error if they are too few to place replicas in."""
+    n = topology.agg(F.count_distinct("rack").alias("n")).first()["n"]
+    if n < least:
+        raise ValueError(f"{n} rack(s): replicas need {least} at least")
+    return n
+
+
+def write_commit(spark, path: str, version: int, actions: list[dict]) -> None:
+    """One commit of a table log: a file named by its version with a JSON object a line; a version that is there is never overwritten."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(f"{path}/{version:020d}.json")
+    out = to.getFileSystem(conf).create(to, False)
+    try:
+        out.write("".join(json.dumps(a) + "\n" for a in actions).encode())
+    finally:
+        out.close()

@@ -57,28 +57,38 @@ def multi_distinct(spark, sf_dir):
     return table(spark, sf_dir, "orders").agg(F.count_distinct("o_custkey", "o_orderpriority").alias("pairs"), F.count_distinct("o_custkey").alias("customers"))
 
 
-LEDGER_SQL = "SELECT user_id AS event_id, count(*) - 1 AS duplicate_count FROM events GROUP BY 1"
+LEDGER_SQL = "SELECT user_id AS event_id, count(*) - 1 AS duplicate_count, min(ts) AS first_processed_at, CASE WHEN count(*) > 1 THEN max(ts) END AS last_duplicate_at FROM events GROUP BY 1"
 
 
-@plan(f"WITH l AS ({LEDGER_SQL}) SELECT count(*) AS events, count(*) FILTER (WHERE duplicate_count > 0) AS duplicated_events, CAST(coalesce(sum(duplicate_count), 0) AS BIGINT) AS duplicates, max(duplicate_count) AS most_duplicates FROM l")
+def _ledger(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("event_id"))
+    return e.agg((F.count("*") - 1).alias("duplicate_count"), F.min("ts").alias("first_processed_at"), F.when(F.count("*") > 1, F.max("ts")).alias("last_duplicate_at"))
+
+
+@plan(f"WITH l AS ({LEDGER_SQL}) SELECT count(*) AS events, count(*) FILTER (WHERE duplicate_count > 0) AS duplicated_events, CAST(coalesce(sum(duplicate_count), 0) AS BIGINT) AS duplicate_occurrences, max(duplicate_count) AS most_duplicates, max(first_processed_at) AS last_processed_at FROM l")
 def ledger_stats(spark, sf_dir):
-    return reads.serving_summary(table(spark, sf_dir, "events").groupBy("user_id").agg((F.count("*") - 1).alias("duplicate_count")))
+    return reads.serving_summary(_ledger(spark, sf_dir))
+
+
+@plan(f"WITH l AS ({LEDGER_SQL}) SELECT count(*) AS events, count(*) FILTER (WHERE duplicate_count > 0) AS duplicates, max(first_processed_at) AS last_processed_at, (SELECT count(DISTINCT user_id) FROM events) AS sensors, (SELECT count(*) FROM events WHERE value > 300) AS alerts, (SELECT count(*) FROM ({HOURS_SQL.format('')})) AS sensor_hour_rows FROM l")
+def progress_counters(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return reads.progress(_ledger(spark, sf_dir), {"sensors": e.select("user_id").distinct(), "alerts": e.where("value > 300"), "sensor_hour_rows": _hours(e)})
 
 
-@plan(f"WITH l AS ({LEDGER_SQL}) SELECT event_id, duplicate_count FROM l WHERE duplicate_count > 0 ORDER BY duplicate_count DESC, event_id LIMIT 50")
+@plan(f"WITH l AS ({LEDGER_SQL}) SELECT event_id, duplicate_count, first_processed_at, last_duplicate_at FROM l WHERE duplicate_count > 0 ORDER BY last_duplicate_at DESC, event_id LIMIT 50")
 def latest_duplicates(spark, sf_dir):
-    l = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("event_id")).agg((F.count("*") - 1).alias("duplicate_count"))
-    return l.where("duplicate_count > 0").orderBy(F.desc("duplicate_count"), "event_id").limit(50)
+    return reads.latest_duplicates(_ledger(spark, sf_dir))
 
 
-@plan(f"WITH g AS ({HOURS_SQL.format('')}) SELECT count(*) AS gold_rows, CAST(sum(event_count) AS BIGINT) AS readings, count(DISTINCT sensor_id) AS sensors, count(DISTINCT metric) AS metrics, count(DISTINCT hour_start) AS hours, min(hour_start) AS gold_start, max(hour_start) + INTERVAL 1 HOUR AS gold_end FROM g")
+@plan(f"WITH g AS ({HOURS_SQL.format('')}) SELECT count(*) AS gold_rows, CAST(sum(event_count) AS BIGINT) AS gold_readings, count(DISTINCT sensor_id) AS gold_sensors, count(DISTINCT metric) AS gold_metrics, count(DISTINCT hour_start) AS gold_hours, min(hour_start) AS gold_start, max(hour_start) AS gold_last_hour, max(hour_start) + INTERVAL 1 HOUR AS gold_end, max(hour_start) + INTERVAL 2 HOUR AS gold_computed_at FROM g")
 def gold_summary(spark, sf_dir):
-    return reads.gold_summary(_hours(table(spark, sf_dir, "events")))
+    return reads.gold_summary(_hours(table(spark, sf_dir, "events")).withColumn("computed_at", F.col("hour_start") + F.expr("interval 2 hours")))
 
 
-@plan(f"WITH g AS ({HOURS_SQL.format('')}) SELECT * FROM g WHERE sensor_id % 7 = 3 ORDER BY hour_start, sensor_id, metric LIMIT 150")
+@plan(f"WITH g AS ({HOURS_SQL.format('')}) SELECT * FROM g ORDER BY hour_start, sensor_id, metric LIMIT 150")
 def gold_first_rows(spark, sf_dir):
-    return reads.stats(_hours(table(spark, sf_dir, "events").where("user_id % 7 = 3"))).limit(150)
+    return reads.stats(_hours(table(spark, sf_dir, "events"))).limit(150)
 
 
 @plan("SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi, count(DISTINCT o_orderkey) AS distinct_offsets, max(o_orderkey) - min(o_orderkey) + 1 = count(*) AND count(*) = count(DISTINCT o_orderkey) AS contiguous FROM orders GROUP BY 1")
@@ -103,7 +113,7 @@ def set_equality(spark, sf_dir):
     return reconcile.key_difference(o, l, ["k"])
 
 
-@plan(f"WITH {P_SQL} SELECT (SELECT count(*) FROM p WHERE reason IS NULL) AS silver_keys, (SELECT count(*) FROM p WHERE reason IS NOT NULL) AS quarantine_keys, CAST(0 AS BIGINT) AS in_both, CAST(0 AS BIGINT) AS in_neither")
+@plan(f"WITH {P_SQL} SELECT (SELECT count(*) FROM p WHERE reason IS NULL) AS silver_keys, (SELECT count(*) FROM p WHERE reason IS NOT NULL) AS quarantine_keys, (SELECT count(*) FROM (SELECT n FROM p WHERE reason IS NULL INTERSECT SELECT n FROM p WHERE reason IS NOT NULL)) AS in_both, (SELECT count(*) FROM (SELECT n FROM p EXCEPT (SELECT n FROM p WHERE reason IS NULL UNION SELECT n FROM p WHERE reason IS NOT NULL))) AS in_neither")
 def layer_keys(spark, sf_dir):
     from tessellon.operators import layers
 
@@ -115,10 +125,9 @@ def layer_keys(spark, sf_dir):
     return rows.agg(F.count("s").alias("silver_keys"), F.count("q").alias("quarantine_keys"), F.count_if(both).alias("in_both"), F.count_if(none).alias("in_neither"))
 
 
-@plan("SELECT CAST(c_custkey % 5 AS BIGINT) AS placed, count(*) AS n FROM customer GROUP BY 1")
+@plan("SELECT CAST(r.k AS INTEGER) AS partition, count(c_custkey) AS n FROM range(7) r(k) LEFT JOIN customer ON c_custkey % 5 = r.k GROUP BY 1")
 def key_partition_sizes(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 5).cast("bigint").alias("placed"))
-    return c.repartitionById(5, F.col("placed").cast("int")).groupBy("placed").agg(F.count("*").alias("n"))
+    return reconcile.partition_sizes(table(spark, sf_dir, "customer").select("c_custkey"), 7, (F.col("c_custkey") % 5).cast("int"))
 
 
 @plan("SELECT user_id, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 ORDER BY user_id LIMIT 20 OFFSET 10")
@@ -127,9 +136,10 @@ def paged_latest(spark, sf_dir):
     return reads.page(rows, ["user_id"], 20, 10)
 
 
-@plan("SELECT event_id, ts, value FROM events WHERE value > 300 ORDER BY ts DESC, event_id LIMIT 25 OFFSET 5")
+@plan("SELECT event_id, event_type AS rule_id, value, ts AS created_at FROM events WHERE value > 300 ORDER BY ts DESC, event_id, event_type LIMIT 25 OFFSET 5")
 def paged_alerts(spark, sf_dir):
-    return reads.page(table(spark, sf_dir, "events").where("value > 300").select("event_id", "ts", "value"), [F.desc("ts"), "event_id"], 25, 5)
+    rows = table(spark, sf_dir, "events").where("value > 300").select("event_id", F.col("event_type").alias("rule_id"), "value", F.col("ts").alias("created_at"))
+    return reads.alerts(rows, 25, 5)
 
 
 @plan("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
@@ -157,10 +167,11 @@ def run_source_rollup(spark, sf_dir):
     return logs.source_rollup(e, "r-")
 
 
-@plan("SELECT event_type AS query, count(*) AS batches, CAST(sum(user_id) AS BIGINT) AS num_input_rows, max(event_id) AS last_batch_id, round(quantile_cont(CASE WHEN value >= 100 THEN value - 100 END, 0.5), 6) AS p50_ms, round(quantile_cont(CASE WHEN value >= 100 THEN value - 100 END, 0.95), 6) AS p95_ms FROM events GROUP BY 1")
+@plan("SELECT event_type AS query, count(*) AS batches, CAST(sum(user_id) AS BIGINT) AS num_input_rows, max(event_id) AS last_batch_id, round(quantile_cont(CASE WHEN value >= 100 THEN value - 100 END, 0.5), 6) AS p50_ms, round(quantile_cont(CASE WHEN value >= 100 THEN value - 100 END, 0.95), 6) AS p95_ms FROM events WHERE event_id % 11 = 0 OR (ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20') GROUP BY 1")
 def run_progress_rollup(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.lit("not a time").alias("ts"), F.col("event_type").alias("query"), F.col("event_id").alias("batch_id"), F.col("user_id").alias("num_input_rows"), (F.col("value") - 100).alias("duration_ms"))
-    return logs.progress_rollup(e, start="2020-01-01").withColumns({c: F.round(c, 6) for c in ("p50_ms", "p95_ms")})
+    when = F.when(F.col("event_id") % 11 == 0, "not a time").otherwise(F.col("ts").cast("string"))
+    e = table(spark, sf_dir, "events").select(when.alias("ts"), F.col("event_type").alias("query"), F.col("event_id").alias("batch_id"), F.col("user_id").alias("num_input_rows"), (F.col("value") - 100).alias("duration_ms"))
+    return logs.progress_rollup(e, start="2024-01-10", end="2024-01-20").withColumns({c: F.round(c, 6) for c in ("p50_ms", "p95_ms")})
 
 
 @plan("SELECT event_type AS fault, count(*) AS n FROM events GROUP BY 1")
@@ -168,9 +179,39 @@ def run_fault_histogram(spark, sf_dir):
     return logs.fault_histogram(table(spark, sf_dir, "events").select(F.concat(F.lit("r-"), "event_id").alias("event_id"), F.col("event_type").alias("fault")), "r-")
 
 
-@plan("SELECT event_type AS name, min_by(value, event_id) AS first_mem, max_by(value, event_id) AS last_mem, max(value) AS peak_mem, round(quantile_cont(value, 0.95), 6) AS p95_mem FROM events GROUP BY 1")
+@plan("SELECT event_type AS name, min_by(value, event_id) AS first_mem, max_by(value, event_id) AS last_mem, max(value) AS peak_mem, round(quantile_cont(value, 0.95), 6) AS p95_mem, max(CAST(user_id % 100 AS DOUBLE)) AS peak_cpu FROM events GROUP BY 1")
 def resource_stats(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.min_by("value", "event_id").alias("first_mem"), F.max_by("value", "event_id").alias("last_mem"), F.max("value").alias("peak_mem"), F.round(F.percentile("value", 0.95), 6).alias("p95_mem"))
+    e = table(spark, sf_dir, "events")
+    line = F.concat_ws("\t", "event_type", F.lit("1MiB / 2GiB"), F.concat(F.col("value").cast("string"), F.lit("%")), F.concat((F.col("user_id") % 100).cast("string"), F.lit("%")))
+    return logs.resource_stats(logs.container_stats(e.select("event_id", line.alias("value")), keep=["event_id"]), "event_id")
+
+
+@plan("SELECT event_type, count(*) FILTER (WHERE value > 200) AS alerts, count(value) AS present, round(100.0 * count(*) FILTER (WHERE value > 200) / count(value)::DOUBLE, 6) AS per_100 FROM events GROUP BY 1")
+def alert_rate_metric(spark, sf_dir):
+    """Alerts for each hundred present readings of a metric."""
+    fired = F.count_if(F.col("value") > 200)
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(fired.alias("alerts"), F.count("value").alias("present"), F.round(F.lit(100.0) * fired / F.count("value"), 6).alias("per_100"))
+
+
+@plan(f"WITH {P_SQL}, l AS (SELECT epoch_us(date_trunc('second', e.ts)) / 1e6 + CASE b WHEN 10 THEN 120 WHEN 11 THEN 61 WHEN 12 THEN 60 ELSE 1 END - epoch_us(e.ts) / 1e6 AS s FROM p JOIN events e ON e.event_id = p.n) SELECT round(min(s), 3) AS lo, round(max(s), 3) AS hi, round(quantile_cont(s, 0.5), 4) AS p50, round(quantile_cont(s, 0.95), 4) AS p95, round(quantile_cont(s, 0.99), 4) AS p99 FROM l")
+def receive_lag(spark, sf_dir):
+    return reconcile.lag_quantiles(payloads(spark, sf_dir), "received_at_utc", "kafka_timestamp").withColumns({c: F.round(c, 3) for c in ("lo", "hi")})
+
+
+@plan("SELECT count(*) AS delivered, CAST(coalesce(sum(octet_length(encode(props))), 0) AS BIGINT) AS bytes, count(DISTINCT user_id) AS distinct_ids, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS per_second FROM events WHERE user_id % 2 = 0")
+def run_bridge_rollup(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.concat(F.when(F.col("user_id") % 2 == 0, "r-").otherwise("x-"), F.col("user_id").cast("string")).alias("event_id"), F.octet_length("props").alias("payload_bytes"), F.col("ts").cast("string").alias("ts"))
+    return logs.bridge_rollup(e, "r-")
+
+
+@plan("SELECT max(n) AS most, min(n) AS least, round(max(n) / min(n)::DOUBLE, 4) AS ratio FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
+def freq_spread(spark, sf_dir):
+    return logs.spread(table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")))
+
+
+@plan("SELECT user_id, round(list_reduce(list(value ORDER BY event_id), lambda x, y: (x + y) / 2), 6) AS folded FROM events WHERE value IS NOT NULL GROUP BY 1")
+def ordered_fold(spark, sf_dir):
+    return logs.ordered_fold(table(spark, sf_dir, "events"), "user_id", "event_id", "value").withColumn("folded", F.round("folded", 6))
 
 
 @plan("SELECT date_trunc('hour', ts) AS hour_start, count(*) AS n, round(100.0 * count(*) FILTER (WHERE value > 200) / count(*)::DOUBLE, 6) AS alerts_per_100 FROM events GROUP BY 1")

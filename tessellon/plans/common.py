@@ -65,7 +65,7 @@ P_SQL = """
 p AS (
   SELECT event_id AS n, event_id % 50 AS b, user_id, date_trunc('second', ts) AS t, value,
          CASE WHEN event_id % 50 IN (3, 9) THEN 'missing_or_invalid_event_time' WHEN event_id % 50 = 4 THEN 'missing_or_invalid_ingest_time'
-              WHEN event_id % 50 = 2 THEN 'missing_or_invalid_sensor_id' WHEN event_id % 50 = 1 THEN 'missing_or_invalid_event_id' END AS reason,
+              WHEN event_id % 50 = 2 THEN 'missing_field:sensor_id' WHEN event_id % 50 = 1 THEN 'missing_field:event_id' END AS reason,
          CASE WHEN event_id % 50 IN (5, 6) THEN NULL WHEN event_id % 50 = 8 THEN 21.0 ELSE floor(value / 10) END AS temperature_c,
          CASE WHEN event_id % 50 = 7 THEN NULL ELSE CAST(CAST(floor(value) AS BIGINT) % 100 AS DOUBLE) END AS humidity_pct,
          CASE WHEN event_id % 50 = 5 THEN 'non_numeric:temperature_c' WHEN event_id % 50 = 6 THEN 'value_out_of_bounds:temperature_c' WHEN event_id % 50 = 7 THEN 'value_out_of_bounds:humidity_pct' END AS issues,

@@ -131,12 +131,20 @@ def regression(spark, sf_dir):
     return mining.line_fit(rows, "y", "x").select(F.round("intercept", 4).alias("intercept"), F.round("slope", 4).alias("slope"))
 
 
+def _features(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    names = [f"f{i}" for i in range(vectors.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    return vectors.select("vec_id", *(F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(names))), names
+
+
 @plan()
 def kmeans(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    features = [f"f{i}" for i in range(vectors.agg(F.max(F.size("embedding"))).first()[0] or 0)]
-    rows = vectors.select("vec_id", *(F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(features)))
-    return mining.kmeans(rows, features, 3).groupBy("cluster").agg(F.count("*").alias("n"))
+    return mining.kmeans(*_features(spark, sf_dir), 3).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@plan()
+def kmeans_raw(spark, sf_dir):
+    return mining.kmeans(*_features(spark, sf_dir), 3, scaled=False).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @plan()
@@ -144,12 +152,12 @@ def decision_tree(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     words = F.size(F.split("text", r"\s+"))
     rows = d.select("doc_id", F.col("quality").cast("double").alias("quality"), words.cast("double").alias("words"), (F.col("n_chars") / words).alias("mean_word"), F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("double").alias("symbols"))
-    return mining.decision_tree(rows, ["words", "mean_word", "symbols"], "quality").groupBy("quality", "predicted").agg(F.count("*").alias("n"))
+    return mining.decision_tree(rows, ["words", "mean_word", "symbols"], "quality", "doc_id").groupBy("quality", "predicted").agg(F.count("*").alias("n"))
 
 
-@plan("SELECT * FROM (VALUES (500, 3, 1500.0::DOUBLE, 900.0::DOUBLE, 40.0::DOUBLE), (2000, 2, 4000.0::DOUBLE, 3200.0::DOUBLE, 20.0::DOUBLE)) t(terabytes, copies, replicated_tb, hybrid_tb, saving_pct)")
+@plan("SELECT terabytes, copies, (terabytes * copies)::DOUBLE AS replicated_tb, round(0.2 * terabytes * copies + 0.8 * terabytes * 1.5, 6)::DOUBLE AS hybrid_tb, round(100.0 * (terabytes * copies - (0.2 * terabytes * copies + 0.8 * terabytes * 1.5)) / (terabytes * copies), 4)::DOUBLE AS saving_pct FROM (SELECT DISTINCT p_size * 100 AS terabytes, p_size % 3 + 2 AS copies FROM part)")
 def storage_cost(spark, sf_dir):
-    return tablelog.storage_cost(spark.createDataFrame([(500, 3), (2000, 2)], "terabytes int, copies int"))
+    return tablelog.storage_cost(table(spark, sf_dir, "part").select((F.col("p_size") * 100).alias("terabytes"), (F.col("p_size") % 3 + 2).alias("copies")).distinct())
 
 
 def _log(spark, sf_dir):
@@ -175,6 +183,10 @@ def commit_summary(spark, sf_dir):
     return tablelog.commit_summary(_log(spark, sf_dir))
 
 
-@plan("SELECT l_orderkey AS block, max(n) <= 2 AND count(*) > 1 AND sum(n) = sum(d) AS valid FROM (SELECT l_orderkey, l_suppkey % 3 AS rack, count(*) AS n, count(DISTINCT l_suppkey % 8) AS d FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+@plan("""WITH r AS (SELECT l_orderkey AS block, l_linenumber AS replica, l_suppkey % 3 AS rack, l_suppkey % 8 AS node FROM lineitem),
+k AS (SELECT block, rack, count(*) AS n, count(DISTINCT node) AS d FROM r GROUP BY 1, 2), s AS (SELECT block, max(n) AS most, sum(n) = sum(d) AS apart FROM k GROUP BY 1),
+o AS (SELECT block, max(rack) FILTER (WHERE replica = 1) AS r1, max(rack) FILTER (WHERE replica = 2) AS r2, max(rack) FILTER (WHERE replica = 3) AS r3 FROM r GROUP BY 1)
+SELECT s.block, most <= 2 AND apart AND (r2 IS NULL OR coalesce(r1 <> r2, false)) AND (r3 IS NULL OR coalesce(r2 = r3, false)) AS valid FROM s JOIN o ON o.block = s.block""")
 def placement_valid(spark, sf_dir):
-    return tablelog.placement_valid(vector(spark, sf_dir).select(F.col("l_orderkey").alias("block"), (F.col("l_suppkey") % 3).alias("rack"), (F.col("l_suppkey") % 8).alias("node")))
+    rows = vector(spark, sf_dir).select(F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("replica"), (F.col("l_suppkey") % 3).alias("rack"), (F.col("l_suppkey") % 8).alias("node"))
+    return tablelog.placement_valid(rows)

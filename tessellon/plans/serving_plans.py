@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellon.functions.quality import validated
-from tessellon.operators import gold, layers, serving
+from tessellon.operators import gold, layers, reconcile, serving
 from tessellon.plans.common import P_SQL, VECTOR, collector, payloads, table, vector
 from tessellon.registry import Metric
 
@@ -44,8 +44,7 @@ def gold_window_summary(spark, sf_dir):
 u AS (SELECT * FROM (SELECT l_shipdate, {V} FROM d WHERE rn = 1) UNPIVOT (value FOR metric IN ({V})))
 SELECT CAST(l_shipdate AS DATE) AS day, metric, count(*) AS event_count, round(avg(value), 8) AS avg_value, min(value) AS min_value, max(value) AS max_value FROM u GROUP BY 1, 2""")
 def gold_vector_hourly(spark, sf_dir):
-    rows = vector(spark, sf_dir).withColumn("k", F.struct("l_orderkey", "l_linenumber"))
-    rows = serving.newest(rows, "k", ["l_shipdate", "l_partkey", "l_suppkey"])
+    rows = serving.newest(vector(spark, sf_dir), ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey"])
     rows = rows.select(F.col("l_shipdate").cast("date").alias("day"), *(F.col(c).cast("double").alias(c) for c in VECTOR))
     return layers.unpivoted(rows, ["day"], VECTOR).groupBy("day", "metric").agg(F.count("*").alias("event_count"), F.round(F.avg("value"), 8).alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
 
@@ -59,8 +58,8 @@ def unpivot_readings(spark, sf_dir):
 @plan("""SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
 ORDER BY l_shipdate DESC NULLS LAST, l_partkey DESC NULLS LAST, l_suppkey DESC NULLS LAST) AS rn FROM lineitem) WHERE rn = 1""")
 def dedup_latest(spark, sf_dir):
-    rows = vector(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey").withColumn("k", F.struct("l_orderkey", "l_linenumber"))
-    return serving.newest(rows, "k", ["l_shipdate", "l_partkey", "l_suppkey"]).drop("k")
+    rows = vector(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
+    return serving.newest(rows, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey"])
 
 
 @plan("""SELECT user_id, ts, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST) AS rn FROM events WHERE value IS NOT NULL) WHERE rn = 1""")
@@ -72,8 +71,8 @@ def latest_per_sensor(spark, sf_dir):
 @plan("""SELECT l_orderkey, l_partkey, l_suppkey, n - 1 AS duplicates FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS LAST, l_shipdate NULLS LAST, l_partkey NULLS LAST, l_suppkey NULLS LAST) AS rn,
 count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE rn = 1""")
 def first_occurrence_counts(spark, sf_dir):
-    place = F.struct("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
-    return vector(spark, sf_dir).groupBy("l_orderkey").agg(F.min_by("l_partkey", place).alias("l_partkey"), F.min_by("l_suppkey", place).alias("l_suppkey"), (F.count("*") - 1).alias("duplicates"))
+    rows = vector(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", F.lit(0).cast("bigint").alias("duplicates"))
+    return serving.upsert_ledger(rows.limit(0), rows, "l_orderkey", ("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey"), "duplicates").select("l_orderkey", "l_partkey", "l_suppkey", "duplicates")
 
 
 def _batches(spark, sf_dir):
@@ -125,12 +124,12 @@ def payload_conflicts(spark, sf_dir):
     return serving.payload_conflicts(state, rows, "l_orderkey", ["l_discount", "l_tax"]).agg(F.count("*").alias("conflicts"))
 
 
-@plan(f"""WITH old AS ({HOURS_SQL.format("WHERE event_id % 3 <> 0")}), new AS ({HOURS_SQL.format("WHERE event_id % 5 = 0")})
+@plan(f"""WITH old AS ({HOURS_SQL.format("")}), new AS ({HOURS_SQL.format("WHERE value > 150")})
 SELECT coalesce(n.sensor_id, o.sensor_id) AS sensor_id, coalesce(n.hour_start, o.hour_start) AS hour_start, coalesce(n.metric, o.metric) AS metric, coalesce(n.event_count, o.event_count) AS event_count, coalesce(n.avg_value, o.avg_value) AS avg_value,
 coalesce(n.min_value, o.min_value) AS min_value, coalesce(n.max_value, o.max_value) AS max_value FROM new n FULL JOIN old o ON n.sensor_id = o.sensor_id AND n.hour_start = o.hour_start AND n.metric = o.metric""")
 def gold_upsert_replace(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return serving.replace_keys(_hours(e.where("event_id % 3 <> 0")), _hours(e.where("event_id % 5 = 0")), ["sensor_id", "hour_start", "metric"])
+    return serving.replace_keys(_hours(e), _hours(e.where("value > 150")), ["sensor_id", "hour_start", "metric"])
 
 
 @plan(f"WITH {P_SQL} SELECT coalesce(reason, 'valid') AS class, count(*) AS n FROM p GROUP BY 1")
@@ -153,7 +152,7 @@ def quarantine(spark, sf_dir):
     return layers.quarantine(payloads(spark, sf_dir)).select("kafka_offset", "error_reason", "record_key")
 
 
-@plan(f"WITH {P_SQL} SELECT count(*) AS bronze, count(*) FILTER (WHERE reason IS NULL) AS silver, count(*) FILTER (WHERE reason IS NOT NULL) AS quarantine, true AS accounted FROM p")
+@plan(f"WITH {P_SQL} SELECT count(*) AS bronze, count(*) FILTER (WHERE reason IS NULL) AS silver, count(*) FILTER (WHERE reason IS NOT NULL) AS quarantine, count(*) = count(*) FILTER (WHERE reason IS NULL) + count(reason) AS accounted FROM p")
 def layer_accounting(spark, sf_dir):
     rows = validated(payloads(spark, sf_dir))
     return rows.agg(F.count("*").alias("bronze"), F.count_if("is_valid").alias("silver"), F.count_if(~F.col("is_valid")).alias("quarantine")).withColumn("accounted", F.col("bronze") == F.col("silver") + F.col("quarantine"))
@@ -172,7 +171,7 @@ def json_extract(spark, sf_dir):
 
 
 @plan(f"""WITH {P_SQL} SELECT round(avg(CAST(late AS INT)) FILTER (WHERE reason IS NULL), 6) AS late_ratio, round(1.0 - count(*) FILTER (WHERE reason IS NULL) / count(*)::DOUBLE, 6) AS invalid_ratio,
-round(count(*) FILTER (WHERE reason IS NULL AND contains(issues, 'temperature_c')) / (count(*) FILTER (WHERE reason IS NULL))::DOUBLE, 6) AS masked_temperature_ratio, CAST(0.0 AS DOUBLE) AS duplicate_ratio FROM p""")
+round(count(*) FILTER (WHERE reason IS NULL AND contains(issues, 'temperature_c')) / (count(*) FILTER (WHERE reason IS NULL))::DOUBLE, 6) AS masked_temperature_ratio, round(1.0 - count(DISTINCT CASE WHEN reason IS NULL THEN 'zoneA-' || lpad(CAST(n AS VARCHAR), 6, '0') END) / (count(*) FILTER (WHERE reason IS NULL))::DOUBLE, 6) AS duplicate_ratio FROM p""")
 def dq_ratios(spark, sf_dir):
     rows = validated(payloads(spark, sf_dir))
     ok = F.col("is_valid")
@@ -181,3 +180,20 @@ def dq_ratios(spark, sf_dir):
         F.round(F.count_if(ok & F.col("is_late")) / n, 6).alias("late_ratio"), F.round(F.count_if(~ok) / F.count("*"), 6).alias("invalid_ratio"),
         F.round(F.count_if(ok & F.contains("metric_issues", F.lit("temperature_c"))) / n, 6).alias("masked_temperature_ratio"), F.round((n - F.count_distinct(F.when(ok, F.col("p.event_id")))) / n, 6).alias("duplicate_ratio"),
     )
+
+
+@plan("""WITH l AS (SELECT l_orderkey AS event_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_keys, count(*) FILTER (WHERE c > 1) AS repeated_keys FROM (SELECT event_id, count(*) AS c FROM l GROUP BY 1)""")
+def ledger_unique(spark, sf_dir):
+    """One ledger row for each event after a batch and a replay of it."""
+    rows = vector(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", F.lit(0).cast("bigint").alias("duplicate_count"))
+    order = ("l_linenumber", "l_partkey")
+    state = serving.upsert_ledger(serving.upsert_ledger(rows.limit(0), rows, "l_orderkey", order), rows, "l_orderkey", order)
+    return reconcile.uniqueness(state, ["l_orderkey"])
+
+
+@plan(f"""WITH g AS ({HOURS_SQL.format("")}) SELECT CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_keys, count(*) FILTER (WHERE c > 1) AS repeated_keys FROM (SELECT sensor_id, hour_start, metric, count(*) AS c FROM g GROUP BY 1, 2, 3)""")
+def gold_unique(spark, sf_dir):
+    """One Gold row for each sensor, hour and metric after a rerun that makes only some of them: the others stay."""
+    e = table(spark, sf_dir, "events")
+    keys = ["sensor_id", "hour_start", "metric"]
+    return reconcile.uniqueness(serving.replace_keys(_hours(e), _hours(e.where("value > 150")), keys), keys)

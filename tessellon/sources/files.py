@@ -81,6 +81,20 @@ def write_json_result(row: dict, path: str, spark: SparkSession) -> None:
     spark.createDataFrame([row]).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_log(rows: DataFrame, path: str) -> None:
+    """A delivery log or source manifest: a JSON object a row, appended."""
+    rows.write.mode("append").json(path)
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """All results below a folder as one table, a row each, with the experiment's name (its folder)."""
+    return spark.read.option("recursiveFileLookup", True).json(path).withColumn("experiment", F.element_at(F.split(F.input_file_name(), "/"), -2))
+
+
 def jdbc_append(rows: DataFrame, url: str, table: str, **options) -> None:
     """Append by column name in batches of 1000 under read-committed isolation."""
     base = {"url": url, "dbtable": table, "batchsize": "1000", "isolationLevel": "READ_COMMITTED"}

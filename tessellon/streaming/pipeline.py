@@ -15,10 +15,12 @@ TABLES = {"sensor_latest": LATEST, "alerts": ALERTS, "processed_events": LEDGER}
 
 
 class SnapshotStore:
-    """Serving tables as Parquet snapshots, one folder per batch, and a pointer written last.
+    """Serving tables as Parquet snapshots, one folder per version, and a marker for each version, written last under a new name.
 
-    A batch becomes visible as a whole or not at all; one that was applied before is a no-op, so a replay after a
-    failure neither doubles counters nor loses rows. Readers follow the pointer.
+    The highest marker names the version that readers see, so a batch becomes visible as a whole or not at all, and a
+    failure between any two steps leaves the version before it in force. A marker tells the streaming query and its batch;
+    a batch that this query applied before is a no-op, so a replay after a failure neither doubles counters nor loses rows.
+    A query with a new checkpoint is another one: its batches are applied from its own first.
     """
 
     def __init__(self, spark: SparkSession, root: str, keep: int = 2):
@@ -27,35 +29,49 @@ class SnapshotStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> int:
-        """The last batch applied, -1 before the first."""
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return -1
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first()[0])
+    def _markers(self) -> list[int]:
+        at = self._path(f"{self.root}/_versions")
+        names = [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n) for n in names if n.isdecimal())
 
-    def read(self, table: str, batch: int | None = None) -> DataFrame:
-        batch = self.current() if batch is None else batch
-        return self.spark.createDataFrame([], TABLES[table]) if batch < 0 else self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/v={batch}/{table}")
+    def current(self) -> int:
+        """The version in force, -1 before the first."""
+        return max(self._markers(), default=-1)
 
-    def apply(self, batch_id: int, silver: DataFrame) -> int | None:
-        """Apply a Silver micro-batch: latest, then alerts, then the ledger, then the conflict count against the new ledger. Returns the conflicts, None for a replay."""
+    def applied(self) -> dict[str, int]:
+        """The last batch of each query, as the version in force has it."""
         now = self.current()
-        if batch_id <= now:
+        return {} if now < 0 else json.loads(self.spark.read.text(f"{self.root}/_versions/{now}").first()[0])
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        version = self.current() if version is None else version
+        return self.spark.createDataFrame([], TABLES[table]) if version < 0 else self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/v={version}/{table}")
+
+    def _mark(self, version: int, applied: dict[str, int]) -> None:
+        """Write a marker under another name and rename it, which makes the version the one in force."""
+        made, to = self._path(f"{self.root}/_versions/.{version}"), self._path(f"{self.root}/_versions/{version}")
+        out = self._fs.create(made, True)
+        out.write(json.dumps(applied).encode())
+        out.close()
+        if not self._fs.rename(made, to):
+            raise RuntimeError(f"version {version} is there already: another writer uses {self.root}")
+
+    def apply(self, batch_id: int, silver: DataFrame, query_id: str = "") -> int | None:
+        """Apply a Silver micro-batch: latest, then alerts, then the ledger, then the conflict count against the new ledger. Returns the conflicts, None for a replay."""
+        now, applied = self.current(), self.applied()
+        if batch_id <= applied.get(query_id, -1):
             return None
         batch = silver.withColumnsRenamed({"event_time_utc": "event_time", "received_at_utc": "received_at"}).persist()
         try:
-            to = f"{self.root}/v={batch_id}"
+            to = f"{self.root}/v={now + 1}"
             serving.upsert_latest(self.read("sensor_latest", now), batch).write.mode("overwrite").parquet(f"{to}/sensor_latest")
             serving.insert_alerts(self.read("alerts", now), serving.alerts(batch)).write.mode("overwrite").parquet(f"{to}/alerts")
             serving.upsert_ledger(self.read("processed_events", now), batch).write.mode("overwrite").parquet(f"{to}/processed_events")
-            conflicts = serving.payload_conflicts(self.read("processed_events", batch_id), batch).count()
-            pointer = f"{self.root}/CURRENT.next-{batch_id}"
-            self.spark.createDataFrame([(str(batch_id),)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
-            old = self._path(f"{self.root}/CURRENT")
-            self._fs.delete(old, True)
-            self._fs.rename(self._path(pointer), old)
-            self._fs.delete(self._path(f"{self.root}/v={batch_id - self.keep}"), True)
+            conflicts = serving.payload_conflicts(self.read("processed_events", now + 1), batch).count()
+            self._mark(now + 1, applied | {query_id: batch_id})
+            for old in [m for m in self._markers() if m <= now + 1 - self.keep]:
+                self._fs.delete(self._path(f"{self.root}/v={old}"), True)
+                self._fs.delete(self._path(f"{self.root}/_versions/{old}"), True)
             return conflicts
         finally:
             batch.unpersist()
@@ -78,7 +94,7 @@ def _stages(spark, source, root, trigger):
     yield lambda: append(layers.quarantine(bronze_stream(spark, f"{root}/bronze")), f"{root}/quarantine", f"{ck}/q2b", "q2b", **trigger)
     yield lambda: (
         silver_stream(spark, f"{root}/silver").writeStream.queryName("q3").option("checkpointLocation", f"{ck}/q3")
-        .foreachBatch(lambda df, i: store.apply(i, df)).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+        .foreachBatch(lambda df, i: store.apply(i, df, df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "")).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
     )
 
 

@@ -41,7 +41,7 @@ def test_identity_rules_in_order(spark):
         (changed(ingest_time=...), "ingest_time"), (changed(sensor_id="  ", event_id=""), "sensor_id"), (changed(event_id=""), "event_id"), ("{broken", "event_time"), ("", "event_time"), (None, "event_time"),
     ]
     got = quality.validated(bronze(spark, [p for p, _ in cases])).orderBy("kafka_offset").collect()
-    assert [r["error_reason"] for r in got] == [f"missing_or_invalid_{x}" for _, x in cases]
+    assert [r["error_reason"] for r in got] == [f"missing_field:{x}" if x in ("sensor_id", "event_id") else f"missing_or_invalid_{x}" for _, x in cases]
     keys = [r["record_key"] for r in layers.quarantine(bronze(spark, [p for p, _ in cases])).orderBy("kafka_offset").collect()]
     assert keys[0] == GOOD["event_id"] and keys[6] == "" and keys[7] == "sensor_raw-0-7"
 
@@ -109,8 +109,8 @@ def test_ledger_counts_copies_and_conflicts(spark):
 
 def test_gold_replaces_keys_and_windows(spark):
     h = [T0 + timedelta(hours=i) for i in range(3)]
-    old = spark.createDataFrame([("s", h[0], "m", 1, 1.0, 1.0, 1.0), ("s", h[1], "m", 2, 2.0, 2.0, 2.0)], GOLD)
-    new = spark.createDataFrame([("s", h[1], "m", 9, 9.0, 9.0, 9.0)], GOLD)
+    old = spark.createDataFrame([("s", h[0], "m", 1, 1.0, 1.0, 1.0, T0), ("s", h[1], "m", 2, 2.0, 2.0, 2.0, T0)], GOLD)
+    new = spark.createDataFrame([("s", h[1], "m", 9, 9.0, 9.0, 9.0, T0)], GOLD)
     assert sorted(r["event_count"] for r in serving.replace_keys(old, new, ["sensor_id", "hour_start", "metric"]).collect()) == [1, 9]
     assert sorted(r["event_count"] for r in serving.replace_window(old, new, "hour_start", h[0], h[2]).collect()) == [9]
 
@@ -129,18 +129,12 @@ def test_gold_window_and_dedup(spark):
         layers.unpivoted(rows, ["mqtt_topic"], [])
 
 
-def test_row_value_compare_with_null(spark):
-    df = spark.createDataFrame([(2, None, 1, 5), (1, 3, 1, 2), (1, None, 1, 2), (1, 2, 1, 2)], "a int, b int, c int, d int")
-    got = [r[0] for r in df.select(quality.later([(F.col("a"), F.col("c")), (F.col("b"), F.col("d"))])).collect()]
-    assert got == [True, True, None, False]
-
-
 def test_reads(spark):
     df = spark.createDataFrame([(f"s{i:02d}", i) for i in range(30)], "sensor_id string, n int")
     rows, total = reads.latest(df, limit=5, offset=10)
     assert [r["n"] for r in rows.collect()] == [10, 11, 12, 13, 14] and total.first()["total"] == 30
     assert reads.page(df, ["n"], 10_000, -5).count() == 30 and reads.page(df, ["n"], 0, 0).count() == 1
-    g = spark.createDataFrame([("s", T0 + timedelta(hours=i), "m", 1, 1.0, 1.0, 1.0) for i in range(30)], GOLD)
+    g = spark.createDataFrame([("s", T0 + timedelta(hours=i), "m", 1, 1.0, 1.0, 1.0, T0) for i in range(30)], GOLD)
     assert reads.stats(g).count() == 30
     assert reads.stats(g, end=T0 + timedelta(hours=26)).count() == 24
     with pytest.raises(ValueError):
@@ -169,7 +163,7 @@ def test_reconcile(spark):
     assert (r["groups"], r["only_left"], r["only_right"], r["mismatched"]) == (4, 1, 1, 1)
     assert not reconcile.same_rows(a, b) and reconcile.same_rows(a, a)
     sizes = reconcile.partition_sizes(spark.range(10).selectExpr("cast(id % 3 as int) as p"), 5, F.col("p")).collect()
-    assert sorted((r["partition"], r["n"]) for r in sizes) == [(0, 4), (1, 3), (2, 3)]
+    assert sorted((r["partition"], r["n"]) for r in sizes) == [(0, 4), (1, 3), (2, 3), (3, 0), (4, 0)]
 
 
 def test_table_log(spark, tmp_path):
@@ -193,7 +187,75 @@ def test_mining(spark):
     assert len(set(groups.values())) == 3 and all(groups[3 * g] == groups[3 * g + 1] == groups[3 * g + 2] for g in range(3))
     fit = mining.line_fit(spark.createDataFrame([(1.0, 31.0), (2.0, 41.0)], "x double, y double"), "y", "x").first()
     assert (fit["intercept"], fit["slope"]) == (21.0, 10.0)
-    tree = mining.decision_tree(spark.createDataFrame([(float(h), float(h > 4)) for h in range(8)], "h double, label double"), ["h"], "label")
-    assert tree.where("label <> predicted").count() == 0
+    grown = spark.createDataFrame([(i, float(i % 10), float(i % 10 > 4)) for i in range(200)], "i int, h double, label double")
+    tree = mining.decision_tree(grown, ["h"], "label", "i")
+    assert tree.where("label <> predicted").count() == 0 and 20 < tree.count() < 80
+    raw = {r["id"]: r["cluster"] for r in mining.kmeans(points.withColumn("x", F.col("x") * 0 + F.col("id") % 2), ["x", "y"], 3, scaled=False).collect()}
+    assert all(raw[3 * g] == raw[3 * g + 1] == raw[3 * g + 2] for g in range(3))
     cost = tablelog.storage_cost(spark.createDataFrame([(500, 3), (2000, 2)], "terabytes int, copies int")).collect()
     assert [tuple(r)[2:] for r in cost] == [(1500.0, 900.0, 40.0), (4000.0, 3200.0, 20.0)]
+
+
+def test_serving_rows_are_stamped(spark):
+    """created_at, updated_at, first_processed_at, last_duplicate_at and computed_at, and the reads that order by them."""
+    t = {"temperature_c": 40.0}
+    at = [datetime(2026, 9, 18, 10 + i) for i in range(3)]
+    first = silver(spark, [("e1", "s1", 5, 6, t), ("e2", "s2", 5, 6, t), ("e2", "s2", 5, 6, t)])
+    again = silver(spark, [("e1", "s1", 5, 6, t), ("e3", "s1", 7, 8, t)])
+    latest = serving.upsert_latest(serving.upsert_latest(empty(spark, LATEST), first, now=at[0]), again, now=at[1])
+    assert {r["sensor_id"]: (r["event_id"], r["updated_at"]) for r in latest.collect()} == {"s1": ("e3", at[1]), "s2": ("e2", at[0])}
+    made = serving.insert_alerts(serving.insert_alerts(empty(spark, ALERTS), serving.alerts(first), now=at[0]), serving.alerts(again), now=at[1])
+    assert [(r["event_id"], r["created_at"]) for r in reads.alerts(made).collect()] == [("e3", at[1]), ("e1", at[0]), ("e2", at[0])]
+    ledger = serving.upsert_ledger(serving.upsert_ledger(empty(spark, LEDGER), first, now=at[0]), again, now=at[1])
+    assert {r["event_id"]: (r["first_processed_at"], r["duplicate_count"], r["last_duplicate_at"]) for r in ledger.collect()} == {"e1": (at[0], 1, at[1]), "e2": (at[0], 1, None), "e3": (at[1], 0, None)}
+    assert [r["event_id"] for r in reads.latest_duplicates(ledger).collect()] == ["e1", "e2"]
+    assert tuple(reads.serving_summary(ledger).first()) == (3, 2, 2, 1, at[1])
+    assert tuple(reads.progress(ledger, {"alerts": made}).first()) == (3, 2, at[1], 3)
+    gold_rows = gold.computed(spark.createDataFrame([("s", at[0], "m", 2, 1.0, 1.0, 1.0)], GOLD.rsplit(", ", 1)[0]), at[2])
+    assert gold_rows.columns == spark.createDataFrame([], GOLD).columns
+    assert reads.gold_summary(gold_rows).first()["gold_computed_at"] == at[2] and reads.gold_summary(gold_rows).first()["gold_last_hour"] == at[0]
+
+
+def test_payloads_are_parsed_once(spark):
+    for layer in (layers.silver, layers.quarantine):
+        plan = layer(bronze(spark, [GOOD, "{broken"]).repartition(2))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1 and "Python" not in plan
+
+
+def test_replica_order_and_racks(spark):
+    rows = lambda block, *places: [(block, i + 1, n, r) for i, (n, r) in enumerate(places)]
+    all_ = rows(1, ("a", 1), ("b", 2), ("c", 2)) + rows(2, ("a", 1), ("b", 1), ("c", 2)) + rows(3, ("a", 1), ("b", 2), ("c", 1)) + rows(4, ("a", 1), ("b", 2), ("b", 2)) + rows(5, ("a", 1)) + rows(6, ("a", 1), ("b", 2), ("c", 2), ("d", 1), ("e", 3)) + rows(7, ("a", 1), ("b", 2), ("c", 2), ("d", 2))
+    df = spark.createDataFrame(all_, "block int, replica int, node string, rack int")
+    assert {r["block"]: r["valid"] for r in tablelog.placement_valid(df).collect()} == {1: True, 2: False, 3: False, 4: False, 5: True, 6: True, 7: False}
+    assert tablelog.racks(df.select("node", "rack")) == 3
+    with pytest.raises(ValueError, match="rack"):
+        tablelog.racks(df.where("rack = 1").select("node", "rack"))
+
+
+def test_written_logs_and_results(spark, tmp_path):
+    from tessellon.sources import files
+
+    path = f"file://{tmp_path}/log"
+    tablelog.write_commit(spark, path, 0, [{"commitInfo": {"operation": "WRITE"}}, {"add": {"path": "p1"}}])
+    tablelog.write_commit(spark, path, 1, [{"remove": {"path": "p1"}}, {"add": {"path": "p2"}}])
+    with pytest.raises(Exception):
+        tablelog.write_commit(spark, path, 1, [{"add": {"path": "p9"}}])
+    assert [r["path"] for r in tablelog.live_files(tablelog.read_log(spark, path)).collect()] == ["p2"]
+    files.write_csv(spark.range(3).selectExpr("id", "'a,b' as name"), str(tmp_path / "csv"))
+    assert sorted(tuple(r) for r in files.csv(spark, str(tmp_path / "csv"), "id bigint, name string").collect()) == [(i, "a,b") for i in range(3)]
+    for i in range(2):
+        files.write_log(spark.createDataFrame([(f"e{i}", 10)], "event_id string, payload_bytes int"), str(tmp_path / "delivered"))
+    assert spark.read.json(str(tmp_path / "delivered")).count() == 2
+    for name, value in (("one", 1.5), ("two", 2.5)):
+        files.write_json_result({"seconds": value}, str(tmp_path / "results" / name), spark)
+    assert {(r["experiment"], r["seconds"]) for r in files.results(spark, str(tmp_path / "results")).collect()} == {("one", 1.5), ("two", 2.5)}
+
+
+def test_ordered_fold_ignores_partitions(spark):
+    rows = [(k, i, float((i * 7 + k) % 11)) for k in range(3) for i in range(k * 20 + 1)]
+    want = {}
+    for k, _, v in rows:
+        want[k] = v if k not in want else (want[k] + v) / 2
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    for n in (1, 5):
+        assert all(abs(r["folded"] - want[r["k"]]) < 1e-9 for r in logs.ordered_fold(df.repartition(n), "k", "i", "v").collect())
