@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tessellon.llm.common import WORD_PY
 
-#: Words kept by each Python worker; the cache starts anew beyond that, so memory stays bounded.
-CACHE_WORDS = 800_000
+#: Words kept by each Python worker, and their characters; the cache starts anew beyond that, so memory stays bounded.
+CACHE_WORDS, CACHE_CHARS = 800_000, 16_000_000
 #: Documents whose new words are encoded together.
 CHUNK = 2048
 #: What may follow the letters of a plain word.
@@ -71,6 +71,7 @@ class PairIndexEncoder:
         self.ids: dict[str, bytes] = {}
         self.said: dict[str, str] = {}
         self.blank: set[str] = set()
+        self.chars = 0
 
     def parts(self, words: list[str]) -> list[list]:
         """The byte-level pieces of each word, in order; special tokens as ints."""
@@ -208,12 +209,15 @@ class PairIndexEncoder:
             split = [self.words(t) if t else [] for t in texts[lo : lo + CHUNK]]
             seen = set().union(*split)
             new = seen - self.ids.keys()
-            if len(self.ids) + len(new) > CACHE_WORDS:
+            size = sum(map(len, new))
+            if len(self.ids) + len(new) > CACHE_WORDS or self.chars + size > CACHE_CHARS:
+                gc.unfreeze()
                 for x in (self.ids, self.said, self.blank):
                     x.clear()
-                new = seen
+                new, size, self.chars = seen, sum(map(len, seen)), 0
             if new:
                 self.learn(list(new))
+                self.chars += size
             ids, said = self.ids.__getitem__, self.said.__getitem__
             for ws in split:
                 if self.blank:

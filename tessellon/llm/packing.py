@@ -8,7 +8,7 @@ bucket that holds a third of all pieces is numbered by many tasks.
 
 Defined results: null or empty text, or one without words, is one piece of 0 tokens in the smallest bucket; repeated
 rows are pieces of their own; an empty table gives an empty table; extra columns are ignored. Which batch a piece falls
-in depends on the ids only, not on partitioning.
+in depends on ids and lengths only, not on partitioning; pieces that are equal in both are interchangeable.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     per = rows.groupBy("bucket_tokens", "shard").agg(F.count("*").alias("c"))  # buckets times shards rows
     before = per.withColumn("offset", F.sum("c").over(Window.partitionBy("bucket_tokens").orderBy("shard")) - F.col("c")).drop("c")
     before = materialise(before, "packing-offsets")
-    number = F.row_number().over(Window.partitionBy("bucket_tokens", "shard").orderBy("doc_id", "piece")) - 1
+    number = F.row_number().over(Window.partitionBy("bucket_tokens", "shard").orderBy("doc_id", "piece", "n_tokens")) - 1
     rows = rows.withColumn("number", number).join(before, ["bucket_tokens", "shard"])
     room = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("bucket_tokens"), F.lit(1)))).cast("bigint")
     at = F.col("offset") + F.col("number")

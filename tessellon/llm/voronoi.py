@@ -9,7 +9,8 @@ size, and every (group, block) pair is solved by one exact integer product. The
 
 Defined results: vectors that are null or hold a null or non-finite component, and rows with a null id, take no part;
 shorter vectors count as padded with zeros; components beyond 64 bits and scores beyond 64 bits are cut to the range;
-equal scores go to the smaller id; a repeated row is a candidate as often as it stands there and asks once; queries
+equal scores go to the smaller id; a repeated row is a candidate as often as it stands there and asks once (rows of one id with
+different vectors: with the one whose packed bytes are least); queries
 with no other vector return no rows; an empty table gives an empty table; extra columns are ignored.
 """
 
@@ -179,7 +180,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
 
     base, split = (F.create_map(*(F.lit(x) for cell, g in groups.items() for x in (cell, g[i]))) for i in (0, 1))
     grp = base[F.col("cell")] + F.pmod(F.xxhash64("vec_id"), split[F.col("cell")]).cast("int")
-    queries = cells.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", grp.alias("grp"), "v").mapInArrow(asked, "query_id bigint, grp int, q binary, start array<double>")
+    queries = cells.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "cell")).alias("x")).select("vec_id", "x.v", "x.cell").select("vec_id", grp.alias("grp"), "v").mapInArrow(asked, "query_id bigint, grp int, q binary, start array<double>")
     queries = materialise(queries, "voronoi-queries")
     n_blocks = F.create_map(*(F.lit(x) for x in (y for item in blocks.items() for y in item)))
     needs = queries.select("grp", F.posexplode("start").alias("cell", "start")).where("start is not null").groupBy("grp", "cell").agg(F.min("start").alias("start"))
