@@ -195,7 +195,7 @@ def _fitted(moments: DataFrame, scales: dict) -> DataFrame:
                 dets.append(float(np.linalg.det(cov)))
             yield pd.DataFrame({"g": pdf["g"], "k": pdf["k"], "mu": mus, "inv": invs, "det": dets})
 
-    return materialise(moments.select("g", "k", "n", "s", "ss").mapInPandas(run, "g string, k int, mu array<double>, inv array<double>, det double"), "mcd")
+    return moments.select("g", "k", "n", "s", "ss").mapInPandas(run, "g string, k int, mu array<double>, inv array<double>, det double")
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     near = F.greatest(*(F.abs(F.col(Z[i]) - F.col("med")[i]) / (2 * 1.4826 * F.col("mad")[i] + FLOORS[i]) for i in range(DIMS))) <= 1
     which = F.explode(F.when(near, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))).alias("k")
     others = rows.join(mad, "g").select("g", *Z, which).groupBy("g", "k").agg(*_sums())
-    return _fitted(first.unionByName(others.select(*first.columns)), {})
+    return materialise(_fitted(first.unionByName(others.select(*first.columns)), {}), "mcd")
 
 
 def _bucket(d2):
@@ -224,7 +224,7 @@ def _bucket(d2):
 def _concentrated(rows: DataFrame, now: DataFrame) -> DataFrame:
     """The next estimates: of the H_SHARE of each group's rows that are nearest by now (g, k, mu, inv, det)."""
     placed = rows.join(now.select("g", "k", "mu", "inv"), "g").withColumn("bucket", _bucket(distance2([F.col(c) for c in Z])))
-    radius = materialise(_middle(placed.select("g", "k", "bucket"), H_SHARE).withColumnRenamed("bucket", "radius"), "mcd-radius")
+    radius = _middle(placed.select("g", "k", "bucket"), H_SHARE).withColumnRenamed("bucket", "radius")
     inside = placed.join(radius, ["g", "k"]).where("bucket <= radius")
     return _fitted(inside.groupBy("g", "k").agg(*_sums()), {k: CONSISTENCY for k in range(STARTS)})
 
@@ -233,17 +233,16 @@ def _estimates(rows: DataFrame) -> DataFrame:
     """g, mu array, inv array (row-major inverse of the scatter), det: the estimate of every group. rows: a table of g, z0.. of the rows that take part."""
     now = _starts(rows)
     for _ in range(SCREEN):
-        now = _concentrated(rows, now)
-    best = now.groupBy("g").agg(F.min(F.struct("det", "k", "mu", "inv")).alias("b")).select("g", "b.*")
-    best = materialise(best.select("g", "k", "mu", "inv", "det"), "mcd-best")
-    going = best
-    while True:  # determinants only shrink, so this ends
-        then = _concentrated(rows.join(going.select("g"), "g", "left_semi"), going)
-        smaller = then.alias("n").join(going.alias("o"), "g").where(F.col("n.det") < F.col("o.det") * (1 - SHRINK)).select("g", *(F.col(f"n.{c}").alias(c) for c in ("k", "mu", "inv", "det")))
-        going = materialise(smaller, "mcd-going")
-        if going.isEmpty():
-            return best
-        best = materialise(best.join(going.select("g"), "g", "left_anti").unionByName(going), "mcd-best")
+        now = materialise(_concentrated(rows, now), "mcd")
+    best = now.groupBy("g").agg(F.min(F.struct("det", "k", "mu", "inv")).alias("b")).select("g", "b.*", F.lit(True).alias("moved"))
+    best = materialise(best, "mcd-best")
+    while not best.where("moved").isEmpty():  # determinants only shrink, so this ends; groups that have ended take no part
+        going = best.where("moved")
+        then = _concentrated(rows.join(going.select("g"), "g", "left_semi"), going).select("g", F.struct("det", "k", "mu", "inv").alias("then"))
+        smaller = F.coalesce(F.col("then.det") < F.col("det") * (1 - SHRINK), F.lit(False))
+        best = best.join(then, "g", "left").select("g", *(F.when(smaller, F.col(f"then.{c}")).otherwise(F.col(c)).alias(c) for c in ("det", "k", "mu", "inv")), smaller.alias("moved"))
+        best = materialise(best, "mcd-best")
+    return best.drop("moved")
 
 
 def distance2(z: list) -> F.Column:
