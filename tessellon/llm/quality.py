@@ -26,7 +26,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellon.llm.common import WORD_PY, materialise, own_names, tables
+from tessellon.llm.common import BROADCAST_BYTES, WORD_PY, materialise, own_names, tables
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -43,6 +43,8 @@ SCREEN, SHRINK = 2, 1e-9
 #: Buckets a floor of a coordinate's histogram and an octave of a distance's.
 PER_FLOOR, PER_OCTAVE = 32, 32
 STARTS = 3
+#: Bytes that a group's name and radius take in a broadcast, about.
+GROUP_BYTES = 400
 #: Chance that a document of a normal group lies beyond the cut-off.
 ALPHA = 1e-9
 
@@ -221,24 +223,25 @@ def _bucket(d2):
     return F.floor(F.log2(F.greatest(d2, F.lit(1e-12))) * PER_OCTAVE)
 
 
-def _concentrated(rows: DataFrame, now: DataFrame) -> DataFrame:
-    """The next estimates: of the H_SHARE of each group's rows that are nearest by now (g, k, mu, inv, det)."""
+def _concentrated(rows: DataFrame, now: DataFrame, few: bool = False) -> DataFrame:
+    """The next estimates: of the H_SHARE of each group's rows that are nearest by now (g, k, mu, inv, det). few: the groups are few enough to broadcast a row of each, so that no row of a group is shuffled."""
     placed = rows.join(now.select("g", "k", "mu", "inv"), "g").withColumn("bucket", _bucket(distance2([F.col(c) for c in Z])))
     radius = _middle(placed.select("g", "k", "bucket"), H_SHARE).withColumnRenamed("bucket", "radius")
-    inside = placed.join(radius, ["g", "k"]).where("bucket <= radius")
+    inside = placed.join(F.broadcast(radius) if few else radius, ["g", "k"]).where("bucket <= radius")
     return _fitted(inside.groupBy("g", "k").agg(*_sums()), {k: CONSISTENCY for k in range(STARTS)})
 
 
 def _estimates(rows: DataFrame) -> DataFrame:
     """g, mu array, inv array (row-major inverse of the scatter), det: the estimate of every group. rows: a table of g, z0.. of the rows that take part."""
     now = _starts(rows)
+    few = now.count() * GROUP_BYTES <= BROADCAST_BYTES
     for _ in range(SCREEN):
-        now = materialise(_concentrated(rows, now), "mcd")
+        now = materialise(_concentrated(rows, now, few), "mcd")
     best = now.groupBy("g").agg(F.min(F.struct("det", "k", "mu", "inv")).alias("b")).select("g", "b.*", F.lit(True).alias("moved"))
     best = materialise(best, "mcd-best")
     while not best.where("moved").isEmpty():  # determinants only shrink, so this ends; groups that have ended take no part
         going = best.where("moved")
-        then = _concentrated(rows.join(going.select("g"), "g", "left_semi"), going).select("g", F.struct("det", "k", "mu", "inv").alias("then"))
+        then = _concentrated(rows.join(going.select("g"), "g", "left_semi"), going, few).select("g", F.struct("det", "k", "mu", "inv").alias("then"))
         smaller = F.coalesce(F.col("then.det") < F.col("det") * (1 - SHRINK), F.lit(False))
         best = best.join(then, "g", "left").select("g", *(F.when(smaller, F.col(f"then.{c}")).otherwise(F.col(c)).alias(c) for c in ("det", "k", "mu", "inv")), smaller.alias("moved"))
         best = materialise(best, "mcd-best")
