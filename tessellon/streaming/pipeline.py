@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from tessellon.operators import layers, serving
@@ -12,10 +14,16 @@ from tessellon.schemas import ALERTS, LATEST, LEDGER
 from tessellon.sources.files import bronze_stream, silver_stream
 
 TABLES = {"sensor_latest": LATEST, "alerts": ALERTS, "processed_events": LEDGER}
+KEYS = {"sensor_latest": ["sensor_id"], "alerts": ["event_id", "rule_id"], "processed_events": ["event_id"]}
 
 
 class SnapshotStore:
-    """Serving tables as Parquet snapshots, one folder per version, and a marker for each version, written last under a new name.
+    """Serving tables as Parquet parts, and a marker for each version, written last under a new name, that lists the version's parts.
+
+    A batch writes a part with the rows of its own keys only; of each key the row in the last part that has it counts. The
+    first part, the base, is filtered by the keys of the batch or of the later parts, so it is neither shuffled nor
+    written while those are small. After MOST_PARTS batches the later parts become one, together with the base
+    when they have come to a share of its size, so what a batch writes doesn't grow with all events ever seen.
 
     The highest marker names the version that readers see, so a batch becomes visible as a whole or not at all, and a
     failure between any two steps leaves the version before it in force. A marker tells the streaming query and its batch;
@@ -23,6 +31,9 @@ class SnapshotStore:
     A query with a new checkpoint is another one: its batches are applied from its own first.
     """
 
+    #: Parts that a version has at most, and how many times larger than all others the base must be to stay out of a merge.
+    MOST_PARTS, BASE_SHARE = 16, 4
+
     def __init__(self, spark: SparkSession, root: str, keep: int = 2):
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
         jvm = spark.sparkContext._jvm
@@ -38,40 +49,85 @@ class SnapshotStore:
         """The version in force, -1 before the first."""
         return max(self._markers(), default=-1)
 
+    def _state(self, version: int) -> dict:
+        """What a marker holds: the last batch of each query, and the parts, base first."""
+        return {"applied": {}, "parts": []} if version < 0 else json.loads(self.spark.read.text(f"{self.root}/_versions/{version}").first()[0])
+
     def applied(self) -> dict[str, int]:
         """The last batch of each query, as the version in force has it."""
-        now = self.current()
-        return {} if now < 0 else json.loads(self.spark.read.text(f"{self.root}/_versions/{now}").first()[0])
+        return self._state(self.current())["applied"]
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        version = self.current() if version is None else version
-        return self.spark.createDataFrame([], TABLES[table]) if version < 0 else self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/v={version}/{table}")
-
-    def _mark(self, version: int, applied: dict[str, int]) -> None:
+        return self._rows(table, self._state(self.current() if version is None else version)["parts"])
+
+    def _part(self, table: str, part: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/v={part}/{table}")
+
+    def _rows(self, table: str, parts: list[str]) -> DataFrame:
+        """The row of each key in the last of the parts that has the key."""
+        if not parts:
+            return self.spark.createDataFrame([], TABLES[table])
+        base, *others = [self._part(table, p) for p in parts]
+        if not others:
+            return base
+        later = reduce(DataFrame.unionByName, (x.withColumn("_part", F.lit(i)) for i, x in enumerate(others)))
+        later = serving.newest(later, KEYS[table], ["_part"]).drop("_part")
+        return base.join(later.select(*KEYS[table]), KEYS[table], "left_anti").select(*base.columns).unionByName(later)
+
+    def _write(self, rows: DataFrame, table: str, part: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/v={part}/{table}")
+
+    def _merged(self, parts: list[str], name: str) -> list[str]:
+        """The parts of the same rows, fewer if there are more than MOST_PARTS."""
+        if len(parts) <= self.MOST_PARTS:
+            return parts
+        base, *others = [self._fs.getContentSummary(self._path(f"{self.root}/v={p}")).getLength() for p in parts]
+        first = 1 if base > self.BASE_SHARE * sum(others) else 0
+        for table in TABLES:
+            self._write(self._rows(table, parts[first:]), table, name)
+        return [*parts[:first], name]
+
+    def _mark(self, version: int, state: dict) -> None:
         """Write a marker under another name and rename it, which makes the version the one in force."""
         made, to = self._path(f"{self.root}/_versions/.{version}"), self._path(f"{self.root}/_versions/{version}")
         out = self._fs.create(made, True)
-        out.write(json.dumps(applied).encode())
+        out.write(json.dumps(state).encode())
         out.close()
         if not self._fs.rename(made, to):
             raise RuntimeError(f"version {version} is there already: another writer uses {self.root}")
 
+    def _forget(self) -> None:
+        """Delete the versions before the last ``keep``, and the parts that no other version has."""
+        markers = self._markers()
+        old, last = markers[: -self.keep], markers[-self.keep :]
+        used = {p for m in last for p in self._state(m)["parts"]}
+        for m in old:
+            for p in set(self._state(m)["parts"]) - used:
+                self._fs.delete(self._path(f"{self.root}/v={p}"), True)
+            self._fs.delete(self._path(f"{self.root}/_versions/{m}"), True)
+
     def apply(self, batch_id: int, silver: DataFrame, query_id: str = "") -> int | None:
         """Apply a Silver micro-batch: latest, then alerts, then the ledger, then the conflict count against the new ledger. Returns the conflicts, None for a replay."""
-        now, applied = self.current(), self.applied()
-        if batch_id <= applied.get(query_id, -1):
+        now = self.current()
+        state = self._state(now)
+        if batch_id <= state["applied"].get(query_id, -1):
             return None
         batch = silver.withColumnsRenamed({"event_time_utc": "event_time", "received_at_utc": "received_at"}).persist()
+        part = str(now + 1)
+
+        def stored(table: str, fresh: DataFrame) -> DataFrame:
+            """The stored rows of the keys in fresh."""
+            return self.read(table, now).join(fresh.select(*KEYS[table]).distinct(), KEYS[table], "left_semi")
+
         try:
-            to = f"{self.root}/v={now + 1}"
-            serving.upsert_latest(self.read("sensor_latest", now), batch).write.mode("overwrite").parquet(f"{to}/sensor_latest")
-            serving.insert_alerts(self.read("alerts", now), serving.alerts(batch)).write.mode("overwrite").parquet(f"{to}/alerts")
-            serving.upsert_ledger(self.read("processed_events", now), batch).write.mode("overwrite").parquet(f"{to}/processed_events")
-            conflicts = serving.payload_conflicts(self.read("processed_events", now + 1), batch).count()
-            self._mark(now + 1, applied | {query_id: batch_id})
-            for old in [m for m in self._markers() if m <= now + 1 - self.keep]:
-                self._fs.delete(self._path(f"{self.root}/v={old}"), True)
-                self._fs.delete(self._path(f"{self.root}/_versions/{old}"), True)
+            fired = serving.alerts(batch)
+            self._write(serving.upsert_latest(stored("sensor_latest", batch), batch), "sensor_latest", part)
+            self._write(serving.insert_alerts(stored("alerts", fired), fired), "alerts", part)
+            self._write(serving.upsert_ledger(stored("processed_events", batch), batch), "processed_events", part)
+            conflicts = serving.payload_conflicts(self._part("processed_events", part), batch).count()
+            parts = self._merged([*state["parts"], part], f"{part}-merged")
+            self._mark(now + 1, {"applied": state["applied"] | {query_id: batch_id}, "parts": parts})
+            self._forget()
             return conflicts
         finally:
             batch.unpersist()

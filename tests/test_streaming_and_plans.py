@@ -107,6 +107,40 @@ def test_a_failure_between_steps_keeps_the_version_before(spark, tmp_path, monke
     assert SnapshotStore(spark, f"file://{tmp_path}/s").applied() == {"q": 1, "after a new checkpoint": 0}
 
 
+def test_a_batch_writes_its_own_keys_and_parts_are_merged(spark, tmp_path, monkeypatch):
+    from collections import Counter
+    from datetime import datetime, timedelta
+
+    from tessellon.schemas import SILVER, columns
+    from tessellon.streaming.pipeline import SnapshotStore
+
+    def batch(n, *ids):
+        at = datetime(2026, 1, 1) + timedelta(minutes=n)
+        rows = [{"event_id": i, "sensor_id": "s" + i[-1], "event_time_utc": at, "received_at_utc": at, "temperature_c": 99.0, "kafka_partition": 0, "kafka_offset": n} for i in ids]
+        return spark.createDataFrame([tuple(r.get(c) for c in columns(SILVER)) for r in rows], SILVER)
+
+    monkeypatch.setattr(SnapshotStore, "MOST_PARTS", 3)
+    store = SnapshotStore(spark, f"file://{tmp_path}/s")
+    batches = [[f"e{i}" for i in range(40)], ["e1", "e1"], ["e40", "e2"], ["e1", "e41"], ["e40"], ["e42", "e3"], ["e1"], []]
+    seen, kinds = Counter(), set()
+    for n, ids in enumerate(batches):
+        assert store.apply(n, batch(n, *ids), "q") == 0
+        seen.update(ids)
+        assert {r["event_id"]: r["duplicate_count"] for r in store.read("processed_events").collect()} == {i: c - 1 for i, c in seen.items()}
+        alerts = [r["event_id"] for r in store.read("alerts").select("event_id").collect()]
+        assert sorted(alerts) == sorted(seen)
+        parts = store._state(store.current())["parts"]
+        kinds.update(("merged" if p.endswith("merged") else "own", i == 0) for i, p in enumerate(parts))
+        assert len(parts) <= 3
+        if not parts[-1].endswith("merged"):
+            assert store._part("processed_events", parts[-1]).count() == len(set(ids))
+    last = {f"s{k}": max(n for n, ids in enumerate(batches) for i in ids if i[-1] == str(k)) for k in range(10)}
+    assert {r["sensor_id"]: r["event_time"].minute for r in store.read("sensor_latest").collect()} == last
+    assert ("merged", True) in kinds or ("merged", False) in kinds
+    used = {p for m in store._markers() for p in store._state(m)["parts"]}
+    assert {f.name[2:] for f in (tmp_path / "s").iterdir() if f.name.startswith("v=")} >= used and len(store._markers()) == 2
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
