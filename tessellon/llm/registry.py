@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessellon.llm import bpe, chat, jaccard, langid, lexical, packing, quality, urlfilter, voronoi, warc, wrappers
+from tessellon.llm import bpe, chat, jaccard, kdtree, langid, lexical, packing, quality, repair, urlfilter, voronoi, warc, wrappers
 
 #: Module of each operator's query.
 OPERATORS = {
@@ -16,6 +16,8 @@ OPERATORS = {
     "op8_chat": chat,
     "op9_warc": warc,
     "op10_quality": quality,
+    "op11_repair": repair,
+    "op12_ann": kdtree,
     "op13_lexical": lexical,
 }
 

@@ -1,0 +1,235 @@
+"""Conversation repair, approximate and ranked search, each against a brute-force version."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from functools import lru_cache
+
+import duckdb
+import numpy as np
+import pytest
+
+from tessellon.llm import kdtree, lexical, repair
+
+NAME = {"u": "user", "a": "assistant"}
+NEXT = {"": "u", "s": "u", "u": "a", "a": "u"}
+
+
+def damage(rows):
+    """The rows of each conversation after damage, in order."""
+    space, out = (lambda v: " " if v is None else v), {}
+    for conv, turn, role, text in rows:
+        own = out.setdefault(conv, [])
+        kind = zlib.crc32(f"{space(conv)}:{space(turn)}".encode()) % 20
+        role, text = space(role), space(text)
+        if kind:
+            own += [(turn, "user" if kind == 4 else role, "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text)] * (2 if kind == 3 else 1)
+    tie = lambda r: hashlib.sha256(f"{len(r[1].encode())}:{r[1]}{r[2]}".encode()).digest()
+    return {c: sorted(v, key=lambda r: (r[0] is not None, r[0] or 0, r[1], tie(r))) for c, v in out.items()}
+
+
+def faults(rows):
+    seen, out = set(), []
+    for _, role, text in rows:
+        end = text.rstrip(repair.SPACES)
+        out.append("blank" if not end else "duplicate" if (role, text) in seen else "truncated" if end[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def cheapest(rows, found):
+    """Cost, audit and repaired rows: every sequence of edits is tried."""
+
+    @lru_cache(None)
+    def after(i, state, inserted):
+        some = [(0, "", ())] if i == len(rows) and state in ("", "a") else []
+        to = NEXT[state]
+        ways = [(3, "I", ((NAME[to], ""),), i, to, inserted + 1)] if inserted < 3 else []
+        if i < len(rows):
+            _, role, text = rows[i]
+            ways.append((4, "D", (), i + 1, state, 0))
+            if found[i] not in ("blank", "duplicate"):
+                more = 3 * (found[i] == "truncated")
+                ways.append((3 + more, "R", ((NAME[to], text),), i + 1, to, 0))
+                if role[:1] == to or role[:1] == "s" and state == "":
+                    ways.append((more, "K", ((role, text),), i + 1, role[:1], 0))
+        for cost, letter, made, j, s, n in ways:
+            if (rest := after(j, s, n)) is not None:
+                some.append((cost + rest[0], letter + rest[1], made + rest[2]))
+        return min(some, default=None)
+
+    return after(0, "", 0)
+
+
+def told(rows):
+    found, turns = faults(rows), [t for t, _, _ in rows if t is not None]
+    cost, audit, made = cheapest(rows, found)
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    return (gaps, *(found.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(f"{r}:{t}" for r, t in made).encode()).hexdigest()), made
+
+
+def conversations(seed, n):
+    random.seed(seed)
+    role = lambda: random.choice(["user", "assistant", "system", "tool", "user", "assistant", None, ""])
+    text = lambda: random.choice(["Hi.", "ok", "", "  ", "no!", "Hi.", "a b?", None, "x. \t\n", "Straße ."])
+    return [(c or None, random.choice([None, *range(1, 9)]) if random.random() < 0.3 else t, role(), text()) for c in range(n) for t in range(random.randint(1, 9))]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repair_equals_brute_force(spark, tmp_path, parts):
+    rows = conversations(5, 300)
+    spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, audit string").repartition(parts).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: tuple(r)[1:] for r in repair.query(spark, str(tmp_path)).collect()}
+    assert got == {c: told(tuple(v))[0] for c, v in damage(rows).items()}
+
+
+def test_repair_over_the_table(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = {r["conv_id"]: tuple(r)[1:] for r in repair.query(spark, sf).collect()}
+    assert got == {c: told(tuple(v))[0] for c, v in damage(rows).items()} and len({v[5] for v in got.values()}) > 3
+
+
+def test_repaired_rows_of_short_long_and_lost_conversations(spark, monkeypatch):
+    monkeypatch.setattr(repair, "OUT_ROWS", 7)
+    rows = [(1, t, ("user", "assistant")[t % 2], f"t{t}.") for t in range(3001) if t % 50] + [(2, 0, "user", "  ")] + [(3, 0, "system", "Be brief."), (3, 1, "user", "so")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {}
+    for r in repair.repaired(df).collect():
+        got.setdefault(r["conv_id"], {})[r["position"]] = (r["role"], r["text"])
+    by = {c: tuple((t, r, x) for k, t, r, x in rows if k == c) for c in (2, 3)}
+    assert {c: tuple(v[i] for i in range(len(v))) for c, v in got.items() if c != 1} == {c: m for c, r in by.items() if (m := told(r)[1])}
+    roles = [got[1][i][0][0] for i in range(len(got[1]))]
+    assert re.fullmatch("(ua)+", "".join(roles)) and sum(t != "" for _, t in got[1].values()) >= 2940
+    assert repair.repaired(df.limit(0)).count() == 0
+
+
+def nearest(rows, k, every):
+    wide = max(len(e) for _, e in rows)
+    v, ids = np.array([[*e, *[0.0] * (wide - len(e))] for _, e in rows]), np.array([i for i, _ in rows])
+    out = {}
+    for i in np.flatnonzero(ids % every == 0):
+        score = (v * v[i]).sum(1)
+        out[int(ids[i])] = [(int(ids[j]), float(score[j])) for j in np.lexsort((ids, -score)) if ids[j] != ids[i]][:k]
+    return out
+
+
+def found(df, **kw):
+    got = {}
+    for r in kdtree.nearest(df, **kw).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in got.values())
+    return {q: [v[i] for i in sorted(v)] for q, v in got.items()}
+
+
+def recall(got, want):
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items() if v}
+    assert all(v == sorted(v, key=lambda x: (-x[1], x[0])) for v in got.values())
+    return sum(len({i for i, _ in v} & {i for i, _ in got.get(q, [])}) for q, v in want.items()) / sum(map(len, want.values()))
+
+
+def test_ann_recall_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    assert recall(found(df), nearest(rows, 20, 20)) >= 0.95
+
+
+def test_ann_with_clusters_lengths_copies_and_small_parts(spark):
+    rng = np.random.default_rng(1)
+    centre = rng.standard_normal((20, 12))
+    rows = [(i, (centre[i % 20] * 3 + rng.standard_normal(12) * (1 + i % 3)).tolist()) for i in range(2000)]
+    rows += [(2000 + i, rows[7][1]) for i in range(1000)] + [(3000 + i, rows[40 + i][1][:5]) for i in range(50)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<double>, score string").repartition(3)
+    want = nearest(rows, 20, 20)
+    for kw in ({}, {"cell_rows": 100, "part_rows": 60, "group": 10}):
+        got = found(df, **kw)
+        assert recall(got, want) >= 0.95
+        # copies of one vector: all equal, so the answer is exact to the id
+        assert got[2020] == want[2020] and got[2980] == want[2980]
+
+
+def test_ann_stops_as_surely_as_asked(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(1500)]
+    df, want = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), nearest(rows, 20, 20)
+    low, high = (recall(found(df, certain=p, cell_rows=200), want) for p in (0.3, 0.999))
+    assert low < high and high > 0.999
+
+
+def test_ann_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    kind = "vec_id bigint, embedding array<double>"
+    odd = [(20, None), (40, [nan, 1.0]), (60, [inf]), (80, [0.0, -0.0]), (None, [1.0, 2.0]), (100, [None]), (120, [])]
+    assert found(spark.createDataFrame(odd, kind)) == {} == found(spark.createDataFrame([], kind))
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0]), (3, [1.0, -0.0]), (2, [0.0, 2.0]), (7, [-1.0, 0.5])]
+    got = found(spark.createDataFrame(rows + odd, kind))
+    assert got == {0: [(1, 1.0), (3, 1.0), (2, 0.0), (7, -1.0)]}
+    assert found(spark.createDataFrame([(20, [1.0])], kind)) == {}
+
+
+def test_tree_gives_leaves_nearest_first():
+    points = np.random.default_rng(3).standard_normal((1000, 4))
+    tree, q = kdtree.Tree(np.concatenate([points, np.ones((300, 4))]), 32), np.zeros(4)
+    got = list(tree.leaves(q, lambda: np.inf))
+    assert sorted(np.concatenate([x for _, x in got]).tolist()) == list(range(1300)) and [d for d, _ in got] == sorted(d for d, _ in got)
+    near = {int(i) for d, x in tree.leaves(q, lambda: 1.0) for i in x}
+    assert {i for i in range(1000) if points[i] @ points[i] <= 1.0} <= near < set(range(1300))
+
+
+def terms(text):
+    return [t for t in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)})) if t]
+
+
+def ranked(items, docs, k=10):
+    held = [(i, terms(t)) for i, t in docs if i is not None and terms(t)]
+    n_docs, all_terms = len(held), sum(len(t) for _, t in held)
+    df = {}
+    for _, t in held:
+        for x in set(t):
+            df[x] = df.get(x, 0) + 1
+    asked, out = {}, []
+    for i, t in items:
+        if i is not None:
+            asked.setdefault(i, []).extend(terms(t))
+    for item, own in asked.items():
+        score = []
+        for doc, t in held:
+            m = 25 + 75 * len(t) * n_docs // all_terms
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[x] + 1))) * (10**9 * t.count(x) // (1000 * t.count(x) + 8 * m)) for x in own if x in df)
+            score += [(-s, doc)] * (s > 0)
+        out += [(item, r, doc, -s) for r, (s, doc) in enumerate(sorted(score)[:k], 1)]
+    return sorted(out)
+
+
+ITEM, DOC = "item_id bigint, text string", "doc_id bigint, text string, score string"
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 300, "block_entries": 20}])
+def test_lexical_equals_brute_force(spark, sizes):
+    random.seed(4)
+    word = lambda: random.choice(["Straße", "naïve", "東京", "x1"]) if random.random() < 0.1 else f"W{int(random.expovariate(0.1))}"
+    text = lambda n: "".join(word() + random.choice([" ", "-", "\n", ", ", "\x00"]) for _ in range(n))
+    docs = [(i, text(random.randint(0, 40))) for i in range(300)] + [(7, "w1 w2"), (400, None), (None, "w1"), (401, "...")] + [(500 + i, "w3 w4 w5") for i in range(60)]
+    items = [(i, text(12)) for i in range(20)] + [(3, "w1"), (50, "w3 w4 w5"), (51, None), (52, ""), (53, "nowhere"), (None, "w1"), (54, "w1 W1 w1")]
+    got = lexical.ranked(spark.createDataFrame(items, ITEM), spark.createDataFrame([(*d, "x") for d in docs], DOC).repartition(3), **sizes)
+    assert sorted(map(tuple, got.select("item_id", "rank", "doc_id", "score").collect())) == ranked(items, docs)
+
+
+def test_lexical_long_text_and_empty_tables(spark):
+    docs = [(1, "a b " * 300_000), (2, "b c")]
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    got = lexical.ranked(frame([(1, "A c")], ITEM), frame([(*d, "") for d in docs], DOC), shard_bytes=1000)
+    assert sorted(map(tuple, got.select("item_id", "rank", "doc_id", "score").collect())) == ranked([(1, "A c")], docs)
+    assert lexical.ranked(frame([], ITEM), frame([(1, "a", "")], DOC)).count() == 0 == lexical.ranked(frame([(1, "a")], ITEM), frame([], DOC)).count()
+
+
+def test_lexical_equals_its_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got = lexical.query(spark, sf).select("item_id", "rank", "doc_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(c.execute(lexical.ORACLE).fetchall())
