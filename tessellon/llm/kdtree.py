@@ -31,7 +31,7 @@ from tessellon.llm.quality import chi2_quantile
 
 K, EVERY = 20, 20
 #: Projected dimensions, and how sure a search is that it has seen what is nearer.
-DIMS, CERTAIN, SEED = 8, 0.95, 17
+DIMS, CERTAIN, SEED = 8, 0.975, 17
 #: Projected vectors that the upper tree is fitted on (up to twice as many), most cells, rows of a cell while there are fewer, most rows of a part, of a leaf, and of a query group.
 SAMPLE, MOST_CELLS, CELL, PART, LEAF, GROUP = 16_384, 256, 2048, 65_536, 256, 4096
 
