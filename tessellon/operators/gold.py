@@ -12,22 +12,14 @@ from tessellon.operators.serving import newest
 from tessellon.registry import NAMES
 
 
-def hour_bound(text: str) -> datetime:
-    """A window bound: ISO with an offset, on a full UTC hour."""
-    t = datetime.fromisoformat(text)
-    if t.tzinfo is None:
-        raise ValueError(f"{text} has no offset")
-    t = t.astimezone(timezone.utc)
-    if t.minute or t.second or t.microsecond:
-        raise ValueError(f"{text} is not a full hour")
-    return t
-
-
 def window(start: str, end: str) -> tuple[datetime, datetime]:
-    lo, hi = hour_bound(start), hour_bound(end)
-    if lo >= hi:
-        raise ValueError("the window is empty")
-    return lo, hi
+    """A half-open window of whole UTC hours from two ISO texts with offsets; ValueError names the bound that is none."""
+    bounds = {text: datetime.fromisoformat(text) for text in (start, end)}
+    hours = {text: t.tzinfo and t.astimezone(timezone.utc) for text, t in bounds.items()}
+    odd = [text for text, t in hours.items() if not t or t.timestamp() % 3600]
+    if odd or not hours[start] < hours[end]:
+        raise ValueError(f"{odd[0]} is not a full hour with an offset" if odd else f"{start} is not before {end}")
+    return hours[start], hours[end]
 
 
 def previous_hour(now: datetime, grace_seconds: int = 60) -> tuple[datetime, datetime]:

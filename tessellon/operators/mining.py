@@ -49,17 +49,97 @@ def line_fit(rows: DataFrame, y: str, x: str) -> DataFrame:
     return rows.agg(F.regr_intercept(y, x).alias("intercept"), F.regr_slope(y, x).alias("slope"))
 
 
-def kmeans(rows: DataFrame, features: list[str], k: int, scaled: bool = True, seed: int = 42) -> DataFrame:
-    """rows with the cluster of each."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+#: Distinct vectors that k-means starts are made on, starts, and most passes over all rows.
+KMEANS_SAMPLE, KMEANS_STARTS, KMEANS_ROUNDS = 4096, 16, 100
+
+
+def _starts(x, weight, k: int, starts: int, seed: int, rounds: int = 50):
+    """Centres of each start: drawn by distance from those before, then refined on the sample."""
+    import numpy as np
+
+    gap = lambda c: ((x[:, None, :] - c[None, :, :]) ** 2).sum(2)
+    out = []
+    for s in range(starts):
+        rng = np.random.default_rng([seed, s])
+        c = x[[rng.choice(len(x), p=weight / weight.sum())]]
+        while len(c) < k and (far := gap(c).min(1) * weight).sum() > 0:
+            c = np.vstack([c, x[rng.choice(len(x), p=far / far.sum())]])
+        for _ in range(rounds):
+            near = gap(c).argmin(1)
+            moved = np.array([np.average(x[near == i], axis=0, weights=weight[near == i]) if (near == i).any() else c[i] for i in range(len(c))])
+            if np.allclose(moved, c, rtol=0, atol=1e-12):
+                break
+            c = moved
+        out.append((float((gap(c).min(1) * weight).sum()), s, c))
+    return [c for _, _, c in sorted(out, key=lambda o: o[:2])]
+
+
+def kmeans_centres(points: DataFrame, column: str, k: int, seed: int = 42, starts: int = KMEANS_STARTS, sample: int = KMEANS_SAMPLE, rounds: int = KMEANS_ROUNDS) -> list[list[float]]:
+    """At most k centres of an array column, least cost of several starts, in lexicographic order.
+
+    The sample is chosen by a hash of the vectors and weighed by their copies, so it depends neither on partitions nor on the order
+    of rows; the best starts are then run over all rows, a job a pass for all of them.
+    """
+    import numpy as np
+
+    x = F.col(column)
+    rows = points.where(x.isNotNull()).select(x.alias("x"))
+    n = rows.count()
+    if not n:
+        return []
+    place = F.xxhash64("x", F.lit(seed))
+    chosen = rows.where(F.pmod(place, F.lit(max(1, n // sample))) == 0)
+    # where few distinct vectors stand in many copies, the hash may choose none of them
+    some = (rows if chosen.isEmpty() else chosen).groupBy("x").agg(F.count("*").alias("w")).orderBy(place, "x").limit(sample).collect()
+    best = _starts(np.array([r["x"] for r in some]), np.array([r["w"] for r in some], float), k, starts, seed)[:3]
+    cost = [np.inf] * len(best)
+    for _ in range(rounds):
+        told = _lloyd(rows, best)
+        better = [c for c, old in zip((t[0] for t in told), cost) if c < old - 1e-9 * abs(old if old < np.inf else 0.0)]
+        cost, before, best = [t[0] for t in told], best, [t[1] for t in told]
+        if not better:
+            break
+    return sorted(np.round(before[int(np.argmin(cost))], 12).tolist())
+
+
+def _gaps(x, centres):
+    """Squared distances of an array column to each centre."""
+    square = lambda a, b: (a - b) * (a - b)
+    return F.array(*(F.aggregate(F.zip_with(x, F.array(*map(F.lit, c)), square), F.lit(0.0), lambda a, v: a + v) for c in centres))
+
+
+def _nearest(gaps):
+    return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+
+
+def _lloyd(rows: DataFrame, sets) -> list:
+    """(cost, moved centres) of each set of centres, in one pass and one shuffle of a row for each set, cluster and task."""
+    import numpy as np
+
+    dims = len(sets[0][0])
+    gaps = [F.struct(F.lit(i).alias("s"), _gaps(F.col("x"), c.tolist()).alias("gaps")) for i, c in enumerate(sets)]
+    near = rows.select("x", F.explode(F.array(*(F.struct(g["s"].alias("s"), _nearest(g["gaps"]).alias("c"), F.array_min(g["gaps"]).alias("gap")) for g in gaps))).alias("at"))
+    found = near.groupBy("at.s", "at.c").agg(F.sum("at.gap").alias("cost"), *(F.avg(F.col("x")[i]).alias(f"x{i}") for i in range(dims))).collect()
+    out = []
+    for i, c in enumerate(sets):
+        own, moved = [r for r in found if r["s"] == i], np.array(c)
+        for r in own:
+            moved[r["c"]] = [r[f"x{j}"] for j in range(dims)]
+        out.append((sum(r["cost"] for r in own), moved))
+    return out
 
-    steps = [VectorAssembler(inputCols=features, outputCol="_raw")]
+
+def kmeans(rows: DataFrame, features: list[str], k: int, scaled: bool = True, seed: int = 42) -> DataFrame:
+    """rows with the cluster of each; null where a feature is. Scaled features have mean 0 and standard deviation 1; constant ones count nothing then."""
+    numbers = [F.col(c).cast("double") for c in features]
     if scaled:
-        steps.append(StandardScaler(inputCol="_raw", outputCol="_x", withMean=True))
-    steps.append(KMeans(k=k, seed=seed, featuresCol="_x" if scaled else "_raw", predictionCol="cluster"))
-    return Pipeline(stages=steps).fit(rows).transform(rows).drop("_raw", "_x")
+        told = rows.agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate(numbers) for n, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
+        numbers = [(c - F.lit(told[f"m{i}"])) / F.lit(told[f"s{i}"]) if told[f"s{i}"] else F.when(c.isNotNull(), 0.0) for i, c in enumerate(numbers)]
+    whole = F.array(*numbers)
+    points = rows.withColumn("_x", F.when(~F.exists(whole, lambda v: v.isNull() | F.isnan(v)), whole))
+    centres = kmeans_centres(points, "_x", k, seed)
+    cluster = _nearest(_gaps(F.col("_x"), centres)) if centres else F.lit(None).cast("int")
+    return points.withColumn("cluster", F.when(F.col("_x").isNotNull(), cluster)).drop("_x")
 
 
 def decision_tree(rows: DataFrame, features: list[str], label: str, id_col: str, depth: int = 3, seed: int = 42, held: int = 4) -> DataFrame:
