@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from tessellon.operators import layers, serving
 from tessellon.schemas import ALERTS, LATEST, LEDGER
 from tessellon.sources.files import bronze_stream, silver_stream
+from tessellon.streaming import service
 
 TABLES = {"sensor_latest": LATEST, "alerts": ALERTS, "processed_events": LEDGER}
 KEYS = {"sensor_latest": ["sensor_id"], "alerts": ["event_id", "rule_id"], "processed_events": ["event_id"]}
@@ -162,29 +163,20 @@ def drain(spark: SparkSession, source: DataFrame, root: str) -> SnapshotStore:
 
 
 def supervise(spark: SparkSession, queries: list, poll_seconds: float = 1.0) -> None:
-    """Wait until any query ends, then stop all of them; raises what ended it."""
-    try:
-        spark.streams.awaitAnyTermination()
-    finally:
-        stop(queries)
+    """Wait until any query ends, looking every poll_seconds, then stop all of them; raises what ended it."""
+    service.serve(spark, queries, poll_seconds=poll_seconds)
 
 
-def stop(queries: list) -> None:
-    for q in queries:
-        if q.isActive:
-            q.stop()
+stop = service.stop
 
 
 def heartbeat(spark: SparkSession, path: str, queries: list) -> None:
-    """A one-line file with the time and the queries that are active, written anew on each call."""
-    from datetime import datetime, timezone
-
-    line = json.dumps({"ts": datetime.now(timezone.utc).isoformat(), "active": [q.name for q in queries if q.isActive]})
-    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """A one-line file with the time and the queries that are active, written anew on each call; serve() refreshes it."""
+    service.beat(spark, path, queries)
 
 
 class ProgressLog(StreamingQueryListener):
-    """A record per micro-batch: time, query, batch, rows, duration, offsets, sink. write gets each as a JSON line."""
+    """A record per micro-batch: time, query, batch, rows, duration, offsets, sink, state and what it dropped, observed counters. write gets each as a JSON line."""
 
     def __init__(self, write):
         self.write = write
@@ -194,7 +186,13 @@ class ProgressLog(StreamingQueryListener):
 
     def onQueryProgress(self, event):
         p = event.progress
-        self.write(json.dumps({"ts": p.timestamp, "query": p.name, "batch_id": p.batchId, "num_input_rows": p.numInputRows, "duration_ms": p.durationMs.get("triggerExecution"), "sources": [{"description": s.description, "start_offset": s.startOffset, "end_offset": s.endOffset} for s in p.sources], "sink": p.sink.description}))
+        record = {"ts": p.timestamp, "query": p.name, "batch_id": p.batchId, "num_input_rows": p.numInputRows, "duration_ms": p.durationMs.get("triggerExecution"), "sink": p.sink.description}
+        record["sources"] = [{"description": s["description"], "start_offset": s.get("startOffset"), "end_offset": s.get("endOffset")} for s in json.loads(p.json)["sources"]]
+        record["state_rows"] = sum(s.numRowsTotal for s in p.stateOperators)
+        record["dropped_late"] = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        record["dropped_duplicates"] = sum(s.customMetrics.get("numDroppedDuplicateRows", 0) for s in p.stateOperators)
+        record["observed"] = {name: row.asDict() for name, row in p.observedMetrics.items()}
+        self.write(json.dumps(record, default=str))
 
     def onQueryTerminated(self, event):
         if event.exception:
@@ -202,7 +200,5 @@ class ProgressLog(StreamingQueryListener):
 
 
 def windowed(events: DataFrame, time: str = "event_time_utc", width: str = "10 minutes", late: str = "5 minutes", keys=("sensor_id",)) -> DataFrame:
-    """Optional extension: counts per tumbling event-time window with a watermark."""
-    from pyspark.sql import functions as F
-
+    """Counts per tumbling event-time window with a watermark; windows has sliding ones and sessions too."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"))
