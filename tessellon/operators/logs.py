@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessellon.operators import ranges
+
 
 def parsed(lines: DataFrame, line: str = "value") -> DataFrame:
     """level, ip, method, endpoint, status, latency_ms of lines such as ``ERROR 10.0.0.1 GET /api 500 123ms``."""
@@ -46,10 +48,9 @@ def spread(counts: DataFrame, n: str = "n") -> DataFrame:
 
 def ordered_fold(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Per key the left fold (x + y) / 2 over its values in order: what a reduce gives that isn't associative, whatever the partitions. The i-th of n values counts 2 ** -(n - i + 1), the first as much as the second."""
-    by = Window.partitionBy(key)
-    placed = rows.where(F.col(value).isNotNull()).select(key, value, F.row_number().over(by.orderBy(order)).alias("_i"), F.count("*").over(by).alias("_n"))
-    weight = F.pow(F.lit(2.0), F.greatest(F.col("_i"), F.lit(2)) - F.col("_n") - 1)
-    return placed.groupBy(key).agg(F.sum(F.col(value) * F.when(F.col("_n") == 1, 1.0).otherwise(weight)).alias("folded"))
+    placed = ranges.places(rows.where(F.col(value).isNotNull()).select(key, order, value), [key], [order])
+    weight = F.pow(F.lit(2.0), F.greatest(F.col("_place"), F.lit(2)) - F.col("_of") - 1)
+    return placed.groupBy(key).agg(F.sum(F.col(value) * F.when(F.col("_of") == 1, 1.0).otherwise(weight)).alias("folded"))
 
 
 def bridge_rollup(deliveries: DataFrame, prefix: str) -> DataFrame:
@@ -61,13 +62,17 @@ def bridge_rollup(deliveries: DataFrame, prefix: str) -> DataFrame:
 
 def resource_stats(stats: DataFrame, order: str) -> DataFrame:
     """Per container first, last, peak and 95th percentile of memory and peak CPU; stats: name, mem_pct, cpu_pct and an order column."""
-    return stats.groupBy("name").agg(F.min_by("mem_pct", order).alias("first_mem"), F.max_by("mem_pct", order).alias("last_mem"), F.max("mem_pct").alias("peak_mem"), F.round(F.percentile("mem_pct", 0.95), 6).alias("p95_mem"), F.max("cpu_pct").alias("peak_cpu"))
+    told = stats.groupBy("name").agg(F.min_by("mem_pct", order).alias("first_mem"), F.max_by("mem_pct", order).alias("last_mem"), F.max("mem_pct").alias("peak_mem"), F.max("cpu_pct").alias("peak_cpu"))
+    return ranges.joined(told, ranges.quantiles(stats, ["name"], "mem_pct", {"p95_mem": 0.95}), ["name"]).withColumn("p95_mem", F.round("p95_mem", 6))
 
 
 def source_rollup(manifest: DataFrame, prefix: str) -> DataFrame:
-    """One row for a run's source records: counts, bytes, distinct ids, first and last time."""
+    """One row for a run's source records: counts, bytes, distinct ids, first and last time, and records, published records and bytes a second between these (null where they are one instant)."""
     own = manifest.where(F.col("event_id").startswith(prefix))
-    return own.agg(F.count("*").alias("records"), F.count_if("published").alias("published"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("payload_bytes"), F.count_distinct("event_id").alias("distinct_ids"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    told = own.agg(F.count("*").alias("records"), F.count_if("published").alias("published"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("payload_bytes"), F.count_distinct("event_id").alias("distinct_ids"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    seconds = F.nullif((F.unix_micros(F.col("last_ts").try_cast("timestamp")) - F.unix_micros(F.col("first_ts").try_cast("timestamp"))) / 1e6, F.lit(0.0))
+    rates = {"records_per_second": "records", "published_per_second": "published", "bytes_per_second": "payload_bytes"}
+    return told.withColumns({name: F.round(F.col(c) / seconds, 6) for name, c in rates.items()})
 
 
 def fault_histogram(manifest: DataFrame, prefix: str) -> DataFrame:
@@ -83,7 +88,8 @@ def progress_rollup(progress: DataFrame, start=None, end=None) -> DataFrame:
     if end is not None:
         own = own.where(at.isNull() | (at <= F.lit(end)))
     d = F.when(F.col("duration_ms") >= 0, F.col("duration_ms"))
-    return own.groupBy("query").agg(F.count("*").alias("batches"), F.sum("num_input_rows").alias("num_input_rows"), F.max("batch_id").alias("last_batch_id"), F.percentile(d, 0.5).alias("p50_ms"), F.percentile(d, 0.95).alias("p95_ms"))
+    told = own.groupBy("query").agg(F.count("*").alias("batches"), F.sum("num_input_rows").alias("num_input_rows"), F.max("batch_id").alias("last_batch_id"))
+    return ranges.joined(told, ranges.quantiles(own, ["query"], d, {"p50_ms": 0.5, "p95_ms": 0.95}), ["query"])
 
 
 def container_stats(lines: DataFrame, line: str = "value", keep=()) -> DataFrame:
@@ -98,3 +104,12 @@ def drained(progress: DataFrame, query: str = "q1") -> DataFrame:
     last = progress.where(F.col("query") == query).agg(F.max_by("end_offset", "batch_id").alias("o"))
     offsets = F.flatten(F.transform(F.map_values(F.from_json("o", "map<string,map<string,bigint>>")), lambda m: F.map_values(m)))
     return last.select(F.aggregate(offsets, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("processed"))
+
+
+def partition_lag(latest: DataFrame, progress: DataFrame, query: str = "q1") -> DataFrame:
+    """Per topic and partition: the source's next offset, what the query's last progress record has committed (0 if it never named the partition), and the records between."""
+    last = progress.where(F.col("query") == query).groupBy("query").agg(F.max_by("end_offset", "batch_id").alias("o"))
+    topics = last.select(F.explode(F.from_json("o", "map<string,map<string,bigint>>")).alias("topic", "parts")).select("topic", F.explode("parts").alias("partition", "committed"))
+    both = latest.select("topic", F.col("partition").cast("string").alias("partition"), "latest").join(topics, ["topic", "partition"], "left")
+    done = F.coalesce("committed", F.lit(0))
+    return both.select("topic", "partition", "latest", done.alias("committed"), F.greatest(F.lit(0), F.col("latest") - done).alias("behind"))

@@ -20,12 +20,27 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return raw.select("doc", "term", (F.col("w") / norm).alias("weight"))
 
 
-def copairs(rows: DataFrame, item: str, together: list[str], counted: str, least: int = 2) -> DataFrame:
-    """Pairs of items that share a group, with the distinct values of ``counted`` over their groups; at least so many."""
-    own = rows.select(item, *dict.fromkeys([*together, counted])).distinct()
-    other = own.select(F.col(item).alias("_b"), *together)
-    pairs = own.join(other, together).where(F.col(item) < F.col("_b"))
-    return pairs.groupBy(F.col(item).alias("a"), F.col("_b").alias("b")).agg(F.count_distinct(counted).alias("n")).where(F.col("n") >= least)
+#: Items of a block; the pairs of two blocks of a group are a task's work at most.
+PAIR_BLOCK = 1024
+
+
+def copairs(rows: DataFrame, item: str, together: list[str], counted: str, least: int = 2, block: int = PAIR_BLOCK) -> DataFrame:
+    """Pairs of items that share a group, with the distinct values of ``counted`` over their groups; at least so many.
+
+    A group's items are dealt into blocks by hash, and each pair of blocks, a triangle of them, is a join key of its own, so
+    a large group is many tasks; a group that fits one block is one key.
+    """
+    own = rows.select(item, *dict.fromkeys([*together, counted])).distinct().where(F.col(item).isNotNull())
+    blocks = own.groupBy(*together).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    own = own.join(blocks, together).withColumn("_own", F.pmod(F.xxhash64(F.col(item)), F.col("_blocks")).cast("int"))
+    left = own.withColumns({"_i": F.col("_own"), "_j": F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1))})
+    right = own.withColumns({"_i": F.explode(F.sequence(F.lit(0), F.col("_own"))), "_j": F.col("_own")})
+    extra = [] if counted in together else [counted]
+    right = right.select(F.col(item).alias("_b"), *together, *(F.col(c).alias("_c") for c in extra), "_i", "_j")
+    pairs = left.join(right, [*together, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col(item) < F.col("_b"))).where(F.col(item) != F.col("_b"))
+    a, b = F.least(F.col(item), F.col("_b")), F.greatest(F.col(item), F.col("_b"))
+    value = F.col(counted) if not extra else F.when(F.col(item) < F.col("_b"), F.col(counted)).otherwise(F.col("_c"))
+    return pairs.groupBy(a.alias("a"), b.alias("b")).agg(F.count_distinct(value).alias("n")).where(F.col("n") >= least)
 
 
 def pair_rules(baskets: DataFrame, basket: str, item: str, least: int = 2) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellon.operators import ranges
+
 
 def reconciled(a: DataFrame, b: DataFrame, keys: list[str], count: str, mean: str, tolerance: float = 1e-6) -> DataFrame:
     """One row: groups on one side only, groups that differ, largest difference of means."""
@@ -39,9 +41,9 @@ def lateness(rows: DataFrame, received: str, event: str):
 
 
 def out_of_order(rows: DataFrame, key: str, event: str, received: str, tie: str) -> DataFrame:
-    """Rows received after one of their key that happened later. The running maximum is per key; keys are sensors, so a partition is one sensor's rows."""
-    w = Window.partitionBy(key).orderBy(received, tie).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("out_of_order", F.coalesce(F.max(event).over(w) > F.col(event), F.lit(False)))
+    """Rows received after one of their key that happened later; a key's rows are scanned range by range, so one sensor can have them all."""
+    seen = ranges.running_max_before(rows, [key], [received, tie], event, "_latest")
+    return seen.withColumn("out_of_order", F.coalesce(F.col("_latest") > F.col(event), F.lit(False))).drop("_latest")
 
 
 def partition_sizes(rows: DataFrame, n: int, placed) -> DataFrame:
@@ -59,5 +61,12 @@ def uniqueness(rows: DataFrame, keys: list[str]) -> DataFrame:
 def lag_quantiles(rows: DataFrame, received: str, sent: str) -> DataFrame:
     """One row: least, largest and quantiles of the seconds from sent to received."""
     s = (F.unix_micros(F.col(received)) - F.unix_micros(F.col(sent))) / 1e6
-    q = F.percentile(s, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return rows.agg(F.min(s).alias("lo"), F.max(s).alias("hi"), q.alias("q")).select("lo", "hi", *(F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("p50", "p95", "p99"))))
+    q = ranges.quantiles(rows, [], s, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return ranges.joined(rows.agg(F.min(s).alias("lo"), F.max(s).alias("hi")), q, []).withColumns({c: F.round(c, 4) for c in ("p50", "p95", "p99")})
+
+
+def masked_ratios(rows: DataFrame, metrics, issues: str = "metric_issues") -> DataFrame:
+    """metric, masked, masked_ratio: rows whose issues name the metric, one aggregate for all metrics."""
+    named = F.transform(F.split(issues, ";"), lambda x: F.substring_index(x, ":", -1))
+    told = rows.agg(F.count("*").alias("_n"), *(F.count_if(F.coalesce(F.array_contains(named, m), F.lit(False))).alias(m) for m in metrics))
+    return told.unpivot(["_n"], list(metrics), "metric", "masked").select("metric", "masked", F.round(F.col("masked") / F.col("_n"), 6).alias("masked_ratio"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellon.functions.quality import any_present
-from tessellon.operators import logs, reads, reconcile, serving
+from tessellon.operators import logs, ranges, reads, reconcile, serving
 from tessellon.plans.common import P_SQL, VECTOR, collector, payloads, table, vector
 from tessellon.plans.serving_plans import HOURS_SQL, _hours
 
@@ -144,8 +144,8 @@ def paged_alerts(spark, sf_dir):
 
 @plan("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def percentile_interp(spark, sf_dir):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(p.alias("p")).select("event_type", *(F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))))
+    q = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    return ranges.quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", q).withColumns({n: F.round(n, 6) for n in q})
 
 
 @plan(f"WITH {P_SQL}, l AS (SELECT CASE b WHEN 10 THEN 120.0 WHEN 11 THEN 61.0 WHEN 12 THEN 60.0 ELSE 1.0 END AS s FROM p WHERE reason IS NULL) SELECT min(s)::DOUBLE AS lo, max(s)::DOUBLE AS hi, quantile_cont(s::DOUBLE, 0.5) AS p50, quantile_cont(s::DOUBLE, 0.99) AS p99 FROM l")
@@ -153,7 +153,8 @@ def dq_lateness(spark, sf_dir):
     from tessellon.operators import layers
 
     s = reconcile.lateness(None, "received_at_utc", "event_time_utc")
-    return layers.silver(payloads(spark, sf_dir)).agg(F.min(s).alias("lo"), F.max(s).alias("hi"), F.percentile(s, 0.5).alias("p50"), F.percentile(s, 0.99).alias("p99"))
+    rows = layers.silver(payloads(spark, sf_dir)).select(s.alias("s"))
+    return ranges.joined(rows.agg(F.min("s").alias("lo"), F.max("s").alias("hi")), ranges.quantiles(rows, [], "s", {"p50": 0.5, "p99": 0.99}), [])
 
 
 @plan("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE o) AS out_of_order FROM (SELECT event_type, coalesce(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > value, false) AS o FROM events) GROUP BY 1")
@@ -161,7 +162,7 @@ def out_of_order(spark, sf_dir):
     return reconcile.out_of_order(table(spark, sf_dir, "events"), "user_id", "value", "ts", "event_id").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("out_of_order").alias("out_of_order"))
 
 
-@plan("SELECT count(*) AS records, count(*) FILTER (WHERE event_type <> 'error') AS published, CAST(coalesce(sum(octet_length(encode(props))), 0) AS BIGINT) AS payload_bytes, count(DISTINCT 'r-' || user_id) AS distinct_ids, min(CAST(ts AS VARCHAR)) AS first_ts, max(CAST(ts AS VARCHAR)) AS last_ts FROM events WHERE user_id % 2 = 0")
+@plan("SELECT count(*) AS records, count(*) FILTER (WHERE event_type <> 'error') AS published, CAST(coalesce(sum(octet_length(encode(props))), 0) AS BIGINT) AS payload_bytes, count(DISTINCT 'r-' || user_id) AS distinct_ids, min(CAST(ts AS VARCHAR)) AS first_ts, max(CAST(ts AS VARCHAR)) AS last_ts, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS records_per_second, round(count(*) FILTER (WHERE event_type <> 'error') / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS published_per_second, round(coalesce(sum(octet_length(encode(props))), 0)::DOUBLE / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS bytes_per_second FROM events WHERE user_id % 2 = 0")
 def run_source_rollup(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.concat(F.when(F.col("user_id") % 2 == 0, "r-").otherwise("x-"), F.col("user_id").cast("string")).alias("event_id"), (F.col("event_type") != "error").alias("published"), F.octet_length("props").alias("payload_bytes"), F.col("ts").cast("string").alias("ts"))
     return logs.source_rollup(e, "r-")
@@ -237,7 +238,9 @@ def dq_lateness_hourly(spark, sf_dir):
 
     s = reconcile.lateness(None, "received_at_utc", "event_time_utc")
     hour = F.date_trunc("hour", "event_time_utc").cast("timestamp_ntz").alias("hour_start")
-    return layers.silver(payloads(spark, sf_dir)).groupBy(hour).agg(F.count("*").alias("n"), F.round(F.percentile(s, 0.95), 6).alias("p95"))
+    rows = layers.silver(payloads(spark, sf_dir)).select(hour, s.alias("s"))
+    told = ranges.joined(rows.groupBy("hour_start").agg(F.count("*").alias("n")), ranges.quantiles(rows, ["hour_start"], "s", {"p95": 0.95}), ["hour_start"])
+    return told.withColumn("p95", F.round("p95", 6))
 
 
 @plan("SELECT event_type, count(*) AS n, sum(CASE WHEN dup > 1 THEN 1 ELSE 0 END)::BIGINT AS repeated FROM (SELECT event_type, count(*) OVER (PARTITION BY event_type, user_id) AS dup FROM events) GROUP BY 1")

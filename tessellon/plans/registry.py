@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessellon.plans import audit_plans, lab_plans, serving_plans
+from tessellon.plans import audit_plans, lab_plans, serving_plans, time_plans
 
-MODULES = (serving_plans, audit_plans, lab_plans)
+MODULES = (serving_plans, audit_plans, lab_plans, time_plans)
 
 
 def queries() -> dict:
