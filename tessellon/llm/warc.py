@@ -40,7 +40,7 @@ from tessellon.llm.common import fresh_dir, materialise
 MIN_REVISIT = 100
 SPLIT_BYTES = 16 << 20
 MANIFEST = "_manifest"
-#: Bytes that a reader inflates or reads at once, and that headers can have.
+#: Bytes that a reader inflates or reads at once, and that headers can have where no member's length bounds them (archives by others).
 CHUNK, MOST_HEADERS = 1 << 16, 1 << 20
 READ_SCHEMA = "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
 HEADERS = "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint"
@@ -295,17 +295,19 @@ class WarcReader(DataSourceReader):
             head = f.read(12)
             f.seek(at + 12 + int.from_bytes(head[10:12], "little"))
             z = zlib.decompressobj(-15)
-            text, raw = b"", f.read(min(1024, at + length - f.tell()))
-            while (end := text.find(b"\r\n\r\n")) < 0:
-                if z.eof or not raw or len(text) > MOST_HEADERS:
+            text, raw, seen = bytearray(), f.read(min(1024, at + length - f.tell())), 0
+            # the member's own length bounds its headers, however long a URL is
+            while (end := text.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+                if z.eof or not raw:
                     raise ValueError("headers without an end")
+                seen = len(text)
                 text += z.decompress(raw)
                 raw = f.read(min(4096, at + length - f.tell()))
-            row = parse_headers(text[:end])
+            row = parse_headers(bytes(text[:end]))
             if self._wanted(row):
                 block = b""
                 if want:
-                    block = text[end + 4 :] + z.decompress(raw + f.read(at + length - f.tell()))
+                    block = bytes(text[end + 4 :]) + z.decompress(raw + f.read(at + length - f.tell()))
                     if len(block) < row["_length"]:
                         raise ValueError("cut off")
                 yield row, block[: row["_length"]]

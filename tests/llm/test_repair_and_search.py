@@ -233,3 +233,14 @@ def test_lexical_equals_its_sql(spark):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = lexical.query(spark, sf).select("item_id", "rank", "doc_id", "score").collect()
     assert sorted(map(tuple, got)) == sorted(c.execute(lexical.ORACLE).fetchall())
+
+
+def test_archives_take_urls_of_any_length(spark):
+    from tessellon.llm import warc
+    from tessellon.llm.common import fresh_dir
+
+    rows = [(1, "http://a/" + "x" * 2_000_000, "p" * 200), (2, "http://a/" + "".join(f"{i:x}" for i in range(400_000)), "p" * 200), (3, "http://a/3", None)]
+    path = fresh_dir(spark, "long")
+    warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path)
+    got = sorted((r["page_id"], r["url"], r["record_type"], r["payload_bytes"], r["refers_to"]) for r in warc.read(spark, path, verify=True).collect())
+    assert got == [(1, rows[0][1], "response", 200, None), (2, rows[1][1], "revisit", 200, 1), (3, rows[2][1], "response", 0, None)]
