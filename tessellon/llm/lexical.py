@@ -42,10 +42,37 @@ def terms_of(text: str | Column) -> Column:
     return F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(TERM), 0)
 
 
+def _plain(texts):
+    """Offsets of an Arrow array of texts, and their bytes with terms lower-cased and spaces for all else."""
+    import numpy as np
+    import pyarrow as pa
+
+    raw = texts.cast(pa.large_string()).cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = raw.buffers()[2]
+    return offsets - offsets[0], memoryview(data)[offsets[0] : offsets[-1]].tobytes().translate(_BYTES) if data is not None else b""
+
+
 def totals(docs: DataFrame) -> tuple[int, int]:
-    """Documents with a term, and all terms of them."""
-    n = F.regexp_count("text", F.lit(TERM))
-    got = docs.select(n.alias("n")).agg(F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+    """Documents with a term, and all terms of them; a row of counts for each Arrow batch is summed."""
+
+    def counted(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for part in _slices(b, 0, SHARD_BYTES):
+                at, data = _plain(part.column(0))
+                held = np.frombuffer(data, np.uint8) != 32
+                begins = held.copy()
+                begins[1:] &= ~held[:-1]
+                # a text's first byte begins a term whatever stands before it
+                first = at[:-1][at[:-1] < at[1:]]
+                begins[first] = held[first]
+                n = np.diff(np.concatenate([[0], np.cumsum(begins)])[at])
+                yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], names=["docs", "terms"])
+
+    got = docs.select("text").mapInArrow(counted, "docs bigint, terms bigint").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs", "terms"))).first()
     return got["docs"], got["terms"]
 
 
@@ -55,24 +82,21 @@ def _shard(ids, texts, n_docs: int, n_terms: int):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    kind, wide = pa.large_binary(), np.int64
-    raw = texts.cast(pa.large_string()).cast(kind)
-    offsets = np.frombuffer(raw.buffers()[1], wide)[raw.offset : raw.offset + len(raw) + 1]
-    plain = raw.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]].translate(_BYTES) if raw.buffers()[2] is not None else b""
-    clean = pa.Array.from_buffers(kind, len(raw), [None, pa.py_buffer(np.ascontiguousarray(offsets - offsets[0])), pa.py_buffer(plain)])
+    offsets, plain = _plain(texts)
+    clean = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(plain)])
     parts = pc.split_pattern(clean, " ")
     length = np.diff(np.asarray(parts.offsets))
     coded = parts.flatten().dictionary_encode()
     words, code = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
-    doc = np.repeat(np.arange(len(raw), dtype=np.int64), length)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int64), length)
     full = np.asarray(pc.binary_length(words)) > 0
     keep = full[code] if len(code) else np.zeros(0, bool)
     if not keep.any():
         return None
     code, doc = code[keep], doc[keep]
-    n = np.bincount(doc, minlength=len(raw)).astype(np.int64)
-    key, tf = np.unique(code * len(raw) + doc, return_counts=True)
-    code, doc = key // len(raw), key % len(raw)
+    n = np.bincount(doc, minlength=len(texts)).astype(np.int64)
+    key, tf = np.unique(code * len(texts) + doc, return_counts=True)
+    code, doc = key // len(texts), key % len(texts)
     m = 100 - LENGTH + (LENGTH * n * n_docs) // n_terms
     impact = (ONE * tf.astype(np.int64)) // (1000 * tf + SATURATION * m[doc])
     held, df = np.unique(code, return_counts=True)
