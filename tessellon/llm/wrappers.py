@@ -8,13 +8,17 @@ as a repetition of optional ones, which any order matches.) Every page takes par
 small wrapper per host, and these are folded again, first in SHARES shares of a host and then as a whole, so a host with a
 third of all pages is no task of its own.
 
-Text that is the same on all pages that have it, EVIDENCE different ones at least, is the host's template; what differs is a slot. A page is
+Text that is the same on nearly all pages of the host, EVIDENCE different ones at least, is its template; what differs is a slot. A page is
 read by matching it against its host's wrapper. Its main region is the smallest of the matched groups that holds most of
 what the slots put there outside links, or the article, main or content-named elements around or inside that. Where a host
 shows no difference (too few pages, or copies) those elements decide, article first. Inside the region, template text other than
 headings is left out, and so are groups that are menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments by their tag or name. Names of elements that hold prose (p, li, td and the like) count only where they can't mean
-anything else, as a paragraph named "search" can be about searching.
+comments by their tag or name. A name counts as a whole, or where each of its parts is a known word (ad-box, but not
+search-results). A weak name (related, discussion) is outvoted by text that differs from page to page. Names of elements that
+hold prose (p, li, td and the like) count only where they can't mean anything else. An article's own header is part of it.
+
+A task keeps at most MOST_SHAPES shapes of a host's pages apart before it folds them; the order of folding can then
+decide which of two equal alignments a wrapper gets.
 
 Defined results: null or empty html, or a page without text in the region, gives an empty text; a null url is a host
 of its own; unclosed and truncated markup is read as far as it goes, in time proportional to its length: a tag without an end
@@ -41,26 +45,31 @@ SHARES = 128
 MOST_ITEMS = 64
 #: Share of the text in slots that the main region must hold.
 REGION_SHARE = 0.6
-#: Different pages that must show a text before it counts as the host's template.
-EVIDENCE = 3
+#: Different pages that must show a text, and the share of the host's pages that must have it, before it counts as the host's template.
+EVIDENCE, NEARLY_ALL = 3, 0.9
+#: Shapes of a host's pages that a task keeps apart; beyond, it folds them into one.
+MOST_SHAPES = 200
 DEEP = 200
 
 # HTML elements by their role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("head script style noscript template iframe svg math object audio video canvas textarea title".split())
+RAW = frozenset("head script style noscript template iframe svg annotation annotation-xml audio video canvas textarea title".split())
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 SCOPES = frozenset("article aside body div footer form header html main nav section table td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Elements and names that are not the article.
+# Elements and names that are not the article; weak names can also name a part of it, so evidence decides there.
 DROP_TAGS = frozenset("nav aside footer form menu dialog select button search optgroup".split())
-DROP_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion promotions nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars side aside footer foot header masthead topbar comment comments commentlist reply replies respond disqus discussion cookie cookies notice notices consent gdpr alert alerts warning subscribe subscription newsletter signup login share sharing social related recommended recommendations widget widgets popup modal overlay copyright legal disclaimer toolbar pagination pager search form hidden skip teaser outbrain taboola".split())
+DROP_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer header masthead topbar comment comments commentlist respond disqus cookie cookies notice notices gdpr subscribe subscription newsletter signup login widget widgets popup modal overlay toolbar pagination pager hidden teaser outbrain taboola".split())
+WEAK_NAMES = frozenset("discussion reply replies related recommended recommendations search share sharing social side foot skip copyright legal disclaimer alert alerts warning consent promotion promotions form".split())
 CONTENT_NAMES = frozenset("article post content entry story main maincontent articlebody".split())
+# What the names of elements add to those above, as in ad-box or site-header.
+HOLDER_NAMES = frozenset("box bar block body bottom button buttons column container desktop group head inner item items left links list main mobile outer page panel posts right row section site slot sticky text title top unit user wrap wrapper zone".split())
 # Elements that hold prose, and the names that count for them.
 PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th caption figcaption".split())
-PROSE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promotions breadcrumb breadcrumbs sidebar comment comments commentlist disqus cookie cookies consent gdpr newsletter subscribe subscription notice notices copyright hidden outbrain taboola".split())
+PROSE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo breadcrumb breadcrumbs sidebar comment comments commentlist disqus cookie cookies gdpr newsletter subscribe subscription notice notices hidden outbrain taboola".split())
 #: All names that role() asks for; of others so many an attribute are kept, so that long lists don't part what belongs together.
-ROLE_NAMES = DROP_NAMES | CONTENT_NAMES
+ROLE_NAMES = DROP_NAMES | WEAK_NAMES | CONTENT_NAMES
 MOST_NAMES = 4
 
 _name = re.compile(r"[a-zA-Z][a-zA-Z0-9:_-]*")
@@ -71,31 +80,33 @@ _part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Slot:
-    """A text slot: optional or not, its places in a page, the host's characters and link characters there, the text if it is the same wherever it stands (its hash; None: it differs), and up to EVIDENCE pages that have it."""
+    """A text slot: optional or not, its places in a page, the host's characters and link characters there, the text if it is the same wherever it stands (its hash; None: it differs), up to EVIDENCE pages that have it, and how many have it."""
 
-    __slots__ = ("opt", "leaves", "chars", "links", "text", "seen")
+    __slots__ = ("opt", "leaves", "chars", "links", "text", "seen", "pages")
     key = "#"
 
-    def __init__(self, opt=False, leaves=(), chars=0, links=0, text=None, seen=()):
-        self.opt, self.leaves, self.chars, self.links, self.text, self.seen = opt, list(leaves), chars, links, text, tuple(seen)
+    def __init__(self, opt=False, leaves=(), chars=0, links=0, text=None, seen=(), pages=1):
+        self.opt, self.leaves, self.chars, self.links, self.text, self.seen, self.pages = opt, list(leaves), chars, links, text, tuple(seen), pages
 
-    def template(self) -> bool:
-        return self.text is not None and len(self.seen) >= EVIDENCE
+    def template(self, pages: int) -> bool:
+        """Whether the host shows this very text on nearly all of its pages."""
+        return self.text is not None and len(self.seen) >= EVIDENCE and self.pages >= NEARLY_ALL * pages
 
 
 class Group:
-    """An element: its key, whether optional and repeated, and what it holds in order."""
+    """An element: its key, whether optional and repeated, what it holds in order, and (a root's) the pages it was made of."""
 
-    __slots__ = ("key", "opt", "rep", "items")
+    __slots__ = ("key", "opt", "rep", "items", "pages")
 
-    def __init__(self, key, opt=False, rep=False, items=()):
-        self.key, self.opt, self.rep, self.items = key, opt, rep, list(items)
+    def __init__(self, key, opt=False, rep=False, items=(), pages=1):
+        self.key, self.opt, self.rep, self.items, self.pages = key, opt, rep, list(items), pages
 
 
 @lru_cache(maxsize=100_000)
 def _words(name: str) -> frozenset[str]:
-    """A name in lower case and its parts."""
-    return frozenset((name.lower(), *(p.lower() for p in _part.findall(name))))
+    """What a name says: itself in lower case; its parts too if each of them is a known one (ad-box, siteHeader), not if it only contains one (search-results)."""
+    parts = frozenset(p.lower() for p in _part.findall(name))
+    return frozenset((name.lower(), *(parts if parts <= ROLE_NAMES | HOLDER_NAMES else ())))
 
 
 def _key(tag: str, attrs: str) -> str:
@@ -279,7 +290,7 @@ def _joined(a, b, across: bool = True):
         text = a.text if a.text == b.text else None
         if not across and a.text is not None and b.text is not None:
             text = _hash(f"{a.text} {b.text}")
-        return Slot(a.opt or b.opt, a.leaves + b.leaves, a.chars + b.chars, a.links + b.links, text, sorted({*a.seen, *b.seen})[:EVIDENCE])
+        return Slot(a.opt or b.opt, a.leaves + b.leaves, a.chars + b.chars, a.links + b.links, text, sorted({*a.seen, *b.seen})[:EVIDENCE], a.pages + b.pages if across else max(a.pages, b.pages))
     return Group(a.key, a.opt or b.opt, a.rep or b.rep, aligned(a.items, b.items, across))
 
 
@@ -369,6 +380,15 @@ def skeleton(x) -> str:
     return f"<{x.key}{'+' if x.rep else ''}{mark}{''.join(map(skeleton, x.items))}>"
 
 
+def _weak(x):
+    """Whether each group with a weak name is left out, as far as the page itself tells."""
+    if x.key != "#":
+        if role(x.key) == "weak":
+            yield left_out(x)
+        for y in x.items:
+            yield from _weak(y)
+
+
 def slots(x):
     """The slots below x in order."""
     if x.key == "#":
@@ -380,19 +400,19 @@ def slots(x):
 
 def dumped(x):
     if x.key == "#":
-        return [int(x.opt), x.chars, x.links, x.text, *x.seen]
-    return [x.key, 2 * x.rep + x.opt, [dumped(y) for y in x.items]]
+        return [int(x.opt), x.chars, x.links, x.text, x.pages, *x.seen]
+    return [x.key, 2 * x.rep + x.opt, [dumped(y) for y in x.items], *([x.pages] if x.key == "root" else [])]
 
 
 def loaded(v):
     if isinstance(v[0], int):
-        return Slot(bool(v[0]), (), v[1], v[2], v[3], v[4:])
-    return Group(v[0], bool(v[1] & 1), bool(v[1] & 2), map(loaded, v[2]))
+        return Slot(bool(v[0]), (), v[1], v[2], v[3], v[5:], v[4])
+    return Group(v[0], bool(v[1] & 1), bool(v[1] & 2), map(loaded, v[2]), *v[3:])
 
 
 @lru_cache(maxsize=100_000)
 def role(key: str) -> str:
-    """drop, header, article, main, named or plain: what a group's tag and names say."""
+    """drop, weak, header, article, main, named or plain: what a group's tag and names say."""
     tag, _, names = key.partition(".")
     words = {w for name in names.split(".") for w in _words(name)}
     if tag in DROP_TAGS or "hidden" in words:
@@ -405,21 +425,33 @@ def role(key: str) -> str:
         return "drop"
     if tag == "header":
         return "header"
+    if tag not in PROSE_TAGS and words & WEAK_NAMES:
+        return "weak"
     return "named" if words & CONTENT_NAMES else "plain"
 
 
+def left_out(x) -> bool:
+    """Whether a group isn't main text. A weak name is outvoted by what the group's slots hold: text outside links that differs from page to page; in a section any text that isn't mostly links."""
+    r = role(x.key)
+    if r != "weak":
+        return r == "drop"
+    held = list(slots(x))
+    chars, links = sum(s.chars for s in held), sum(s.links for s in held)
+    return 2 * links >= chars or not (x.key.partition(".")[0] == "section" or any(s.text is None and s.chars > s.links for s in held))
+
+
 def _varying(x) -> int:
     """Characters of text that differs from page to page, outside links and left-out groups."""
     if x.key == "#":
         return 0 if x.text is not None else max(0, x.chars - x.links)
-    return 0 if role(x.key) in ("drop", "header") else sum(map(_varying, x.items))
+    return 0 if role(x.key) == "header" or left_out(x) else sum(map(_varying, x.items))
 
 
 def _plain(x) -> int:
     """Characters outside links and left-out groups."""
     if x.key == "#":
         return max(0, x.chars - x.links)
-    return 0 if role(x.key) in ("drop", "header") else sum(map(_plain, x.items))
+    return 0 if role(x.key) == "header" or left_out(x) else sum(map(_plain, x.items))
 
 
 def _flat(items) -> list:
@@ -437,7 +469,7 @@ def region(wrapper: Group, seen: set[int], alone: list[Group]) -> list[Group]:
         if x.key == "#" or not (own or id(x) in seen):
             return
         r = role(x.key)
-        if r in ("drop", "header"):
+        if r == "header" or left_out(x):
             return
         above[id(x)] = around
         if own:
@@ -508,7 +540,7 @@ def slot_flags(wrapper: Group, page: Group) -> list[bool]:
 
     def meet(w_items, p_items):
         for w, p in _pairs(w_items, p_items):
-            if p.key == "#" or role(p.key) in ("drop", "header"):
+            if p.key == "#" or role(p.key) == "header" or left_out(p if w is None else w):
                 continue
             if w is None:
                 alone.append(p)
@@ -520,21 +552,22 @@ def slot_flags(wrapper: Group, page: Group) -> list[bool]:
     kept = {id(x) for x in region(wrapper, seen, alone)}
     flags: list[bool] = []
 
-    def match(w_items, p_items, inside, heading_only, in_heading=False):
+    def match(w_items, p_items, inside, heading_only, in_article, in_heading=False):
         for w, p in _pairs(w_items, p_items):
             if p.key == "#":
-                flags.append(inside and not heading_only and not (w is not None and w.template() and not in_heading))
+                flags.append(inside and not heading_only and not (w is not None and w.template(wrapper.pages) and not in_heading))
                 continue
-            r = role(p.key)
-            now = inside or id(w or p) in kept
-            only = heading_only or (r == "header" and now)
-            if inside and r == "drop":
-                now = False
-            if p.key.partition(".")[0] in HEADINGS:
-                only = False
-            match(w.items if w else p.items, p.items, now, only, in_heading or p.key.partition(".")[0] in HEADINGS) if now or not inside else flags.extend(False for _ in slots(p))
-
-    match(wrapper.items, page.items, id(wrapper) in kept, False)
+            r, heading = role(p.key), p.key.partition(".")[0] in HEADINGS
+            now = (inside or id(w or p) in kept) and not (inside and left_out(w or p))
+            article = in_article or (now and r == "article")
+            # an article's own header is part of it; of any other only the headings are
+            only = (heading_only or (r == "header" and now and not article)) and not heading
+            if now or not inside:
+                match(w.items if w else p.items, p.items, now, only, article, in_heading or heading)
+            else:
+                flags.extend(False for _ in slots(p))
+
+    match(wrapper.items, page.items, id(wrapper) in kept, False, False)
     return flags
 
 
@@ -549,7 +582,7 @@ def main_text(page: str | None, wrapper: str | None, seen: dict) -> str:
         return ""
     root, leaves = tokenised(page)
     folded(root)
-    known = (wrapper, skeleton(root))
+    known = (wrapper, skeleton(root), tuple(_weak(root)))
     if known not in seen:
         if len(seen) > 20_000:
             seen.clear()
@@ -571,11 +604,12 @@ def _fold_pages(batches):
             own, name = hosts.setdefault(host, {}), skeleton(root)
             if name in own:  # the same shape: only its masses are added
                 for s, t in zip(slots(own[name]), slots(root)):
-                    s.chars, s.links = s.chars + t.chars, s.links + t.links
+                    s.chars, s.links, s.pages = s.chars + t.chars, s.links + t.links, s.pages + t.pages
                     s.text, s.seen = s.text if s.text == t.text else None, tuple(sorted({*s.seen, *t.seen})[:EVIDENCE])
+                own[name].pages += 1
             else:
                 own[name] = root
-                if len(own) > 200:
+                if len(own) > MOST_SHAPES:
                     hosts[host] = {"": _fold_all(own.values())}
     out = [(h, json.dumps(dumped(_fold_all(own.values())))) for h, own in hosts.items()]
     yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.string()), pa.array([w for _, w in out], pa.string())], names=["host", "wrapper"])
@@ -585,7 +619,7 @@ def _fold_all(wrappers) -> Group:
     it = iter(wrappers)
     out = next(it)
     for w in it:
-        out = Group("root", items=aligned(out.items, w.items))
+        out = Group("root", items=aligned(out.items, w.items), pages=out.pages + w.pages)
     return out
 
 

@@ -244,3 +244,44 @@ def test_archives_take_urls_of_any_length(spark):
     warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path)
     got = sorted((r["page_id"], r["url"], r["record_type"], r["payload_bytes"], r["refers_to"]) for r in warc.read(spark, path, verify=True).collect())
     assert got == [(1, rows[0][1], "response", 200, None), (2, rows[1][1], "revisit", 200, 1), (3, rows[2][1], "response", 0, None)]
+
+
+ODD = '<article><h1>Head {i}</h1><header><p>Standfirst {i}.</p></header><section id="discussion"><p>We discuss {i}.</p></section><section class="related work"><p>Others did {i}.</p></section><div class="search-results"><p>We found {i}.</p></div><p class="copyright">On copyright law {i}.</p><p>Let <math><mi>x{i}</mi></math> be.</p>{quote}<div class="related-posts"><a href="/1">More {i}</a></div><div class="share-buttons"><a href="/s">Share</a></div><div class="user-comments"><p>Reader {i}</p></div><div class="ad-box">Buy {i}</div><div class="discussion"><p>It goes on {i}.</p></div></article>'
+PAGE = '<html><body><header class="site-header"><p>Site</p></header><nav><a href="/">Home</a></nav>{}<footer>(c)</footer></body></html>'
+
+
+def want(i, quote):
+    return "\n".join([f"Head {i}", f"Standfirst {i}.", f"We discuss {i}.", f"Others did {i}.", f"We found {i}.", f"On copyright law {i}.", f"Let x{i} be.", *([quote] if quote else [])])
+
+
+def test_names_are_outvoted_by_text_that_differs(spark):
+    from tessellon.llm import wrappers
+
+    # a quotation on three of eight pages is no template; a line on all of them is
+    rows = [(i, f"http://h/{i}", PAGE.format(ODD.format(i=i, quote="<blockquote>To be or not.</blockquote>" * (i < 3) + "<address>All rights of this line are on every page.</address>"))) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert got == {i: want(i, "To be or not." if i < 3 else "") + f"\nIt goes on {i}." for i in range(8)}
+    # one page alone: there is no evidence, so a div called discussion is the readers', a section isn't
+    alone = wrappers.main_text(PAGE.format(ODD.format(i=1, quote="<pre>code</pre>")), None, {})
+    assert alone == want(1, "code")
+
+
+def test_what_names_say():
+    from tessellon.llm import wrappers
+
+    said = {k: wrappers.role(k) for k in ("div.ad-box", "div.siteHeader", "div.related-posts", "div.search-results", "section.discussion", "p.copyright", "div.comment-list", "li.search", "div.post-content", "div.notice", "div.header-image", "aside", "article.teaser")}
+    assert said == {"div.ad-box": "drop", "div.siteHeader": "drop", "div.related-posts": "weak", "div.search-results": "plain", "section.discussion": "weak", "p.copyright": "plain", "div.comment-list": "drop", "li.search": "plain", "div.post-content": "named", "div.notice": "drop", "div.header-image": "plain", "aside": "drop", "article.teaser": "drop"}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_hosts_of_many_shapes_give_the_same_texts_however_dealt(spark, parts):
+    from tessellon.llm import wrappers
+
+    random.seed(9)
+    rows = []
+    for i in range(450):
+        blocks = "".join(f"<{t}>{t} {i} {k}.</{t}>" for k, t in enumerate(random.choices(["p", "h2", "pre", "blockquote", "figure"], k=random.randint(2, 9))))
+        rows.append((i, f"http://h/{i}", PAGE.format(f"<article><h1>T {i}</h1>{blocks}<div class='ad'>Buy</div></article>")))
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(parts)).collect()}
+    by_hand = {i: "\n".join(re.findall(r">([^<>]+)</(?:h1|p|h2|pre|blockquote|figure)>", h.split("<article>")[1].split("<div")[0])) for i, _, h in rows}
+    assert len({re.sub("[^<>a-z]", "", h) for _, _, h in rows}) > 200 and got == by_hand
