@@ -28,6 +28,8 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 K = 10
 #: Bytes of text of a shard, and (item, term) entries of a block of items, an item's own terms always staying together.
 SHARD_BYTES, BLOCK_ENTRIES = 16 << 20, 20_000
+#: Bytes of text in which terms are counted at once.
+COUNTED_BYTES = 1 << 20
 #: Fixed values of the score: its scale, how fast repeats saturate, and how much length counts.
 ONE, SATURATION, LENGTH = 1_000_000_000, 8, 75
 
@@ -61,7 +63,8 @@ def totals(docs: DataFrame) -> tuple[int, int]:
         import pyarrow as pa
 
         for b in batches:
-            for part in _slices(b, 0, SHARD_BYTES):
+            n_docs = n_terms = 0
+            for part in _slices(b, 0, COUNTED_BYTES):
                 at, data = _plain(part.column(0))
                 held = np.frombuffer(data, np.uint8) != 32
                 begins = held.copy()
@@ -69,8 +72,9 @@ def totals(docs: DataFrame) -> tuple[int, int]:
                 # a text's first byte begins a term whatever stands before it
                 first = at[:-1][at[:-1] < at[1:]]
                 begins[first] = held[first]
-                n = np.diff(np.concatenate([[0], np.cumsum(begins)])[at])
-                yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], names=["docs", "terms"])
+                n = np.add.reduceat(begins, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+                n_docs, n_terms = n_docs + int((n > 0).sum()), n_terms + int(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([n_docs]), pa.array([n_terms])], names=["docs", "terms"])
 
     got = docs.select("text").mapInArrow(counted, "docs bigint, terms bigint").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs", "terms"))).first()
     return got["docs"], got["terms"]
