@@ -113,9 +113,9 @@ def linked(messages: DataFrame) -> DataFrame:
     rest = rows.where("first_turn is null")
     if not rest.isEmpty():
         rows = rows.join(_partly(rest, own), ["conv_id", "h"], "left").withColumn("first_turn", F.expr("coalesce(first_turn, case when part_turn < turn then part_turn end)"))
-    outer = F.min("depth").over(Window.partitionBy("conv_id", "turn"))
-    rows = rows.withColumn("outer", outer)
-    return rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count("first_turn").alias("n_linked"), F.max(F.when(F.col("depth") == F.col("outer"), F.col("first_turn"))).alias("reply_to"))
+    # the latest of the messages that the least deep quotes come from: one mergeable aggregate, as rows without ids may be many
+    outer = F.max(F.struct((-F.col("depth")).alias("up"), "first_turn"))["first_turn"]
+    return rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count("first_turn").alias("n_linked"), outer.alias("reply_to"))
 
 
 def _threads(links: DataFrame) -> DataFrame:
