@@ -7,8 +7,9 @@ is rejected when its distance from that centroid is above the language's limit,
 least share is made of n-grams known there. Both limits come from the bulk of the language's own rows, within bounds.
 
 The classifier is fitted on a bounded sample of labelled rows: of the ``most_langs`` most frequent languages ``per_lang``
-to twice as many rows each, taken by a hash of the id; prediction covers every whole text. Only fixed-size vectors of the
-sampled rows reach the driver.
+to twice as many rows each, taken by a hash of the id, equal texts once; fewer only where a language has no more different ones. Prediction covers every
+whole text. Each language is fitted by a task of its own; the driver gets the document frequency of each dimension, and of each
+language its centroids and what it knows: sizes that parameters fix, whatever the rows.
 
 Defined results: a null text or one without a letter gives ``und`` with score 0 and is rejected; with no labelled
 rows at all every text gives ``und``; ties go to the language first in order; repeated rows give repeated results;
@@ -20,10 +21,10 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellon.llm.common import own_names
+from tessellon.llm.common import materialise, own_names
 
 DIMS = 1 << 14
 #: Centroids per language, and rows per language that they are fitted on (between this and twice this).
@@ -89,6 +90,16 @@ def _rows(counts):
     return np.log1p(counts, dtype=np.float32)
 
 
+def sampled(known: DataFrame, sizes: dict[str, int], per_lang: int) -> DataFrame:
+    """lang, h, doc_id, text of the rows that a fit learns from: at most twice per_lang a language."""
+    every = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, max(1, n // per_lang))))
+    sample = known.where(F.pmod(F.xxhash64(F.col("doc_id")), every[F.col("lang")]) == 0)  # a label that isn't learnt has no modulus and drops out
+    # copies of a text count once, and an id that stands in many rows brings no more than the bound
+    sample = sample.groupBy("lang", F.sha2("text", 256).alias("h")).agg(F.min(F.struct("doc_id", "text")).alias("x")).select("lang", "h", "x.doc_id", "x.text")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "h"), "h")
+    return sample.withColumn("i", F.row_number().over(first)).where(F.col("i") <= 2 * per_lang).drop("i")
+
+
 def fit(docs: DataFrame, per_lang: int = PER_LANG, centroids: int = CENTROIDS, most_langs: int = MAX_LANGS) -> dict | None:
     """The classifier learnt from rows of docs (doc_id, text, lang) with a non-null lang; None if there are none."""
     import numpy as np
@@ -97,8 +108,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, centroids: int = CENTROIDS, m
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not sizes:
         return None
-    every = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, max(1, n // per_lang))))
-    sample = known.where(F.pmod(F.xxhash64(F.col("doc_id")), every[F.col("lang")]) == 0)  # a label that isn't learnt has no modulus and drops out
+    sample = sampled(known, sizes, per_lang)
 
     def vectors(batches):
         import pandas as pd
@@ -110,41 +120,46 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, centroids: int = CENTROIDS, m
                 u, k = np.unique(g, return_counts=True) if g is not None else ([], [])
                 at.append(np.asarray(u, np.int32))
                 n.append(np.asarray(k, np.int32))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "at": at, "n": n})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "h": pdf["h"], "lang": pdf["lang"], "at": at, "n": n})
+
+    got = materialise(sample.mapInPandas(vectors, "doc_id bigint, h string, lang string, at array<int>, n array<int>").where(F.size("at") > 0), "langid-sample")
+    n_rows, df = got.count(), np.zeros(DIMS, np.int64)
+    if not n_rows:
+        return None
+    for r in got.select(F.explode("at").alias("d")).groupBy("d").agg(F.count("*").alias("n")).collect():  # a row for each dimension at most
+        df[r["d"]] = r["n"]
+    idf = (np.log((1 + n_rows) / (1 + df)) + 1).astype(np.float32)
+
+    def one(key, pdf):
+        """The fit of one language: at most twice per_lang rows."""
+        import pandas as pd
 
-    got = sample.mapInPandas(vectors, "doc_id bigint, lang string, at array<int>, n array<int>").where(F.size("at") > 0).toPandas()
-    return fitted(got.sort_values(["lang", "doc_id"], kind="stable"), centroids)
+        part = pdf.sort_values(["doc_id", "h"], kind="stable")
+        c, limit, mine, least = _language(part["at"], part["n"], idf, centroids)
+        return pd.DataFrame({"lang": [key[0]] * len(c), "i": range(len(c)), "centroid": [x.tobytes() for x in c], "limit": limit, "known": [np.packbits(mine > 0).tobytes()] + [None] * (len(c) - 1), "least": least})
 
+    told = got.groupBy("lang").applyInPandas(one, "lang string, i int, centroid binary, limit double, known binary, least double").orderBy("lang", "i").collect()
+    f32 = lambda v: np.array(v, np.float32)
+    langs = [r["lang"] for r in told]
+    # one array a language, shared by its centroids and sent once
+    known_by = {r["lang"]: np.unpackbits(np.frombuffer(r["known"], np.uint8)) for r in told if r["known"] is not None}
+    return {"langs": langs, "centroids": np.stack([np.frombuffer(r["centroid"], np.float32) for r in told]), "idf": idf, "limits": f32([r["limit"] for r in told]), "known": [known_by[lang] for lang in langs], "least": f32([r["least"] for r in told])}
 
-def fitted(got, centroids: int = CENTROIDS) -> dict | None:
-    """The classifier learnt from a pandas table of lang, at and n (the dimensions of a row and their counts)."""
+
+def _language(at, counts, idf, centroids: int):
+    """Centroids, limit, known dimensions and least known share of one language, from its rows' dimensions and their counts."""
     import numpy as np
 
-    if not len(got):
-        return None
-    df = np.zeros(DIMS, np.int64)
-    for a in got["at"]:
-        df[a] += 1
-    idf = (np.log((1 + len(got)) / (1 + df)) + 1).astype(np.float32)
-    names, mats, limits, known, least = [], [], [], [], []
-    for lang in sorted(set(got["lang"])):
-        part = got[got["lang"] == lang]
-        x = np.zeros((len(part), DIMS), np.float32)
-        for i, (a, k) in enumerate(zip(part["at"], part["n"])):
-            x[i, a] = np.log1p(k)
-        mine = _known(x)
-        share = x @ mine / x.sum(1)
-        x *= idf
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        c, near = _clustered(x, min(centroids, len(x)))
-        limit = min(MAX_DISTANCE, max(MIN_DISTANCE, SLACK * float(np.quantile(1 - near, 1 - FAR)) + 0.05))
-        names += [lang] * len(c)
-        mats += list(c)
-        limits += [limit] * len(c)
-        known += [mine] * len(c)
-        least += [min(MAX_KNOWN, max(MIN_KNOWN, float(np.quantile(share, RARE)) - MARGIN))] * len(c)
-    f32 = lambda v: np.array(v, np.float32)
-    return {"langs": names, "centroids": f32(mats), "idf": idf, "limits": f32(limits), "known": f32(known), "least": f32(least)}
+    x = np.zeros((len(at), DIMS), np.float32)
+    for i, (a, k) in enumerate(zip(at, counts)):
+        x[i, a] = np.log1p(k)
+    mine = _known(x)
+    share = x @ mine / x.sum(1)
+    x *= idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c, near = _clustered(x, min(centroids, len(x)))
+    limit = min(MAX_DISTANCE, max(MIN_DISTANCE, SLACK * float(np.quantile(1 - near, 1 - FAR)) + 0.05))
+    return c, limit, mine, min(MAX_KNOWN, max(MIN_KNOWN, float(np.quantile(share, RARE)) - MARGIN))
 
 
 def _known(x):
@@ -183,7 +198,7 @@ def _predicted(docs: DataFrame, model: dict | None, text_col: str, keep: list[st
     columns = [F.col(f"`{c}`") for c in keep]
     src = docs.select(*columns, F.col(f"`{text_col}`").alias(own_names(keep, "text_in")[0]))
     schema = src.select(*columns).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
-    # a fixed size: DIMS times (MAX_LANGS times CENTROIDS times 2 + 1) floats at most
+    # a fixed size: DIMS times (MAX_LANGS times CENTROIDS + 1) floats and MAX_LANGS times DIMS bytes at most
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -285,3 +285,28 @@ def test_hosts_of_many_shapes_give_the_same_texts_however_dealt(spark, parts):
     got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(parts)).collect()}
     by_hand = {i: "\n".join(re.findall(r">([^<>]+)</(?:h1|p|h2|pre|blockquote|figure)>", h.split("<article>")[1].split("<div")[0])) for i, _, h in rows}
     assert len({re.sub("[^<>a-z]", "", h) for _, _, h in rows}) > 200 and got == by_hand
+
+
+def test_language_sample_is_bounded_whatever_repeats(spark):
+    from tessellon.llm import langid
+
+    # an id that a third of the rows have, copies of one text, and rows without an id
+    en = [(7, f"the cat number {i} sat on the mat and looked at the dog", "en") for i in range(300)] + [(i, "the same text every time about the house", "en") for i in range(300)]
+    de = [(1000 + i, f"der hund nummer {i} lief in den wald und suchte die katze", "de") for i in range(250)] + [(None, f"noch ein satz mit nummer {i} und dem hund", "de") for i in range(50)]
+    df = spark.createDataFrame(en + de, "doc_id bigint, text string, lang string").repartition(4)
+    taken = {r["lang"]: r["count"] for r in langid.sampled(df, {"en": 600, "de": 300}, 20).groupBy("lang").count().collect()}
+    assert set(taken) <= {"en", "de"} and max(taken.values()) <= 40
+    every = {r["lang"]: r["count"] for r in langid.sampled(df, {"en": 1, "de": 1}, 200).groupBy("lang").count().collect()}
+    assert every == {"en": 301, "de": 300}  # no hash leaves any out: each text once
+    model = langid.fit(df, per_lang=20)
+    assert set(model["langs"]) == {"de", "en"}
+    got = langid.predict(spark.createDataFrame([(1, "the dog looked at the cat on the mat"), (2, "der hund suchte die katze in den wald")], "doc_id bigint, text string"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "en", 2: "de"}
+
+
+def test_quotes_of_rows_without_ids(spark):
+    from tessellon.llm import chat
+
+    rows = [(1, 0, "Hello there."), (1, 1, "Second."), (1, 2, "> Hello there.\n>> Second.\nYes."), (None, None, "> Hello there.\nx"), (None, None, "> Second.\ny"), (1, None, "> Hello there.\nz")]
+    got = {(r["conv_id"], r["turn"], r["reply_to"]) for r in chat.linked(spark.createDataFrame(rows * 3, "conv_id bigint, turn bigint, text string")).collect()}
+    assert (1, 2, 0) in got
