@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import wraps
+from threading import get_ident
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +12,7 @@ from tessellon.llm.common import materialise, remove_table, tables
 
 #: Near duplicates: shingles of so many words, and a similarity of at least so many percent.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-#: For each input folder and stage function, what deletes the tables that the stage read: its rows are written when the next one begins.
+#: For each thread's run over an input folder, and each stage function, what deletes the tables that the stage read: its rows are written when the next one begins.
 _spent: dict = {}
 
 
@@ -21,9 +22,10 @@ def _after(before: str | None):
     def wrap(apply):
         @wraps(apply)
         def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            if spent := _spent.pop((sf_dir, before), None):
+            own = (get_ident(), sf_dir)
+            if spent := _spent.pop((*own, before), None):
                 spent(docs)
-            with tables(spark) as _spent[sf_dir, apply.__name__]:
+            with tables(spark) as _spent[*own, apply.__name__]:
                 return apply(spark, docs, sf_dir)
 
         return stage
