@@ -93,7 +93,7 @@ def kmeans_centres(points: DataFrame, column: str, k: int, seed: int = 42, start
     """At most k centres of an array column, least cost of several starts, in lexicographic order.
 
     The sample is chosen by a hash of the vectors and weighed by their copies, so it depends neither on partitions nor on the order
-    of rows; the best starts are then run over all rows, a job a pass for all of them.
+    of rows; the best three starts are then compared over all rows, in one job, and the best goes on, a job a pass.
     """
     import numpy as np
 
@@ -107,14 +107,15 @@ def kmeans_centres(points: DataFrame, column: str, k: int, seed: int = 42, start
     # where few distinct vectors stand in many copies, the hash may choose none of them
     some = (rows if chosen.isEmpty() else chosen).groupBy("x").agg(F.count("*").alias("w")).orderBy(place, "x").limit(sample).collect()
     best = _starts(np.array([r["x"] for r in some]), np.array([r["w"] for r in some], float), k, starts, seed)[:3]
-    cost = [np.inf] * len(best)
+    told = _lloyd(rows, best)
+    first = int(np.argmin([cost for cost, _ in told]))
+    centres, (cost, moved) = best[first], told[first]
     for _ in range(rounds):
-        told = _lloyd(rows, best)
-        better = [c for c, old in zip((t[0] for t in told), cost) if c < old - 1e-9 * abs(old if old < np.inf else 0.0)]
-        cost, before, best = [t[0] for t in told], best, [t[1] for t in told]
-        if not better:
+        less, further = _lloyd(rows, [moved])[0]
+        if less >= cost - 1e-7 * cost:
             break
-    return sorted(np.round(before[int(np.argmin(cost))], 12).tolist())
+        centres, cost, moved = moved, less, further
+    return sorted(np.round(centres, 12).tolist())
 
 
 def _gaps(x, centres):

@@ -1,7 +1,7 @@
 """Order within keys of any size: a key's rows are cut into ranges, and what a row needs of the ranges before it is carried over.
 
 A key whose rows all need one order (a running value, an exact rank) would else be one sorted task. Bounds are values of the key
-itself, chosen by a hash of them, about SPLITS for each key; so a range has about 1/SPLITS of a key, and which
+itself, chosen by a hash of them, SPLITS for each key; so a range has about 1/SPLITS of a key, and which
 rows it has depends on their values alone, not on partitions or on what a lost executor computes again.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a key is cut into, about.
+#: Bounds that cut a key into ranges.
 SPLITS = 64
 
 
@@ -20,12 +20,14 @@ def _key(by: list[str]) -> Column:
 
 
 def ranged(rows: DataFrame, by: list[str], order: Column, splits: int = SPLITS) -> DataFrame:
-    """rows with _key, and _range: a number that grows with the order column within a key; equal values share a range. Nulls come first."""
+    """rows with _key, and _range: a number that grows with the order column within a key; equal values share a range. Nulls come first.
+
+    A key's bounds are its SPLITS values of least hash; each task hands on no more than so many a key.
+    """
     own = rows.withColumns({"_key": _key(by), "_order": order})
-    size = own.groupBy("_key").agg(F.approx_count_distinct("_order").alias("_n"))
-    some = own.select("_key", "_order").where(F.col("_order").isNotNull()).join(size, "_key")
-    chosen = some.where(F.pmod(F.xxhash64("_order"), F.greatest(F.lit(1), (F.col("_n") / splits).cast("bigint"))) == 0)
-    bounds = chosen.groupBy("_key").agg(F.array_sort(F.collect_set("_order")).alias("_bounds"))
+    least = Window.partitionBy("_key").orderBy(F.xxhash64("_order"))
+    some = own.select("_key", "_order").where(F.col("_order").isNotNull()).withColumn("_i", F.row_number().over(least)).where(F.col("_i") <= splits)
+    bounds = some.groupBy("_key").agg(F.array_sort(F.collect_set("_order")).alias("_bounds"))
     own = own.join(bounds, "_key", "left")
     below = F.size(F.filter("_bounds", lambda b: b <= F.col("_order")))
     return own.withColumn("_range", F.when(F.col("_order").isNull(), -1).when(F.col("_bounds").isNull(), 0).otherwise(below)).drop("_bounds")

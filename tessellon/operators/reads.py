@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
@@ -67,6 +70,26 @@ def gold_summary(gold: DataFrame) -> DataFrame:
     )
 
 
+def summary(ledger: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: what the serving tables and the hourly aggregates hold."""
+    return serving_summary(ledger).crossJoin(gold_summary(gold))
+
+
+class Cached:
+    """The rows of a small query, asked again only when they are older than so many seconds. Callers at the same time share one run; a failed one isn't kept."""
+
+    def __init__(self, make: Callable[[], DataFrame], seconds: float = 5.0, clock: Callable[[], float] = time.monotonic):
+        self.make, self.seconds, self.clock = make, seconds, clock
+        self._lock, self._rows, self._at = threading.Lock(), None, None
+
+    def rows(self) -> list:
+        with self._lock:
+            if self._at is None or self.clock() - self._at >= self.seconds:
+                self._rows = self.make().collect()
+                self._at = self.clock()
+            return self._rows
+
+
 def progress(ledger: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """One row: events, those repeated, when the last was processed, and a count per table."""
     own = ledger.agg(F.count("*").alias("events"), F.count_if(F.col("duplicate_count") > 0).alias("duplicates"), F.max("first_processed_at").alias("last_processed_at"))

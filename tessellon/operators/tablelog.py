@@ -19,8 +19,12 @@ def commit_summary(actions: DataFrame) -> DataFrame:
 
 
 def read_log(spark, path: str) -> DataFrame:
-    """version, pos, action, path, operation from a directory of JSON commits named by version; malformed lines are left out."""
-    lines = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).cast("bigint").alias("version"), F.monotonically_increasing_id().alias("pos"), "value")
+    """version, pos, action, path, operation from a directory of JSON commits named by version; malformed lines are left out.
+
+    pos orders the lines of a commit, also of one that is read in several splits: where the split begins in its file, then the line in it.
+    """
+    pos = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.regexp_extract("_metadata.file_name", r"(\d+)\.json$", 1).cast("bigint").alias("version"), pos.alias("pos"), "value")
     rows = lines.withColumn("j", F.from_json("value", "add struct<path:string>, remove struct<path:string>, commitInfo struct<operation:string>"))
     action = F.when(F.col("j.add").isNotNull(), "add").when(F.col("j.remove").isNotNull(), "remove").when(F.col("j.commitInfo").isNotNull(), "info")
     return rows.select("version", "pos", action.alias("action"), F.coalesce("j.add.path", "j.remove.path").alias("path"), "j.commitInfo.operation").where("action is not null")

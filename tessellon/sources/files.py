@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +84,21 @@ def write_json_result(row: dict, path: str, spark: SparkSession) -> None:
     spark.createDataFrame([row]).coalesce(1).write.mode("overwrite").json(path)
 
 
+def told_result(name: str, row: dict, path: str | None, spark: SparkSession) -> str:
+    """The result as a line ``NAME={...}``, which its caller prints; it is also written if there is a path, but a write that fails only warns: the measurement is made."""
+    if path is not None:
+        try:
+            write_json_result(row, path, spark)
+        except Exception as e:  # whatever the file system has against it
+            warnings.warn(f"{name} was not written to {path}: {str(e)[:200]}", RuntimeWarning, stacklevel=2)
+    return f"{name}={json.dumps(row, sort_keys=True, default=str)}"
+
+
+def narrowed(rows: DataFrame, condition, tasks: int) -> DataFrame:
+    """The few rows that meet a condition in no more than so many tasks: a scan of many files would else write as many nearly empty ones. No shuffle."""
+    return rows.where(condition).coalesce(tasks)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 

@@ -41,11 +41,16 @@ def events(spark: SparkSession, n: int, zone: str = "zoneA", sensors: int = 3, s
     iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     spiked = uniform(F.col("seq"), seed, "spike") < spike_pct / 100
     fields = []
-    for i, m in enumerate(METRICS):
+    draw = F.xxhash64("seq", F.lit(seed))
+    for m in METRICS:
         has = reduce(lambda a, b: a | b, (kind == t for t, names in STATIONS.items() if m.name in names))
-        width = m.high - m.low
-        base = m.low + width * (0.05 + 0.1 * uniform(F.col("seq"), seed, m.name)) if m.direction != "low" else F.lit(m.threshold) + 0.05 * width
-        chosen = (F.pmod(F.xxhash64("seq", F.lit(seed)), F.lit(len(METRICS))) == i) & spiked
+        # an ordinary reading alerts nobody: it stays clear of the threshold on its good side
+        lo, hi = (m.threshold, m.high) if m.direction == "low" else (m.low, m.threshold or m.high)
+        share = uniform(F.col("seq"), seed, m.name)
+        base = lo + (hi - lo) * (0.1 + 0.4 * share if m.direction == "low" else 0.5 + 0.4 * share)
+        # one of the station's own metrics has the spike
+        place = reduce(lambda out, item: out.when(kind == item[0], F.pmod(draw, F.lit(len(item[1]))) == item[1].index(m.name)), [(t, names) for t, names in STATIONS.items() if m.name in names], F.when(F.lit(False), False))
+        chosen = F.coalesce(place, F.lit(False)) & spiked
         spike = F.lit(m.threshold * (1.1 if m.direction == "high" else 0.95)) if m.threshold else base
         text = F.round(F.when(chosen, spike).otherwise(base), 2).cast("string")
         text = F.when(F.col("fault") == "non_numeric", "hot").when(F.col("fault") == "out_of_bounds", str(10 * m.high)).otherwise(text)

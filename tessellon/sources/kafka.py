@@ -6,9 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def source_options(servers: str, topic: str, offsets_per_trigger: int = 20_000) -> dict[str, str]:
+    """One topic from its beginning, headers too, at most so many offsets a batch; a gap in the log ends nothing."""
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "includeHeaders": "true", "maxOffsetsPerTrigger": str(offsets_per_trigger), "failOnDataLoss": "false"}
+
+
+def sink_options(servers: str, topic: str) -> dict[str, str]:
+    """Every replica acknowledges, a repeated send counts once, records are compressed and wait 20 ms for others."""
+    return {"kafka.bootstrap.servers": servers, "topic": topic, "includeHeaders": "true", "kafka.acks": "all", "kafka.enable.idempotence": "true", "kafka.compression.type": "lz4", "kafka.linger.ms": "20"}
+
+
 def source(spark: SparkSession, servers: str, topic: str, offsets_per_trigger: int = 20_000) -> DataFrame:
-    options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "includeHeaders": "true", "maxOffsetsPerTrigger": offsets_per_trigger, "failOnDataLoss": "false"}
-    return spark.readStream.format("kafka").options(**options).load()
+    return spark.readStream.format("kafka").options(**source_options(servers, topic, offsets_per_trigger)).load()
 
 
 def record_key(payload, mqtt_topic):
@@ -23,5 +32,4 @@ def records(rows: DataFrame) -> DataFrame:
 
 
 def sink(rows: DataFrame, servers: str, topic: str) -> None:
-    options = {"kafka.bootstrap.servers": servers, "topic": topic, "includeHeaders": "true", "kafka.acks": "all", "kafka.enable.idempotence": "true", "kafka.compression.type": "lz4", "kafka.linger.ms": "20"}
-    records(rows).write.format("kafka").options(**options).save()
+    records(rows).write.format("kafka").options(**sink_options(servers, topic)).save()

@@ -26,6 +26,9 @@ class SnapshotStore:
     written while those are small. After MOST_PARTS batches the later parts become one, together with the base
     when they have come to a share of its size, so what a batch writes doesn't grow with all events ever seen.
 
+    A part's files are sorted by the table's first key column, each a range of its own, and the marker tells every file's
+    range. A batch opens the files alone whose range holds one of its keys: where ids grow with time, few of the stored ones.
+
     The highest marker names the version that readers see, so a batch becomes visible as a whole or not at all, and a
     failure between any two steps leaves the version before it in force. A marker tells the streaming query and its batch;
     a batch that this query applied before is a no-op, so a replay after a failure neither doubles counters nor loses rows.
@@ -51,41 +54,64 @@ class SnapshotStore:
         return max(self._markers(), default=-1)
 
     def _state(self, version: int) -> dict:
-        """What a marker holds: the last batch of each query, and the parts, base first."""
-        return {"applied": {}, "parts": []} if version < 0 else json.loads(self.spark.read.text(f"{self.root}/_versions/{version}").first()[0])
+        """What a marker holds: the last batch of each query, the parts, base first, and the key range of each file of each part."""
+        empty = {"applied": {}, "parts": [], "ranges": {}}
+        return empty if version < 0 else empty | json.loads(self.spark.read.text(f"{self.root}/_versions/{version}", wholetext=True).first()[0])
 
     def applied(self) -> dict[str, int]:
         """The last batch of each query, as the version in force has it."""
         return self._state(self.current())["applied"]
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        return self._rows(table, self._state(self.current() if version is None else version)["parts"])
+    def read(self, table: str, version: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """The rows of a version; with keys (that have the table's first key column) those of the files that may hold one of them."""
+        state = self._state(self.current() if version is None else version)
+        return self._rows(table, state["parts"], None if keys is None else self._files(table, state, keys))
+
+    def _part(self, table: str, part: str, files: list[str] | None = None) -> DataFrame:
+        at = f"{self.root}/v={part}/{table}"
+        if files is not None and not files:
+            return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.schema(TABLES[table]).parquet(*([at] if files is None else [f"{at}/{f}" for f in files]))
+
+    def _files(self, table: str, state: dict, keys: DataFrame) -> dict[str, list[str]]:
+        """For each part whose ranges are known the files that can hold one of the keys: one small aggregate, a number a file at most."""
+        known = {p: state["ranges"][p][table] for p in state["parts"] if table in state["ranges"].get(p, {})}
+        key = F.col(KEYS[table][0])
+
+        def hit(ranges):
+            """The file, counted from 1, whose range the key falls in."""
+            place = F.size(F.filter(F.lit([lo for _, lo, _ in ranges]), lambda lo: lo <= key))
+            return F.when((place > 0) & (key <= F.get(F.lit([hi for _, _, hi in ranges]), place - 1)), place)
 
-    def _part(self, table: str, part: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/v={part}/{table}")
+        asked = [F.collect_set(hit(r)).alias(f"f{i}") for i, r in enumerate(known.values()) if r]
+        found = keys.agg(*asked).first().asDict() if asked else {}
+        return {p: [r[n - 1][0] for n in sorted(found.get(f"f{i}", []))] for i, (p, r) in enumerate(known.items())}
 
-    def _rows(self, table: str, parts: list[str]) -> DataFrame:
+    def _rows(self, table: str, parts: list[str], files: dict[str, list[str]] | None = None) -> DataFrame:
         """The row of each key in the last of the parts that has the key."""
         if not parts:
             return self.spark.createDataFrame([], TABLES[table])
-        base, *others = [self._part(table, p) for p in parts]
+        base, *others = [self._part(table, p, (files or {}).get(p)) for p in parts]
         if not others:
             return base
         later = reduce(DataFrame.unionByName, (x.withColumn("_part", F.lit(i)) for i, x in enumerate(others)))
         later = serving.newest(later, KEYS[table], ["_part"]).drop("_part")
         return base.join(later.select(*KEYS[table]), KEYS[table], "left_anti").select(*base.columns).unionByName(later)
 
-    def _write(self, rows: DataFrame, table: str, part: str) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/v={part}/{table}")
+    def _write(self, rows: DataFrame, table: str, part: str) -> list[list[str]]:
+        """Write a table's rows of a part in ranges of the first key column; name, first and last key of each file, in order."""
+        at, key = f"{self.root}/v={part}/{table}", KEYS[table][0]
+        rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(at)
+        told = self.spark.read.schema(TABLES[table]).parquet(at).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+        return sorted(([r["file"], r["lo"], r["hi"]] for r in told.collect() if r["lo"] is not None), key=lambda r: r[1].encode())
 
-    def _merged(self, parts: list[str], name: str) -> list[str]:
-        """The parts of the same rows, fewer if there are more than MOST_PARTS."""
+    def _merged(self, parts: list[str], name: str, ranges: dict) -> list[str]:
+        """The parts of the same rows, fewer if there are more than MOST_PARTS; ranges gets those of a new part."""
         if len(parts) <= self.MOST_PARTS:
             return parts
         base, *others = [self._fs.getContentSummary(self._path(f"{self.root}/v={p}")).getLength() for p in parts]
         first = 1 if base > self.BASE_SHARE * sum(others) else 0
-        for table in TABLES:
-            self._write(self._rows(table, parts[first:]), table, name)
+        ranges[name] = {table: self._write(self._rows(table, parts[first:]), table, name) for table in TABLES}
         return [*parts[:first], name]
 
     def _mark(self, version: int, state: dict) -> None:
@@ -118,16 +144,17 @@ class SnapshotStore:
 
         def stored(table: str, fresh: DataFrame) -> DataFrame:
             """The stored rows of the keys in fresh."""
-            return self.read(table, now).join(fresh.select(*KEYS[table]).distinct(), KEYS[table], "left_semi")
+            return self.read(table, now, fresh).join(fresh.select(*KEYS[table]).distinct(), KEYS[table], "left_semi")
 
         try:
-            fired = serving.alerts(batch)
-            self._write(serving.upsert_latest(stored("sensor_latest", batch), batch), "sensor_latest", part)
-            self._write(serving.insert_alerts(stored("alerts", fired), fired), "alerts", part)
-            self._write(serving.upsert_ledger(stored("processed_events", batch), batch), "processed_events", part)
+            fired, own = serving.alerts(batch), {}
+            own["sensor_latest"] = self._write(serving.upsert_latest(stored("sensor_latest", batch), batch), "sensor_latest", part)
+            own["alerts"] = self._write(serving.insert_alerts(stored("alerts", fired), fired), "alerts", part)
+            own["processed_events"] = self._write(serving.upsert_ledger(stored("processed_events", batch), batch), "processed_events", part)
             conflicts = serving.payload_conflicts(self._part("processed_events", part), batch).count()
-            parts = self._merged([*state["parts"], part], f"{part}-merged")
-            self._mark(now + 1, {"applied": state["applied"] | {query_id: batch_id}, "parts": parts})
+            ranges = state["ranges"] | {part: own}
+            parts = self._merged([*state["parts"], part], f"{part}-merged", ranges)
+            self._mark(now + 1, {"applied": state["applied"] | {query_id: batch_id}, "parts": parts, "ranges": {p: ranges[p] for p in parts if p in ranges}})
             self._forget()
             return conflicts
         finally:

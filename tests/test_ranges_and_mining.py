@@ -162,3 +162,57 @@ def test_association_golden_values(spark):
     baskets = [["Bia", "Bim"], ["Bia", "Bim", "Tom"], ["Bia", "Bim", "Banh"], ["Banh", "Sua"]]
     df = spark.createDataFrame([(b,) for b in baskets], "items array<string>")
     assert tuple(mining.rule_of(df, "items", ["Bim"], ["Bia"]).first()) == (0.75, 1.0) and tuple(mining.rule_of(df, "items", ["Banh"], ["Sua"]).first()) == (0.25, 0.5)
+
+
+def test_log_lines_keep_their_order_across_splits(spark, tmp_path):
+    from tessellon.operators import tablelog
+
+    acts = [{("add" if i % 2 == 0 else "remove"): {"path": f"f{i // 2 % 50}"}} for i in range(2001)]
+    tablelog.write_commit(spark, str(tmp_path), 0, acts)
+    tablelog.write_commit(spark, str(tmp_path), 1, [{"remove": {"path": "f0"}}])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        log = tablelog.read_log(spark, str(tmp_path))
+        assert log.rdd.getNumPartitions() > 5
+        got = [(r["action"], r["path"]) for r in log.where("version = 0").orderBy("pos").collect()]
+        assert got == [(k, v["path"]) for a in acts for k, v in a.items()]
+        # pair by pair the last action is a removal, but for the path of the last line; version 1 removes that one
+        assert {r["path"] for r in tablelog.live_files(log, 0).collect()} == {"f0"} and tablelog.live_files(log).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_results_are_told_even_if_they_cannot_be_written(spark, tmp_path):
+    from tessellon.sources import files
+
+    assert files.told_result("BENCH", {"seconds": 1.5, "n": 2}, f"{tmp_path}/ok", spark) == 'BENCH={"n": 2, "seconds": 1.5}'
+    assert spark.read.json(f"{tmp_path}/ok").first()["n"] == 2
+    (tmp_path / "file").write_text("in the way")
+    with pytest.warns(RuntimeWarning, match="BENCH was not written"):
+        assert files.told_result("BENCH", {"n": 2}, f"{tmp_path}/file/below", spark) == 'BENCH={"n": 2}'
+
+
+def test_few_rows_of_many_tasks_are_written_by_few(spark, tmp_path):
+    from tessellon.sources import files
+
+    few = files.narrowed(spark.range(0, 1000, 1, 40), F.col("id") % 100 == 0, 3)
+    assert few.rdd.getNumPartitions() == 3 and sorted(r["id"] for r in few.collect()) == list(range(0, 1000, 100))
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_summary_is_cached_for_seconds(spark):
+    from tessellon.operators import reads
+
+    now, runs = [0.0], []
+    cached = reads.Cached(lambda: runs.append(1) or spark.range(len(runs)), 5.0, lambda: now[0])
+    assert [len(cached.rows()), len(cached.rows())] == [1, 1]
+    now[0] = 4.9
+    assert len(cached.rows()) == 1
+    now[0] = 5.0
+    assert len(cached.rows()) == 2 and len(runs) == 2
+    broken = reads.Cached(lambda: 1 / 0)
+    for _ in (0, 1):
+        with pytest.raises(ZeroDivisionError):
+            broken.rows()

@@ -246,3 +246,34 @@ def test_murmur2(spark):
     assert {k: h - (1 << 32) * (h >> 31) for k, (h, _, _) in got.items() if k in known} == known
     assert got == {w: (by_hand(w.encode()), (by_hand(w.encode()) & 0x7FFFFFFF) % 7, zlib.crc32(w.encode()) % 7) for w in words}
     assert spark.createDataFrame([(None,)], "k string").select(placement.murmur2("k")).first()[0] is None
+
+
+def test_a_batch_opens_the_files_alone_that_can_hold_its_keys(spark, tmp_path, monkeypatch):
+    from tessellon.streaming.pipeline import SnapshotStore
+
+    def batch(ids, minute):
+        at = datetime(2026, 1, 1) + timedelta(minutes=minute)
+        rows = [{"event_id": f"e{i:06d}", "sensor_id": f"s{i % 3}", "event_time_utc": at, "received_at_utc": at, "temperature_c": 50.0, "kafka_partition": 0, "kafka_offset": i} for i in ids]
+        return spark.createDataFrame([tuple(r.get(c) for c in columns(SILVER)) for r in rows], SILVER)
+
+    store = SnapshotStore(spark, f"file://{tmp_path}/s")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        store.apply(0, batch(range(2000), 0), "q")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    ranges = store._state(0)["ranges"]["0"]["processed_events"]
+    assert len(ranges) >= 6 and all(a[2] < b[1] for a, b in zip(ranges, ranges[1:]))
+    one = batch([5], 1).select("event_id")
+    assert store._files("processed_events", store._state(0), one) == {"0": [ranges[0][0]]}
+    assert len(store.read("processed_events", keys=one).inputFiles()) == 1
+    assert store.read("processed_events", keys=batch([999999], 1).select("event_id")).count() == 0
+    assert store.apply(1, batch([5, 5, 1999, 2000], 2), "q") == 0
+    got = {r["event_id"]: r["duplicate_count"] for r in store.read("processed_events").where("duplicate_count > 0 or event_id = 'e002000'").collect()}
+    assert got == {"e000005": 2, "e001999": 1, "e002000": 0} and store.read("processed_events").count() == 2001
+    # a marker of before, without ranges, is read as a whole
+    state = store._state(1)
+    monkeypatch.setattr(SnapshotStore, "_state", lambda self, v, real=SnapshotStore._state: real(self, v) | {"ranges": {}})
+    assert state["ranges"] and store.read("processed_events", keys=one).count() == 2001
