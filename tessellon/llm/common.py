@@ -15,6 +15,8 @@ WORD_JAVA = r"[^\x20\x09-\x0D]+"
 WORD_PY = r"[^\t-\r ]+"
 #: A side is broadcast only when its measured rows stay under this many bytes.
 BROADCAST_BYTES = 64 << 20
+#: Rows of an Arrow batch of documents; Spark's default is five times as many, and a task holds several batches outside the heap.
+ARROW_ROWS = 2000
 #: The lists that materialise() notes its paths in, innermost last; see tables().
 _noted: ContextVar[tuple] = ContextVar("noted", default=())
 
@@ -49,6 +51,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have ARROW_ROWS rows at most, where the session still has Spark's default; only memory depends on it."""
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
