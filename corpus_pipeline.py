@@ -8,7 +8,7 @@ from threading import get_ident
 from pyspark.sql import DataFrame, SparkSession
 
 from tessellon.llm import jaccard, langid, packing, quality
-from tessellon.llm.common import materialise, remove_table, tables
+from tessellon.llm.common import materialise, remove_table, small_batches, tables
 
 #: Near duplicates: shingles of so many words, and a similarity of at least so many percent.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -22,6 +22,7 @@ def _after(before: str | None):
     def wrap(apply):
         @wraps(apply)
         def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            small_batches(spark)
             own = (get_ident(), sf_dir)
             if spent := _spent.pop((*own, before), None):
                 spent(docs)
