@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -16,3 +19,11 @@ def get_spark(app: str = "tessellon", master: str | None = None, **settings) ->
     """A session in UTC with adaptive execution; the cluster's own settings stay unless named here."""
     builder = SparkSession.builder.appName(app).config(map=SETTINGS | {k.replace("__", "."): str(v) for k, v in settings.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def explained(df, mode: str = "formatted") -> str:
+    """The plan of a DataFrame as text: after a run the one that adaptive execution chose."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain(mode)
+    return out.getvalue()

@@ -113,6 +113,16 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).json(path).withColumn("experiment", F.element_at(F.split(F.input_file_name(), "/"), -2))
 
 
+def compared(found: DataFrame, variant: str, seconds: str) -> DataFrame:
+    """A row for each experiment of results(): its variants, the slowest and the quickest by their least time, these times, and how many times quicker the one is."""
+    best = found.groupBy("experiment", variant).agg(F.min(seconds).alias("_s")).where("_s is not null")
+    told = best.groupBy("experiment").agg(
+        F.count("*").alias("variants"), F.max_by(variant, F.struct("_s", variant)).alias("slowest"), F.min_by(variant, F.struct("_s", variant)).alias("quickest"),
+        F.max("_s").alias("slowest_seconds"), F.min("_s").alias("quickest_seconds"),
+    )
+    return told.withColumn("times", F.round(F.col("slowest_seconds") / F.nullif("quickest_seconds", F.lit(0.0)), 2))
+
+
 def jdbc_append(rows: DataFrame, url: str, table: str, **options) -> None:
     """Append by column name in batches of 1000 under read-committed isolation."""
     base = {"url": url, "dbtable": table, "batchsize": "1000", "isolationLevel": "READ_COMMITTED"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -202,6 +203,14 @@ def heartbeat(spark: SparkSession, path: str, queries: list) -> None:
     service.beat(spark, path, queries)
 
 
+def watermark_lag(at: str, mark: str | None) -> dict:
+    """A query's watermark, and how far it stands behind the clock: a lag that keeps growing says that the query doesn't keep up. Nulls where there is none yet."""
+    if not mark or mark.startswith("1970-01-01T00:00:00"):
+        return {"watermark": None, "watermark_lag_s": None}
+    now, then = (datetime.fromisoformat(x.replace("Z", "+00:00")) for x in (at, mark))
+    return {"watermark": mark, "watermark_lag_s": (now - then).total_seconds()}
+
+
 class ProgressLog(StreamingQueryListener):
     """A record per micro-batch: time, query, batch, rows, duration, offsets, sink, state and what it dropped, observed counters. write gets each as a JSON line."""
 
@@ -218,6 +227,7 @@ class ProgressLog(StreamingQueryListener):
         record["state_rows"] = sum(s.numRowsTotal for s in p.stateOperators)
         record["dropped_late"] = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
         record["dropped_duplicates"] = sum(s.customMetrics.get("numDroppedDuplicateRows", 0) for s in p.stateOperators)
+        record |= watermark_lag(p.timestamp, p.eventTime.get("watermark"))
         record["observed"] = {name: row.asDict() for name, row in p.observedMetrics.items()}
         self.write(json.dumps(record, default=str))
 

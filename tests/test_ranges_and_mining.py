@@ -216,3 +216,31 @@ def test_summary_is_cached_for_seconds(spark):
     for _ in (0, 1):
         with pytest.raises(ZeroDivisionError):
             broken.rows()
+
+
+# Three documents and weights of a recorded run.
+LAB = ("big data can duoc xu ly phan tan", "spark xu ly du lieu lon theo lo", "kafka xu ly du lieu thoi gian thuc")
+WEIGHTS = {(0, "big"): 0.386, (0, "data"): 0.386, (0, "xu"): 0.228, (1, "du"): 0.314, (1, "theo"): 0.413, (1, "xu"): 0.244, (2, "thoi"): 0.413, (2, "thuc"): 0.413, (2, "xu"): 0.244}
+
+
+def test_golden_weights_and_percentiles(spark):
+    got = {(r["doc"], r["term"]): round(r["weight"], 3) for r in mining.tfidf(spark.createDataFrame(list(enumerate(LAB)), "doc_id int, text string")).collect()}
+    assert {k: got[k] for k in WEIGHTS} == WEIGHTS and len({t for _, t in got}) == 18
+    four = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "v double")
+    assert ranges.quantiles(four, [], "v", {"m": 0.5}).first()["m"] == 2.5
+    two = spark.createDataFrame([(100.0,), (200.0,)], "v double")
+    assert tuple(ranges.quantiles(two, [], "v", {"p50": 0.5, "p95": 0.95}).first()) == (150.0, 195.0)
+
+
+def test_results_are_compared_and_plans_told(spark, tmp_path):
+    from tessellon import session
+    from tessellon.sources import files
+
+    for name, runs in {"filter": [("late", 0.9), ("late", 0.6), ("early", 0.2)], "cache": [("none", 1.0)]}.items():
+        for i, (variant, seconds) in enumerate(runs):
+            files.write_json_result({"variant": variant, "seconds": seconds}, f"{tmp_path}/r/{i}/{name}", spark)
+    got = {r["experiment"]: tuple(r)[1:] for r in files.compared(files.results(spark, f"{tmp_path}/r"), "variant", "seconds").collect()}
+    assert got == {"filter": (2, "late", "early", 0.6, 0.2, 3.0), "cache": (1, "none", "none", 1.0, 1.0, 1.0)}
+    spark.range(10).selectExpr("id", "id * 2 as v", "'x' as unused").write.parquet(f"{tmp_path}/t")
+    told = session.explained(spark.read.parquet(f"{tmp_path}/t").where("id > 5").select("v"))
+    assert "GreaterThan(id,5)" in told and "ReadSchema: struct<id:bigint,v:bigint>" in told

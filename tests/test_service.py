@@ -277,3 +277,9 @@ def test_a_batch_opens_the_files_alone_that_can_hold_its_keys(spark, tmp_path, m
     state = store._state(1)
     monkeypatch.setattr(SnapshotStore, "_state", lambda self, v, real=SnapshotStore._state: real(self, v) | {"ranges": {}})
     assert state["ranges"] and store.read("processed_events", keys=one).count() == 2001
+
+
+def test_watermark_lag():
+    assert pipeline.watermark_lag("2026-01-01T00:10:00.500Z", "2026-01-01T00:00:00.000Z") == {"watermark": "2026-01-01T00:00:00.000Z", "watermark_lag_s": 600.5}
+    for none in (None, "1970-01-01T00:00:00.000Z"):
+        assert pipeline.watermark_lag("2026-01-01T00:10:00.500Z", none) == {"watermark": None, "watermark_lag_s": None}
