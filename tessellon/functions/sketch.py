@@ -54,12 +54,40 @@ def rolling(sketches: DataFrame, pane: str, panes: int, width: str, by=()) -> Da
     return merged(spread.join(last, [*by, "window_end"], "left_semi"), [*by, "window_end"])
 
 
-def quantile(sketches: DataFrame, by: list[str], q: float, name: str, error: float = ERROR) -> DataFrame:
-    """by, n and the quantile (position (n - 1) q, linear between neighbours) within the sketch's relative error."""
+def located(sketches: DataFrame, by: list[str], q: float) -> DataFrame:
+    """by, n, and of the ranks on either side of position (n - 1) q the bucket (_lo, _hi) and the place in it from 0 (_lo_at, _hi_at); _share is how far the position is between them."""
     w = Window.partitionBy(*by).orderBy("bucket")
     own = sketches.select(*by, "bucket", "n", F.sum("n").over(w).alias("_upto"), F.sum("n").over(Window.partitionBy(*by)).alias("_n"))
     at = (F.col("_n") - 1) * F.lit(q)
     first = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("bucket")))
-    told = own.groupBy(*by).agg(F.max("_n").alias("n"), first(F.floor(at)).alias("_lo"), first(F.ceil(at)).alias("_hi"), F.max(at - F.floor(at)).alias("_share"))
+    place = lambda rank: F.max(rank) - F.coalesce(F.max(F.when(F.col("_upto") <= rank, F.col("_upto"))), F.lit(0))
+    ranks = {"_lo": F.floor(at), "_hi": F.ceil(at)}
+    return own.groupBy(*by).agg(F.max("_n").alias("n"), *(first(r).alias(c) for c, r in ranks.items()), *(place(r).alias(f"{c}_at") for c, r in ranks.items()), F.max(at - F.floor(at)).alias("_share"))
+
+
+def between(error: float = ERROR) -> Column:
+    """The quantile that located() found, within the sketch's relative error."""
     lo, hi = value_of(F.col("_lo"), error), value_of(F.col("_hi"), error)
-    return told.select(*by, "n", (lo + (hi - lo) * F.col("_share")).alias(name))
+    return lo + (hi - lo) * F.col("_share")
+
+
+def quantile(sketches: DataFrame, by: list[str], q: float, name: str, error: float = ERROR) -> DataFrame:
+    """by, n and the quantile (position (n - 1) q, linear between neighbours) within the sketch's relative error."""
+    return located(sketches, by, q).select(*by, "n", between(error).alias(name))
+
+
+def exact_rolling(found: DataFrame, counted: DataFrame, pane: str, value: str, panes: int, width: str, name: str) -> DataFrame:
+    """found (window_end and what located() gives) with the exact quantile: of a span only the values of the buckets that hold its two ranks are read.
+
+    counted has pane, bucket, value and n. The spread side is ``panes`` times what Spark takes it for, so neither side may be broadcast.
+    """
+    step = F.expr(f"interval {width}")
+    wanted = found.withColumn("bucket", F.explode(F.array_distinct(F.array("_lo", "_hi"))))
+    spread = wanted.withColumn(pane, F.explode(F.transform(F.sequence(F.lit(1), F.lit(panes)), lambda i: F.col("window_end") - step * i)))
+    held = spread.hint("merge").join(counted.select(pane, "bucket", F.col(value).alias("_v"), F.col("n").alias("_c")), [pane, "bucket"])
+    held = held.groupBy(*found.columns, "bucket", "_v").agg(F.sum("_c").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("window_end", "bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    held = held.withColumn("_upto", upto)
+    side = lambda c: F.max(F.when((F.col("bucket") == F.col(c)) & (F.col(f"{c}_at") < F.col("_upto")) & (F.col(f"{c}_at") >= F.col("_upto") - F.col("_c")), F.col("_v")))
+    told = held.groupBy(*found.columns).agg(side("_lo").alias("_a"), side("_hi").alias("_b"))
+    return told.select(*found.columns, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share")).alias(name))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessellon.functions import placement, sketch
 from tessellon.functions.quality import validated
-from tessellon.operators import gold, logs, ranges, reconcile
+from tessellon.operators import gold, logs, reconcile
 from tessellon.plans.common import P_SQL, collector, payloads, table
 from tessellon.registry import NAMES
 from tessellon.streaming import lifecycle, policy, windows
@@ -51,14 +51,11 @@ SELECT window_end, n, round(p95, 6) AS p95, abs(p95 - exact) <= {sketch.ERROR} *
 @plan(ROLLING_SQL)
 def dq_lateness_rolling(spark, sf_dir):
     """95th percentile of the last hour, each minute, from merged sketches of the minutes; within_bound compares it with the exact one."""
-    e = _events(spark, sf_dir).select(F.date_trunc("minute", "ts").alias("pane"), F.col("value").alias("s"))
-    sketches = sketch.sketched(e, ["pane"], F.col("s"))
-    rolled = sketch.quantile(sketch.rolling(sketches, "pane", 60, "1 minute"), ["window_end"], 0.95, "p95")
-    # the exact value is for the comparison only: it needs the raw rows of each span
-    step = F.expr("interval 1 minute")
-    raw = e.where("s >= 0").withColumn("window_end", F.explode(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.col("pane") + step * i)))
-    exact = ranges.quantiles(raw.join(rolled.select("window_end"), "window_end", "left_semi"), ["window_end"], "s", {"exact": 0.95})
-    both = rolled.join(exact, "window_end")
+    e = _events(spark, sf_dir).select(F.date_trunc("minute", "ts").alias("pane"), F.col("value").alias("s")).where("s >= 0")
+    # equal values of a minute are counted once, for the sketches and for the exact value, which reads the buckets that the sketches name
+    counted = e.groupBy("pane", "s").agg(F.count("*").alias("n")).withColumn("bucket", sketch.bucket(F.col("s")))
+    found = sketch.located(sketch.rolling(sketch.merged(counted, ["pane"]), "pane", 60, "1 minute"), ["window_end"], 0.95)
+    both = sketch.exact_rolling(found, counted, "pane", "s", 60, "1 minute", "exact").withColumn("p95", sketch.between())
     return _plain(both.select("window_end", "n", F.round("p95", 6).alias("p95"), (F.abs(F.col("p95") - F.col("exact")) <= F.lit(sketch.ERROR) * F.col("exact") + 1e-9).alias("within_bound")), "window_end")
 
 
