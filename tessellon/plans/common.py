@@ -34,16 +34,22 @@ def vector(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem")
 
 
-def payloads(spark, sf_dir: str) -> DataFrame:
-    """Bronze rows made of events, with faults by event_id mod 50 (adapter P)."""
+def payloads(spark, sf_dir: str, whole_ids: bool = False) -> DataFrame:
+    """Bronze rows made of events, with faults by event_id mod 50 (adapter P).
+
+    The SQL of quarantine and dq_ratios pads ids to six digits with lpad, which cuts longer ones; so from a million events on ids
+    repeat there. whole_ids pads without cutting: each event keeps an id of its own, as the SQL of the aggregates has it.
+    """
     e = table(spark, sf_dir, "events")
     b = F.col("event_id") % 50
     when = lambda k, x, y: F.when(b == k, x).otherwise(y)
     text = lambda c: c.cast("string")
+    digits = text(F.col("event_id"))
+    padded = F.lpad(digits, F.greatest(F.lit(6), F.length(digits)) if whole_ids else 6, "0")
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     body = F.to_json(
         F.struct(
-            when(1, F.lit(" "), F.concat(F.lit("zoneA-"), F.lpad(text(F.col("event_id")), 6, "0"))).alias("event_id"),
+            when(1, F.lit(" "), F.concat(F.lit("zoneA-"), padded)).alias("event_id"),
             F.when(b != 2, F.concat(F.lit("zoneA_MULTI_"), text(F.col("user_id") % 10))).alias("sensor_id"),
             when(3, F.lit("not-a-timestamp"), at).alias("event_time"),
             F.when(b != 4, at).alias("ingest_time"),

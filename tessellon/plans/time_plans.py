@@ -83,7 +83,7 @@ def lifecycle_corrections(spark, sf_dir):
     """What counts after a batch pass over published versions that had missed a seventh of the events."""
     from tessellon.operators import layers
 
-    silver = layers.silver(payloads(spark, sf_dir))
+    silver = layers.silver(payloads(spark, sf_dir, whole_ids=True))
     part = gold.hourly(silver.where("kafka_offset % 7 <> 0"), metrics=["temperature_c"])
     first = part.select("sensor_id", "metric", F.col("hour_start").alias("window_start"), (F.col("hour_start") + F.expr("interval 1 hour")).alias("window_end"), F.lit(1).alias("version"), F.lit(lifecycle.FINAL).alias("status"), "event_count", "avg_value", "min_value", "max_value", F.lit(None).cast("int").alias("previous_version"), F.lit(LIFE_UNTIL).cast("timestamp").alias("frontier"))
     published = first.where(F.col("window_end") <= F.lit(LIFE_UNTIL))
