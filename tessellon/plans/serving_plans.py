@@ -161,7 +161,7 @@ def layer_accounting(spark, sf_dir):
 @plan(f"""WITH {P_SQL} SELECT 'zoneA_MULTI_' || (user_id % 10) AS sensor_id, date_trunc('hour', t) AS hour_start, m.metric, count(*) AS event_count, round(avg(m.value), 6) AS avg_value
 FROM (SELECT user_id, t, 'temperature_c' AS metric, temperature_c AS value FROM p WHERE reason IS NULL UNION ALL SELECT user_id, t, 'humidity_pct', humidity_pct FROM p WHERE reason IS NULL) m WHERE m.value IS NOT NULL GROUP BY 1, 2, 3""")
 def payload_to_gold(spark, sf_dir):
-    out = gold.hourly(layers.silver(payloads(spark, sf_dir)))
+    out = gold.hourly(layers.silver(payloads(spark, sf_dir, whole_ids=True)))
     return out.select("sensor_id", F.col("hour_start").cast("timestamp_ntz").alias("hour_start"), "metric", "event_count", F.round("avg_value", 6).alias("avg_value"))
 
 
