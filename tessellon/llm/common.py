@@ -42,10 +42,14 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: How rows of several MB are written: by default the first look at a row group's size comes after 100 rows, which its writer and each of its readers would hold at once.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def materialise(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     for paths in _noted.get():
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

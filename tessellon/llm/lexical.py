@@ -21,13 +21,13 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellon.llm.common import BROADCAST_BYTES, materialise
+from tessellon.llm.common import BROADCAST_BYTES, LARGE_ROWS, materialise
 
 #: What separates terms: all ASCII characters but letters and digits.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 K = 10
 #: Bytes of text of a shard, and (item, term) entries of a block of items, an item's own terms always staying together.
-SHARD_BYTES, BLOCK_ENTRIES = 16 << 20, 20_000
+SHARD_BYTES, BLOCK_ENTRIES = 4 << 20, 20_000
 #: Bytes of text in which terms are counted at once.
 COUNTED_BYTES = 1 << 20
 #: Fixed values of the score: its scale, how fast repeats saturate, and how much length counts.
@@ -139,7 +139,7 @@ def index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, i
         if held:
             yield from made(held)
 
-    return materialise(own.mapInArrow(shards, SHARD), "lexical-index"), n_docs
+    return materialise(own.mapInArrow(shards, SHARD), "lexical-index", LARGE_ROWS), n_docs
 
 
 def _slices(batch, column: int, most: int):
