@@ -32,15 +32,23 @@ def copairs(rows: DataFrame, item: str, together: list[str], counted: str, least
     """
     own = rows.select(item, *dict.fromkeys([*together, counted])).distinct().where(F.col(item).isNotNull())
     blocks = own.groupBy(*together).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    own = own.join(blocks, together).withColumn("_own", F.pmod(F.xxhash64(F.col(item)), F.col("_blocks")).cast("int"))
-    left = own.withColumns({"_i": F.col("_own"), "_j": F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1))})
-    right = own.withColumns({"_i": F.explode(F.sequence(F.lit(0), F.col("_own"))), "_j": F.col("_own")})
+    own = own.join(blocks, together)
     extra = [] if counted in together else [counted]
-    right = right.select(F.col(item).alias("_b"), *together, *(F.col(c).alias("_c") for c in extra), "_i", "_j")
-    pairs = left.join(right, [*together, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col(item) < F.col("_b"))).where(F.col(item) != F.col("_b"))
-    a, b = F.least(F.col(item), F.col("_b")), F.greatest(F.col(item), F.col("_b"))
-    value = F.col(counted) if not extra else F.when(F.col(item) < F.col("_b"), F.col(counted)).otherwise(F.col("_c"))
-    return pairs.groupBy(a.alias("a"), b.alias("b")).agg(F.count_distinct(value).alias("n")).where(F.col("n") >= least)
+    kept = [*together, "_p", "_q"]
+    # a group of one block is an array, made where its rows are; only the blocks of larger ones are dealt out
+    member = F.struct(F.col(item).alias("i"), *(F.col(c).alias("c") for c in extra))
+    small = own.where("_blocks = 1").groupBy(*together).agg(F.array_sort(F.collect_list(member)).alias("_all"))
+    small = small.select(*together, "_all", F.posexplode("_all").alias("_at", "_p")).where(F.col("_at") + 1 < F.size("_all"))
+    small = small.withColumn("_q", F.explode(F.slice("_all", F.col("_at") + 2, F.size("_all")))).where(F.col("_p.i") != F.col("_q.i")).select(*kept)
+    own = own.where("_blocks > 1").withColumn("_own", F.pmod(F.xxhash64(F.col(item)), F.col("_blocks")).cast("int")).select(*together, "_blocks", "_own", member.alias("_p"))
+    left = own.withColumns({"_i": F.col("_own"), "_j": F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1))})
+    right = own.withColumns({"_i": F.explode(F.sequence(F.lit(0), F.col("_own"))), "_j": F.col("_own")}).select(*together, F.col("_p").alias("_q"), "_i", "_j")
+    large = left.join(right, [*together, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("_p.i") < F.col("_q.i"))).where(F.col("_p.i") != F.col("_q.i"))
+    first, last = (F.when(F.col("_p.i") < F.col("_q.i"), F.col(x)).otherwise(F.col(y)) for x, y in (("_p", "_q"), ("_q", "_p")))
+    pairs = small.unionByName(large.select(*together, first.alias("_p"), last.alias("_q"))).withColumns({"a": F.col("_p.i"), "b": F.col("_q.i")})
+    # a group that is counted itself has each of its pairs once
+    n = F.count(F.col(counted)) if [counted] == together else F.count_distinct(F.col("_p.c") if extra else F.col(counted))
+    return pairs.groupBy("a", "b").agg(n.alias("n")).where(F.col("n") >= least)
 
 
 def pair_rules(baskets: DataFrame, basket: str, item: str, least: int = 2) -> DataFrame:
