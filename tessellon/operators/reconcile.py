@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,22 @@ def key_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return x.join(y, keys, "full").agg(F.count("*").alias("keys"), F.count_if(F.col("_b").isNull()).alias("only_left"), F.count_if(F.col("_a").isNull()).alias("only_right"))
 
 
+def layer_keys(bronze: DataFrame, silver: DataFrame, quarantine: DataFrame, place: list[str]) -> DataFrame:
+    """One row: Bronze rows whose key is in Silver, in Quarantine, in both and in neither; a row for each Silver and Quarantine row of its key.
+
+    Keys are counted by layer in mergeable sums, so no layer is sorted or joined.
+    """
+    of = lambda rows, n: rows.select(*place, *(F.lit(int(i == n)).alias(c) for i, c in enumerate("bsq")))
+    rows = of(bronze, 0).unionByName(of(silver, 1)).unionByName(of(quarantine, 2))
+    per = rows.groupBy(*place).agg(*(F.sum(c).alias(c) for c in "bsq"))
+    # a null in a key equals nothing, so such a Bronze row is in neither
+    whole = reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in place))
+    s, q = (F.when(whole, F.col(c)).otherwise(0) for c in "sq")
+    made = F.col("b") * F.greatest(s, F.lit(1)) * F.greatest(q, F.lit(1))
+    told = lambda when, name: F.coalesce(F.sum(F.when(when, made)), F.lit(0)).alias(name)
+    return per.agg(told(s > 0, "silver_keys"), told(q > 0, "quarantine_keys"), told((s > 0) & (q > 0), "in_both"), told((s == 0) & (q == 0), "in_neither"))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 

@@ -119,10 +119,7 @@ def layer_keys(spark, sf_dir):
 
     b = payloads(spark, sf_dir)
     place = ["kafka_topic", "kafka_partition", "kafka_offset"]
-    s, q = layers.silver(b).select(*place).withColumn("s", F.lit(1)), layers.quarantine(b).select(*place).withColumn("q", F.lit(1))
-    rows = b.select(*place).join(s, place, "left").join(q, place, "left")
-    both, none = F.col("s").isNotNull() & F.col("q").isNotNull(), F.col("s").isNull() & F.col("q").isNull()
-    return rows.agg(F.count("s").alias("silver_keys"), F.count("q").alias("quarantine_keys"), F.count_if(both).alias("in_both"), F.count_if(none).alias("in_neither"))
+    return reconcile.layer_keys(b, layers.silver(b), layers.quarantine(b), place)
 
 
 @plan("SELECT CAST(r.k AS INTEGER) AS partition, count(c_custkey) AS n FROM range(7) r(k) LEFT JOIN customer ON c_custkey % 5 = r.k GROUP BY 1")
