@@ -137,15 +137,29 @@ def _nearest(gaps):
 
 
 def _lloyd(rows: DataFrame, sets) -> list:
-    """(cost, moved centres) of each set of centres, in one pass and one shuffle of a row for each set, cluster and task."""
+    """(cost, moved centres) of each set of centres, in one pass: distances in Arrow batches, a row for each set, cluster and batch, summed by Spark."""
     import numpy as np
 
     dims = len(sets[0][0])
-    gaps = [F.struct(F.lit(i).alias("s"), _gaps(F.col("x"), c.tolist()).alias("gaps")) for i, c in enumerate(sets)]
-    near = rows.select("x", F.explode(F.array(*(F.struct(g["s"].alias("s"), _nearest(g["gaps"]).alias("c"), F.array_min(g["gaps"]).alias("gap")) for g in gaps))).alias("at"))
-    found = near.groupBy("at.s", "at.c").agg(F.sum("at.gap").alias("cost"), *(F.avg(F.col("x")[i]).alias(f"x{i}") for i in range(dims))).collect()
+    centres = [np.asarray(c, float) for c in sets]
+
+    def summed(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = np.asarray(b.column(0).flatten(), float).reshape(-1, dims)
+            for i, c in enumerate(centres):
+                gap = np.stack([((x - m) ** 2).sum(1) for m in c], 1)
+                near, least = gap.argmin(1), gap.min(1)
+                for k in np.unique(near):
+                    own = near == k
+                    row = {"s": [i], "c": [int(k)], "m": [int(own.sum())], "cost": [float(least[own].sum())]} | {f"x{j}": [float(v)] for j, v in enumerate(x[own].sum(0))}
+                    yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("s", pa.int32()), ("c", pa.int32()), ("m", pa.int64()), *((n, pa.float64()) for n in ["cost", *(f"x{j}" for j in range(dims))])]))
+
+    kinds = ", ".join(["s int", "c int", "m bigint", "cost double", *(f"x{j} double" for j in range(dims))])
+    found = rows.select("x").mapInArrow(summed, kinds).groupBy("s", "c").agg(F.sum("cost").alias("cost"), *((F.sum(f"x{j}") / F.sum("m")).alias(f"x{j}") for j in range(dims))).collect()
     out = []
-    for i, c in enumerate(sets):
+    for i, c in enumerate(centres):
         own, moved = [r for r in found if r["s"] == i], np.array(c)
         for r in own:
             moved[r["c"]] = [r[f"x{j}"] for j in range(dims)]
