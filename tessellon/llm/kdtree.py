@@ -10,7 +10,7 @@ query searches its home cell first; the distance found there tells which other c
 
 Equal vectors are one class: of its ids the k + 1 smallest are kept, as no answer can hold more of them, and queries with
 one vector search once. Cells beyond PART rows are dealt into parts, queries into groups of bounded size, so no task
-gets more than a part and a group. Every row is in the index and no number of candidates is fixed: only the test ends a search.
+gets more than a part and a group. There the queries that have come to one leaf are verified by one matrix product. Every row is in the index and no number of candidates is fixed: only the test ends a search.
 
 Defined results: vectors that are null, zero or hold a null or non-finite component, and rows with a null id, take no part;
 shorter vectors count as padded with zeros; equal scores go to the smaller id; repeated rows of one id and vector count
@@ -20,7 +20,6 @@ other vector return no rows; an empty table gives an empty table; extra columns
 
 from __future__ import annotations
 
-import heapq
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -67,7 +66,7 @@ class Tree:
     def __init__(self, points, leaf: int = LEAF):
         import numpy as np
 
-        self.points, self.order, self.nodes = points, np.arange(len(points)), []
+        self.order, self.boxes = np.arange(len(points)), []
         todo = [(0, len(points))] if len(points) else []
         while todo:
             lo, hi = todo.pop()
@@ -75,67 +74,78 @@ class Tree:
             low, high = own.min(0), own.max(0)
             wide = int(np.argmax(high - low))
             if hi - lo <= leaf or high[wide] == low[wide]:
-                self.nodes.append((low, high, lo, hi, True))
+                self.boxes.append((low, high, lo, hi))
                 continue
             mid = (hi - lo) // 2
             self.order[lo:hi] = self.order[lo:hi][np.argpartition(own[:, wide], mid)]
-            self.nodes.append((low, high, lo + mid, hi, False))
             todo += [(lo + mid, hi), (lo, lo + mid)]
-        # nodes stand in the order of a walk, left before right
-        self.right, open_ = {}, []
-        for i, node in enumerate(self.nodes):
-            if not node[4]:
-                open_.append([i, 0])
-                continue
-            while open_ and open_[-1][1] == 1:
-                open_.pop()
-            if open_:
-                open_[-1][1] = 1
-                self.right[open_[-1][0]] = i + 1
+
+    def members(self, leaf: int):
+        """Positions of a leaf's points."""
+        return self.order[slice(*self.boxes[leaf][2:])]
+
+    def away(self, q):
+        """Squared distance of each query to each leaf's box."""
+        import numpy as np
+
+        out = np.empty((len(q), len(self.boxes)))
+        for i, (low, high, _, _) in enumerate(self.boxes):
+            gap = q - np.clip(q, low, high)
+            out[:, i] = np.einsum("ij,ij->i", gap, gap)
+        return out
 
     def leaves(self, q, far):
         """(squared distance, positions of the points) of leaves, nearest first, while they are nearer than far() says."""
         import numpy as np
 
-        def away(i):
-            d = q - np.clip(q, self.nodes[i][0], self.nodes[i][1])
-            return float(d @ d)
-
-        heap = [(away(0), 0)] if self.nodes else []
-        while heap:
-            d, i = heapq.heappop(heap)
-            if d > far():
+        away = self.away(q[None])[0]
+        for leaf in np.argsort(away, kind="stable").tolist():
+            if away[leaf] > far():
                 return
-            _, _, lo, hi, leaf = self.nodes[i]
-            if leaf:
-                yield d, self.order[lo:hi]
-            else:
-                for child in (i + 1, self.right[i]):
-                    heapq.heappush(heap, (away(child), child))
+            yield float(away[leaf]), self.members(leaf)
+
 
+def _search(tree: Tree, vectors, first, q, p, base, bound, k: int, chi: float, slack: float):
+    """Positions and scores of each query's k nearest verified vectors with at least its bound's score, by score and first id.
 
-def _search(tree: Tree, vectors, first, q, p, base: float, bound: float, k: int, chi: float, slack: float):
-    """Positions and scores of a query's k nearest verified vectors with at least the bound's score, by score and first id."""
+    Each query takes leaves nearest first, as its own stopping test says; the queries that are at one leaf in a step
+    are verified there by one matrix product.
+    """
     import numpy as np
 
-    best = [bound]
-    far = lambda: chi * max(0.0, base - 2 * best[0]) + slack
-    at, score = np.zeros(0, np.int64), np.zeros(0)
-    for _, own in tree.leaves(p, far):
-        gap = tree.points[own] - p
-        own = own[np.einsum("ij,ij->i", gap, gap) <= far()]
-        if not len(own):
-            continue
-        at, score = np.concatenate([at, own]), np.concatenate([score, vectors[own] @ q])
-        if len(at) >= k:
-            best[0] = max(best[0], np.partition(score, len(score) - k)[len(score) - k])
-        # rounding may differ between products, so what is that near the edge stays
-        keep = score >= best[0] - slack
-        at, score = at[keep], score[keep]
+    n = len(q)
+    away = tree.away(p)
+    turn = np.argsort(away, axis=1, kind="stable")
+    best, top = np.array(bound, float), np.full((n, k), -np.inf)
+    who, at, score, live = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], np.arange(n)
+    for step in range(len(tree.boxes)):
+        # a query's leaves lie ever farther and its best only grows, so one that stops has stopped for good
+        live = live[away[live, turn[live, step]] <= chi * np.maximum(0.0, base[live] - 2 * best[live]) + slack]
+        if not len(live):
+            break
+        leaf_of = turn[live, step]
+        for leaf in np.unique(leaf_of).tolist():
+            own, rows = live[leaf_of == leaf], tree.members(leaf)
+            got = q[own] @ vectors[rows].T
+            better = got.max(1) > best[own]
+            if better.any():
+                mine = own[better]
+                top[mine] = np.partition(np.concatenate([top[mine], got[better]], axis=1), -k, axis=1)[:, -k:]
+                best[mine] = np.maximum(best[mine], top[mine].min(1))
+            # rounding may differ between products, so what is that near the edge stays
+            i, j = np.nonzero(got >= best[own][:, None] - slack)
+            who.append(own[i])
+            at.append(rows[j])
+            score.append(got[i, j])
+    who, at, score = map(np.concatenate, (who, at, score))
+    stays = score >= best[who] - slack
+    who, at = who[stays], at[stays]
     # one way of summing for all, so that equal vectors and repeated runs give equal scores
-    score = (vectors[at] * q).sum(1)
-    order = np.lexsort((first[at], -score))[:k]
-    return at[order], score[order]
+    score = np.concatenate([np.zeros(0), *((vectors[at[i : i + 8192]] * q[who[i : i + 8192]]).sum(1) for i in range(0, len(at), 8192))])
+    order = np.lexsort((first[at], -score, who))
+    who, at, score = who[order], at[order], score[order]
+    ends = np.searchsorted(who, np.arange(n + 1))
+    return [(at[lo : min(hi, lo + k)], score[lo : min(hi, lo + k)]) for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, dims: int = DIMS, certain: float = CERTAIN, cell_rows: int = CELL, part_rows: int = PART, group: int = GROUP, sample: int = SAMPLE, most_cells: int = MOST_CELLS) -> DataFrame:
@@ -215,14 +225,12 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, dims: int = DIMS
 
         out = []
         if ask.num_rows:
-            base_of = lambda x: float(x @ x) + top
             x, p, bound = unpack(ask["v"], wide), unpack(ask["q"], dims), np.asarray(ask["bound"])
             points = np.asarray(own["p"].combine_chunks().flatten()).reshape(-1, dims) if own.num_rows else np.zeros((0, dims))
             tree, there = Tree(points), unpack(own["v"], wide)
             ids = own["ids"].to_pylist()
             first = np.array([i[0] for i in ids], np.int64)
-            for i in range(len(x)):
-                at, score = _search(tree, there, first, x[i], p[i], base_of(x[i]), float(bound[i]), keep, chi, slack)
+            for i, (at, score) in enumerate(_search(tree, there, first, x, p, (x * x).sum(1) + top, bound, keep, chi, slack)):
                 out.append((score.tolist(), [ids[j] for j in at.tolist()], max(float(bound[i]), float(score[keep - 1]) if len(score) == keep else -math.inf)))
         scores, found, bounds = zip(*out) if out else ((), (), ())
         keys = [ask[c].combine_chunks() for c in ("v", "q", "cell", "part")]

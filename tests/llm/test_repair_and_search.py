@@ -179,6 +179,26 @@ def test_tree_gives_leaves_nearest_first():
     assert {i for i in range(1000) if points[i] @ points[i] <= 1.0} <= near < set(range(1300))
 
 
+def test_queries_at_one_leaf_are_verified_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.standard_normal((3000, 6)) * 4)  # whole numbers: many equal scores
+    q, matrix, k = v[:500], rng.standard_normal((7, 4)), 9
+    square, seen = (v * v).sum(1), []
+    points = np.c_[v, np.sqrt(square.max() - square)] @ matrix
+    real = kdtree.Tree.members
+    monkeypatch.setattr(kdtree.Tree, "members", lambda self, leaf: seen.append(leaf) or real(self, leaf))
+    tree = kdtree.Tree(points, 100)
+    got = kdtree._search(tree, v, np.arange(3000), q, np.c_[q, np.zeros(500)] @ matrix, square[:500] + square.max(), np.full(500, -np.inf), k, 1e9, 1e-9)
+    for i, (at, score) in enumerate(got):
+        want = v @ q[i]
+        order = np.lexsort((np.arange(3000), -want))[:k]
+        assert at.tolist() == order.tolist() and score.tolist() == want[order].tolist()
+    # a query for itself would take every leaf: 500 times as many products as leaves
+    assert len(tree.boxes) < len(seen) <= len(tree.boxes) ** 2 < 500 * len(tree.boxes)
+    few = kdtree._search(tree, v, np.arange(3000), q[:1], np.c_[q[:1], [[0.0]]] @ matrix, square[:1] + square.max(), np.array([want.max() * 1e3]), k, 1.0, 1e-9)
+    assert len(few[0][0]) == 0 and kdtree._search(kdtree.Tree(points[:0]), v[:0], np.zeros(0, int), q[:1], points[:1], square[:1], np.zeros(1), k, 1.0, 0.0)[0][0].tolist() == []
+
+
 def terms(text):
     return [t for t in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)})) if t]
 
