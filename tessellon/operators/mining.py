@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,43 +26,67 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 #: Items of a block; the pairs of two blocks of a group are a task's work at most.
 PAIR_BLOCK = 1024
+#: Rows and pairs that a task gets, about, however long the table is, and the slices of groups that it holds: several, so that tasks come out even.
+PAIR_ROWS, PAIRS, SLICES = 1 << 18, 1 << 20, 16
 
 
-def copairs(rows: DataFrame, item: str, together: list[str], counted: str, least: int = 2, block: int = PAIR_BLOCK) -> DataFrame:
-    """Pairs of items that share a group, with the distinct values of ``counted`` over their groups; at least so many.
+def _dealt(rows: DataFrame, item: str, together: list[str], counted: str, block: int):
+    """Distinct rows with the slice of each group, the number of tasks for them, and that of groups without a null.
 
-    A group's items are dealt into blocks by hash, and each pair of blocks, a triangle of them, is a join key of its own, so
-    a large group is many tasks; a group that fits one block is one key.
+    Spark sizes tasks by the bytes they read, which pairs and their counts outgrow many times, so the tasks are counted here.
     """
-    own = rows.select(item, *dict.fromkeys([*together, counted])).distinct().where(F.col(item).isNotNull())
-    blocks = own.groupBy(*together).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    own = own.join(blocks, together)
+    names = [item, *dict.fromkeys([*together, counted])]
+    own, m = rows.select(*names), F.col("_m")
+    whole = F.count_if(reduce(and_, (F.col(c).isNotNull() for c in together)))
+    told = own.groupBy(*together).agg(F.count("*").alias("_m")).agg(F.sum(m).alias("rows"), F.sum(F.when(m <= block, m * (m - 1) / 2)).alias("pairs"), whole.alias("groups")).first()
+    tasks = max(1, math.ceil((told["rows"] or 0) / PAIR_ROWS), math.ceil((told["pairs"] or 0) / PAIRS))
+    own = own.repartition(tasks, *names).distinct().withColumn("_slice", F.pmod(F.xxhash64(*together), F.lit(SLICES * tasks)).cast("int"))
+    return own, tasks, told["groups"]
+
+
+def _pairs(own: DataFrame, tasks: int, item: str, together: list[str], counted: str, least: int, block: int) -> DataFrame:
+    by = ["_slice", *together]
+    own = own.where(reduce(and_, (F.col(c).isNotNull() for c in (item, *together)))).repartition(tasks, "_slice")
+    own = own.withColumn("_blocks", F.ceil(F.count("*").over(Window.partitionBy(*by)) / block).cast("int"))
     extra = [] if counted in together else [counted]
-    kept = [*together, "_p", "_q"]
+    kept = [*by, "_p", "_q"]
     # a group of one block is an array, made where its rows are; only the blocks of larger ones are dealt out
     member = F.struct(F.col(item).alias("i"), *(F.col(c).alias("c") for c in extra))
-    small = own.where("_blocks = 1").groupBy(*together).agg(F.array_sort(F.collect_list(member)).alias("_all"))
-    small = small.select(*together, "_all", F.posexplode("_all").alias("_at", "_p")).where(F.col("_at") + 1 < F.size("_all"))
+    small = own.where("_blocks = 1").groupBy(*by).agg(F.array_sort(F.collect_list(member)).alias("_all"))
+    small = small.select(*by, "_all", F.posexplode("_all").alias("_at", "_p")).where(F.col("_at") + 1 < F.size("_all"))
     small = small.withColumn("_q", F.explode(F.slice("_all", F.col("_at") + 2, F.size("_all")))).where(F.col("_p.i") != F.col("_q.i")).select(*kept)
-    own = own.where("_blocks > 1").withColumn("_own", F.pmod(F.xxhash64(F.col(item)), F.col("_blocks")).cast("int")).select(*together, "_blocks", "_own", member.alias("_p"))
+    own = own.where("_blocks > 1").withColumn("_own", F.pmod(F.xxhash64(F.col(item)), F.col("_blocks")).cast("int")).select(*by, "_blocks", "_own", member.alias("_p"))
     left = own.withColumns({"_i": F.col("_own"), "_j": F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1))})
-    right = own.withColumns({"_i": F.explode(F.sequence(F.lit(0), F.col("_own"))), "_j": F.col("_own")}).select(*together, F.col("_p").alias("_q"), "_i", "_j")
-    large = left.join(right, [*together, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("_p.i") < F.col("_q.i"))).where(F.col("_p.i") != F.col("_q.i"))
+    right = own.withColumns({"_i": F.explode(F.sequence(F.lit(0), F.col("_own"))), "_j": F.col("_own")}).select(*by, F.col("_p").alias("_q"), "_i", "_j")
+    large = left.join(right, [*by, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("_p.i") < F.col("_q.i"))).where(F.col("_p.i") != F.col("_q.i"))
     first, last = (F.when(F.col("_p.i") < F.col("_q.i"), F.col(x)).otherwise(F.col(y)) for x, y in (("_p", "_q"), ("_q", "_p")))
-    pairs = small.unionByName(large.select(*together, first.alias("_p"), last.alias("_q"))).withColumns({"a": F.col("_p.i"), "b": F.col("_q.i")})
-    # a group that is counted itself has each of its pairs once
-    n = F.count(F.col(counted)) if [counted] == together else F.count_distinct(F.col("_p.c") if extra else F.col(counted))
-    return pairs.groupBy("a", "b").agg(n.alias("n")).where(F.col("n") >= least)
+    small, large = (d.withColumns({"a": F.col("_p.i"), "b": F.col("_q.i")}) for d in (small, large.select(*by, first.alias("_p"), last.alias("_q"))))
+    if [counted] == together:
+        # a group that is counted itself has each of its pairs once; a slice counts its pairs where they are made, so the pairs of many groups are few rows
+        told = [d.groupBy("_slice", "a", "b").agg(F.count("*").alias("n")).select("a", "b", "n") for d in (small, large)]
+        found = told[0].unionByName(told[1]).repartition(tasks, "a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    else:
+        found = small.unionByName(large).groupBy("a", "b").agg(F.count_distinct(F.col("_p.c") if extra else F.col(counted)).alias("n"))
+    return found.where(F.col("n") >= least)
+
+
+def copairs(rows: DataFrame, item: str, together: list[str], counted: str, least: int = 2, block: int = PAIR_BLOCK) -> DataFrame:
+    """Pairs of items that share a group, with the distinct values of ``counted`` over their groups; at least so many.
+
+    A group's items are dealt into blocks by hash, and each pair of blocks, a triangle of them, is a join key of its own, so
+    a large group is many tasks; a group that fits one block is one key.
+    """
+    own, tasks, _ = _dealt(rows, item, together, counted, block)
+    return _pairs(own, tasks, item, together, counted, least, block)
 
 
 def pair_rules(baskets: DataFrame, basket: str, item: str, least: int = 2) -> DataFrame:
     """a, b, n, support, confidence of a -> b for pairs in at least so many baskets."""
-    own = baskets.select(basket, item).distinct()
-    total = own.agg(F.count_distinct(basket).alias("total"))
-    single = own.groupBy(F.col(item).alias("a")).agg(F.count("*").alias("na"))
-    both = copairs(own, item, [basket], basket, least)
+    own, tasks, total = _dealt(baskets, item, [basket], basket, PAIR_BLOCK)
+    single = own.groupBy(F.col(item).alias("a")).agg(F.count(basket).alias("na"))
+    both = _pairs(own, tasks, item, [basket], basket, least, PAIR_BLOCK)
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    return both.join(single, "a").crossJoin(F.broadcast(total)).select("a", "b", "n", (F.col("n") / F.col("total")).alias("support"), (F.col("n") / F.col("na")).alias("confidence"))
+    return both.join(single, "a").select("a", "b", "n", (F.col("n") / F.lit(total)).alias("support"), (F.col("n") / F.col("na")).alias("confidence"))
 
 
 def rule_of(baskets: DataFrame, items: str, left: list, right: list) -> DataFrame:
