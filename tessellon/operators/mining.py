@@ -12,16 +12,43 @@ from pyspark.sql import functions as F
 TOKEN = r"([\p{L}\p{N}_]{2,})"
 
 
-def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, term, weight: raw counts, smooth idf ln((1+n)/(1+df))+1, unit length per document."""
-    terms = docs.select(F.col(id_col).alias("doc"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(TOKEN), 1)).alias("term"))
-    tf = terms.groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    raw = tf.join(df, "term").crossJoin(F.broadcast(n)).select("doc", "term", (F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).alias("w"))
-    # the counts' shuffle is made once and used for df too; a document's length comes from the same rows, not from a second pass over the texts
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
-    return raw.select("doc", "term", (F.col("w") / norm).alias("weight"))
+#: Characters of the texts of a part, about; a part is a task.
+PART_CHARS = 1 << 22
+
+
+def _labels(spark, n: int) -> list[int]:
+    """n numbers that repartition(n, ...) by them puts into a partition each; any others would be right too, but less even."""
+    at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")
+    return [r["least"] for r in spark.range(32 * n, numPartitions=1).groupBy(at).agg(F.min("id").alias("least")).orderBy("at").collect()]
+
+
+def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+    """doc, term, weight: raw counts, smooth idf ln((1+n)/(1+df))+1, unit length per document.
+
+    Texts are dealt into parts of bounded size by document. What a part has to know of other parts is asked for and told once a
+    term, so neither the counts nor the weights of all documents are ever shuffled.
+    """
+    whole = docs.select(F.col(id_col).alias("doc"), F.lower(text_col).alias("text"))
+    told = whole.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    labels = _labels(docs.sparkSession, max(1, math.ceil((told["chars"] or 0) / part_chars)))
+    tasks, part = len(labels), F.array(*map(F.lit, labels))[F.pmod(F.xxhash64("doc"), F.lit(len(labels))).cast("int")].cast("int")
+    terms = lambda d: d.select("part", "doc", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), 1)).alias("term"))
+    whole = whole.withColumn("part", part)
+    # documents of a part by term; a term's parts are one group, at most a row for each of them
+    held = terms(whole.repartition(tasks, "part")).groupBy("part", "doc", "term").agg(F.lit(1).alias("one")).groupBy("part", "term").agg(F.count("*").alias("here"))
+    df = held.withColumn("df", F.sum("here").over(Window.partitionBy("term"))).where(F.col("df") > F.col("here"))
+    # texts and what was told go to their part together; a term that isn't told of has no other documents
+    none = lambda kind: F.lit(None).cast(kind)
+    both = whole.select("part", "doc", "text", none("string").alias("term"), none("bigint").alias("df"))
+    both = both.unionByName(df.select("part", none(dict(whole.dtypes)["doc"]).alias("doc"), none("string").alias("text"), "term", "df"))
+    both = both.repartition(tasks, "part")
+    found = F.when(F.col("df").isNull(), F.regexp_extract_all("text", F.lit(TOKEN), 1)).otherwise(F.array("term"))
+    counted = both.select("part", "doc", "df", F.explode(found).alias("term")).groupBy("part", "doc", "term", "df").agg(F.count("*").alias("tf"))
+    by_term = Window.partitionBy("part", "term")
+    known = counted.withColumns({"all": F.coalesce(F.max("df").over(by_term), F.count("*").over(by_term))}).where("df is null")
+    w = known.select("part", "doc", "term", (F.col("tf") * (F.log((1.0 + F.lit(told["n"])) / (1.0 + F.col("all"))) + 1.0)).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("part", "doc")))
+    return w.select("doc", "term", (F.col("w") / norm).alias("weight"))
 
 
 #: Items of a block; the pairs of two blocks of a group are a task's work at most.
