@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 TOKEN = r"([\p{L}\p{N}_]{2,})"
 
 
-#: Characters of the texts of a part, about; a part is a task.
-PART_CHARS = 1 << 22
+#: Characters of the texts of a part, about, which is a task; and as many parts' terms as a task adds up.
+PART_CHARS, TERM_PARTS = 1 << 22, 8
 
 
 def _labels(spark, n: int) -> list[int]:
@@ -36,7 +36,7 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     whole = whole.withColumn("part", part)
     # documents of a part by term; a term's parts are one group, at most a row for each of them
     held = terms(whole.repartition(tasks, "part")).groupBy("part", "doc", "term").agg(F.lit(1).alias("one")).groupBy("part", "term").agg(F.count("*").alias("here"))
-    df = held.withColumn("df", F.sum("here").over(Window.partitionBy("term"))).where(F.col("df") > F.col("here"))
+    df = held.repartition(math.ceil(tasks / TERM_PARTS), "term").withColumn("df", F.sum("here").over(Window.partitionBy("term"))).where(F.col("df") > F.col("here"))
     # texts and what was told go to their part together; a term that isn't told of has no other documents
     none = lambda kind: F.lit(None).cast(kind)
     both = whole.select("part", "doc", "text", none("string").alias("term"), none("bigint").alias("df"))
